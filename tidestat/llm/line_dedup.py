@@ -7,7 +7,7 @@
    (combined before the shuffle, so a hot line is one row a task) confirms keys in two documents and picks the first.
 3. Suspects meet the confirmed keys (Spark splits a hot key's partition), and each document gets its drops.
 
-The filters are sized from a count of all lines. Beyond MAX_FILTER_BYTES every line is a suspect instead:
+The filters are sized from a count of all lines. Beyond bloom.MAX_FILTER_BYTES every line is a suspect instead:
 the exact path alone, with 24 bytes shuffled for each distinct line of a task.
 """
 
@@ -22,13 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
-from tidestat.llm.common import LOWER, SPACE, code_points, map_rows, materialise, n_chars_of, raw, spread, strings
+from tidestat.llm import bloom
+from tidestat.llm.common import LOWER, SPACE, code_points, map_rows, materialise, n_chars_of, raw, strings
 
 MIN_LENGTH = 10
-BITS_PER_LINE = 8
-PROBES = 2
-SEGMENT_BITS = 1 << 20
-MAX_FILTER_BYTES = 256 << 20
 
 
 def keys_of(text: bytes | None, min_length: int = MIN_LENGTH) -> tuple[list[bytes], list[bytes | None]]:
@@ -40,93 +37,24 @@ def keys_of(text: bytes | None, min_length: int = MIN_LENGTH) -> tuple[list[byte
     ]
 
 
+def _hashes(keys: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
+
+
 def _digests(keys) -> np.ndarray:
     """An (n, 2) array of 128-bit digests."""
     return np.frombuffer(b"".join([xxhash.xxh3_128_digest(k) for k in keys]), ">u8").astype(np.uint64).reshape(-1, 2)
 
 
-def _positions(hashes: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
-    """Segment and bit in it (n, PROBES) of each key: all bits of a key are in one segment."""
-    seg = (spread(hashes, 7) % np.uint64(segments)).astype(np.int64)
-    bits = np.stack([spread(hashes, i) % np.uint64(SEGMENT_BITS) for i in range(PROBES)], 1)
-    return seg, bits.astype(np.int64)
-
-
-def _filter_rows(texts: list[bytes | None], seen: dict, segments: int, min_length: int) -> None:
-    """Add one batch's keys (distinct within each document) to the bits that this task saw once and twice."""
-    hashes = []
-    for t in texts:
-        keys = {k for k in keys_of(t, min_length)[1] if k is not None}
-        hashes += [xxhash.xxh3_64_intdigest(k) for k in keys]
-    if hashes:
-        seg, bits = _positions(np.array(hashes, np.uint64), segments)
-        flat = (seg[:, None] * SEGMENT_BITS + bits).ravel()
-        seen["flat"].append(flat)
-
-
-def second_filter(docs: DataFrame, lines: int, min_length: int = MIN_LENGTH, text: str = "text") -> dict[int, bytes] | None:
-    """Segment -> bits seen at least twice; None if the filter would be too large."""
-    segments = max(1, -(-lines * BITS_PER_LINE // SEGMENT_BITS))
-    if segments * SEGMENT_BITS // 8 > MAX_FILTER_BYTES:
-        return None
-
-    def once_and_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = {"flat": []}
-        for b in batches:
-            _filter_rows(raw(b.column(0)), seen, segments, min_length)
-            if sum(map(len, seen["flat"])) > 4_000_000:
-                yield from emit(seen)
-                seen = {"flat": []}
-        yield from emit(seen)
-
-    def emit(seen: dict) -> Iterator[pa.RecordBatch]:
-        if not seen["flat"]:
-            return
-        at, n = np.unique(np.concatenate(seen["flat"]), return_counts=True)
-        seg = at // SEGMENT_BITS
-        cuts = np.flatnonzero(np.diff(seg)) + 1
-        rows = []
-        for bits, counts in zip(np.split(at % SEGMENT_BITS, cuts), np.split(n, cuts), strict=True):
-            rows.append((bits[counts == 1].astype("<u4").tobytes(), bits[counts > 1].astype("<u4").tobytes()))
-        ids = seg[np.concatenate([[0], cuts])]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())],
-            names=["seg", "once", "twice"],
-        )
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for b in batches:
-            for s, once, twice in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                f1, f2 = filters.setdefault(s, (np.zeros(SEGMENT_BITS, bool), np.zeros(SEGMENT_BITS, bool)))
-                o, t = np.frombuffer(once, "<u4"), np.frombuffer(twice, "<u4")
-                f2[o] |= f1[o]
-                f1[o] = True
-                f1[t] = f2[t] = True
-        for s, (_, f2) in filters.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([s], pa.int64()), pa.array([np.packbits(f2).tobytes()], pa.binary())], names=["seg", "bits"]
-            )
-
-    parts = docs.select(text).mapInArrow(once_and_twice, "seg long, once binary, twice binary")
-    merged = parts.repartition(min(segments, 512), "seg").mapInArrow(merge, "seg long, bits binary")
-    return {r.seg: bytes(r.bits) for r in merged.toLocalIterator()}  # at most MAX_FILTER_BYTES
-
-
 def _suspects(docs: DataFrame, lines: int, min_length: int, doc_id: str, text: str) -> DataFrame:
     """h1, h2, doc: distinct suspected keys of each document."""
-    spark = docs.sparkSession
-    found = second_filter(docs, lines, min_length, text)
-    shared = None
-    if found is not None:
-        segments = max(1, -(-lines * BITS_PER_LINE // SEGMENT_BITS))
-        whole = np.zeros((segments, SEGMENT_BITS // 8), np.uint8)
-        for s, bits in found.items():
-            whole[s] = np.frombuffer(bits, np.uint8)
-        shared = spark.sparkContext.broadcast(whole)
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for b in batches:
+            yield _hashes([k for t in raw(b.column(0)) for k in {k for k in keys_of(t, min_length)[1] if k is not None}])
+
+    suspected = bloom.repeated(docs.select(text), hashes, lines)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value if shared is not None else None
         for b in batches:
             ids, keys, owner = b.column(0).to_pylist(), [], []
             for i, t in zip(ids, raw(b.column(1)), strict=True):
@@ -135,12 +63,7 @@ def _suspects(docs: DataFrame, lines: int, min_length: int, doc_id: str, text: s
                 owner += [i] * len(own)
             if not keys:
                 continue
-            hold = np.ones(len(keys), bool)
-            if table is not None:
-                seg, bits = _positions(np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64), len(table))
-                for j in range(PROBES):
-                    hold &= (table[seg, bits[:, j] >> 3] >> (7 - (bits[:, j] & 7)).astype(np.uint8)) & 1 == 1
-            at = np.flatnonzero(hold)
+            at = np.flatnonzero(suspected(_hashes(keys)))
             d = _digests([keys[i] for i in at]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array([owner[i] for i in at], pa.int64())],

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidestat.llm import chat, decontaminate, line_dedup
+from tidestat.llm import chat, decontaminate, line_dedup, substring_dedup
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -42,10 +42,17 @@ def op7_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op10_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents").select("doc_id", "text")
+    out = substring_dedup.dedup_substrings(docs)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_formatting": op2_chat_formatting,
     "op6_line_dedup": op6_line_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -81,4 +88,11 @@ ORACLE: dict[str, str] = {
       items AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM h) GROUP BY r)
       SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
         sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM w LEFT JOIN hits USING (r) LEFT JOIN items USING (r)""",
+    "op10_substring_dedup": rf"""WITH w AS (SELECT doc_id, row_number() OVER () AS r, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+      g AS (SELECT doc_id, r, i, sha256(array_to_string(ws[i:i + 19], ' ')) AS key FROM (SELECT doc_id, r, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20)),
+      f AS (SELECT *, min(doc_id) OVER (PARTITION BY key) AS first, min(i) OVER (PARTITION BY key, r) AS own FROM g),
+      gone AS (SELECT DISTINCT r, p FROM (SELECT r, unnest(range(i, i + 20)) AS p FROM f WHERE first < doc_id OR own < i)),
+      e AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+      k AS (SELECT e.r, count(*) FILTER (gone.p IS NOT NULL) AS n, string_agg(word, ' ' ORDER BY e.p) FILTER (gone.p IS NULL) AS kept FROM e LEFT JOIN gone ON gone.r = e.r AND gone.p = e.p GROUP BY e.r)
+      SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (r)""",
 }
