@@ -86,3 +86,63 @@ def repeated(df: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterato
         return hold
 
     return test
+
+
+def _slots(df: DataFrame, probes: int, bits: int) -> np.ndarray:
+    """A bitmap of `bits` bits (a multiple of SEGMENT_BITS) with `probes` bits set for each hash of df's one long column."""
+    segments = bits // SEGMENT_BITS
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held.append(_at(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), probes, bits).ravel())
+            n += len(held[-1])
+            if n > HELD:
+                yield from _rows(held)
+                held, n = [], 0
+        yield from _rows(held)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for b in batches:
+            for s, once, twice in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                f = found.setdefault(s, np.zeros(SEGMENT_BITS, bool))
+                f[np.frombuffer(once, "<u4")] = True
+                f[np.frombuffer(twice, "<u4")] = True
+        for s, f in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([np.packbits(f).tobytes()], pa.binary())], names=["seg", "bits"])
+
+    parts = df.mapInArrow(deal, "seg long, once binary, twice binary")
+    table = np.zeros((segments, SEGMENT_BITS // 8), np.uint8)
+    for r in parts.repartition(min(segments, 64), "seg").mapInArrow(merge, "seg long, bits binary").toLocalIterator():
+        table[r.seg] = np.frombuffer(r.bits, np.uint8)  # at most `bits` bits
+    return table.ravel()
+
+
+def _at(hashes: np.ndarray, probes: int, bits: int) -> np.ndarray:
+    return np.stack([(spread(hashes, 61 + i) % np.uint64(bits)).astype(np.int64) for i in range(probes)], 1)
+
+
+def _test(df: DataFrame, probes: int, bits: int) -> Callable[[np.ndarray], np.ndarray]:
+    shared = df.sparkSession.sparkContext.broadcast(_slots(df, probes, bits))
+
+    def test(h: np.ndarray) -> np.ndarray:
+        at, hold = _at(h, probes, bits), np.ones(len(h), bool)
+        for j in range(probes):
+            hold &= (shared.value[at[:, j] >> 3] >> (7 - (at[:, j] & 7)).astype(np.uint8)) & 1 == 1
+        return hold
+
+    return test
+
+
+def bitmap(df: DataFrame, bits: int) -> Callable[[np.ndarray], np.ndarray]:
+    """A test for df's hashes of a fixed size whatever their number; others may pass too."""
+    return _test(df, 1, bits)
+
+
+def member(df: DataFrame, count: Callable[[], int]) -> Callable[[np.ndarray], np.ndarray]:
+    """A test that is True for all of df's hashes and few others; True for all where it would pass MAX_FILTER_BYTES."""
+    bits = max(1, -(-count() * 10 // SEGMENT_BITS)) * SEGMENT_BITS
+    if bits // 8 > MAX_FILTER_BYTES:
+        return lambda h: np.ones(len(h), bool)
+    return _test(df, 3, bits)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidestat.llm import chat, decontaminate, line_dedup, substring_dedup
+from tidestat.llm import chat, decontaminate, jaccard_join, line_dedup, substring_dedup
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op7_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_table(spark, d, "documents").select("doc_id", "text"))
+
+
 def op10_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     docs = _table(spark, d, "documents").select("doc_id", "text")
     out = substring_dedup.dedup_substrings(docs)
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_formatting": op2_chat_formatting,
     "op6_line_dedup": op6_line_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
@@ -95,4 +100,13 @@ ORACLE: dict[str, str] = {
       e AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
       k AS (SELECT e.r, count(*) FILTER (gone.p IS NOT NULL) AS n, string_agg(word, ' ' ORDER BY e.p) FILTER (gone.p IS NULL) AS kept FROM e LEFT JOIN gone ON gone.r = e.r AND gone.p = e.p GROUP BY e.r)
       SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (r)""",
+    "op9_ngram_jaccard_join": rf"""WITH RECURSIVE w AS (SELECT doc_id, row_number() OVER () AS r, list_filter(string_split_regex(translate(coalesce(text, ''), {_LOWER}), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+      t AS (SELECT DISTINCT r, hash(array_to_string(ws[i:i + 2], ' ')) AS s FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+      n AS (SELECT r, count(*) AS n FROM t GROUP BY r),
+      p AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM t a JOIN t b ON a.s = b.s AND a.r < b.r GROUP BY 1, 2),
+      e AS (SELECT p.a, p.b FROM p JOIN n x ON x.r = p.a JOIN n y ON y.r = p.b WHERE 100 * p.c >= 90 * (x.n + y.n - p.c)),
+      two AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+      reach(a, b) AS (SELECT r, r FROM w UNION SELECT reach.a, two.b FROM reach JOIN two ON two.a = reach.b),
+      c AS (SELECT reach.a AS r, min(w.doc_id) AS component_id FROM reach JOIN w ON w.r = reach.b GROUP BY 1)
+      SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id FROM w LEFT JOIN n USING (r) JOIN c USING (r)""",
 }
