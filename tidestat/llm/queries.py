@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField
 
-from tidestat.llm import chat, decontaminate, jaccard_join, line_dedup, substring_dedup
+from tidestat.llm import bpe, chat, decontaminate, jaccard_join, line_dedup, substring_dedup
+from tidestat.llm.common import map_rows
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -23,6 +28,31 @@ def op2_chat_formatting(spark: SparkSession, d: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows))
 
 
+def tokenizer() -> bpe.Tokenizer:
+    return bpe.Tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op3_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
+    tok = tokenizer()
+    coded = bpe.encode(_table(spark, d, "documents").select("doc_id", "text"), tok).select("doc_id", "tokens")
+    shared = spark.sparkContext.broadcast(tok.pieces)
+
+    def make():
+        def each(b: pa.RecordBatch, _: list) -> dict[str, pa.Array]:
+            n, ids, text = [], [], []
+            for x in b.column(b.schema.get_field_index("tokens")):
+                a = x.values.to_numpy()
+                n.append(len(a))
+                ids.append(hashlib.sha256(a.astype("<u4").tobytes()).hexdigest())
+                text.append(hashlib.sha256(bpe.decode_ids(a.tolist(), shared.value)).hexdigest())
+            return {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids), "decoded_sha256": pa.array(text)}
+
+        return each
+
+    fields = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
+    return map_rows(coded, "doc_id", fields, make, drop=("tokens",))
+
+
 def op6_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     docs = _table(spark, d, "documents").select("doc_id", "text")
     out = line_dedup.dedup_lines(docs)
@@ -54,6 +84,7 @@ def op10_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_byte_bpe": op3_byte_bpe,
     "op6_line_dedup": op6_line_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
