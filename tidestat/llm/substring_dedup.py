@@ -230,28 +230,27 @@ def _distinct(owner: np.ndarray, key: np.ndarray) -> np.ndarray:
 def repeated_windows(docs: DataFrame, window: int = WINDOW, rounds: int = PAIR_ROUNDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, windows (array of (start, n)): runs of windows that also occur in a document of a smaller id."""
     estimate = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    anchors = materialise(anchor_rows(docs, estimate // 30 + 1, window, rounds, doc_id, text), "anchors")
-    anchors = anchors.withColumn("around", F.xxhash64("hashes"))
-    groups = anchors.groupBy("key", "around").agg(
-        F.min("doc").alias("first"), F.max("doc").alias("last"), F.any_value("hashes").alias("hashes")
-    )
+    anchors = anchor_rows(docs, estimate // 30 + 1, window, rounds, doc_id, text)
+    anchors = materialise(anchors.withColumn("around", F.xxhash64("hashes")), "anchors")
+    groups = anchors.groupBy("key", "around").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
     groups = materialise(groups, "anchor-groups")
     whole = (
         anchors.select("key", "around", "doc", "start", F.size("hashes").alias("n"))
-        .join(groups.where("first < last").select("key", "around", "first"), ["key", "around"])
+        .join(groups.where("first < last").drop("last"), ["key", "around"])
         .where("doc > first")
         .select("doc", "start", "n")
     )
-    # Keys with several surroundings: the windows of each one's first document against those of the others.
+    # Keys with several surroundings: the windows of each one's first document against those of the others. Only
+    # these anchors' window hashes shuffle.
     several = groups.groupBy("key").agg(F.min("around").alias("a"), F.max("around").alias("b")).where("a < b").select("key")
-    several = materialise(several, "anchor-keys")
-    mixed = groups.join(several, "key", "left_semi").select("key", "first", F.explode("hashes").alias("h"))
-    earliest = mixed.groupBy("key", "h").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).where("lo < hi").drop("hi")
-    earliest = materialise(earliest, "windows")
-    # Back to the first documents' places: only anchors of the smallest document of their group.
-    reps = anchors.join(several, "key", "left_semi").select("key", "doc", "start", F.posexplode("hashes").alias("i", "h"))
+    firsts = materialise(groups.join(several, "key", "left_semi").drop("last"), "anchor-firsts")
+    mixed = anchors.join(firsts, ["key", "around"]).where("doc = first").select("key", "doc", "start", "hashes")
+    mixed = materialise(mixed, "anchor-mixed")
+    earliest = mixed.select("key", "doc", F.explode("hashes").alias("h")).groupBy("key", "h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+    earliest = materialise(earliest.where("lo < hi").drop("hi"), "windows")
     part = (
-        reps.join(earliest, ["key", "h"])
+        mixed.select("key", "doc", "start", F.posexplode("hashes").alias("i", "h"))
+        .join(earliest, ["key", "h"])
         .where("doc > lo")
         .select("doc", (F.col("start") + F.col("i")).alias("start"), F.lit(1).alias("n"))
     )
