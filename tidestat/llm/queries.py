@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
-from tidestat.llm import bpe, chat, decontaminate, jaccard_join, line_dedup, substring_dedup
+from tidestat.llm import bpe, chat, decontaminate, jaccard_join, line_dedup, substring_dedup, toxicity
 from tidestat.llm.common import map_rows
 
 
@@ -53,6 +53,16 @@ def op3_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     return map_rows(coded, "doc_id", fields, make, drop=("tokens",))
 
 
+HELD_OUT = "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 3 = 1, false)"
+
+
+def op4_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _table(spark, d, "labels"), HELD_OUT)
+    scored = toxicity.score(docs, model).withColumn("held_out", F.expr(HELD_OUT))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     docs = _table(spark, d, "documents").select("doc_id", "text")
     out = line_dedup.dedup_lines(docs)
@@ -85,6 +95,7 @@ def op10_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_toxicity": op4_toxicity,
     "op6_line_dedup": op6_line_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
