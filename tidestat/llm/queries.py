@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
-from tidestat.llm import bpe, chat, decontaminate, jaccard_join, line_dedup, substring_dedup, toxicity
+from tidestat.llm import bpe, chat, decontaminate, html_extract, jaccard_join, line_dedup, substring_dedup, toxicity
 from tidestat.llm.common import map_rows
 
 
@@ -19,6 +19,10 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, d: str) -> DataFrame:
+    return html_extract.extract(_table(spark, d, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op2_chat_formatting(spark: SparkSession, d: str) -> DataFrame:
     text = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame(
@@ -93,6 +97,7 @@ def op10_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_toxicity": op4_toxicity,
