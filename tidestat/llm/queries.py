@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
-from tidestat.llm import bpe, chat, decontaminate, html_extract, jaccard_join, line_dedup, substring_dedup, toxicity
-from tidestat.llm.common import map_rows
+from tidestat.llm import audio, bpe, chat, decontaminate, html_extract, jaccard_join, licenses, line_dedup, substring_dedup, toxicity
+from tidestat.llm.common import map_rows, materialise
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -67,6 +67,19 @@ def op4_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op5_license_scan(spark: SparkSession, d: str) -> DataFrame:
+    return licenses.scan(_table(spark, d, "documents").select("doc_id", "text")).select(
+        "doc_id", "digest", "license", F.array_join("notices", ",").alias("notices")
+    )
+
+
+def op8_media_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    """Alignments of stand-in recordings, one for each vector of `embeddings`; queries are those with ids divisible by 100."""
+    media = _table(spark, d, "embeddings").select("vec_id", "embedding")
+    found = materialise(audio.fingerprints(media, "embedding", audio.render).select("vec_id", "fingerprint"), "fingerprints")
+    return audio.search(found, found.where("vec_id % 100 = 0"), "vec_id")
+
+
 def op6_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     docs = _table(spark, d, "documents").select("doc_id", "text")
     out = line_dedup.dedup_lines(docs)
@@ -101,8 +114,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_toxicity": op4_toxicity,
+    "op5_license_scan": op5_license_scan,
     "op6_line_dedup": op6_line_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_media_fingerprints": op8_media_fingerprints,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
 }
@@ -110,6 +125,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+
+def _canonical_sql(text: str) -> str:
+    out = f"translate(regexp_replace({text}, '{licenses.COPYRIGHT_LINE}', '', 'g'), {_LOWER})"
+    for a, b in licenses.EQUIVALENT:
+        out = f"replace({out}, '{a}', '{b}')"
+    return f"trim(regexp_replace({out}, '[^a-z0-9]+', ' ', 'g'))"
+
+
+def _values(known: tuple[tuple[str, str], ...]) -> str:
+    quoted = lambda x: x.replace("'", "''").replace(chr(10), "' || chr(10) || '")
+    return ", ".join(f"('{k}', '{quoted(v)}')" for k, v in known)
+
+
 ORACLE: dict[str, str] = {
     "op2_chat_formatting": r"""WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
         UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
@@ -156,4 +184,10 @@ ORACLE: dict[str, str] = {
       reach(a, b) AS (SELECT r, r FROM w UNION SELECT reach.a, two.b FROM reach JOIN two ON two.a = reach.b),
       c AS (SELECT reach.a AS r, min(w.doc_id) AS component_id FROM reach JOIN w ON w.r = reach.b GROUP BY 1)
       SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id FROM w LEFT JOIN n USING (r) JOIN c USING (r)""",
+    "op5_license_scan": f"""WITH known(license, digest) AS (SELECT min(k), sha256({_canonical_sql('t')}) FROM (VALUES {_values(licenses.TEXTS)}) v(k, t) GROUP BY 2),
+      notes(license, form) AS (SELECT min(k), {_canonical_sql('t')} FROM (VALUES {_values(licenses.NOTICES)}) v(k, t) GROUP BY 2),
+      d AS (SELECT doc_id, row_number() OVER () AS r, text, sha256({_canonical_sql('text')}) AS digest FROM documents),
+      l AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
+      n AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM (SELECT * FROM l WHERE length(line) BETWEEN 3 AND 200 AND regexp_matches(line, '(?i)licen[sc]')) x JOIN notes ON form = {_canonical_sql('line')} GROUP BY r)
+      SELECT d.doc_id, d.digest, known.license, coalesce(n.notices, '') AS notices FROM d LEFT JOIN known USING (digest) LEFT JOIN n USING (r)""",
 }
