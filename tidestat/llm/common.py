@@ -31,8 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 8 MB: texts may be long, and two workers share an executor."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read back: lineage ends there and lost executors lose nothing."""
+    small_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -56,6 +62,7 @@ def map_rows(
     ``make()`` runs once a task and returns f(batch, texts) -> new columns; it may replace existing ones.
     Columns in ``drop`` are inputs that do not come back.
     """
+    small_batches(df.sparkSession)
     kept = StructType([f for f in df.schema.fields if f.name not in drop])
     out = with_fields(kept, *fields)
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField
 
-from tidestat.llm.common import map_rows
+from tidestat.llm.common import map_rows, small_batches
 
 #: The sample of labelled rows: the first MAX_ROWS by hash, and of these as many as have MAX_BYTES of text.
 MAX_ROWS = 8_000
@@ -236,23 +236,26 @@ def train(docs: DataFrame, labels: DataFrame, held_out: str, max_rows: int = MAX
     The sample is the max_rows least by a hash of doc_id, in that order until max_bytes of text. Rows with a null
     label or doc_id are left out; a document labelled twice counts twice.
     """
-    known = labels.where("toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("y"))
-    rows = (
-        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .where(f"doc_id is not null and not ({held_out})")
-        .join(known.where(f"not ({held_out})"), "doc_id")
-    )
-    chosen = rows.select("doc_id", "y", F.octet_length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "y").limit(max_rows).collect()
+    known = labels.where(f"toxic is not null and doc_id is not null and not ({held_out})")
+    order = (F.xxhash64("doc_id"), F.col("doc_id"), F.col("y"))
+    chosen = known.select("doc_id", F.col("toxic").cast("int").alias("y")).orderBy(*order).limit(max_rows).collect()
+    if not chosen:
+        return fit([])
+    spark = docs.sparkSession
+    ids = F.broadcast(spark.createDataFrame(chosen, "doc_id long, y int"))  # at most max_rows
+    found = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    sizes = {r.doc_id: r.n for r in found.join(ids.select("doc_id").distinct(), "doc_id").groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
     keep, size = [], 0
     for r in chosen:
-        size += r.n
+        size += sizes.get(r.doc_id, 0)
         if size > max_bytes:
             break
-        keep.append(r.doc_id)
+        keep.append((r.doc_id, r.y))
     if not keep:
         return fit([])
-    ids = docs.sparkSession.createDataFrame([(i,) for i in sorted(set(keep))], "doc_id long")
-    sample = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y").toArrow()  # at most max_bytes
+    small_batches(spark)
+    kept = F.broadcast(spark.createDataFrame(keep, "doc_id long, y int"))
+    sample = found.join(kept, "doc_id").select("doc_id", "text", "y").toArrow()  # at most max_bytes
     texts = sorted(zip(*[c.to_pylist() for c in sample.columns], strict=True))
     return fit([(t, y) for _, t, y in texts])
 
