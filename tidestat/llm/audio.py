@@ -175,6 +175,7 @@ class Index:
 
 def search(recordings: DataFrame, queries: DataFrame, id_column: str, top: int = TOP, block: int = BLOCK) -> DataFrame:
     """query_id, id, rank, offset, bit_error, votes: for each query the `top` recordings of least bit error (ties by id), itself left out.
+    offset is the place of a common passage in the query less that in the recording.
 
     Both have id_column and fingerprint. Queries go in blocks, each an index that every task holds (bounded), and all
     recordings stream past; every task passes on its own best `top` for a query, so no group of alike recordings meets in one place.
