@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidestat.llm.common import spread
+from tidestat.llm.common import small_batches, spread
 
 BITS_PER_KEY = 8
 PROBES = 2
@@ -72,6 +72,7 @@ def repeated(df: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterato
                 held, n = [], 0
         yield from _rows(held)
 
+    small_batches(df.sparkSession)
     parts = df.mapInArrow(collect, "seg long, once binary, twice binary")
     merged = parts.repartition(min(segments, 512), "seg").mapInArrow(_merge, "seg long, bits binary")
     table = np.zeros((segments, SEGMENT_BITS // 8), np.uint8)
@@ -112,6 +113,7 @@ def _slots(df: DataFrame, probes: int, bits: int) -> np.ndarray:
         for s, f in found.items():
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([np.packbits(f).tobytes()], pa.binary())], names=["seg", "bits"])
 
+    small_batches(df.sparkSession)
     parts = df.mapInArrow(deal, "seg long, once binary, twice binary")
     table = np.zeros((segments, SEGMENT_BITS // 8), np.uint8)
     for r in parts.repartition(min(segments, 64), "seg").mapInArrow(merge, "seg long, bits binary").toLocalIterator():

@@ -36,7 +36,7 @@ CLASS_BITS = 1 << 26
 #: Sets in one block of a signature's group.
 BLOCK = 2048
 _U = np.uint64
-_HELD = 2_000_000
+_HELD = 1_000_000
 
 
 def shingle_set(text: bytes | None, k: int = SHINGLE) -> np.ndarray:
@@ -249,9 +249,7 @@ def _candidates(members: DataFrame, percent: int, labelled: bool) -> DataFrame:
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose whole sets link."""
-    pairs = materialise(pairs, "pairs")
-    whole = sets.select("id", "tokens")
-    both = pairs.join(whole.toDF("a", "ta"), "a").join(whole.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+    both = pairs.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -288,57 +286,70 @@ def jaccard_components(
     first = bloom.member(distinct.where("doc is not null").select("doc"), lambda: distinct.count())
     unnamed = distinct.where("doc is null").limit(1).count() > 0
 
+    def chosen(b: pa.RecordBatch, test, nameless: bool) -> Iterator[np.ndarray]:
+        """The sets of the batch's rows that test lets through (those without doc_id if nameless); sets of one have no links."""
+        ids = b.column(0)
+        hold = test(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(_U)).tolist()
+        for h, known, t in zip(hold, ids.is_valid().to_pylist(), raw(b.column(1)), strict=True):
+            if h if known else nameless:
+                s = shingle_set(t, shingle)
+                if len(s) > 1:
+                    yield s
+
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0)
-            hold = first(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(_U))
-            sig, owner = [], []
-            for h, known, t in zip(hold.tolist(), ids.is_valid().to_pylist(), raw(b.column(1)), strict=True):
-                if not h and known or not known and not unnamed:
-                    continue
-                s = shingle_set(t, shingle)
-                if len(s) > 1:  # a set of one links with its equals only
-                    sig.append(signatures(s, classes(s), percent))
-                    owner += [digest(s)[0]] * len(sig[-1])
-            if sig:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(owner, pa.int64())], names=["sig", "id"])
+            sig, ids, n, sketches = [], [], [], []
+            for s in chosen(b, first, unnamed):
+                sig.append(signatures(s, classes(s), percent))
+                ids.append(digest(s)[0])
+                n.append(len(s))
+                sketches.append(sketch(s))
+            if not ids:
+                continue
+            names, sigs = ["sig", "id", "n", "sketch"], np.concatenate(sig).view(np.int64)
+            owner, none = np.repeat(np.array(ids), [len(x) for x in sig]), len(sigs)
+            yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(owner, pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int64()), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(sketches, pa.binary())], names=names)
+
+    written = materialise(rows.mapInArrow(post, "sig long, id long, n long, sketch binary"), "postings")
+    postings, sketches = written.where("sig is not null").select("sig", "id"), written.where("sketch is not null").drop("sig")
+    # Signatures of two sets or more; a filter of them thins the postings before these shuffle.
+    shared = postings.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("sig")
+    shared = materialise(shared, "signatures")
+    probable = bloom.member(shared, lambda: shared.count())
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(probable(b.column(0).to_numpy().view(_U))))
 
-    postings = materialise(rows.mapInArrow(post, "sig long, id long"), "postings")
+    listed = postings.mapInArrow(thin, postings.schema).join(shared, "sig", "left_semi").distinct()
+    listed = materialise(listed, "members")
     h = F.xxhash64("id")
-    counted = postings.groupBy("sig").agg(
-        F.min("id").alias("lo"),
-        F.max("id").alias("hi"),
-        F.count("*").alias("size"),
-        F.sum(h.bitwiseAND(0xFFFFFFFF)).alias("f1"),
-        F.sum(F.shiftrightunsigned(h, 32)).alias("f2"),
-    )
-    kept = counted.where("lo < hi").groupBy("size", "f1", "f2", "lo", "hi").agg(F.min("sig").alias("sig"))
-    kept = materialise(kept.select("sig", "size"), "signatures")
-    listed = materialise(postings.join(kept, "sig"), "members")
-    wanted = bloom.member(listed.select("id").distinct(), lambda: distinct.count())
+    same = [F.count("*").alias("size"), F.sum(h.bitwiseAND(0xFFFFFFFF)).alias("f1"), F.sum(F.shiftrightunsigned(h, 32)).alias("f2")]
+    kept = listed.groupBy("sig").agg(*same).groupBy("size", "f1", "f2").agg(F.min("sig").alias("sig"))
+    kept = materialise(kept.select("sig", "size"), "groups")
+    listed = materialise(listed.join(kept, "sig"), "members")
+    members = materialise(listed.join(sketches, "id"), "sketched")
+    pairs = materialise(_candidates(members.withColumn("label", F.col("id")), percent, False), "candidates")
+    # The forest touches every set that has a candidate: only these sets are needed whole.
+    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    needed = materialise(needed.join(distinct.select("id", "doc"), "id"), "needed")
+    wanted = bloom.member(needed.where("doc is not null").select("doc"), lambda: needed.count())
+    nameless = needed.where("doc is null").limit(1).count() > 0
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0)
-            hold = first(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(_U))
-            for h, known, t in zip(hold.tolist(), ids.is_valid().to_pylist(), raw(b.column(1)), strict=True):
-                if not h and known or not known and not unnamed:
-                    continue
-                s = shingle_set(t, shingle)
-                i = digest(s)[0]
-                if len(s) > 1 and wanted(np.array([i]).view(_U))[0]:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([i], pa.int64()), pa.array([len(s)], pa.int64()), pa.array([sketch(s)], pa.binary()), pa.array([s.tobytes()], pa.binary())],
-                        names=["id", "n", "sketch", "tokens"],
-                    )
-
-    sets = rows.mapInArrow(whole, "id long, n long, sketch binary, tokens binary")
-    sets = materialise(sets.dropDuplicates(["id"]), "sets")
-    members = listed.join(sets.select("id", "n", "sketch"), "id")
-    links = materialise(_links(_candidates(members.withColumn("label", F.col("id")), percent, False), sets, percent), "links")
+            ids, tokens = [], []
+            for s in chosen(b, wanted, nameless):
+                ids.append(digest(s)[0])
+                tokens.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens, pa.binary())], names=["id", "tokens"])
+
+    sets = materialise(rows.mapInArrow(whole, "id long, tokens binary"), "sets")
+    links = materialise(_links(pairs, sets, percent), "links")
     labels = components(links, "labels")
     again = members.join(labels, "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root")
-    more = materialise(_links(_candidates(again, percent, True), sets, percent), "links")
+    more = materialise(_links(materialise(_candidates(again, percent, True), "candidates"), sets, percent), "links")
     labels = components(links.unionByName(more), "labels")
     named = distinct.join(labels, "id", "left").select("id", "d2", "n", "doc", F.coalesce("root", "id").alias("root"))
     least = materialise(named.groupBy("root").agg(F.min("doc").alias("component_id")), "least")
