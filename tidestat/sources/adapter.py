@@ -29,13 +29,11 @@ def reads(documents: DataFrame) -> DataFrame:
         ((F.col("doc_id") * 97) % 50000).alias("left0"),
         "text",
     )
-    call = """filter(
-        transform(split(text, ''), (c, i) -> struct(
+    call = """array_compact(transform(split(text, ''), (c, i) -> case when c in ('a', 'o', 'i') then struct(
             i + 1 as pos,
-            case c when 'a' then 'mod_6mA' when 'o' then 'mod_5mC' when 'i' then 'mod_5hmC' end as mod,
+            case c when 'a' then 'mod_6mA' when 'o' then 'mod_5mC' else 'mod_5hmC' end as mod,
             cast((bigint(i + 1) * (i + 1) * 31 + bigint(i + 1) * 17 + read_id * 11) % 256 as int) as prob,
-            case when (i + 1) % 10 != 0 then left0 + i + 1 end as gpos)),
-        m -> m.mod is not null)"""
+            case when (i + 1) % 10 != 0 then left0 + i + 1 end as gpos) end))"""
     return base.select(
         "read_id",
         "tid",
