@@ -37,6 +37,7 @@ SHARED_BYTES, TOXIC_BYTES = 4 << 10, 1 << 10
 LEAD = bytes(33 + (i * i * 7 + i * 13) % 94 for i in range(40))
 THRESHOLDS = (1, 2, 3, 4, 5, 6, 8)
 PREDICT_AT = 0.7
+FOLDS = 5
 _WORD = re.compile(r"\w+")
 
 
@@ -179,9 +180,9 @@ def _distinct(rows: Iterable[tuple[str, int]]) -> list[tuple[list[str], int]]:
 
 
 def fit(rows: list[tuple[str, int]], window: int = WINDOW_WORDS) -> Model:
-    """A model from (text, label) rows. Half of the rows train the dictionaries and half calibrate, then the halves change places
-    and the calibrations join; the final dictionaries come from all rows. One class only: a constant score of that class's side."""
-    split = [(i % 2, w, y) for i, (w, y) in enumerate(_distinct(rows))]  # copies count once
+    """A model from (text, label) rows. In turn each FOLDS-th part calibrates on dictionaries of the others, and the calibrations
+    join; the final dictionaries come from all rows. One class only: a constant score of that class's side."""
+    split = [(i % FOLDS, w, y) for i, (w, y) in enumerate(_distinct(rows))]  # copies count once
 
     def dictionaries(part: list[tuple[int, list[str], int]]) -> tuple[bytes, bytes]:
         clean = [set(w) for _, w, y in part if not y]
@@ -193,8 +194,8 @@ def fit(rows: list[tuple[str, int]], window: int = WINDOW_WORDS) -> Model:
             if size > TOXIC_BYTES:
                 break
             head.append(f)
-        # What both share lies at the end, at equal distances, so that ordinary windows cost the same with either.
-        return "".join(reversed(head)).encode() + base, base
+        # The telling part lies nearest, where matches are cheapest; it is short, so the shared part stays at nearly the same distance.
+        return base + "".join(reversed(head)).encode(), base
 
     def raw_features(part, pair) -> np.ndarray:
         s = Scorer(Model(*pair, (), 0.0, (), (), window))
@@ -205,8 +206,8 @@ def fit(rows: list[tuple[str, int]], window: int = WINDOW_WORDS) -> Model:
     if len(labels) < 2:
         return Model(b" ", b" ", blank.weights, {1: 6.0, 0: -6.0}.get(next(iter(labels), -1), 0.0), blank.center, blank.scale, window)
     x, y = [], []
-    for side in (0, 1):
-        learn, test = [r for r in split if r[0] == side], [r for r in split if r[0] != side]
+    for fold in range(FOLDS):
+        learn, test = [r for r in split if r[0] != fold], [r for r in split if r[0] == fold]
         x.append(raw_features(test, dictionaries(learn)))
         y += [r[2] for r in test]
     x, y = np.concatenate(x), np.array(y, float)
@@ -215,7 +216,7 @@ def fit(rows: list[tuple[str, int]], window: int = WINDOW_WORDS) -> Model:
     return Model(*dictionaries(split), tuple(w.tolist()), float(b), tuple(center.tolist()), tuple(scale.tolist()), window)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> tuple[np.ndarray, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 50) -> tuple[np.ndarray, float]:
     """Ridge logistic regression by Newton's method."""
     a = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(a.shape[1])
