@@ -258,3 +258,19 @@ def test_streams_equal_batches(make, tmp_path, spark):
         assert sorted(map(tuple, spark.table(f"s_{name}").collect())) == sorted(map(tuple, batch.collect()))
     with pytest.raises(KeyError):
         streaming_stat(r.reads, "?")
+
+
+def test_bit_crosscor(spark):
+    rng = random.Random(3)
+    sets = [(k, rng.sample(range(1024), rng.randint(1, 200))) for k in range(6)]
+    df = spark.createDataFrame([(k, p) for k, s in sets for p in s], "k int, p int")
+    words = {r.k: list(r.words) for r in bits.pack(df, ["k"], "p", 1024).collect()}
+    lags = [0, 1, 10, 63, 64, 65, 128, 280, 1023]
+    table = spark.createDataFrame([(a, b, words[a], words[b]) for a in words for b in words], "a int, b int, x array<long>, y array<long>")
+    got = {(r.a, r.b): r.c for r in table.select("a", "b", bits.crosscor(F.col("x"), F.col("y"), lags).alias("c")).collect()}
+    at = {k: set(s) for k, s in sets}
+    for (a, b), c in got.items():
+        for g, v in zip(lags, c, strict=True):
+            assert v == pytest.approx(sum(p + g in at[b] for p in at[a]) / math.sqrt(len(at[a]) * len(at[b])))
+    with pytest.raises(ValueError):
+        bits.lag_matches(F.col("x"), F.col("y"), -1)

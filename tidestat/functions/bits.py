@@ -28,3 +28,26 @@ def get_bit(words: Column, position: Column) -> Column:
 def total_bits(words: Column) -> Column:
     """The number of set bits."""
     return F.aggregate(words, F.lit(0), lambda a, w: a + F.bit_count(w))
+
+
+def lag_matches(a: Column, b: Column, lag: int) -> Column:
+    """The number of positions i with a[i] and b[i + lag] set, a word at a time; lag is not negative."""
+    if lag < 0:
+        raise ValueError("lags are not negative")
+    q, r = divmod(lag, WORD)
+
+    def shifted(i: Column) -> Column:
+        low = F.coalesce(F.get(b, i + q), F.lit(0).cast("long"))
+        if not r:
+            return low
+        high = F.coalesce(F.get(b, i + q + 1), F.lit(0).cast("long"))
+        return F.shiftrightunsigned(low, r).bitwiseOR(F.shiftleft(high, WORD - r))
+
+    matches = F.transform(a, lambda w, i: F.bit_count(w.bitwiseAND(shifted(i))))
+    return F.aggregate(matches, F.lit(0), lambda s, n: s + n)
+
+
+def crosscor(a: Column, b: Column, lags: list[int]) -> Column:
+    """array<double> of lag_matches / sqrt(total_bits(a) * total_bits(b)), null where a side has no bit."""
+    norm = F.sqrt(total_bits(a).cast("double") * total_bits(b))
+    return F.array(*[F.try_divide(lag_matches(a, b, g), norm) for g in lags])

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import tidestat.operators  # noqa: F401  registers the statistics
+from tidestat.functions import bits
 from tidestat.operators import crosscor, metaplot, modhist, rates, reads, summary
 from tidestat.registry import REGISTRY
 from tidestat.sources import adapter, regions
+from tidestat.streaming import stats as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -124,6 +127,21 @@ def stats_manifest(spark, d):
     return spark.createDataFrame(rows, "Stat string, File string, Title string, Grain string")
 
 
+def packed_bits(spark, d):
+    calls = _rel(spark, d).mod_calls.where("prob > 229 and pos between 180 and 1203")
+    packed = bits.pack(calls.withColumn("p", F.col("pos") - 180), ["read_id", "mod"], "p", 1024)
+    return packed.select("read_id", "mod", bits.total_bits(F.col("words")).alias("bits"), bits.lag_matches(F.col("words"), F.col("words"), 10).alias("lag10"))
+
+
+def stream_read_length_hist(spark, d):
+    """The read lengths as a stream to its end: the complete result of a memory sink."""
+    documents = spark.readStream.schema("doc_id long, text string, lang string, source string, n_chars long").parquet(f"{d}/documents.parque[t]")  # a pattern may name a file
+    name = f"stream_{uuid.uuid4().hex}"
+    result = streaming.streaming_stat(adapter.reads(documents), "ReadLengthCounter")
+    result.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
 QUERIES: dict[str, Query] = {
     "chrom_counts": chrom_counts,
     "read_length_hist": read_length_hist,
@@ -147,6 +165,8 @@ QUERIES: dict[str, Query] = {
     "mod_summary": mod_summary,
     "limit_reads": limit_reads,
     "stats_manifest": stats_manifest,
+    "packed_bits": packed_bits,
+    "stream_read_length_hist": stream_read_length_hist,
 }
 
 _NAMES = ", ".join(f"({i}, '{n}')" for i, n in enumerate(adapter.CONTIG_NAMES))
@@ -230,6 +250,9 @@ ORACLE: dict[str, str] = {
       UNION ALL SELECT 'Std Read Length', round(stddev_pop(qlen) / 1000, 6), 'Kb' FROM reads""",
     "mod_summary": f"""{_WITH}, {_MODHIST} SELECT replace(variable, 'mod_', '') AS "Mod", round(sum(proportion) * 100, 6) AS "Percent", round(sum(value) / 1e6, 6) AS "Total_M" FROM shares WHERE ismod GROUP BY 1""",
     "limit_reads": _WITH + "SELECT read_id, tid, qlen, left0, right1 FROM reads ORDER BY read_id LIMIT 100",
+    "packed_bits": _WITH + """, k AS (SELECT DISTINCT read_id, mod, pos FROM mod_calls WHERE prob > 229 AND pos BETWEEN 180 AND 1203)
+      SELECT a.read_id, a.mod, CAST(count(*) AS INT) AS bits, CAST(count(b.pos) AS INT) AS lag10 FROM k a LEFT JOIN k b ON b.read_id = a.read_id AND b.mod = a.mod AND b.pos = a.pos + 10 GROUP BY 1, 2""",
+    "stream_read_length_hist": f"{_WITH}, {_LENGTHS} SELECT readlength, count FROM lengths",
     "stats_manifest": None,
 }
 ORACLE = {k: v for k, v in ORACLE.items() if v}
