@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidestat.llm.common import small_batches, spread
+from tidestat.llm.common import small_batches, spread, tidy
 
 BITS_PER_KEY = 8
 PROBES = 2
@@ -73,8 +73,8 @@ def repeated(df: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterato
         yield from _rows(held)
 
     small_batches(df.sparkSession)
-    parts = df.mapInArrow(collect, "seg long, once binary, twice binary")
-    merged = parts.repartition(min(segments, 512), "seg").mapInArrow(_merge, "seg long, bits binary")
+    parts = df.mapInArrow(tidy(collect), "seg long, once binary, twice binary")
+    merged = parts.repartition(min(segments, 512), "seg").mapInArrow(tidy(_merge), "seg long, bits binary")
     table = np.zeros((segments, SEGMENT_BITS // 8), np.uint8)
     for r in merged.toLocalIterator():  # at most MAX_FILTER_BYTES
         table[r.seg] = np.frombuffer(r.bits, np.uint8)
@@ -114,9 +114,9 @@ def _slots(df: DataFrame, probes: int, bits: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([np.packbits(f).tobytes()], pa.binary())], names=["seg", "bits"])
 
     small_batches(df.sparkSession)
-    parts = df.mapInArrow(deal, "seg long, once binary, twice binary")
+    parts = df.mapInArrow(tidy(deal), "seg long, once binary, twice binary")
     table = np.zeros((segments, SEGMENT_BITS // 8), np.uint8)
-    for r in parts.repartition(min(segments, 64), "seg").mapInArrow(merge, "seg long, bits binary").toLocalIterator():
+    for r in parts.repartition(min(segments, 64), "seg").mapInArrow(tidy(merge), "seg long, bits binary").toLocalIterator():
         table[r.seg] = np.frombuffer(r.bits, np.uint8)  # at most `bits` bits
     return table.ravel()
 

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidestat.llm.common import tidy
+
 BATCH = 256
 
 
@@ -117,7 +119,7 @@ def format_conversations(conversations: DataFrame, template: Template = DEFAULT)
                     names=["conv_id", "turn", "place", "segment", "loss", "valid"],
                 )
 
-    return dealt.mapInArrow(run, "conv_id long, turn long, place long, segment string, loss boolean, valid boolean")
+    return dealt.mapInArrow(tidy(run), "conv_id long, turn long, place long, segment string, loss boolean, valid boolean")
 
 
 def read_back(segments: DataFrame, template: Template = DEFAULT) -> DataFrame:
@@ -167,5 +169,5 @@ def read_back(segments: DataFrame, template: Template = DEFAULT) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(now.row(), kinds, strict=True)], names=names)
 
     return segments.select("conv_id", "segment", "loss", "valid").mapInArrow(
-        run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
+        tidy(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
     )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -50,9 +53,29 @@ def with_fields(schema: StructType, *fields: StructField) -> StructType:
     return StructType([f for f in schema.fields if f.name.lower() not in names] + list(fields))
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, giving freed memory back to the system when a task ends: workers live on, and share an executor."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return inner
+
+
+def release() -> None:
+    """Give freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_rows(
     df: DataFrame,
-    text: str,
+    text: str | None,
     fields: list[StructField],
     make: Callable[[], Callable[[pa.RecordBatch, list[bytes | None]], dict[str, pa.Array]]],
     drop: tuple[str, ...] = (),
@@ -60,7 +83,7 @@ def map_rows(
     """df with columns computed from whole texts, one Arrow batch at a time.
 
     ``make()`` runs once a task and returns f(batch, texts) -> new columns; it may replace existing ones.
-    Columns in ``drop`` are inputs that do not come back.
+    Without a text column the list of texts is empty. Columns in ``drop`` are inputs that do not come back.
     """
     small_batches(df.sparkSession)
     kept = StructType([f for f in df.schema.fields if f.name not in drop])
@@ -69,13 +92,13 @@ def map_rows(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
         for b in batches:
-            made = each(b, raw(b.column(b.schema.get_field_index(text))))
+            made = each(b, raw(b.column(b.schema.get_field_index(text))) if text is not None else [])
             names = [f.name for f in out.fields]
             yield pa.RecordBatch.from_arrays(
                 [made[n] if n in made else b.column(b.schema.get_field_index(n)) for n in names], names=names
             )
 
-    return df.mapInArrow(run, out)
+    return df.mapInArrow(tidy(run), out)
 
 
 def raw(column: pa.Array) -> list[bytes | None]:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidestat.llm.common import materialise
+from tidestat.llm.common import materialise, tidy
 
 #: A graph of at most so many edges (16 bytes each) is finished in one task.
 ONE_TASK = 500_000
@@ -55,7 +55,7 @@ def components(edges: DataFrame, name: str = "components", one_task: int = ONE_T
     labels = None
     for seed in range(100):
         if edges.limit(one_task + 1).count() <= one_task:
-            last = edges.coalesce(1).mapInArrow(_finish, "id long, root long")
+            last = edges.coalesce(1).mapInArrow(tidy(_finish), "id long, root long")
             return materialise(last if labels is None else _compose(labels, last), name)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         order = lambda c: F.xxhash64(F.col(c), F.lit(seed))  # noqa: B023, E731  used at once

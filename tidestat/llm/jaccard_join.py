@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidestat.llm import bloom
-from tidestat.llm.common import LOWER_BLANK, materialise, raw, spread
+from tidestat.llm.common import LOWER_BLANK, materialise, raw, spread, tidy
 from tidestat.llm.components import components
 
 SHINGLE = 3
@@ -123,7 +123,7 @@ def _profile(docs: DataFrame, k: int, percent: int, doc_id: str, text: str) -> D
 
     names = ["doc", "n", "d1", "d2", "tokens", "counts"]
     return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(
-        run, "doc long, n long, d1 long, d2 long, tokens array<long>, counts array<long>"
+        tidy(run), "doc long, n long, d1 long, d2 long, tokens array<long>, counts array<long>"
     )
 
 
@@ -244,7 +244,7 @@ def _candidates(members: DataFrame, percent: int, labelled: bool) -> DataFrame:
     def pairs(out: set[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
 
-    return dealt.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    return dealt.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -262,7 +262,7 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             kept = pa.array(hold, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(kept), b.column(1).filter(kept)], names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(tidy(run), "a long, b long")
 
 
 def jaccard_components(
@@ -311,7 +311,7 @@ def jaccard_components(
             yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(owner, pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary())], names=names)
             yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int64()), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(sketches, pa.binary())], names=names)
 
-    written = materialise(rows.mapInArrow(post, "sig long, id long, n long, sketch binary"), "postings")
+    written = materialise(rows.mapInArrow(tidy(post), "sig long, id long, n long, sketch binary"), "postings")
     postings, sketches = written.where("sig is not null").select("sig", "id"), written.where("sketch is not null").drop("sig")
     # Signatures of two sets or more; a filter of them thins the postings before these shuffle.
     shared = postings.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("sig")
@@ -322,7 +322,7 @@ def jaccard_components(
         for b in batches:
             yield b.filter(pa.array(probable(b.column(0).to_numpy().view(_U))))
 
-    listed = postings.mapInArrow(thin, postings.schema).join(shared, "sig", "left_semi").distinct()
+    listed = postings.mapInArrow(tidy(thin), postings.schema).join(shared, "sig", "left_semi").distinct()
     listed = materialise(listed, "members")
     h = F.xxhash64("id")
     same = [F.count("*").alias("size"), F.sum(h.bitwiseAND(0xFFFFFFFF)).alias("f1"), F.sum(F.shiftrightunsigned(h, 32)).alias("f2")]
@@ -345,7 +345,7 @@ def jaccard_components(
                 tokens.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens, pa.binary())], names=["id", "tokens"])
 
-    sets = materialise(rows.mapInArrow(whole, "id long, tokens binary"), "sets")
+    sets = materialise(rows.mapInArrow(tidy(whole), "id long, tokens binary"), "sets")
     links = materialise(_links(pairs, sets, percent), "links")
     labels = components(links, "labels")
     again = members.join(labels, "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root")

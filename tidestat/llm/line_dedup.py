@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
 from tidestat.llm import bloom
-from tidestat.llm.common import LOWER, SPACE, code_points, map_rows, materialise, n_chars_of, raw, strings
+from tidestat.llm.common import LOWER, SPACE, code_points, map_rows, materialise, n_chars_of, raw, strings, tidy
 
 MIN_LENGTH = 10
 
@@ -71,7 +71,7 @@ def _suspects(docs: DataFrame, lines: int, min_length: int, doc_id: str, text: s
             )
 
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long"), text)
-    return rows.mapInArrow(probe, "h1 long, h2 long, doc long")
+    return rows.mapInArrow(tidy(probe), "h1 long, h2 long, doc long")
 
 
 def dedup_lines(docs: DataFrame, min_length: int = MIN_LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField
 
-from tidestat.llm.common import map_rows, small_batches
+from tidestat.llm.common import map_rows, release, small_batches
 
 #: The sample of labelled rows: the first MAX_ROWS by hash, and of these as many as have MAX_BYTES of text.
-MAX_ROWS = 8_000
-MAX_BYTES = 48 << 20
+MAX_ROWS = 6_000
+MAX_BYTES = 24 << 20
 WINDOW_WORDS = 1
 #: Bytes of the text that both dictionaries hold, and of what only the toxic one holds. Together they stay below the distance
 #: that a small frame reaches back.
@@ -38,6 +38,7 @@ LEAD = bytes(33 + (i * i * 7 + i * 13) % 94 for i in range(40))
 THRESHOLDS = (1, 2, 3, 4, 5, 6, 8)
 PREDICT_AT = 0.7
 FOLDS = 5
+_TALLY = 300_000
 _WORD = re.compile(r"\w+")
 
 
@@ -64,7 +65,7 @@ class Compressor:
 
     def lengths(self, pieces: list[bytes]) -> np.ndarray:
         known, compress = self.known, self.compress
-        if len(known) > 500_000:
+        if len(known) > 100_000:
             known.clear()
         for p in set(pieces):
             if p not in known:
@@ -114,24 +115,35 @@ def features(margins: np.ndarray) -> list[float]:
 
 
 def fragments(words: Iterable[str]) -> set[str]:
-    """Whole words between blanks, and word beginnings of 4 to 12 characters after a blank."""
+    """Whole words between blanks, and word beginnings of 4 to 8 characters after a blank."""
     out = set()
     for w in set(words):
         out.add(f" {w} ")
-        out.update(" " + w[:k] for k in range(4, min(12, len(w) - 1) + 1))
+        out.update(" " + w[:k] for k in range(4, min(8, len(w) - 1) + 1))
     return out
 
 
-def _telling(toxic: list[set[str]], ordinary: list[set[str]]) -> list[str]:
+def _tally(counts: Counter, keys: Iterable[str]) -> None:
+    """Count keys; beyond _TALLY keys, those seen once so far are forgotten (they are neither common nor telling)."""
+    counts.update(keys)
+    if len(counts) > _TALLY:
+        for k in [k for k, n in counts.items() if n == 1]:
+            del counts[k]
+
+
+def _telling(toxic: Iterable[set[str]], ordinary: Iterable[set[str]]) -> list[str]:
     """Fragments that toxic documents have far more often, the most telling first; one of each family of
     nested ones."""
-    dt, dc = Counter(), Counter()
+    dt, dc, nt, nc = Counter(), Counter(), 0, 0
     for s in toxic:
-        dt.update(s)
-    seen = {f for f, k in dt.items() if k >= max(4, 0.02 * len(toxic))}
+        _tally(dt, s)
+        nt += 1
+    seen = {f for f, k in dt.items() if k >= max(4, 0.02 * nt)}
+    dt = Counter({f: dt[f] for f in seen})
     for s in ordinary:
         dc.update(s & seen)
-    nt, nc = max(1, len(toxic)), max(1, len(ordinary))
+        nc += 1
+    nt, nc = max(1, nt), max(1, nc)
     worth = {}
     for f in seen:
         chance = (dc[f] + 0.5) / nc * nt
@@ -146,13 +158,13 @@ def _telling(toxic: list[set[str]], ordinary: list[set[str]]) -> list[str]:
     return out
 
 
-def _common(docs: list[set[str]], most: int) -> list[str]:
+def _common(docs: list[list[str]], most: int) -> list[str]:
     """What ordinary documents have in common, up to `most` bytes: half whole words between blanks, half word endings."""
     out: list[str] = []
     for share, pieces in ((most // 2, lambda w: [f" {w} "]), (most, lambda w: [f"{w[-k:]} " for k in range(4, min(10, len(w)) + 1)])):
         df: Counter[str] = Counter()
         for s in docs:
-            df.update({p for w in s for p in pieces(w)})
+            _tally(df, {p for w in set(s) for p in pieces(w)})
         size, have = sum(len(x.encode()) for x in out), "|".join(out)
         for p, _ in sorted(df.items(), key=lambda x: (-x[1], -len(x[0]), x[0])):
             if p in have:
@@ -168,9 +180,10 @@ def _common(docs: list[set[str]], most: int) -> list[str]:
 def _distinct(rows: Iterable[tuple[str, int]]) -> list[tuple[list[str], int]]:
     """Words and labels of the rows, without near copies: rows whose least or greatest word pair (by hash) was seen."""
     seen: set[tuple[int, int]] = set()
+    known: dict[str, str] = {}  # one object for each distinct word
     out = []
     for t, y in rows:
-        w = words_of(t)
+        w = [known.setdefault(x, x) for x in words_of(t)]
         h = np.unique(np.fromiter((xxhash.xxh3_64_intdigest(f"{a} {b}") for a, b in zip(w, w[1:], strict=False)), np.uint64))
         marks = {(i, int(h[i])) for i in (0, -1) if len(h)}
         if not marks & seen:
@@ -185,9 +198,9 @@ def fit(rows: list[tuple[str, int]], window: int = WINDOW_WORDS) -> Model:
     split = [(i % FOLDS, w, y) for i, (w, y) in enumerate(_distinct(rows))]  # copies count once
 
     def dictionaries(part: list[tuple[int, list[str], int]]) -> tuple[bytes, bytes]:
-        clean = [set(w) for _, w, y in part if not y]
+        clean = [w for _, w, y in part if not y]
         base = "".join(reversed(_common(clean, SHARED_BYTES))).encode()
-        tell = _telling([fragments(w) for _, w, y in part if y], [fragments(w) for _, w, y in part if not y])
+        tell = _telling((fragments(w) for _, w, y in part if y), (fragments(w) for _, w, y in part if not y))
         head, size = [], 0
         for f in tell:
             size += len(f.encode())
@@ -258,7 +271,10 @@ def train(docs: DataFrame, labels: DataFrame, held_out: str, max_rows: int = MAX
     kept = F.broadcast(spark.createDataFrame(keep, "doc_id long, y int"))
     sample = found.join(kept, "doc_id").select("doc_id", "text", "y").toArrow()  # at most max_bytes
     texts = sorted(zip(*[c.to_pylist() for c in sample.columns], strict=True))
-    return fit([(t, y) for _, t, y in texts])
+    model = fit([(t, y) for _, t, y in texts])
+    del sample, texts
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
