@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
 from tidestat.llm import bloom
-from tidestat.llm.common import BLANK, map_rows, materialise, n_chars_of, raw, spread, strings
+from tidestat.llm.common import BLANK, map_rows, materialise, n_chars_of, raw, spread, strings, tidy
 
 WINDOW = 20
 PAIR_ROUNDS = 2
@@ -144,8 +144,8 @@ def parse(tokens: np.ndarray, sizes: np.ndarray, powers: Powers, window: int = W
             break
         s = starts[open_]
         # symbols whose context starts at s or later, and ends by s + window
-        first = np.searchsorted(lo, np.arange(n + 1))[s]
-        last = np.searchsorted(hi, np.arange(n + window + 1), "right")[s + window]
+        first = np.cumsum(np.bincount(lo + 1, minlength=n + 2))[s]
+        last = np.cumsum(np.bincount(hi, minlength=n + window + 2))[s + window]
         has = last > first
         pick = _least(spread(name, 3), first[has], last[has])
         where = open_[has]
@@ -215,16 +215,12 @@ def anchor_rows(docs: DataFrame, estimate: int, window: int, rounds: int, doc_id
                     names=["key", "doc", "start", "hashes"],
                 )
 
-    return rows.mapInArrow(emit, "key long, doc long, start int, hashes array<long>")
+    return rows.mapInArrow(tidy(emit), "key long, doc long, start int, hashes array<long>")
 
 
 def _distinct(owner: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Each document's distinct keys."""
-    order = np.lexsort((key, owner))
-    o, k = owner[order], key[order]
-    new = np.ones(len(o), bool)
-    new[1:] = (o[1:] != o[:-1]) | (k[1:] != k[:-1])
-    return k[new]
+    return key[np.unique(spread(key + spread(owner.astype(_U), 15), 17), return_index=True)[1]]
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, rounds: int = PAIR_ROUNDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
