@@ -17,14 +17,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField
 
-from tidestat.llm.common import map_rows, materialise
+from tidestat.llm.common import map_rows, materialise, tidy
 
 RATE = 4000
 FRAME, HOP = 1024, 256
 LOW, HIGH = 110.0, 1760.0
 SPAN = 16
 #: Words of overlap that a match has at least, and the share of bits that may differ.
-MIN_OVERLAP, MAX_ERROR = 16, 0.30
+MIN_OVERLAP, MAX_ERROR = 24, 0.25
 #: Offsets of a pair that are compared: those with the most votes.
 OFFSETS = 3
 TOP = 10
@@ -121,7 +121,7 @@ def fingerprints(media: DataFrame, column: str, samples: Callable[[object], np.n
 
         return each
 
-    return map_rows(media, column, [StructField("fingerprint", ArrayType(IntegerType()))], make)
+    return map_rows(media, None, [StructField("fingerprint", ArrayType(IntegerType()))], make)
 
 
 class Index:
@@ -204,7 +204,7 @@ def search(recordings: DataFrame, queries: DataFrame, id_column: str, top: int =
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["query_id", "id", "offset", "bit_error", "votes"])
 
         rows_in = recordings.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long"), "fingerprint")
-        return rows_in.mapInArrow(run, schema)
+        return rows_in.mapInArrow(tidy(run), schema)
 
     for r in queries.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long"), "fingerprint").toLocalIterator():
         held.append((r[0], r[1] or []))
