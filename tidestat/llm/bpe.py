@@ -16,22 +16,24 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField
 
-from tidestat.llm.common import map_rows, materialise, raw
+from tidestat.llm.common import map_rows, materialise, raw, release, tidy
 
 #: Distinct words in the broadcast table (about 25 bytes each).
 MAX_WORDS = 4_000_000
 #: Words that a task holds while it counts, and while it encodes.
-_HELD = 400_000
+_HELD = 150_000
 #: Characters split into words at a time.
-_SLICE = 2_000_000
+_SLICE = 500_000
 _GAP = b"\xff\xff\xff\xff"
 _NONE = 2_147_483_647
+_PLACES = 1 << 31
 
 
 @lru_cache(maxsize=4)
@@ -53,48 +55,50 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
 
 
 class PairTable:
-    """A perfect hash of pairs: slot = (h >>> 24 ^ shift[h & low]) & mask, h = xxhash64 of the pair's key."""
+    """Pairs as a table of displaced rows: the pair (a, b) lies at slot base[a] + column[b], where owner is a."""
 
     def __init__(self, pairs: dict[tuple[int, int], int]):
-        self.buckets = 1 << max(4, (len(pairs) // 3).bit_length())
-        self.slots = 1 << max(6, (2 * len(pairs)).bit_length())
-        for self.salt in range(64):
-            if self._build(pairs):
-                return
-        raise ValueError("no perfect hash found")
-
-    def key(self, a: int, b: int) -> int:
-        return (self.salt << 40) + (a << 20) + b
-
-    def _build(self, pairs: dict[tuple[int, int], int]) -> bool:
-        mask, groups = self.slots - 1, {}
-        for (a, b), r in pairs.items():
-            k = self.key(a, b)
-            h = xxhash.xxh64_intdigest(k.to_bytes(8, "little"), seed=42)
-            groups.setdefault(h & (self.buckets - 1), []).append(((h >> 24) & mask, k, r))
-        self.shift, self.keys, self.ranks = [0] * self.buckets, [-1] * self.slots, [0] * self.slots
-        free = np.ones(self.slots, bool)
-        for bucket, members in sorted(groups.items(), key=lambda x: -len(x[1])):
-            at = np.array([m[0] for m in members])
-            if len(set(at.tolist())) < len(at):
-                return False
-            for d in range(self.slots):
-                if free[at ^ d].all():
+        rows: dict[int, list[int]] = {}
+        often = Counter(b for _, b in pairs)
+        width = len(often) + 1
+        self.column = [len(often)] * (max(often, default=0) + 1)  # one past the last for ids that end no pair
+        for i, b in enumerate(sorted(often, key=lambda b: (-often[b], b))):
+            self.column[b] = i
+        for a, b in pairs:
+            rows.setdefault(a, []).append(self.column[b])
+        free = np.ones(2 * len(pairs) + 2 * width + 4096, bool)
+        self.base = [0] * (max(rows, default=0) + 1)
+        first = 0
+        for a, columns in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
+            c = np.sort(np.array(columns))
+            while not free[first]:
+                first += 1
+            at = max(0, first - int(c[0]))  # the row's first column meets no slot before `first`
+            while True:
+                fits = free[at + c[0] : at + c[0] + 4096].copy()
+                for x in c[1:]:
+                    part = free[at + x : at + x + 4096]
+                    fits[: len(part)] &= part
+                    fits[len(part) :] = False
+                if fits.any():
+                    at += int(fits.argmax())
                     break
-            else:
-                return False
-            self.shift[bucket] = d
-            free[at ^ d] = False
-            for place, k, r in members:
-                self.keys[place ^ d], self.ranks[place ^ d] = k, r
-        return True
-
-    def lookup(self, a: str, b: str) -> str:
+                at += 4096
+                if at + width + 4096 > len(free):
+                    free = np.concatenate([free, np.ones(len(free), bool)])
+            free[at + c] = False
+            self.base[a] = at
+        size = int(np.flatnonzero(~free).max(initial=0)) + width + 1
+        self.owner, self.rank = [-1] * size, [0] * size
+        for (a, b), r in pairs.items():
+            slot = self.base[a] + self.column[b]
+            self.owner[slot], self.rank[slot] = a, r
+
+    @staticmethod
+    def lookup(a: str, b: str) -> str:
         """SQL: the rank of a pair of ids, or _NONE."""
-        key = f"({self.salt << 40}L + bigint({a}) * 1048576L + {b})"
-        h = f"xxhash64({key})"
-        slot = f"int((shiftrightunsigned({h}, 24) ^ get(_shift, int({h} & {self.buckets - 1}L))) & {self.slots - 1}L)"
-        return f"transform(array({slot}), _s -> if(get(_keys, _s) = {key}, get(_ranks, _s), {_NONE}))[0]"
+        slot = f"get(_t.base, {a}) + get(_t.column, {b})"
+        return f"if(coalesce(get(_t.owner, {slot}) = {a}, false), get(_t.rank, {slot}), {_NONE})"
 
 
 class Tokenizer:
@@ -106,40 +110,41 @@ class Tokenizer:
         self.pieces = {r: t for t, r in ranks.items()}
         self.single = [ranks[bytes([i])] for i in range(256)]
         self.pairs = PairTable(pair_ranks(ranks))
+        release()
 
-    def _literals(self, sql: str) -> str:
-        """sql with the table's arrays in place of their names, as literals that are parsed once at planning."""
-        for name, values, kind in (
-            ("_shift", self.pairs.shift, "bigint"),
-            ("_keys", self.pairs.keys, "bigint"),
-            ("_ranks", self.pairs.ranks, "int"),
-            ("_single", self.single, "int"),
-        ):
-            sql = sql.replace(name, f"from_json('{json.dumps(values, separators=(',', ':'))}', 'array<{kind}>')")
-        return sql
+    def _with_tables(self, sql: str) -> str:
+        """sql with the tables bound once, as one literal that is parsed at planning."""
+        table = self.pairs
+        parts = {"base": table.base, "column": table.column, "owner": table.owner, "rank": table.rank, "single": self.single}
+        fields = ", ".join(f"from_json('{json.dumps(v, separators=(',', ':'))}', 'array<int>') as {k}" for k, v in parts.items())
+        return f"transform(array(struct({fields})), _t -> {sql})[0]"
 
     def fold_sql(self, word: str) -> str:
         """SQL: array<int> ids of a string.
 
-        The state holds the ids so far and the rank of each adjacent pair; a step merges the leftmost pair of least rank and
-        looks up the two pairs that it makes.
+        The state is an array of (rank of the pair that starts here, id) as one number each; a step merges the leftmost pair of
+        least rank and looks up the two pairs that it makes.
         """
         look = self.pairs.lookup
-        start = f"transform(array(transform(split(decode(encode({word}, 'UTF-8'), 'ISO-8859-1'), ''), _c -> get(_single, ascii(_c)))), _i -> struct(_i as ids, transform(slice(_i, 1, greatest(size(_i) - 1, 0)), (_x, _k) -> {look('_x', 'get(_i, _k + 1)')}) as ranks))[0]"
-        merged = f"""transform(array(struct(array_min(_a.ranks) as m, int(array_position(_a.ranks, array_min(_a.ranks))) as p)), _q -> if(coalesce(_q.m, {_NONE}) = {_NONE}, _a, struct(
-            concat(slice(_a.ids, 1, _q.p - 1), array(_q.m), slice(_a.ids, _q.p + 2, size(_a.ids))) as ids,
-            concat(slice(_a.ranks, 1, greatest(_q.p - 2, 0)),
-              if(_q.p > 1, array({look('get(_a.ids, _q.p - 2)', '_q.m')}), slice(_a.ranks, 1, 0)),
-              if(_q.p + 1 < size(_a.ids), array({look('_q.m', 'get(_a.ids, _q.p + 1)')}), slice(_a.ranks, 1, 0)),
-              slice(_a.ranks, _q.p + 2, size(_a.ranks))) as ranks)))[0]"""
-        return f"if(coalesce({word}, '') = '', cast(array() as array<int>), aggregate(sequence(1, octet_length({word})), {start}, (_a, _n) -> {merged}).ids)"
+        e = f"transform(split(decode(encode({word}, 'UTF-8'), 'ISO-8859-1'), ''), _c -> get(_t.single, ascii(_c)))"
+        start = f"transform(array({e}), _i -> transform(_i, (_x, _k) -> bigint({look('_x', 'get(_i, _k + 1)')}) * {_PLACES}L + _x))[0]"
+        rank = lambda x: f"shiftright({x}, 31)"
+        ident = lambda x: f"int({x} & {_PLACES - 1}L)"
+        step = f"""filter(transform(_a, (_e, _j) -> if(_j > _p + 1, _e, if(_j < _p - 1, _e, if(_j = _p + 1, -1L, if(_j = _p,
+            bigint({look('_m', ident('get(_a, _p + 2)'))}) * {_PLACES}L + _m,
+            bigint({look(ident('_e'), '_m')}) * {_PLACES}L + {ident('_e')}))))), _e -> _e >= 0L)"""
+        least = f"array_min(transform(_a, (_e, _j) -> (_e & {-_PLACES}L) + _j))"
+        merged = f"""transform(array({least}), _v -> if(_v >= {_NONE * _PLACES}L, _a,
+            transform(array(int({rank('_v')})), _m -> transform(array({ident('_v')}), _p -> {step})[0])[0]))[0]"""
+        folded = f"aggregate(sequence(1, octet_length({word})), {start}, (_a, _n) -> {merged}, _a -> transform(_a, _e -> {ident('_e')}))"
+        return f"if(coalesce({word}, '') = '', cast(array() as array<int>), {folded})"
 
     def fold(self, word: str) -> Column:
-        return F.expr(self._literals(self.fold_sql(word)))
+        return F.expr(self._with_tables(self.fold_sql(word)))
 
     def fold_all(self, words: str) -> Column:
         """array<array<int>> of an array<string> column."""
-        return F.expr(self._literals(f"transform({words}, _w -> {self.fold_sql('_w')})"))
+        return F.expr(self._with_tables(f"transform({words}, _w -> {self.fold_sql('_w')})"))
 
 
 def count_words(docs: DataFrame, tokenizer: Tokenizer, text: str = "text") -> DataFrame:
@@ -159,7 +164,7 @@ def count_words(docs: DataFrame, tokenizer: Tokenizer, text: str = "text") -> Da
     def rows(held: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
 
-    return docs.select(text).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select(text).mapInArrow(tidy(run), "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 class WordTable:
@@ -168,17 +173,24 @@ class WordTable:
     def __init__(self, hashes: np.ndarray, offsets: np.ndarray, ids: np.ndarray):
         self.hashes, self.offsets, self.ids = hashes, offsets, ids
 
-    def find(self, words: list[str], pieces: dict[int, bytes]) -> list[bytes | None]:
+    def find(self, words: list[str], pieces: pa.LargeBinaryArray) -> list[bytes | None]:
         """Each word's ids as little-endian 32-bit integers, or None if the table lacks it."""
-        if not len(self.hashes):
-            return [None] * len(words)
+        out: list[bytes | None] = [None] * len(words)
+        if not len(self.hashes) or not words:
+            return out
         coded = [w.encode() for w in words]
         h = np.fromiter(map(xxhash.xxh3_64_intdigest, coded), np.uint64, len(coded))
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        out: list[bytes | None] = []
-        for w, i, hit in zip(coded, at.tolist(), (self.hashes[at] == h).tolist(), strict=True):
-            ids = self.ids[self.offsets[i] : self.offsets[i + 1]] if hit else None
-            out.append(ids.tobytes() if hit and b"".join([pieces[x] for x in ids.tolist()]) == w else None)
+        hit = np.flatnonzero(self.hashes[at] == h)
+        start, size = self.offsets[at[hit]], self.offsets[at[hit] + 1] - self.offsets[at[hit]]
+        ends = np.cumsum(size)
+        flat = self.ids[np.repeat(start - ends + size, size) + np.arange(size.sum())]
+        # Equal hashes are not enough: the pieces of the ids must spell the word.
+        spelled = decode_lists(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat.astype(np.int32))), pieces)
+        data = memoryview(flat.astype("<u4").tobytes())
+        for i, lo, hi, s in zip(hit.tolist(), (4 * (ends - size)).tolist(), (4 * ends).tolist(), spelled, strict=True):
+            if s == coded[i]:
+                out[i] = bytes(data[lo:hi])
         return out
 
 
@@ -197,30 +209,40 @@ def word_table(docs: DataFrame, tokenizer: Tokenizer, text: str = "text", most:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column(1)
-            h = [xxhash.xxh3_64_intdigest(w) for w in raw(b.column(0))]
-            lo = lists.offsets.to_numpy()
-            ids = lists.values.to_numpy().astype("<u4")
-            data = [ids[x:y].tobytes() for x, y in zip(lo[:-1], lo[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(data, pa.binary())], names=["h", "ids"])
-
-    found = folded.mapInArrow(pack, "h long, ids binary").toArrow()  # at most `most` words
-    h = found.column(0).to_numpy().view(np.uint64)
-    order = np.argsort(h)
-    data = found.column(1).take(pa.array(order)).combine_chunks()
-    data = data.chunk(0) if isinstance(data, pa.ChunkedArray) else data
-    sizes = np.array([len(x) // 4 for x in data.to_pylist()], np.int64)
-    ids = np.frombuffer(b"".join(data.to_pylist()), "<u4")
-    return WordTable(h[order], np.concatenate([[0], np.cumsum(sizes)]), ids)
-
-
-def encode(docs: DataFrame, tokenizer: Tokenizer, text: str = "text", most: int = MAX_WORDS) -> DataFrame:
-    """docs with tokens (array<int>): the ids of each whole text, without special tokens; null text has none.
+            h = np.fromiter(map(xxhash.xxh3_64_intdigest, raw(b.column(0))), np.uint64, b.num_rows)
+            parts = [h.tobytes(), np.diff(lists.offsets.to_numpy()).astype("<u4").tobytes(), lists.flatten().to_numpy().astype("<u4").tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], names=["h", "n", "ids"])
+
+    total = words.where(scale >= least).count()
+    h, n, ids = np.empty(total, np.uint64), np.empty(total, np.int32), bytearray()
+    kind, at = np.dtype("<u2" if len(tokenizer.pieces) <= 1 << 16 else "<u4"), 0
+    for r in folded.mapInArrow(tidy(pack), "h binary, n binary, ids binary").toLocalIterator():  # at most `most` words
+        part = np.frombuffer(r.h, "<u8")
+        h[at : at + len(part)], n[at : at + len(part)] = part, np.frombuffer(r.n, "<u4")
+        ids += np.frombuffer(r.ids, "<u4").astype(kind).tobytes()
+        at += len(part)
+    order, source = np.argsort(h), np.frombuffer(ids, kind)
+    h, start, n = h[order], (np.cumsum(n, dtype=np.int32) - n)[order], n[order]
+    out, done = np.empty(len(source), kind), 0
+    for lo in range(0, total, 100_000):  # in steps, to hold little at a time
+        k = n[lo : lo + 100_000]
+        out[done : done + k.sum()] = source[np.repeat(start[lo : lo + 100_000] - np.cumsum(k) + k, k) + np.arange(k.sum())]
+        done += int(k.sum())
+    table = WordTable(h, np.concatenate([[0], np.cumsum(n)]).astype(np.int32), out)
+    del ids, source, order, start
+    release()
+    return table
+
+
+def encode(docs: DataFrame, tokenizer: Tokenizer, text: str = "text", most: int = MAX_WORDS, keep_text: bool = True) -> DataFrame:
+    """docs with tokens (array<int>): the ids of each whole text, without special tokens; null text has none. The text itself
+    goes if keep_text is false, and then is read once only.
 
     A text of only empty matches has no tokens; repeated rows, extra columns and an empty table pass through; a column
     `tokens` is replaced. The pattern is applied by Unicode rules.
     """
     docs = docs.drop("tokens", "__ids", "__gaps", "__new")
-    shared = docs.sparkSession.sparkContext.broadcast((word_table(docs, tokenizer, text, most), tokenizer.pieces))
+    shared = docs.sparkSession.sparkContext.broadcast((word_table(docs, tokenizer, text, most), piece_array(tokenizer)))
     pattern = tokenizer.pattern
 
     def known():
@@ -237,7 +259,7 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text: str = "text", most: int
                 for w, found in zip(lack, table.find(lack, pieces), strict=True):
                     cache[w] = found
                 for m in matched:
-                    got = [cache[w] for w in m]
+                    got = list(map(cache.__getitem__, m))
                     missing: dict[str, int] = {}
                     places: list[int] = []
                     if None in got:
@@ -274,8 +296,8 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text: str = "text", most: int
         return each
 
     hidden = [StructField("__ids", BinaryType()), StructField("__gaps", ArrayType(IntegerType())), StructField("__new", ArrayType(StringType()))]
-    first = map_rows(docs, text, hidden, known).withColumn("__new", tokenizer.fold_all("__new"))
-    return map_rows(first, text, [StructField("tokens", ArrayType(IntegerType()))], join, drop=("__ids", "__gaps", "__new"))
+    first = map_rows(docs, text, hidden, known, drop=() if keep_text else (text,)).withColumn("__new", tokenizer.fold_all("__new"))
+    return map_rows(first, None, [StructField("tokens", ArrayType(IntegerType()))], join, drop=("__ids", "__gaps", "__new"))
 
 
 def _cuts(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
@@ -289,19 +311,34 @@ def _cuts(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
-def decode_ids(ids: list[int], pieces: dict[int, bytes]) -> bytes:
-    """The bytes that ids stand for: their pieces, concatenated."""
-    return b"".join([pieces[i] for i in ids])
+def piece_array(tokenizer: Tokenizer) -> pa.LargeBinaryArray:
+    """The bytes of each id, by id."""
+    return pa.array([tokenizer.pieces[i] for i in range(len(tokenizer.pieces))], pa.large_binary())
+
+
+def decode_lists(lists: pa.ListArray, pieces: pa.LargeBinaryArray) -> list[bytes | None]:
+    """The bytes that each list of ids stands for: its pieces, concatenated. The pieces of a batch are taken at once, and lie side by
+    side in the result's buffer."""
+    if not len(lists):
+        return []
+    flat = lists.flatten()
+    taken = pieces.take(flat)
+    _, places, data = taken.buffers()
+    at = np.frombuffer(places, np.int64)[taken.offset : taken.offset + len(taken) + 1]
+    data = memoryview(data) if data is not None else memoryview(b"")
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())])
+    cuts = at[ends].tolist()
+    return [bytes(data[x:y]) if valid else None for x, y, valid in zip(cuts, cuts[1:], lists.is_valid().to_pylist(), strict=False)]
 
 
 def decode(df: DataFrame, tokenizer: Tokenizer, tokens: str = "tokens") -> DataFrame:
     """df with decoded (binary): null for null tokens. An id outside the vocabulary is an error."""
-    shared = df.sparkSession.sparkContext.broadcast(tokenizer.pieces)
+    shared = df.sparkSession.sparkContext.broadcast(piece_array(tokenizer))
 
     def make():
-        def each(_: pa.RecordBatch, lists: list) -> dict[str, pa.Array]:
-            return {"decoded": pa.array([None if x is None else decode_ids(x, shared.value) for x in lists], pa.binary())}
+        def each(b: pa.RecordBatch, _: list) -> dict[str, pa.Array]:
+            return {"decoded": pa.array(decode_lists(b.column(b.schema.get_field_index(tokens)), shared.value), pa.binary())}
 
         return each
 
-    return map_rows(df, tokens, [StructField("decoded", BinaryType())], make)
+    return map_rows(df, None, [StructField("decoded", BinaryType())], make)

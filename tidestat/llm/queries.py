@@ -38,23 +38,21 @@ def tokenizer() -> bpe.Tokenizer:
 
 def op3_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     tok = tokenizer()
-    coded = bpe.encode(_table(spark, d, "documents").select("doc_id", "text"), tok).select("doc_id", "tokens")
-    shared = spark.sparkContext.broadcast(tok.pieces)
+    coded = bpe.encode(_table(spark, d, "documents").select("doc_id", "text"), tok, keep_text=False)
+    shared = spark.sparkContext.broadcast(bpe.piece_array(tok))
 
     def make():
         def each(b: pa.RecordBatch, _: list) -> dict[str, pa.Array]:
-            n, ids, text = [], [], []
-            for x in b.column(b.schema.get_field_index("tokens")):
-                a = x.values.to_numpy()
-                n.append(len(a))
-                ids.append(hashlib.sha256(a.astype("<u4").tobytes()).hexdigest())
-                text.append(hashlib.sha256(bpe.decode_ids(a.tolist(), shared.value)).hexdigest())
-            return {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids), "decoded_sha256": pa.array(text)}
+            lists = b.column(b.schema.get_field_index("tokens"))
+            raw_ids = [x.values.to_numpy().astype("<u4").tobytes() for x in lists]
+            text = [hashlib.sha256(x).hexdigest() for x in bpe.decode_lists(lists, shared.value)]
+            ids = [hashlib.sha256(x).hexdigest() for x in raw_ids]
+            return {"n_tokens": pa.array([len(x) // 4 for x in raw_ids], pa.int64()), "ids_sha256": pa.array(ids), "decoded_sha256": pa.array(text)}
 
         return each
 
     fields = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
-    return map_rows(coded, "doc_id", fields, make, drop=("tokens",))
+    return map_rows(coded, None, fields, make, drop=("tokens",))
 
 
 HELD_OUT = "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 3 = 1, false)"
