@@ -361,6 +361,16 @@ def test_toxicity_held_out():
     assert toxicity.fit([]).weights and toxicity.Scorer(toxicity.fit([("a", 0)])).scores(["x"])[0] < 0.1
 
 
+def test_toxicity_drops_near_copies_only():
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(["of the", *rng.choices(words, k=60), "of the"]) for _ in range(200)]  # all share a word pair
+    rows = [(t, i % 2) for i, t in enumerate(texts)]
+    copies = [(f"{t} end", y) for t, y in rows[:50]] + [("", 0), ("", 0), ("one", 0), ("one", 0), ("two", 0)]
+    kept = toxicity._distinct(rows + copies)
+    assert kept == [(toxicity.words_of(t), y) for t, y in rows + [("", 0), ("one", 0), ("two", 0)]]
+
+
 def test_op4(spark, small):
     out = queries.op4_toxicity(spark, small)
     rows = out.collect()
