@@ -426,6 +426,21 @@ def test_audio_alignment_and_recall(spark):
     assert audio.samples_of(b"junk").size == 0 and audio.fingerprint(np.zeros(100)).size == 0
 
 
+def test_audio_short_and_noisy(spark):
+    """Fixed limits: 16 words of overlap or more with at most 0.30 of bits in error, and whole copies of any length."""
+    rng = np.random.default_rng(9)
+    word = lambda n: rng.integers(0, 1 << 32, n, dtype=np.uint32)
+    a, b, c, d = word(60), word(18), word(48), word(5)
+    tail = np.concatenate([a[-17:], word(30)])  # 17 words in common
+    noisy = c.copy()
+    noisy[:18] ^= np.uint32(0xFFFF0000)
+    noisy[18:28] ^= np.uint32(0x00003FFF)  # 0.279 of all bits differ
+    rows = [(0, a), (1, tail), (2, b), (3, b), (4, c), (5, noisy), (6, d), (7, d)]
+    found = spark.createDataFrame([(i, w.view(np.int32).tolist()) for i, w in rows], "vec_id long, fingerprint array<int>")
+    got = {(r.query_id, r.id) for r in audio.search(found, found, "vec_id").collect()}
+    assert got >= {(0, 1), (1, 0), (2, 3), (3, 2), (4, 5), (5, 4), (6, 7), (7, 6)}
+
+
 def test_audio_reads_wav(tmp_path):
     import io
     import wave

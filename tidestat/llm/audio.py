@@ -23,8 +23,8 @@ RATE = 4000
 FRAME, HOP = 1024, 256
 LOW, HIGH = 110.0, 1760.0
 SPAN = 16
-#: Words of overlap that a match has at least, and the share of bits that may differ.
-MIN_OVERLAP, MAX_ERROR = 24, 0.25
+#: Words of overlap that a match has at least, and the share of bits that may differ. Whole copies match at any length.
+MIN_OVERLAP, MAX_ERROR = 16, 0.30
 #: Offsets of a pair that are compared: those with the most votes.
 OFFSETS = 3
 TOP = 10
@@ -142,7 +142,7 @@ class Index:
 
     def match(self, words: np.ndarray, but: int | None) -> Iterator[tuple[int, int, float, int]]:
         """(recording, offset, bit error, votes) of each indexed recording that aligns; offset is its place less that in `words`."""
-        if len(words) < MIN_OVERLAP or not len(self.owner):
+        if not len(words) or not len(self.owner):
             return
         code = np.concatenate([(words & np.uint32(0xFFFF)).astype(np.int64), (words >> np.uint32(16)).astype(np.int64) + (1 << 16)])
         where = np.tile(np.arange(len(words)), 2)
@@ -165,9 +165,9 @@ class Index:
             used += 1
             other = self.words[i]
             a, b = max(0, -off), min(len(words), len(other) - off)
-            if b - a >= MIN_OVERLAP:
+            if b - a >= MIN_OVERLAP or off == 0 and b == len(words) == len(other):
                 error = float(np.bitwise_count(words[a:b] ^ other[a + off : b + off]).sum()) / (32 * (b - a))
-                if error <= MAX_ERROR and (best is None or error < best[2]):
+                if error <= (MAX_ERROR if b - a >= MIN_OVERLAP else 0) and (best is None or error < best[2]):
                     best = (self.ids[i], off, error, v)
         if best:
             yield best
