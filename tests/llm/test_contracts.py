@@ -441,6 +441,33 @@ def test_audio_short_and_noisy(spark):
     assert got >= {(0, 1), (1, 0), (2, 3), (3, 2), (4, 5), (5, 4), (6, 7), (7, 6)}
 
 
+def test_audio_all_links_and_offsets(spark):
+    """Every copy is linked, and the true offset is found behind three with more votes."""
+    rng = np.random.default_rng(11)
+    word = lambda n: rng.integers(0, 1 << 32, n, dtype=np.uint32)
+    a, q = word(40), word(60)
+    r = word(60)
+    r[7:43] = q[:36] ^ np.uint32(0x01010100)  # 0.094 of the bits in error from offset 7 on, but few equal half-words
+    r[7:12] = q[:5]
+    for k, off in enumerate((20, 24, 28)):  # equal half-words at other offsets
+        r[44 + 5 * k : 49 + 5 * k] = q[44 + 5 * k - off : 49 + 5 * k - off] & np.uint32(0xFFFF) | r[44 + 5 * k : 49 + 5 * k] & np.uint32(0xFFFF0000)
+    rows = [*((i, a) for i in range(40)), (100, q), (101, r)]
+    found = spark.createDataFrame([(i, w.view(np.int32).tolist()) for i, w in rows], "vec_id long, fingerprint array<int>")
+    all_ = audio.search(found, found, "vec_id").cache()
+    got = {(x.query_id, x.id): x for x in all_.collect()}
+    assert {k for k in got if max(k) < 100} == {(i, j) for i in range(40) for j in range(40) if i != j}
+    assert got[100, 101].offset == -7
+    assert audio.best(all_).where("query_id = 3").count() == 10
+
+    # Many votes at three wrong offsets, two at the true one.
+    index = audio.Index([1], [q])
+    wrong = np.concatenate([q[:40] ^ np.uint32(0x01010101), word(60)])
+    wrong[:2] = q[:2] ^ np.uint32(0x01010000)
+    for k, off in enumerate((20, 30, 40)):
+        wrong[60 + 6 * k : 66 + 6 * k] = q[60 + 6 * k - off : 66 + 6 * k - off]
+    assert [x.tolist() for x in index.match(wrong, None)[:2]] == [[1], [0]]
+
+
 def test_audio_reads_wav(tmp_path):
     import io
     import wave

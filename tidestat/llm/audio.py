@@ -25,9 +25,9 @@ LOW, HIGH = 110.0, 1760.0
 SPAN = 16
 #: Words of overlap that a match has at least, and the share of bits that may differ. Whole copies match at any length.
 MIN_OVERLAP, MAX_ERROR = 16, 0.30
-#: Offsets of a pair that are compared: those with the most votes.
-OFFSETS = 3
 TOP = 10
+#: Words compared at once, and matches in an output batch at least.
+CELLS, ROWS = 1 << 20, 50_000
 #: Query recordings in a block (about 50 KB of fingerprints for 64 frames each).
 BLOCK = 2048
 
@@ -128,7 +128,9 @@ class Index:
     """Half-words of some recordings -> where they stand."""
 
     def __init__(self, ids: list[int], words: list[np.ndarray]):
-        self.ids, self.words = ids, words
+        self.ids, self.size = np.array(ids, np.int64), np.array([len(w) for w in words], np.int64)
+        self.words = np.concatenate([*words, np.empty(0, np.uint32)])
+        self.base = np.cumsum(self.size) - self.size
         codes, owner, place = [], [], []
         for i, w in enumerate(words):
             for half, shift in ((0, 0), (1, 16)):
@@ -140,10 +142,11 @@ class Index:
         self.owner, self.place = (np.concatenate(x)[order] if x else np.empty(0, np.int64) for x in (owner, place))
         self.start = np.searchsorted(codes[order], np.arange((1 << 17) + 1))
 
-    def match(self, words: np.ndarray, but: int | None) -> Iterator[tuple[int, int, float, int]]:
-        """(recording, offset, bit error, votes) of each indexed recording that aligns; offset is its place less that in `words`."""
+    def match(self, words: np.ndarray, but: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Recordings, offsets, bit errors and votes of all indexed recordings that align, each at its offset of least error among all
+        with two votes or more; an offset is its place less that in `words`."""
         if not len(words) or not len(self.owner):
-            return
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
         code = np.concatenate([(words & np.uint32(0xFFFF)).astype(np.int64), (words >> np.uint32(16)).astype(np.int64) + (1 << 16)])
         where = np.tile(np.arange(len(words)), 2)
         lo, n = self.start[code], self.start[code + 1] - self.start[code]
@@ -151,35 +154,42 @@ class Index:
         who, shift = self.owner[at], self.place[at] - np.repeat(where, n)
         span = 1 << 20
         key, votes = np.unique(who * span + shift + span // 2, return_counts=True)
-        key, votes = key[votes > 1], votes[votes > 1]
-        order = np.lexsort((key, -votes, key // span))
-        last, used, best = -1, 0, None
-        for k, v in zip(key[order].tolist(), votes[order].tolist(), strict=True):
-            i, off = k // span, k % span - span // 2
-            if i != last:
-                if best:
-                    yield best
-                last, used, best = i, 0, None
-            if used >= OFFSETS or self.ids[i] == but:
-                continue
-            used += 1
-            other = self.words[i]
-            a, b = max(0, -off), min(len(words), len(other) - off)
-            if b - a >= MIN_OVERLAP or off == 0 and b == len(words) == len(other):
-                error = float(np.bitwise_count(words[a:b] ^ other[a + off : b + off]).sum()) / (32 * (b - a))
-                if error <= (MAX_ERROR if b - a >= MIN_OVERLAP else 0) and (best is None or error < best[2]):
-                    best = (self.ids[i], off, error, v)
-        if best:
-            yield best
-
-
-def search(recordings: DataFrame, queries: DataFrame, id_column: str, top: int = TOP, block: int = BLOCK) -> DataFrame:
-    """query_id, id, rank, offset, bit_error, votes: for each query the `top` recordings of least bit error (ties by id), itself left out.
+        i, off = key // span, key % span - span // 2
+        a, b = np.maximum(0, -off), np.minimum(len(words), self.size[i] - off)
+        long = b - a >= MIN_OVERLAP
+        keep = (votes > 1) & (long | (off == 0) & (b == len(words)) & (b == self.size[i]))
+        if but is not None:
+            keep &= self.ids[i] != but
+        i, off, a, b, votes, long = (x[keep] for x in (i, off, a, b, votes, long))
+        error = self._errors(words, i, off, a, b - a)
+        keep = error <= np.where(long, MAX_ERROR, 0)
+        i, off, votes, error = (x[keep] for x in (i, off, votes, error))
+        order = np.lexsort((off, -votes, error, i))
+        i, off, votes, error = (x[order] for x in (i, off, votes, error))
+        first = np.concatenate([[True], i[1:] != i[:-1]])[: len(i)]
+        return self.ids[i[first]], off[first], error[first], votes[first]
+
+    def _errors(self, words: np.ndarray, i: np.ndarray, off: np.ndarray, a: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Share of differing bits over n words from place a of `words`, for each recording i and offset."""
+        out, ends, at = np.empty(len(i)), np.cumsum(n), 0
+        while at < len(i):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] - n[at] + CELLS, "right")))
+            m = n[at:to]
+            starts = np.cumsum(m) - m
+            place = np.repeat(a[at:to] - starts, m) + np.arange(m.sum())
+            other = self.words[np.repeat(self.base[i[at:to]] + off[at:to], m) + place]
+            out[at:to] = np.add.reduceat(np.bitwise_count(words[place] ^ other), starts, dtype=np.int64) / (32 * m)
+            at = to
+        return out
+
+
+def search(recordings: DataFrame, queries: DataFrame, id_column: str, block: int = BLOCK) -> DataFrame:
+    """query_id, id, offset, bit_error, votes: for each query all recordings that align, itself left out.
     offset is the place of a common passage in the query less that in the recording.
 
     Both have id_column and fingerprint. Queries go in blocks, each an index that every task holds (bounded), and all
-    recordings stream past; every task passes on its own best `top` for a query, so no group of alike recordings meets in one place.
-    Cases: no fingerprint matches nothing; rows without an id are left out; repeated rows count once each as matches.
+    recordings stream past; matches leave as they are found, so no group of alike recordings meets in one place.
+    Cases: no fingerprint matches nothing; rows without an id are left out; a row that repeats an id is a match of its own.
     """
     spark = recordings.sparkSession
     out, held = None, []
@@ -189,19 +199,25 @@ def search(recordings: DataFrame, queries: DataFrame, id_column: str, top: int =
         shared = spark.sparkContext.broadcast(([r[0] for r in rows], [np.array(r[1], np.int32).view(np.uint32) for r in rows]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index, best = Index(*shared.value), {}
+            index, found, n = Index(*shared.value), [], 0
+
+            def batch() -> pa.RecordBatch:
+                q, i, off, error, votes = (np.concatenate(c) for c in zip(*found, strict=True))
+                columns = [pa.array(q), pa.array(i), pa.array(off.astype(np.int32)), pa.array(error), pa.array(votes.astype(np.int32))]
+                return pa.RecordBatch.from_arrays(columns, names=["query_id", "id", "offset", "bit_error", "votes"])
+
             for b in batches:
                 for i, words in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                     w = words.values.to_numpy().astype(np.int32).view(np.uint32) if words.is_valid else np.empty(0, np.uint32)
-                    for q, off, error, votes in index.match(w, i):
-                        mine = best.setdefault(q, [])
-                        mine.append((error, i, off, votes))
-                        if len(mine) > 4 * top:
-                            best[q] = sorted(mine)[:top]
-            rows = [(q, i, off, error, votes) for q, mine in best.items() for error, i, off, votes in sorted(mine)[:top]]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int32())
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["query_id", "id", "offset", "bit_error", "votes"])
+                    q, off, error, votes = index.match(w, i)
+                    if len(q):
+                        found.append((q, np.full(len(q), i, np.int64), off, error, votes))
+                        n += len(q)
+                    if n >= ROWS:
+                        yield batch()
+                        found, n = [], 0
+            if n:
+                yield batch()
 
         rows_in = recordings.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long"), "fingerprint")
         return rows_in.mapInArrow(tidy(run), schema)
@@ -214,8 +230,13 @@ def search(recordings: DataFrame, queries: DataFrame, id_column: str, top: int =
     if held or out is None:
         found = one(held)
         out = found if out is None else out.unionByName(found)
+    return out
+
+
+def best(matches: DataFrame, top: int = TOP) -> DataFrame:
+    """A report of matches: for each query the `top` of least bit error (ties by id), with their rank."""
     order = Window.partitionBy("query_id").orderBy("bit_error", "id", "offset")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "id", "rank", "offset", "bit_error", "votes")
+    return matches.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
 def render(vector: list[float] | None) -> np.ndarray:
