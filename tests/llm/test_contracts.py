@@ -371,6 +371,17 @@ def test_toxicity_drops_near_copies_only():
     assert kept == [(toxicity.words_of(t), y) for t, y in rows + [("", 0), ("one", 0), ("two", 0)]]
 
 
+def test_toxicity_passes_over_a_long_row(spark):
+    texts = [(i, ("slur " if i % 2 else "fair ") + f"a{i} b{i} c{i}") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(41)], "doc_id long, toxic int")
+    order = [r.doc_id for r in labels.selectExpr("doc_id", "xxhash64(doc_id) h").orderBy("h").collect()]
+    rows = [(i, "x " * 9000 if i == order[0] else t) for i, t in texts] + [(40, "x " * 9000 if order[0] == 40 else "y")]
+    model = toxicity.train(frame(spark, rows), labels, "false", max_bytes=9000)
+    assert model.ordinary != b" "  # the others were learned from
+    with pytest.raises(ValueError, match="fits"):
+        toxicity.train(frame(spark, rows), labels, "false", max_bytes=0)
+
+
 def test_op4(spark, small):
     out = queries.op4_toxicity(spark, small)
     rows = out.collect()

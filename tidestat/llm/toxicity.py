@@ -25,9 +25,9 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField
 
 from tidestat.llm.common import map_rows, release, small_batches, spread
 
-#: The sample of labelled rows: the first MAX_ROWS by hash, and of these as many as have MAX_BYTES of text.
-MAX_ROWS = 6_000
-MAX_BYTES = 24 << 20
+#: The sample of labelled rows: the first MAX_ROWS by hash, and of these all that still fit in MAX_BYTES of text, in that order.
+MAX_ROWS = 8_000
+MAX_BYTES = 48 << 20
 WINDOW_WORDS = 1
 #: Bytes of the text that both dictionaries hold, and of what only the toxic one holds. Together they stay below the distance
 #: that a small frame reaches back.
@@ -40,7 +40,6 @@ PREDICT_AT = 0.7
 FOLDS = 5
 #: Rows whose word pairs have this Jaccard similarity are near copies; BANDS pairs of least hashes miss one in 20,000 of them.
 NEAR, BANDS = 0.8, 10
-_TALLY = 300_000
 _WORD = re.compile(r"\w+")
 
 
@@ -117,28 +116,20 @@ def features(margins: np.ndarray) -> list[float]:
 
 
 def fragments(words: Iterable[str]) -> set[str]:
-    """Whole words between blanks, and word beginnings of 4 to 8 characters after a blank."""
+    """Whole words between blanks, and word beginnings of 4 to 12 characters after a blank."""
     out = set()
     for w in set(words):
         out.add(f" {w} ")
-        out.update(" " + w[:k] for k in range(4, min(8, len(w) - 1) + 1))
+        out.update(" " + w[:k] for k in range(4, min(12, len(w) - 1) + 1))
     return out
 
 
-def _tally(counts: Counter, keys: Iterable[str]) -> None:
-    """Count keys; beyond _TALLY keys, those seen once so far are forgotten (they are neither common nor telling)."""
-    counts.update(keys)
-    if len(counts) > _TALLY:
-        for k in [k for k, n in counts.items() if n == 1]:
-            del counts[k]
-
-
 def _telling(toxic: Iterable[set[str]], ordinary: Iterable[set[str]]) -> list[str]:
     """Fragments that toxic documents have far more often, the most telling first; one of each family of
     nested ones."""
     dt, dc, nt, nc = Counter(), Counter(), 0, 0
     for s in toxic:
-        _tally(dt, s)
+        dt.update(s)
         nt += 1
     seen = {f for f, k in dt.items() if k >= max(4, 0.02 * nt)}
     dt = Counter({f: dt[f] for f in seen})
@@ -166,7 +157,7 @@ def _common(docs: list[list[str]], most: int) -> list[str]:
     for share, pieces in ((most // 2, lambda w: [f" {w} "]), (most, lambda w: [f"{w[-k:]} " for k in range(4, min(10, len(w)) + 1)])):
         df: Counter[str] = Counter()
         for s in docs:
-            _tally(df, {p for w in set(s) for p in pieces(w)})
+            df.update({p for w in set(s) for p in pieces(w)})
         size, have = sum(len(x.encode()) for x in out), "|".join(out)
         for p, _ in sorted(df.items(), key=lambda x: (-x[1], -len(x[0]), x[0])):
             if p in have:
@@ -264,8 +255,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 50)
 def train(docs: DataFrame, labels: DataFrame, held_out: str, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
     """A model from labelled documents that `held_out` (SQL over doc_id) does not keep back.
 
-    The sample is the max_rows least by a hash of doc_id, in that order until max_bytes of text. Rows with a null
-    label or doc_id are left out; a document labelled twice counts twice.
+    The sample is the max_rows least by a hash of doc_id; in that order, a row whose text no longer fits in max_bytes is
+    passed over and later ones go on. Labelled texts of which none fits are an error. Rows with a null label or doc_id are left out; a document labelled twice counts twice.
     """
     known = labels.where(f"toxic is not null and doc_id is not null and not ({held_out})")
     order = (F.xxhash64("doc_id"), F.col("doc_id"), F.col("y"))
@@ -278,12 +269,12 @@ def train(docs: DataFrame, labels: DataFrame, held_out: str, max_rows: int = MAX
     sizes = {r.doc_id: r.n for r in found.join(ids.select("doc_id").distinct(), "doc_id").groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
     keep, size = [], 0
     for r in chosen:
-        size += sizes.get(r.doc_id, 0)
-        if size > max_bytes:
-            break
-        keep.append((r.doc_id, r.y))
-    if not keep:
-        return fit([])
+        n = sizes.get(r.doc_id, 0)
+        if size + n <= max_bytes:
+            size += n
+            keep.append((r.doc_id, r.y))
+    if not any(i in sizes for i, _ in keep) and sizes:
+        raise ValueError(f"none of the {len(sizes)} labelled texts fits in {max_bytes} bytes")
     small_batches(spark)
     kept = F.broadcast(spark.createDataFrame(keep, "doc_id long, y int"))
     sample = found.join(kept, "doc_id").select("doc_id", "text", "y").toArrow()  # at most max_bytes
