@@ -382,6 +382,14 @@ def test_toxicity_passes_over_a_long_row(spark):
         toxicity.train(frame(spark, rows), labels, "false", max_bytes=0)
 
 
+def test_toxicity_holds_every_telling_word():
+    slurs = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}grumblesnarkfoo{i}" for i in range(100)]  # over 2 KB
+    rng = random.Random(3)
+    rows = [(" ".join([f"u{i}", *rng.sample(slurs, 20)]), 1) for i in range(200)] + [(f"plain v{i}", 0) for i in range(400)]
+    model = toxicity.fit(rows)
+    assert all(w.encode() in model.toxic and w.encode() not in model.ordinary for w in slurs)
+
+
 def test_op4(spark, small):
     out = queries.op4_toxicity(spark, small)
     rows = out.collect()

@@ -1,7 +1,8 @@
-"""Toxicity by compression distance: two zstandard dictionaries, one of toxic and one of ordinary text.
+"""Toxicity by compression with two zstandard dictionaries: what ordinary texts have in common, and that with the telling fragments
+of toxic texts after it. Neither is trained on whole texts of its class, which told less on held-out rows (see the README).
 
-A text is cut in windows of a few words; each window is compressed with either dictionary, and the bytes that the toxic one saves
-over the ordinary one are its margin. Calibrated thresholds and a logistic link over the counts of windows beyond
+A text is cut in windows of WINDOW_WORDS words (one); each window is compressed with either dictionary, and the bytes that the toxic
+one saves over the ordinary one are its margin. Calibrated thresholds and a logistic link over the counts of windows beyond
 each threshold give the score.
 
 Training takes a bounded sample of labelled rows to the driver (MAX_ROWS rows, MAX_BYTES of text); scoring
@@ -29,9 +30,8 @@ from tidestat.llm.common import map_rows, release, small_batches, spread
 MAX_ROWS = 8_000
 MAX_BYTES = 48 << 20
 WINDOW_WORDS = 1
-#: Bytes of the text that both dictionaries hold, and of what only the toxic one holds. Together they stay below the distance
-#: that a small frame reaches back.
-SHARED_BYTES, TOXIC_BYTES = 4 << 10, 1 << 10
+#: Bytes of the text that both dictionaries hold.
+SHARED_BYTES = 4 << 10
 #: Stands after each window and at the end of each dictionary, so that even a short window is coded by matches (the
 #: compressor looks for none in the last eight bytes).
 LEAD = bytes(33 + (i * i * 7 + i * 13) % 94 for i in range(40))
@@ -209,14 +209,8 @@ def fit(rows: list[tuple[str, int]], window: int = WINDOW_WORDS) -> Model:
         clean = [w for _, w, y in part if not y]
         base = "".join(reversed(_common(clean, SHARED_BYTES))).encode()
         tell = _telling((fragments(w) for _, w, y in part if y), (fragments(w) for _, w, y in part if not y))
-        head, size = [], 0
-        for f in tell:
-            size += len(f.encode())
-            if size > TOXIC_BYTES:
-                break
-            head.append(f)
-        # The telling part lies nearest, where matches are cheapest; it is short, so the shared part stays at nearly the same distance.
-        return base + "".join(reversed(head)).encode(), base
+        # The telling part lies nearest, where matches are cheapest; the most telling last.
+        return base + "".join(reversed(tell)).encode(), base
 
     def raw_features(part, pair) -> np.ndarray:
         s = Scorer(Model(*pair, (), 0.0, (), (), window))
