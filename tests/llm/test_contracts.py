@@ -331,6 +331,14 @@ def test_html_cases():
     assert main("<article><p>x" + "<!-- c --><p class=notice>no</p>" + "<p>y</article>") == "x\ny"
 
 
+def test_html_surge_and_dive_inside_an_article():
+    long = "This sentence is long enough to reach the threshold of a window of lines, with many words of text. " * 2
+    links = "<div><ul><li><a href=x>One</a></li><li><a href=y>Two</a></li></ul></div>"
+    ad = "<div class=ad>Buy</div>"
+    page = f"<article>{links}{ad}<section><p>{long}</p>{ad}<p>Short but inside.</p></section>{ad}{links}</article><article><p>Small article.</p></article>"
+    assert html_extract.main_text(page) == "\n".join([long.strip(), "Short but inside.", "Small article."])
+
+
 def test_op1_extracts_the_articles(spark, small):
     import html
 

@@ -102,7 +102,7 @@ def lines_of(page: str) -> list[Line]:
 
     def gap() -> None:
         if out and out[-1][0]:
-            out.extend([("", 0, 0, 0)] * WINDOW)
+            out.extend([("", 0, stack[-1].region if stack else 0, 0)] * WINDOW)
 
     def close(depth: int) -> None:
         nonlocal links
@@ -208,12 +208,14 @@ def main_text(page: str | None, window: int = WINDOW, threshold: int = THRESHOLD
     inside = sorted({x[2] for x in lines if x[2]})
     for region in inside:
         own = [x for x in lines if x[2] == region]
-        strong = segments(own, window, threshold)
-        if strong and (len(inside) == 1 or sum(x[1] for x in own) >= threshold):
-            kept += [x[0] for x in own]
+        found = segments(own, window, threshold)
+        if found:
+            # Without a surge nothing parts the region, and its text is kept whole.
+            surge = any(sum(x[1] for x in own[i : i + window]) >= threshold for i in range(*found[0]))
+            kept += [x[0] for x in (own[found[0][0] : found[-1][1]] if surge or len(found) > 1 else own) if x[0]]
     if not kept and inside:
         own = max(([x for x in lines if x[2] == r] for r in inside), key=lambda own: sum(x[1] for x in own))
-        kept = [x[0] for x in own]
+        kept = [x[0] for x in own if x[0]]
     if not kept:
         for a, b in segments(lines, window, threshold):
             kept += [x[0] for x in lines[a:b]]
