@@ -1,6 +1,7 @@
 """The contracts' queries against brute force, on the smallest tables and on hand-made rows."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -376,7 +377,45 @@ def test_toxicity_drops_near_copies_only():
     rows = [(t, i % 2) for i, t in enumerate(texts)]
     copies = [(f"{t} end", y) for t, y in rows[:50]] + [("", 0), ("", 0), ("one", 0), ("one", 0), ("two", 0)]
     kept = toxicity._distinct(rows + copies)
-    assert kept == [(toxicity.words_of(t), y) for t, y in rows + [("", 0), ("one", 0), ("two", 0)]]
+    assert kept == [(toxicity.plain(t), y) for t, y in rows + [("", 0), ("one", 0), ("two", 0)]]
+
+
+@pytest.mark.parametrize("text", ["", "a", "Ab cd\n ef", "x" * 100, "word " * 50, "ä-ö ñ"])
+def test_toxicity_windows(text):
+    words = toxicity.words_of(text)
+    made = toxicity.windows(words)
+    assert [w for x in made for w in x.split()] == words
+    assert all(len(x) <= toxicity.WINDOW_BYTES + 1 or len(x.split()) == 1 for x in made)
+
+
+def test_toxicity_dictionaries_are_of_their_class():
+    rng = random.Random(3)
+    slurs = [f"{chr(97 + i)}grumblesnark" for i in range(20)]
+    plain = [f"plainword{i}" for i in range(100)]
+    rows = [(" ".join([*rng.sample(plain, 20), *rng.sample(slurs, 4), *rng.sample(plain, 20)]), 1) for _ in range(200)]
+    rows += [(" ".join(rng.sample(plain, 40)), 0) for _ in range(400)]
+    model = toxicity.fit(rows)
+    assert b"grumblesnark" in model.toxic and b"snark" not in model.ordinary and b"plainword" in model.ordinary
+    assert all(b"plainword" not in x for x in toxicity.own_stretches([toxicity.plain(t) for t, y in rows if y], [toxicity.plain(t) for t, y in rows if not y])[:1])
+    s = toxicity.Scorer(model)
+    a, b = s.margins([b" agrumblesnark plainword1 ", b" plainword1 plainword2 "])
+    assert a > 2 and b <= 1
+
+
+def test_toxicity_on_held_out_rows_of_the_tables():
+    """As good on rows that it has not seen as the README says."""
+    duckdb = pytest.importorskip("duckdb")
+    d = "/root/testdata/sf0.1"
+    if not os.path.isdir(d):
+        pytest.skip("needs the test tables")
+    rows = duckdb.sql(f"select doc_id, coalesce(text, ''), toxic from '{d}/documents.parquet' join '{d}/labels.parquet' using (doc_id) where toxic is not null order by 1").fetchall()
+    out = [zlib.crc32(str(r[0]).encode()) % 3 == 1 for r in rows]
+    model = toxicity.fit([r[1:] for r, o in zip(rows, out, strict=True) if not o])
+    test = [r[1:] for r, o in zip(rows, out, strict=True) if o]
+    s, y = toxicity.Scorer(model).scores(t for t, _ in test), np.array([y for _, y in test])
+    rank = s.argsort().argsort()
+    assert (rank[y == 1].sum() - (y == 1).sum() * ((y == 1).sum() - 1) / 2) / ((y == 1).sum() * (y == 0).sum()) > 0.93  # area under the curve
+    assert (s[y == 1] >= 0.7).mean() > 0.55 and (s[y == 0] < 0.7).mean() > 0.985 and y[s >= 0.7].mean() > 0.85
 
 
 def test_toxicity_passes_over_a_long_row(spark):
@@ -385,19 +424,11 @@ def test_toxicity_passes_over_a_long_row(spark):
     order = [r.doc_id for r in labels.selectExpr("doc_id", "xxhash64(doc_id) h").orderBy("h").collect()]
     rows = [(i, "x " * 9000 if i == order[0] else t) for i, t in texts] + [(40, "x " * 9000 if order[0] == 40 else "y")]
     model = toxicity.train(frame(spark, rows), labels, "false", max_bytes=9000)
-    assert model.ordinary != b" "  # the others were learned from
+    assert model.ordinary  # the others were learned from
     with pytest.raises(ValueError, match="fits"):
         toxicity.train(frame(spark, rows), labels, "false", max_bytes=0)
 
 
-def test_toxicity_holds_every_telling_word():
-    slurs = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}grumblesnarkfoo{i}" for i in range(100)]  # over 2 KB
-    rng = random.Random(3)
-    rows = [(" ".join([f"u{i}", *rng.sample(slurs, 20)]), 1) for i in range(200)] + [(f"plain v{i}", 0) for i in range(400)]
-    model = toxicity.fit(rows)
-    assert all(w.encode() in model.toxic and w.encode() not in model.ordinary for w in slurs)
-
-
 def test_op4(spark, small):
     out = queries.op4_toxicity(spark, small)
     rows = out.collect()
@@ -409,6 +440,8 @@ def test_op4(spark, small):
 def test_toxicity_odd_rows(spark, odd):
     model = toxicity.train(frame(spark, odd), spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None), (999, 1)], "doc_id long, toxic int"), "false")
     assert toxicity.score(frame(spark, odd), model).where("score between 0 and 1").count() == len(odd)
+    assert toxicity.score(frame(spark, []), model).count() == 0
+    assert toxicity.train(frame(spark, []), spark.createDataFrame([], "doc_id long, toxic int"), "false").bias == 0
 
 
 # licences
@@ -514,8 +547,6 @@ def test_audio_reads_wav(tmp_path):
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_against_sql(spark, small, name):
-    import os
-
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
     for f in os.listdir(small):

@@ -1,19 +1,20 @@
-"""Toxicity by compression with two zstandard dictionaries: what ordinary texts have in common, and that with the telling fragments
-of toxic texts after it. Neither is trained on whole texts of its class, which told less on held-out rows (see the README).
+"""Toxicity by compression distance: separate zstandard dictionaries of toxic and of ordinary text, compared over word windows.
 
-A text is cut in windows of WINDOW_WORDS words (one); each window is compressed with either dictionary, and the bytes that the toxic
-one saves over the ordinary one are its margin. Calibrated thresholds and a logistic link over the counts of windows beyond
-each threshold give the score.
+Each dictionary is trained (zstandard's own dictionary trainer) on texts of its class alone: the ordinary one on whole
+ordinary texts, the toxic one on what toxic texts do not share with ordinary ones, their stretches of byte 8-grams that the
+class has several times as often. A text is cut in windows of whole words; the margin of a window is by how many bytes the
+toxic dictionary shortens it more than the ordinary one does, and more than none does. Thresholds on margins are
+calibrated on folds that their dictionaries have not seen, with a logistic link.
 
-Training takes a bounded sample of labelled rows to the driver (MAX_ROWS rows, MAX_BYTES of text); scoring
-reads whole texts on the executors, with the model as the only thing sent.
+Training takes a bounded sample of labelled rows (MAX_ROWS rows, MAX_BYTES of text) to one task, and only the model, a few KB,
+to the driver; scoring reads whole texts on the executors.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,14 +25,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField
 
-from tidestat.llm.common import map_rows, release, small_batches, spread
+from tidestat.llm.common import map_rows, small_batches, spread, tidy
 
 #: The sample of labelled rows: the first MAX_ROWS by hash, and of these all that still fit in MAX_BYTES of text, in that order.
 MAX_ROWS = 8_000
 MAX_BYTES = 48 << 20
-WINDOW_WORDS = 1
-#: Bytes of the text that both dictionaries hold.
-SHARED_BYTES = 4 << 10
+#: Bytes of a window of whole words (a longer word is a window). In longer windows the compressor codes what no dictionary
+#: holds by Huffman trees of their own, and lengths tell less: on held-out rows 24 bytes are the best of 24, 30, 36, 62 and 140.
+WINDOW_BYTES = 24
+#: Bytes of each dictionary's content.
+CONTENT_BYTES = 2 << 10
+#: Bytes that the trainer puts before a content (coding tables, not used here: they would tell the classes apart by letters).
+_TABLES = 300
 #: Stands after each window and at the end of each dictionary, so that even a short window is coded by matches (the
 #: compressor looks for none in the last eight bytes).
 LEAD = bytes(33 + (i * i * 7 + i * 13) % 94 for i in range(40))
@@ -43,13 +48,27 @@ NEAR, BANDS = 0.8, 10
 _WORD = re.compile(r"\w+")
 
 
-def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+def words_of(text: str) -> list[bytes]:
+    return " ".join(_WORD.findall(text.lower())).encode().split(b" ") if text else []
 
 
-def windows(words: list[str], size: int = WINDOW_WORDS) -> list[bytes]:
-    """The text as word windows between blanks; the last may be shorter."""
-    return [f" {' '.join(words[i : i + size])} ".encode() for i in range(0, len(words), size)]
+def plain(text: str) -> bytes:
+    """The words of a text between single blanks, with one before and after."""
+    return b" " + b" ".join(words_of(text)) + b" "
+
+
+def windows(words: list[bytes], size: int = WINDOW_BYTES) -> list[bytes]:
+    """Whole words between blanks, as many as fit in `size` bytes (one at least)."""
+    out, now, n = [], [], 1
+    for w in words:
+        if n + len(w) >= size and now:
+            out.append(b" %b " % b" ".join(now))
+            now, n = [], 1
+        now.append(w)
+        n += len(w) + 1
+    if now and now != [b""]:
+        out.append(b" %b " % b" ".join(now))
+    return out
 
 
 class Compressor:
@@ -57,21 +76,20 @@ class Compressor:
 
     def __init__(self, content: bytes):
         params = zstd.ZstdCompressionParameters(
-            format=zstd.FORMAT_ZSTD1_MAGICLESS, window_log=16, hash_log=15, chain_log=15, search_log=6, min_match=5,
+            format=zstd.FORMAT_ZSTD1_MAGICLESS, window_log=16, hash_log=14, chain_log=14, search_log=6, min_match=6,
             strategy=zstd.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0,
         )
         data = zstd.ZstdCompressionDict(content + LEAD, dict_type=zstd.DICT_TYPE_RAWCONTENT)
         data.precompute_compress(compression_params=params)
         self.compress, self.known = zstd.ZstdCompressor(compression_params=params, dict_data=data).compress, {}
 
-    def lengths(self, pieces: list[bytes]) -> np.ndarray:
-        known, compress = self.known, self.compress
-        if len(known) > 100_000:
-            known.clear()
-        for p in set(pieces):
-            if p not in known:
-                known[p] = len(compress(p + LEAD))
-        return np.fromiter(map(known.__getitem__, pieces), np.int32, len(pieces))
+    def length(self, piece: bytes) -> int:
+        n = self.known.get(piece)
+        if n is None:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            n = self.known[piece] = len(self.compress(piece + LEAD))
+        return n
 
 
 @dataclass(frozen=True)
@@ -84,19 +102,26 @@ class Model:
     bias: float
     center: tuple[float, ...]
     scale: tuple[float, ...]
-    window: int = WINDOW_WORDS
 
 
 class Scorer:
     def __init__(self, model: Model):
         self.model = model
-        self.toxic, self.ordinary = Compressor(model.toxic), Compressor(model.ordinary)
+        self.toxic, self.ordinary, self.none = Compressor(model.toxic), Compressor(model.ordinary), Compressor(b"")
 
     def margins(self, pieces: list[bytes]) -> np.ndarray:
-        return self.ordinary.lengths(pieces) - self.toxic.lengths(pieces)
+        """Bytes that the toxic dictionary saves over the ordinary one and over none, whichever saves more; 0 at least."""
+        out = np.zeros(len(pieces), np.int32)
+        toxic, ordinary, none = self.toxic.length, self.ordinary.length, self.none.length
+        for i, p in enumerate(pieces):
+            n = toxic(p)
+            saved = none(p) - n
+            if saved > 0:
+                out[i] = max(0, min(saved, ordinary(p) - n))
+        return out
 
     def features(self, texts: Iterable[str]) -> np.ndarray:
-        return np.array([features(self.margins(windows(words_of(t), self.model.window))) for t in texts]).reshape(-1, N_FEATURES)
+        return np.array([features(self.margins(windows(words_of(t)))) for t in texts]).reshape(-1, N_FEATURES)
 
     def scores(self, texts: Iterable[str]) -> np.ndarray:
         m = self.model
@@ -115,77 +140,62 @@ def features(margins: np.ndarray) -> list[float]:
     return [*(np.log1p(k) for k in over), *(k / max(1, n) for k in over), *(float(k > 0) for k in over), float(min(12, margins.max(initial=0))), float(np.log1p(n))]
 
 
-def fragments(words: Iterable[str]) -> set[str]:
-    """Whole words between blanks, and word beginnings of 4 to 12 characters after a blank."""
-    out = set()
-    for w in set(words):
-        out.add(f" {w} ")
-        out.update(" " + w[:k] for k in range(4, min(12, len(w) - 1) + 1))
-    return out
-
-
-def _telling(toxic: Iterable[set[str]], ordinary: Iterable[set[str]]) -> list[str]:
-    """Fragments that toxic documents have far more often, the most telling first; one of each family of
-    nested ones."""
-    dt, dc, nt, nc = Counter(), Counter(), 0, 0
-    for s in toxic:
-        dt.update(s)
-        nt += 1
-    seen = {f for f, k in dt.items() if k >= max(4, 0.02 * nt)}
-    dt = Counter({f: dt[f] for f in seen})
-    for s in ordinary:
-        dc.update(s & seen)
-        nc += 1
-    nt, nc = max(1, nt), max(1, nc)
-    worth = {}
-    for f in seen:
-        chance = (dc[f] + 0.5) / nc * nt
-        if dt[f] >= 6 * chance and dt[f] - chance >= 5 * np.sqrt(chance + 0.5):
-            worth[f] = dt[f] * np.log(dt[f] / chance)
-    out: list[str] = []
-    for f in sorted(worth, key=lambda f: (-worth[f], -len(f), f)):
-        # Once a stem is chosen, neither its inflections nor its own beginnings are: their endings occur in any word.
-        if not any(f.startswith(g) or g.startswith(f) for g in out):
-            longer = [g for g in worth if g.startswith(f) and dt[g] >= 0.95 * dt[f]]
-            out.append(max(longer, key=lambda g: (len(g), g), default=f))
+def _grams(text: bytes) -> np.ndarray:
+    """The 8-grams of a text, each as one number, by place."""
+    if len(text) < 8:
+        return np.empty(0, np.uint64)
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), 8)).view("<u8").ravel()
+
+
+def own_stretches(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """Of each toxic text, its stretches of 8-grams that toxic texts hold far more often than ordinary ones, joined; texts
+    without any are left out."""
+    if not toxic:
+        return []
+    gram, of_toxic = np.unique(np.concatenate([np.unique(_grams(t)) for t in toxic]), return_counts=True)
+    often = of_toxic >= max(4, 0.015 * len(toxic))
+    gram, of_toxic = gram[often], of_toxic[often]
+    of_ordinary = np.zeros(len(gram), np.int64)
+    for t in ordinary:
+        of_ordinary += np.isin(gram, _grams(t))
+    chance = (of_ordinary + 0.5) / max(1, len(ordinary)) * len(toxic)
+    telling = gram[(of_toxic >= 8 * chance) & (of_toxic - chance >= 5 * np.sqrt(chance + 0.5))]
+    out = []
+    for t in toxic:
+        at = np.flatnonzero(np.isin(_grams(t), telling))
+        if len(at):
+            cover = np.zeros(len(t) + 1, np.int64)
+            np.add.at(cover, at, 1)
+            np.add.at(cover, at + 8, -1)
+            out.append(np.frombuffer(t, np.uint8)[np.cumsum(cover)[:-1] > 0].tobytes())
     return out
 
 
-def _common(docs: list[list[str]], most: int) -> list[str]:
-    """What ordinary documents have in common, up to `most` bytes: half whole words between blanks, half word endings."""
-    out: list[str] = []
-    for share, pieces in ((most // 2, lambda w: [f" {w} "]), (most, lambda w: [f"{w[-k:]} " for k in range(4, min(10, len(w)) + 1)])):
-        df: Counter[str] = Counter()
-        for s in docs:
-            df.update({p for w in set(s) for p in pieces(w)})
-        size, have = sum(len(x.encode()) for x in out), "|".join(out)
-        for p, _ in sorted(df.items(), key=lambda x: (-x[1], -len(x[0]), x[0])):
-            if p in have:
-                continue
-            size += len(p.encode())
-            if size > share:
-                break
-            out.append(p)
-            have += "|" + p
-    return out
+def dictionary(samples: list[bytes], size: int = CONTENT_BYTES, segment: int = 16) -> bytes:
+    """The content of a dictionary trained on samples, `size` bytes at most, made of segments of so many bytes; all of the samples where they are too few to train on."""
+    whole = b"".join(samples)
+    if len(samples) < 8 or len(whole) < 4 * size:
+        return whole[-size:]
+    try:
+        return zstd.train_dictionary(size + _TABLES, samples, k=segment, d=8).as_bytes()[-size:]
+    except zstd.ZstdError:  # samples too alike to train on
+        return whole[-size:]
 
 
-def _marks(words: list[str]) -> np.ndarray:
+def _marks(words: list[bytes]) -> np.ndarray:
     """Hashes of the distinct word pairs, sorted; of the words where there is no pair."""
-    pairs = (f"{a} {b}" for a, b in zip(words, words[1:], strict=False)) if len(words) > 1 else words
-    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, pairs), np.uint64))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return np.unique(spread(h[:-1] + spread(h[1:], 3), 4) if len(h) > 1 else h)
 
 
-def _distinct(rows: Iterable[tuple[str, int]]) -> list[tuple[list[str], int]]:
-    """Words and labels of the rows, without near copies: a row goes only if a kept row of the same label has a Jaccard
+def _distinct(rows: Iterable[tuple[str, int]]) -> list[tuple[bytes, int]]:
+    """Plain texts and labels of the rows, without near copies: a row goes only if a kept row of the same label has a Jaccard
     similarity of word pairs of NEAR at least. Bands of least hashes propose kept rows, whole sets of pairs decide."""
     bands: dict[tuple[int, int, int, int], list[int]] = {}
-    known: dict[str, str] = {}  # one object for each distinct word
     sets: list[np.ndarray] = []
     out = []
     for t, y in rows:
-        w = [known.setdefault(x, x) for x in words_of(t)]
-        h = _marks(w)
+        h = _marks(words_of(t))
         least = [int(spread(h, seed).min()) if len(h) else 0 for seed in range(2 * BANDS)]
         keys = [(y, i, least[2 * i], least[2 * i + 1]) for i in range(BANDS)]
         for other in {o for k in keys for o in bands.get(k, ())}:
@@ -196,39 +206,34 @@ def _distinct(rows: Iterable[tuple[str, int]]) -> list[tuple[list[str], int]]:
             for k in keys:
                 bands.setdefault(k, []).append(len(out))
             sets.append(h)
-            out.append((w, y))
+            out.append((plain(t), y))
     return out
 
 
-def fit(rows: list[tuple[str, int]], window: int = WINDOW_WORDS) -> Model:
+def fit(rows: Iterable[tuple[str, int]]) -> Model:
     """A model from (text, label) rows. In turn each FOLDS-th part calibrates on dictionaries of the others, and the calibrations
     join; the final dictionaries come from all rows. One class only: a constant score of that class's side."""
-    split = [(i % FOLDS, w, y) for i, (w, y) in enumerate(_distinct(rows))]  # copies count once
+    kept = _distinct(rows)  # copies count once
 
-    def dictionaries(part: list[tuple[int, list[str], int]]) -> tuple[bytes, bytes]:
-        clean = [w for _, w, y in part if not y]
-        base = "".join(reversed(_common(clean, SHARED_BYTES))).encode()
-        tell = _telling((fragments(w) for _, w, y in part if y), (fragments(w) for _, w, y in part if not y))
-        # The telling part lies nearest, where matches are cheapest; the most telling last.
-        return base + "".join(reversed(tell)).encode(), base
+    def dictionaries(part: list[tuple[bytes, int]]) -> tuple[bytes, bytes]:
+        toxic, ordinary = [t for t, y in part if y], [t for t, y in part if not y]
+        return dictionary(own_stretches(toxic, ordinary)), dictionary(ordinary)
 
-    def raw_features(part, pair) -> np.ndarray:
-        s = Scorer(Model(*pair, (), 0.0, (), (), window))
-        return np.array([features(s.margins(windows(w, window))) for _, w, _ in part]).reshape(-1, N_FEATURES)
+    def raw_features(part: list[tuple[bytes, int]], pair: tuple[bytes, bytes]) -> np.ndarray:
+        s = Scorer(Model(*pair, (), 0.0, (), ()))
+        return np.array([features(s.margins(windows(t.split()))) for t, _ in part]).reshape(-1, N_FEATURES)
 
-    blank = Model(b" ", b" ", (0.0,) * N_FEATURES, 0.0, (0.0,) * N_FEATURES, (1.0,) * N_FEATURES, window)
-    labels = {y for _, _, y in split}
+    labels = {y for _, y in kept}
     if len(labels) < 2:
-        return Model(b" ", b" ", blank.weights, {1: 6.0, 0: -6.0}.get(next(iter(labels), -1), 0.0), blank.center, blank.scale, window)
+        return Model(b"", b"", (0.0,) * N_FEATURES, {1: 6.0, 0: -6.0}.get(next(iter(labels), -1), 0.0), (0.0,) * N_FEATURES, (1.0,) * N_FEATURES)
     x, y = [], []
     for fold in range(FOLDS):
-        learn, test = [r for r in split if r[0] != fold], [r for r in split if r[0] == fold]
-        x.append(raw_features(test, dictionaries(learn)))
-        y += [r[2] for r in test]
+        x.append(raw_features(kept[fold::FOLDS], dictionaries([r for i, r in enumerate(kept) if i % FOLDS != fold])))
+        y += [r[1] for r in kept[fold::FOLDS]]
     x, y = np.concatenate(x), np.array(y, float)
     center, scale = x.mean(0), x.std(0) + 1e-6
     w, b = _logistic((x - center) / scale, y)
-    return Model(*dictionaries(split), tuple(w.tolist()), float(b), tuple(center.tolist()), tuple(scale.tolist()), window)
+    return Model(*dictionaries(kept), tuple(w.tolist()), float(b), tuple(center.tolist()), tuple(scale.tolist()))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 50) -> tuple[np.ndarray, float]:
@@ -271,12 +276,14 @@ def train(docs: DataFrame, labels: DataFrame, held_out: str, max_rows: int = MAX
         raise ValueError(f"none of the {len(sizes)} labelled texts fits in {max_bytes} bytes")
     small_batches(spark)
     kept = F.broadcast(spark.createDataFrame(keep, "doc_id long, y int"))
-    sample = found.join(kept, "doc_id").select("doc_id", "text", "y").toArrow()  # at most max_bytes
-    texts = sorted(zip(*[c.to_pylist() for c in sample.columns], strict=True))
-    model = fit([(t, y) for _, t, y in texts])
-    del sample, texts
-    release()
-    return model
+    sample = found.join(kept, "doc_id").select("doc_id", "text", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))  # at most max_bytes
+        model = fit((t, y) for _, t, y in rows)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    return pickle.loads(sample.repartition(1).mapInArrow(tidy(run), "model binary").first()[0])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
