@@ -273,16 +273,27 @@ def library(tok):
     return tiktoken.Encoding("own", pat_str=tok.pattern, mergeable_ranks=bpe.read_ranks(tok.path), special_tokens={})
 
 
-@pytest.mark.parametrize("most", [0, 20, 4_000_000])
+@pytest.mark.parametrize("most", [0, 20, bpe.MAX_WORDS])
 def test_bpe(spark, odd, tok, library, most):
-    rows = [r for r in odd if r[0] != 42] + [(80, "<|endoftext|> it's 'RE  \n\n x"), (81, "²½ ١٢ á 👩‍👩‍👧 ​"), (82, "q" * 300)]
+    rng = random.Random(4)
+    rows = odd + [(83, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=20_000))), (84, "".join(rng.choices(["the", "er", "ing", "tion"], k=2_000)))]
+    rows += [(85, "-" * 997 + "=" * 500), (86, "日本語のテキスト" * 300), (87, "ab" * 500 + "aba" * 301), (88, "".join(rng.choices("ab", k=1_000)))]
+    rows += [(80, "<|endoftext|> it's 'RE  \n\n x"), (81, "²½ ١٢ á 👩‍👩‍👧 ​"), (82, "q" * 300)]
     out = bpe.encode(frame(spark, rows), tok, most=most)
     back = bpe.decode(out, tok)
     got = sorted(((r.doc_id, list(r.tokens), bytes(r.decoded)) for r in back.collect()), key=str)
     assert got == sorted(((i, library.encode_ordinary(t or ""), (t or "").encode()) for i, t in rows), key=str)
+    assert {"__ids", "__GAPS"} <= set(bpe.encode(frame(spark, rows[:3]).withColumn("__ids", F.lit(1)).withColumn("__GAPS", F.lit(2)), tok).columns)
     assert bpe.encode(frame(spark, []), tok).count() == 0
 
 
+@given(st.lists(st.text(st.sampled_from("abcdehinorst'Aé日"), min_size=20, max_size=200), min_size=20, max_size=20))
+@settings(max_examples=5, deadline=None)
+def test_bpe_long_words(spark, tok, library, texts):
+    out = bpe.encode(spark.createDataFrame(list(enumerate(texts)), DOC), tok)
+    assert {r.doc_id: list(r.tokens) for r in out.collect()} == {i: library.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
 def test_op3(spark, small, library):
     texts = dict(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect())
     for r in queries.op3_byte_bpe(spark, small).collect():

@@ -1,15 +1,17 @@
 """Byte-level BPE encoding and decoding by a public rank file.
 
 The merges of a word are folded by Spark higher-order functions over its byte array, with the ranks of pairs as literal
-arrays (a perfect hash, so a lookup takes constant time). Every distinct word is folded once, most frequent first, up to
-MAX_WORDS; their ids are broadcast as a packed table. A word outside it is folded in its document's row, once for each
-document: results do not depend on the table.
+arrays (a perfect hash, so a lookup takes constant time; a scalar subquery reads them once an execution, which keeps them out of
+plans). Words that repeat are folded once, most frequent first, up to MAX_WORDS, all in parallel; their ids are broadcast as a packed table. A
+word outside it is folded in its document's row, once for each document: results do not depend on the table.
+
+A word of over LONG bytes is first cut wherever its two bytes stand side by side in no token, so that no merge can cross. What
+is still long merges all its pairs of least rank at once.
 """
 
 from __future__ import annotations
 
 import base64
-import json
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,14 +21,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField
 
-from tidestat.llm.common import map_rows, materialise, raw, release, tidy
+from tidestat.llm.common import fresh, map_rows, materialise, raw, release, stored, tidy
 
-#: Distinct words in the broadcast table (about 25 bytes each).
-MAX_WORDS = 4_000_000
+#: Distinct words in the broadcast table (about 20 bytes each). Words of one place only gain nothing there.
+MAX_WORDS = 1_000_000
+#: Bytes from which a word is cut, and its equal pairs merge together.
+LONG = 48
 #: Words that a task holds while it counts, and while it encodes.
 _HELD = 150_000
 #: Characters split into words at a time.
@@ -112,12 +116,19 @@ class Tokenizer:
         self.pairs = PairTable(pair_ranks(ranks))
         release()
 
-    def _with_tables(self, sql: str) -> str:
-        """sql with the tables bound once, as one literal that is parsed at planning."""
+        inside = np.zeros((256, 256), bool)  # byte pairs that some token holds
+        for t in ranks:
+            at = np.frombuffer(t, np.uint8)
+            inside[at[:-1], at[1:]] = True
+        self.inside = inside
+
+    def tables(self, spark: SparkSession) -> str:
+        """SQL: the tables as one struct, a scalar subquery over the one row of a written file (about 2 MB)."""
         table = self.pairs
         parts = {"base": table.base, "column": table.column, "owner": table.owner, "rank": table.rank, "single": self.single}
-        fields = ", ".join(f"from_json('{json.dumps(v, separators=(',', ':'))}', 'array<int>') as {k}" for k, v in parts.items())
-        return f"transform(array(struct({fields})), _t -> {sql})[0]"
+        row = pa.table({k: pa.array([v], pa.list_(pa.int32())) for k, v in parts.items()})
+        path = stored(spark.createDataFrame(row), "ranks")
+        return f"(select struct({', '.join(parts)}) from parquet.`{path}`)"
 
     def fold_sql(self, word: str) -> str:
         """SQL: array<int> ids of a string.
@@ -126,8 +137,9 @@ class Tokenizer:
         least rank and looks up the two pairs that it makes.
         """
         look = self.pairs.lookup
-        e = f"transform(split(decode(encode({word}, 'UTF-8'), 'ISO-8859-1'), ''), _c -> get(_t.single, ascii(_c)))"
-        start = f"transform(array({e}), _i -> transform(_i, (_x, _k) -> bigint({look('_x', 'get(_i, _k + 1)')}) * {_PLACES}L + _x))[0]"
+        ids = f"transform(split(decode(encode({word}, 'UTF-8'), 'ISO-8859-1'), ''), _c -> get(_t.single, ascii(_c)))"
+        paired = lambda a: f"transform({a}, (_x, _k) -> bigint({look('_x', f'get({a}, _k + 1)')}) * {_PLACES}L + _x)"
+        start = f"transform(array({ids}), _i -> {paired('_i')})[0]"
         rank = lambda x: f"shiftright({x}, 31)"
         ident = lambda x: f"int({x} & {_PLACES - 1}L)"
         step = f"""filter(transform(_a, (_e, _j) -> if(_j > _p + 1, _e, if(_j < _p - 1, _e, if(_j = _p + 1, -1L, if(_j = _p,
@@ -137,25 +149,57 @@ class Tokenizer:
         merged = f"""transform(array({least}), _v -> if(_v >= {_NONE * _PLACES}L, _a,
             transform(array(int({rank('_v')})), _m -> transform(array({ident('_v')}), _p -> {step})[0])[0]))[0]"""
         folded = f"aggregate(sequence(1, octet_length({word})), {start}, (_a, _n) -> {merged}, _a -> transform(_a, _e -> {ident('_e')}))"
-        return f"if(coalesce({word}, '') = '', cast(array() as array<int>), {folded})"
+        # A long word: of a run of equal pairs every second one merges, from the left ('11' becomes '10'); the state ends with a flag.
+        flags = f"split(regexp_replace(array_join(transform(_s.a, _e -> if({rank('_e')} = _r, '1', '0')), ''), '11', '10'), '')"
+        joined = f"""filter(transform(_s.a, (_e, _j) -> if(get(_f, _j) = '1', int(_r), if(_j > 0 and get(_f, _j - 1) = '1', -1, {ident('_e')}))), _x -> _x >= 0)"""
+        many = f"""if(_s.d, _s, transform(array({rank('array_min(_s.a)')}), _r -> if(_r >= {_NONE}, named_struct('a', _s.a, 'd', true),
+            named_struct('a', transform(array({flags}), _f -> transform(array({joined}), _i -> {paired('_i')})[0])[0], 'd', false)))[0])"""
+        long = f"""aggregate(sequence(1, octet_length({word})), named_struct('a', {start}, 'd', false), (_s, _n) -> {many},
+            _s -> transform(_s.a, _e -> {ident('_e')}))"""
+        return f"if(coalesce({word}, '') = '', cast(array() as array<int>), if(octet_length({word}) > {LONG}, {long}, {folded}))"
+
+    def folded(self, df: DataFrame, words: str, out: str) -> DataFrame:
+        """df with the column `words`, an array of strings, replaced by `out`, the array of their ids.
+
+        The tables are a column used once, which the optimiser puts in its place (subqueries may not be written inside
+        higher-order functions): no row carries them.
+        """
+        tables = fresh(df, "__tables")[0]
+        ids = F.expr(f"transform(array(`{tables}`), _t -> transform(`{words}`, _w -> {self.fold_sql('_w')}))[0]")
+        kept = [F.col(f"`{c}`") for c in df.columns if c != words]
+        return df.withColumn(tables, F.expr(self.tables(df.sparkSession))).select(*kept, ids.alias(out))
+
+
+class Splitter:
+    """The words of a text: matches of the pattern, the long ones cut where no token can cross."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.find, self.inside = regex.compile(tokenizer.pattern).findall, tokenizer.inside
 
-    def fold(self, word: str) -> Column:
-        return F.expr(self._with_tables(self.fold_sql(word)))
+    def __call__(self, text: bytes | None) -> list[str]:
+        words = self.find((text or b"").decode())
+        if words and max(map(len, words)) * 4 > LONG:
+            for i in [i for i, w in enumerate(words) if len(w) * 4 > LONG and len(w.encode()) > LONG][::-1]:
+                words[i : i + 1] = self.cut(words[i])
+        return words
 
-    def fold_all(self, words: str) -> Column:
-        """array<array<int>> of an array<string> column."""
-        return F.expr(self._with_tables(f"transform({words}, _w -> {self.fold_sql('_w')})"))
+    def cut(self, word: str) -> list[str]:
+        b = np.frombuffer(word.encode(), np.uint8)
+        first = (b[1:] & 0xC0) != 0x80  # a character starts here
+        at = (np.flatnonzero(first & ~self.inside[b[:-1], b[1:]]) + 1).tolist()
+        data = b.tobytes()
+        return [data[x:y].decode() for x, y in zip([0, *at], [*at, len(data)], strict=True)]
 
 
 def count_words(docs: DataFrame, tokenizer: Tokenizer, text: str = "text") -> DataFrame:
-    """word, c: the pattern's matches over all texts; each task adds up before the shuffle."""
-    pattern = tokenizer.pattern
+    """word, c: the words of all texts; each task adds up before the shuffle."""
+    split = Splitter(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, held = regex.compile(pattern).findall, Counter()
+        find, held = split, Counter()
         for b in batches:
             for t in raw(b.column(0)):
-                held.update(find((t or b"").decode()))
+                held.update(find(t))
                 if len(held) > _HELD:
                     yield rows(held)
                     held = Counter()
@@ -195,16 +239,15 @@ class WordTable:
 
 
 def word_table(docs: DataFrame, tokenizer: Tokenizer, text: str = "text", most: int = MAX_WORDS) -> WordTable:
-    """The table of the most frequent words, all of them if they are at most `most`."""
+    """The table of the most frequent words, `most` at most, of those found twice or more."""
+    spark = docs.sparkSession
     words = materialise(count_words(docs, tokenizer, text), "words")
     scale = F.floor(F.log2(F.col("c").cast("double"))).cast("int")
     have, least = 0, 63
-    for k, n in sorted(words.groupBy(scale.alias("k")).agg(F.count("*").alias("n")).collect(), reverse=True):  # 64 rows at most
+    for k, n in sorted(words.where("c > 1").groupBy(scale.alias("k")).agg(F.count("*").alias("n")).collect(), reverse=True):  # 63 rows at most
         if have + n > most:
             break
         have, least = have + n, k
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    folded = words.where(scale >= least).repartition(max(parts, 16), "word").select("word", tokenizer.fold("word").alias("ids"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -213,23 +256,19 @@ def word_table(docs: DataFrame, tokenizer: Tokenizer, text: str = "text", most:
             parts = [h.tobytes(), np.diff(lists.offsets.to_numpy()).astype("<u4").tobytes(), lists.flatten().to_numpy().astype("<u4").tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], names=["h", "n", "ids"])
 
-    total = words.where(scale >= least).count()
-    h, n, ids = np.empty(total, np.uint64), np.empty(total, np.int32), bytearray()
-    kind, at = np.dtype("<u2" if len(tokenizer.pieces) <= 1 << 16 else "<u4"), 0
-    for r in folded.mapInArrow(tidy(pack), "h binary, n binary, ids binary").toLocalIterator():  # at most `most` words
-        part = np.frombuffer(r.h, "<u8")
-        h[at : at + len(part)], n[at : at + len(part)] = part, np.frombuffer(r.n, "<u4")
-        ids += np.frombuffer(r.ids, "<u4").astype(kind).tobytes()
-        at += len(part)
-    order, source = np.argsort(h), np.frombuffer(ids, kind)
-    h, start, n = h[order], (np.cumsum(n, dtype=np.int32) - n)[order], n[order]
-    out, done = np.empty(len(source), kind), 0
-    for lo in range(0, total, 100_000):  # in steps, to hold little at a time
-        k = n[lo : lo + 100_000]
-        out[done : done + k.sum()] = source[np.repeat(start[lo : lo + 100_000] - np.cumsum(k) + k, k) + np.arange(k.sum())]
-        done += int(k.sum())
-    table = WordTable(h, np.concatenate([[0], np.cumsum(n)]).astype(np.int32), out)
-    del ids, source, order, start
+    if not have:
+        return WordTable(np.empty(0, np.uint64), np.zeros(1, np.int32), np.empty(0, np.uint32))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16)
+    folded = tokenizer.folded(words.where(scale >= least).repartition(parts, "word").select("word", F.array("word").alias("words")), "words", "ids")
+    folded = folded.select("word", F.col("ids")[0].alias("ids"))
+    packed = materialise(folded.mapInArrow(tidy(pack), "h binary, n binary, ids binary"), "folded").toArrow()  # at most `most` words
+    h, n, source = (np.frombuffer(b"".join(packed.column(c).to_pylist()), t) for c, t in (("h", "<u8"), ("n", "<u4"), ("ids", "<u4")))
+    del packed
+    kind = np.dtype("<u2" if len(tokenizer.pieces) <= 1 << 16 else "<u4")
+    order, source, n = np.argsort(h), source.astype(kind), n.astype(np.int64)
+    start, n = (np.cumsum(n) - n)[order], n[order]
+    ends = np.cumsum(n)
+    table = WordTable(h[order], np.concatenate([[0], ends]).astype(np.int32), source[np.repeat(start - ends + n, n) + np.arange(len(source))])
     release()
     return table
 
@@ -241,18 +280,19 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text: str = "text", most: int
     A text of only empty matches has no tokens; repeated rows, extra columns and an empty table pass through; a column
     `tokens` is replaced. The pattern is applied by Unicode rules.
     """
-    docs = docs.drop("tokens", "__ids", "__gaps", "__new")
-    shared = docs.sparkSession.sparkContext.broadcast((word_table(docs, tokenizer, text, most), piece_array(tokenizer)))
-    pattern = tokenizer.pattern
+    spark, docs = docs.sparkSession, docs.drop("tokens")
+    shared = spark.sparkContext.broadcast((word_table(docs, tokenizer, text, most), piece_array(tokenizer)))
+    split = Splitter(tokenizer)
+    c_ids, c_gaps, c_new = fresh(docs, "__ids", "__gaps", "__new")
 
     def known():
         table, pieces = shared.value
-        find, cache = regex.compile(pattern).findall, {}
+        find, cache = split, {}
 
         def each(b: pa.RecordBatch, texts: list[bytes | None]) -> dict[str, pa.Array]:
             ids, gaps, new = [], [], []
             for lo, hi in _cuts(texts):
-                matched = [find((t or b"").decode()) for t in texts[lo:hi]]
+                matched = [find(t) for t in texts[lo:hi]]
                 if len(cache) > _HELD:
                     cache.clear()
                 lack = [w for w in set().union(*matched) if w not in cache]
@@ -270,7 +310,7 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text: str = "text", most: int
                     ids.append(b"".join(got))
                     gaps.append(places)
                     new.append(list(missing))
-            return {"__ids": pa.array(ids, pa.binary()), "__gaps": pa.array(gaps, pa.list_(pa.int32())), "__new": pa.array(new, pa.list_(pa.string()))}
+            return {c_ids: pa.array(ids, pa.binary()), c_gaps: pa.array(gaps, pa.list_(pa.int32())), c_new: pa.array(new, pa.list_(pa.string()))}
 
         return each
 
@@ -278,7 +318,7 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text: str = "text", most: int
         def each(b: pa.RecordBatch, _: list[bytes | None]) -> dict[str, pa.Array]:
             column = lambda n: b.column(b.schema.get_field_index(n))
             parts = []
-            for ids, gaps, new in zip(column("__ids").to_pylist(), column("__gaps").to_pylist(), column("__new"), strict=True):
+            for ids, gaps, new in zip(column(c_ids).to_pylist(), column(c_gaps).to_pylist(), column(c_new), strict=True):
                 a = np.frombuffer(ids, "<u4")
                 if gaps:
                     folded = [np.array(x, "<u4") for x in new.as_py()]
@@ -295,9 +335,9 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text: str = "text", most: int
 
         return each
 
-    hidden = [StructField("__ids", BinaryType()), StructField("__gaps", ArrayType(IntegerType())), StructField("__new", ArrayType(StringType()))]
-    first = map_rows(docs, text, hidden, known, drop=() if keep_text else (text,)).withColumn("__new", tokenizer.fold_all("__new"))
-    return map_rows(first, None, [StructField("tokens", ArrayType(IntegerType()))], join, drop=("__ids", "__gaps", "__new"))
+    hidden = [StructField(c_ids, BinaryType()), StructField(c_gaps, ArrayType(IntegerType())), StructField(c_new, ArrayType(StringType()))]
+    first = tokenizer.folded(map_rows(docs, text, hidden, known, drop=() if keep_text else (text,)), c_new, c_new)
+    return map_rows(first, None, [StructField("tokens", ArrayType(IntegerType()))], join, drop=(c_ids, c_gaps, c_new))
 
 
 def _cuts(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:

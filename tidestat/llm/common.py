@@ -41,10 +41,25 @@ def small_batches(spark: SparkSession) -> None:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read back: lineage ends there and lost executors lose nothing."""
+    return df.sparkSession.read.schema(df.schema).parquet(stored(df, name))
+
+
+def stored(df: DataFrame, name: str) -> str:
+    """The path in the shared folder where df now lies as Parquet."""
     small_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each made longer until no column of df has it in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
 
 
 def with_fields(schema: StructType, *fields: StructField) -> StructType:
