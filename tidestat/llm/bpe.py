@@ -371,14 +371,14 @@ def decode_lists(lists: pa.ListArray, pieces: pa.LargeBinaryArray) -> list[bytes
     return [bytes(data[x:y]) if valid else None for x, y, valid in zip(cuts, cuts[1:], lists.is_valid().to_pylist(), strict=False)]
 
 
-def decode(df: DataFrame, tokenizer: Tokenizer, tokens: str = "tokens") -> DataFrame:
-    """df with decoded (binary): null for null tokens. An id outside the vocabulary is an error."""
+def decode(df: DataFrame, tokenizer: Tokenizer, tokens: str = "tokens", out: str = "decoded") -> DataFrame:
+    """df with decoded (binary): null for null tokens. An id outside the vocabulary is an error. A column of that name is replaced."""
     shared = df.sparkSession.sparkContext.broadcast(piece_array(tokenizer))
 
     def make():
         def each(b: pa.RecordBatch, _: list) -> dict[str, pa.Array]:
-            return {"decoded": pa.array(decode_lists(b.column(b.schema.get_field_index(tokens)), shared.value), pa.binary())}
+            return {out: pa.array(decode_lists(b.column(b.schema.get_field_index(tokens)), shared.value), pa.binary())}
 
         return each
 
-    return map_rows(df, None, [StructField("decoded", BinaryType())], make)
+    return map_rows(df, None, [StructField(out, BinaryType())], make)
