@@ -5,43 +5,52 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the las
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidestat.llm import bpe, decontaminate, jaccard_join, line_dedup, toxicity
 from tidestat.llm.common import materialise
 from tidestat.llm.queries import HELD_OUT, tokenizer
 
 
+def _shielded(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """work(docs) with the columns of docs, those that work has no business with under other names meanwhile: whatever they are
+    called, in any case, they meet none of its own."""
+    names = {c: f"__{i}_kept" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "n_chars")}
+    done = work(docs.withColumnsRenamed(names)).select(*[names.get(c, c) for c in docs.columns])
+    return done.withColumnsRenamed({v: k for k, v in names.items()})
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go (predicted 1). The model learns from labelled rows of docs."""
-    columns = docs.columns
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), HELD_OUT)
-    renamed = {c: f"__kept_{c}" for c in columns if c in ("score", "predicted")}
-    scored = toxicity.score(docs.withColumnsRenamed(renamed), model)
-    return scored.where("predicted = 0").drop("score", "predicted").withColumnsRenamed({v: k for k, v in renamed.items()}).select(*columns)
+    return _shielded(docs, lambda d: toxicity.score(d, model).where("predicted = 0"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that a document of a smaller id holds go; documents stay, even those of repeated lines only (with an empty text)."""
-    columns = docs.columns
-    renamed = {c: f"__kept_{c}" for c in columns if c in ("n_lines", "n_dropped")}
-    done = line_dedup.dedup_lines(docs.withColumnsRenamed(renamed)).drop("n_lines", "n_dropped")
-    return done.withColumnsRenamed({v: k for k, v in renamed.items()}).select(*columns)
+    return _shielded(docs, line_dedup.dedup_lines)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: word 5-grams, Jaccard 0.8 or more, linked transitively."""
-    return jaccard_join.dedup_documents(docs, shingle=5, percent=80).select(*docs.columns)
+    return _shielded(docs, lambda d: jaccard_join.dedup_documents(d, shingle=5, percent=80))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages go from texts, and documents that consist of them."""
-    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _shielded(docs, lambda d: decontaminate.decontaminate(d, benchmark))
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of documents with tokens, the byte-level BPE ids of each text."""
-    return bpe.encode(docs, tokenizer())
+    """The columns of documents with tokens, the byte-level BPE ids of each text, and decoded_sha256, the digest of what the
+    ids decode to (that of the text). Columns of those two names are replaced."""
+    tok = tokenizer()
+    decoded = bpe.decode(bpe.encode(docs.drop("decoded_sha256"), tok), tok, out="__decoded")
+    return decoded.withColumn("decoded_sha256", F.sha2("__decoded", 256)).drop("__decoded")
 
 
 STAGES = [
