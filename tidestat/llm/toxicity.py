@@ -35,6 +35,8 @@ MAX_BYTES = 48 << 20
 WINDOW_BYTES = 24
 #: Bytes of each dictionary's content.
 CONTENT_BYTES = 2 << 10
+#: Bytes of text that a dictionary is trained on: whole texts at even steps through the sample (the trainer takes some 20 times as much memory).
+TRAIN_BYTES = 6 << 20
 #: Bytes that the trainer puts before a content (coding tables, not used here: they would tell the classes apart by letters).
 _TABLES = 300
 #: Stands after each window and at the end of each dictionary, so that even a short window is coded by matches (the
@@ -86,7 +88,7 @@ class Compressor:
     def length(self, piece: bytes) -> int:
         n = self.known.get(piece)
         if n is None:
-            if len(self.known) > 100_000:
+            if len(self.known) > 20_000:
                 self.known.clear()
             n = self.known[piece] = len(self.compress(piece + LEAD))
         return n
@@ -171,8 +173,20 @@ def own_stretches(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     return out
 
 
+def _some(samples: list[bytes], most: int) -> list[bytes]:
+    """Samples at even steps, as many as fit in `most` bytes; a longer one is passed over."""
+    step = max(1, -(-sum(map(len, samples)) // most))
+    out, size = [], 0
+    for s in (s for k in range(step) for s in samples[k::step]):
+        if size + len(s) <= most:
+            out.append(s)
+            size += len(s)
+    return out
+
+
 def dictionary(samples: list[bytes], size: int = CONTENT_BYTES, segment: int = 16) -> bytes:
     """The content of a dictionary trained on samples, `size` bytes at most, made of segments of so many bytes; all of the samples where they are too few to train on."""
+    samples = _some(samples, TRAIN_BYTES)
     whole = b"".join(samples)
     if len(samples) < 8 or len(whole) < 4 * size:
         return whole[-size:]
