@@ -14,7 +14,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidestat.llm import audio, bpe, chat, components, decontaminate, html_extract, jaccard_join, licenses, line_dedup, queries, substring_dedup, toxicity
+from tidestat.llm import audio, bloom, bpe, chat, components, decontaminate, html_extract, jaccard_join, licenses, line_dedup, queries, substring_dedup, toxicity
+from tidestat.llm.common import join_hot
 
 DOC = "doc_id long, text string"
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -87,14 +88,34 @@ def test_line_dedup(spark, odd):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
-def test_line_dedup_without_a_filter(spark, odd, monkeypatch):
-    from tidestat.llm import bloom
+def full(*_):
+    """A Bloom filter of far more hashes than bits: all pass."""
+    return lambda h: np.ones(len(h), bool)
 
-    monkeypatch.setattr(bloom, "MAX_FILTER_BYTES", 0)
+
+def test_line_dedup_with_a_full_filter(spark, odd, monkeypatch):
+    monkeypatch.setattr(bloom, "repeated", full)
     out = line_dedup.dedup_lines(frame(spark, odd))
     assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in out.collect()), key=str) == brute_lines(odd)
 
 
+def test_bloom_pair_over_its_bits(spark, monkeypatch):
+    """Fewer bits than hashes: more pass, none of the repeated ones is lost."""
+    monkeypatch.setattr(bloom, "MAX_FILTER_BYTES", 1 << 17)
+    df = spark.range(600_000).selectExpr("id % 590000 as h").repartition(4)
+    numbers = lambda batches: (b.column(0).to_numpy().astype(np.uint64) for b in batches)
+    test = bloom.repeated(df, numbers, 600_000)
+    assert test(np.arange(10_000, dtype=np.uint64)).all() and test(np.arange(10_000, 590_000, dtype=np.uint64)).mean() < 0.9
+    assert bloom.member(df, 600_000)(np.arange(590_000, dtype=np.uint64)).all()
+
+
+def test_hot_keys_meet_where_they_are(spark):
+    left = spark.createDataFrame([("hot", i) for i in range(3000)] + [(f"k{i % 50}", i) for i in range(100)], "key string, i int")
+    right = left.groupBy("key").count().where("key != 'k7'")
+    got = join_hot(left, right, ["key"], "count", left.count())
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, left.join(right, "key").collect()))
+
+
 # decontamination
 
 
@@ -173,10 +194,8 @@ def brute_windows(rows, window=20):
 
 @pytest.mark.parametrize("filtered", [True, False])
 def test_substring_dedup(spark, odd, monkeypatch, filtered):
-    from tidestat.llm import bloom
-
     if not filtered:
-        monkeypatch.setattr(bloom, "MAX_FILTER_BYTES", 0)
+        monkeypatch.setattr(bloom, "repeated", full)
     out = substring_dedup.dedup_substrings(frame(spark, odd))
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.text) for r in out.collect()), key=str) == brute_windows(odd)
 
@@ -213,12 +232,23 @@ def brute_components(rows, k=3, percent=90):
 
 @pytest.mark.parametrize("k,percent,block", [(3, 90, 2048), (5, 80, 3)])
 def test_jaccard_components(spark, odd, monkeypatch, k, percent, block):
+    if k == 5:
+        monkeypatch.setattr(bloom, "member", full)
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
     monkeypatch.setattr(jaccard_join, "MEDIUM", 2)
     monkeypatch.setattr(jaccard_join, "FREQUENT", 3)  # pairs of tokens, even here
     monkeypatch.setattr(jaccard_join, "CLASS_BITS", 1 << 20)
     out = jaccard_join.jaccard_components(frame(spark, odd), k, percent)
     assert sorted((tuple(r) for r in out.collect()), key=str) == brute_components(odd, k, percent)
+    assert jaccard_join.jaccard_components(frame(spark, [])).count() == 0
+    named = frame(spark, odd[:12]).withColumn("__GONE", F.lit(1))
+    assert jaccard_join.dedup_documents(named).columns == named.columns
+
+
+def test_jaccard_signatures_of_long_texts():
+    """A text of 200,000 frequent tokens has signatures in proportion to it."""
+    x = np.unique(np.random.default_rng(1).integers(0, 2**63, 200_000).astype(np.uint64))
+    assert len(jaccard_join.signatures(x, np.full(len(x), 2), 90)) < 12 * len(x) * 0.1 + 1000
 
 
 def test_jaccard_random_groups(spark, monkeypatch):
@@ -239,13 +269,15 @@ def test_jaccard_random_groups(spark, monkeypatch):
 
 
 @settings(max_examples=80, deadline=None)
-@given(st.integers(2, 60), st.integers(0, 8), st.integers(0, 10**6))
-def test_linked_sets_share_a_signature(n, edits, seed):
+@given(st.integers(2, 60) | st.integers(500, 4000), st.floats(0, 0.25), st.integers(0, 10**6), st.booleans(), st.integers(0, 2))
+def test_linked_sets_share_a_signature(n, share, seed, least, kind):
     rng = np.random.default_rng(seed)
-    x = np.unique(rng.integers(0, 200, n).astype(np.uint64))
-    y = np.unique(np.concatenate([x[edits // 2 :], rng.integers(200, 400, edits // 2).astype(np.uint64)]))
+    x = np.unique(rng.integers(0, 50 * n, n).astype(np.uint64))
+    edits = int(n * share)
+    gone = x[edits:] if least else rng.permutation(x)[edits:]  # the prefix, or anything
+    y = np.unique(np.concatenate([gone, rng.integers(50 * n, 100 * n, int(edits * rng.random())).astype(np.uint64)]))
     inter = len(np.intersect1d(x, y))
-    classes = lambda t: (t % np.uint64(3)).astype(int)
+    classes = lambda t: (t % np.uint64(3)).astype(int) if kind == 0 else np.full(len(t), kind)
     if min(len(x), len(y)) > 1 and 100 * inter >= 80 * (len(x) + len(y) - inter) and not np.array_equal(x, y):
         assert set(jaccard_join.signatures(x, classes(x), 80).tolist()) & set(jaccard_join.signatures(y, classes(y), 80).tolist())
 

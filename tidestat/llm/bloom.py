@@ -1,4 +1,8 @@
-"""A pair of Bloom filters over 64-bit hashes, built by all tasks: which hashes were seen twice?"""
+"""A pair of Bloom filters over 64-bit hashes, built by all tasks: which hashes were seen twice?
+
+Filters are broadcast, so their size has a bound; there is no other way beyond it. A filter of more hashes than it has bits for
+only lets more of them pass, up to all, and what follows must be right (only larger) with any of them.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +17,7 @@ from tidestat.llm.common import small_batches, spread, tidy
 BITS_PER_KEY = 8
 PROBES = 2
 SEGMENT_BITS = 1 << 20
-MAX_FILTER_BYTES = 256 << 20
+MAX_FILTER_BYTES = 64 << 20
 #: Bit positions that a task holds before it passes them on.
 HELD = 4_000_000
 
@@ -24,6 +28,10 @@ def positions(hashes: np.ndarray, segments: int) -> np.ndarray:
     return np.stack([seg * SEGMENT_BITS + (spread(hashes, i) % np.uint64(SEGMENT_BITS)).astype(np.int64) for i in range(PROBES)], 1)
 
 
+def _segments(bits: int) -> int:
+    return max(1, min(-(-bits // SEGMENT_BITS), MAX_FILTER_BYTES * 8 // SEGMENT_BITS))
+
+
 def _rows(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """A task's set bits by segment: once holds those seen once, twice those seen more often."""
     if not held:
@@ -55,12 +63,9 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated(df: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], estimate: int) -> Callable[[np.ndarray], np.ndarray]:
     """A test on executors: False only for hashes seen at most once in all of df.
 
-    ``hashes(batches)`` yields arrays of uint64. The filter takes BITS_PER_KEY bits for each of `estimate` hashes;
-    beyond MAX_FILTER_BYTES the test is True for all, and what follows must be right (only larger) without it.
+    ``hashes(batches)`` yields arrays of uint64. The filter takes BITS_PER_KEY bits for each of `estimate` hashes, MAX_FILTER_BYTES at most.
     """
-    segments = max(1, -(-estimate * BITS_PER_KEY // SEGMENT_BITS))
-    if segments * SEGMENT_BITS // 8 > MAX_FILTER_BYTES:
-        return lambda h: np.ones(len(h), bool)
+    segments = _segments(estimate * BITS_PER_KEY)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -75,10 +80,7 @@ def repeated(df: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterato
     small_batches(df.sparkSession)
     parts = df.mapInArrow(tidy(collect), "seg long, once binary, twice binary")
     merged = parts.repartition(min(segments, 512), "seg").mapInArrow(tidy(_merge), "seg long, bits binary")
-    table = np.zeros((segments, SEGMENT_BITS // 8), np.uint8)
-    for r in merged.toLocalIterator():  # at most MAX_FILTER_BYTES
-        table[r.seg] = np.frombuffer(r.bits, np.uint8)
-    shared = df.sparkSession.sparkContext.broadcast(table.ravel())
+    shared = df.sparkSession.sparkContext.broadcast(_table(merged, segments))
 
     def test(h: np.ndarray) -> np.ndarray:
         bits, hold = positions(h, segments), np.ones(len(h), bool)
@@ -115,9 +117,15 @@ def _slots(df: DataFrame, probes: int, bits: int) -> np.ndarray:
 
     small_batches(df.sparkSession)
     parts = df.mapInArrow(tidy(deal), "seg long, once binary, twice binary")
+    return _table(parts.repartition(min(segments, 64), "seg").mapInArrow(tidy(merge), "seg long, bits binary"), segments)
+
+
+def _table(parts: DataFrame, segments: int) -> np.ndarray:
+    """The segments (seg, bits) side by side on the driver: MAX_FILTER_BYTES at most."""
     table = np.zeros((segments, SEGMENT_BITS // 8), np.uint8)
-    for r in parts.repartition(min(segments, 64), "seg").mapInArrow(tidy(merge), "seg long, bits binary").toLocalIterator():
-        table[r.seg] = np.frombuffer(r.bits, np.uint8)  # at most `bits` bits
+    for b in parts.toArrow().to_batches():
+        for s, bits in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            table[s] = np.frombuffer(bits.as_buffer(), np.uint8)
     return table.ravel()
 
 
@@ -142,9 +150,6 @@ def bitmap(df: DataFrame, bits: int) -> Callable[[np.ndarray], np.ndarray]:
     return _test(df, 1, bits)
 
 
-def member(df: DataFrame, count: Callable[[], int]) -> Callable[[np.ndarray], np.ndarray]:
-    """A test that is True for all of df's hashes and few others; True for all where it would pass MAX_FILTER_BYTES."""
-    bits = max(1, -(-count() * 10 // SEGMENT_BITS)) * SEGMENT_BITS
-    if bits // 8 > MAX_FILTER_BYTES:
-        return lambda h: np.ones(len(h), bool)
-    return _test(df, 3, bits)
+def member(df: DataFrame, count: int) -> Callable[[np.ndarray], np.ndarray]:
+    """A test that is True for all of df's `count` hashes and few others (more where they are many for MAX_FILTER_BYTES)."""
+    return _test(df, 3, _segments(count * 10) * SEGMENT_BITS)

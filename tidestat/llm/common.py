@@ -149,3 +149,15 @@ def spread(keys: np.ndarray, seed: int = 0) -> np.ndarray:
 def n_chars_of(df: DataFrame, text: str = "text") -> DataFrame:
     """df with n_chars, if it has that column, brought up to date."""
     return df.withColumn("n_chars", F.length(text).cast(df.schema["n_chars"].dataType)) if "n_chars" in df.columns else df
+
+
+#: A key of this share of the rows (one in so many) is hot.
+HOT = 1_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """The inner join of left with right, whose rows are unique by keys and say in `weight` how many of left's `total` rows
+    have them. Hot keys, HOT at most, are broadcast, so that none of them meets in one task."""
+    hot = F.broadcast(right.where(F.col(weight) * HOT >= total))
+    rest = left.join(hot.select(*keys), keys, "left_anti").join(right.where(F.col(weight) * HOT < total), keys)
+    return left.join(hot, keys).unionByName(rest)

@@ -42,20 +42,21 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             f.join(x, y)
     ids = list(f.up)
-    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([f.find(x) for x in ids], pa.int64())], names=["id", "root"])
+    if ids:
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([f.find(x) for x in ids])], names=["id", "root"])
 
 
 def components(edges: DataFrame, name: str = "components", one_task: int = ONE_TASK) -> DataFrame:
-    """id, root for every vertex of edges (a long, b long); equal roots mark one component.
+    """id, root for every vertex of edges (a, b: both long, or both binary); equal roots mark one component.
 
     While the graph is large, each vertex moves to its neighbour (or itself) of least hash under a fresh order and
     the graph is contracted: its size falls by a constant factor a round in expectation, whatever its shape.
     """
     edges = materialise(edges.select("a", "b").where("a != b").distinct(), f"{name}-edges")
-    labels = None
+    kind, labels = edges.schema["a"].dataType.simpleString(), None
     for seed in range(100):
         if edges.limit(one_task + 1).count() <= one_task:
-            last = edges.coalesce(1).mapInArrow(tidy(_finish), "id long, root long")
+            last = edges.coalesce(1).mapInArrow(tidy(_finish), f"id {kind}, root {kind}")
             return materialise(last if labels is None else _compose(labels, last), name)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         order = lambda c: F.xxhash64(F.col(c), F.lit(seed))  # noqa: B023, E731  used at once

@@ -5,10 +5,10 @@
    or two tasks saw it once. A key in two documents has all its bits in the second filter: no repeat is missed.
 2. A second scan emits (key digest, doc_id) only for keys that the second filter suspects. A grouped min / max
    (combined before the shuffle, so a hot line is one row a task) confirms keys in two documents and picks the first.
-3. Suspects meet the confirmed keys (Spark splits a hot key's partition), and each document gets its drops.
+3. Suspects meet the confirmed keys (hot ones are broadcast), and each document gets its drops.
 
-The filters are sized from a count of all lines. Beyond bloom.MAX_FILTER_BYTES every line is a suspect instead:
-the exact path alone, with 24 bytes shuffled for each distinct line of a task.
+The filters are sized from a count of all lines, up to bloom.MAX_FILTER_BYTES. Of more lines than these have bits for, more
+are suspects: 24 bytes shuffled for each, which is what the exact steps take without any filter.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
 from tidestat.llm import bloom
-from tidestat.llm.common import LOWER, SPACE, code_points, map_rows, materialise, n_chars_of, raw, strings, tidy
+from tidestat.llm.common import LOWER, SPACE, code_points, fresh, join_hot, map_rows, materialise, n_chars_of, raw, strings, tidy
 
 MIN_LENGTH = 10
 
@@ -87,20 +87,21 @@ def dedup_lines(docs: DataFrame, min_length: int = MIN_LENGTH, doc_id: str = "do
     newlines = F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1
     lines = docs.agg(F.sum(newlines)).first()[0] or 0
     suspects = materialise(_suspects(docs, lines, min_length, doc_id, text), "line-suspects")
-    confirmed = suspects.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+    confirmed = suspects.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n"))
     confirmed = materialise(confirmed.where("first < last").drop("last"), "line-keys")
+    c_doc, c_drop = fresh(docs, "__doc", "__drop")
     drops = (
-        suspects.join(confirmed, ["h1", "h2"])
+        join_hot(suspects, confirmed, ["h1", "h2"], "n", suspects.count())
         .where("doc != first")
-        .groupBy(F.col("doc").alias("__doc"))
-        .agg(F.collect_list("h1").alias("__drop"))
+        .groupBy(F.col("doc").alias(c_doc))
+        .agg(F.collect_list("h1").alias(c_drop))
     )
-    joined = docs.join(drops, F.col(doc_id).cast("long") == F.col("__doc"), "left").drop("__doc")
+    joined = docs.join(drops, F.col(doc_id).cast("long") == F.col(c_doc), "left").drop(c_doc)
 
     def make():
         def each(b: pa.RecordBatch, texts: list[bytes | None]) -> dict[str, pa.Array]:
             out, n_lines, n_dropped = [], [], []
-            for t, drop in zip(texts, b.column(b.schema.get_field_index("__drop")).to_pylist(), strict=True):
+            for t, drop in zip(texts, b.column(b.schema.get_field_index(c_drop)).to_pylist(), strict=True):
                 if not drop:
                     out.append(t or b"")
                     n_lines.append((t or b"").count(b"\n") + 1)
@@ -117,5 +118,5 @@ def dedup_lines(docs: DataFrame, min_length: int = MIN_LENGTH, doc_id: str = "do
         return each
 
     fields = [StructField("n_lines", LongType()), StructField("n_dropped", LongType())]
-    done = map_rows(joined, text, [*fields], make, drop=("__drop",))
+    done = map_rows(joined, text, [*fields], make, drop=(c_drop,))
     return n_chars_of(done, text)
