@@ -1,7 +1,8 @@
 """Substring dedup by recompression: rounds name token runs, then pairs, by content, so that equal substrings get equal
 interior symbols in every document; symbols that several documents share reveal and verify long repeats.
 
-A name is a hash of what it spells, so the same run or pair has the same name everywhere without a table of names.
+A name is a hash of what it spells, so the same run or pair has the same name in every task: the rounds need no shuffle and no
+table of names.
 Round 0 names runs of one token; each pair round deals symbols to two classes by a bit of their names and names every
 adjacent (left class, right class) pair. Each symbol carries the context that its parse depends on; if the context lies
 inside a window, every occurrence of that window has that symbol at that place.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
 from tidestat.llm import bloom
-from tidestat.llm.common import BLANK, map_rows, materialise, n_chars_of, raw, spread, strings, tidy
+from tidestat.llm.common import BLANK, fresh, join_hot, map_rows, materialise, n_chars_of, raw, spread, strings, tidy
 
 WINDOW = 20
 PAIR_ROUNDS = 2
@@ -228,11 +229,12 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, rounds: int = PAIR_R
     estimate = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     anchors = anchor_rows(docs, estimate // 30 + 1, window, rounds, doc_id, text)
     anchors = materialise(anchors.withColumn("around", F.xxhash64("hashes")), "anchors")
-    groups = anchors.groupBy("key", "around").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+    total = anchors.count()
+    groups = anchors.groupBy("key", "around").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("rows"))
     groups = materialise(groups, "anchor-groups")
+    places = anchors.select("key", "around", "doc", "start", F.size("hashes").alias("n"))
     whole = (
-        anchors.select("key", "around", "doc", "start", F.size("hashes").alias("n"))
-        .join(groups.where("first < last").drop("last"), ["key", "around"])
+        join_hot(places, groups.where("first < last").drop("last"), ["key", "around"], "rows", total)
         .where("doc > first")
         .select("doc", "start", "n")
     )
@@ -240,7 +242,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, rounds: int = PAIR_R
     # these anchors' window hashes shuffle.
     several = groups.groupBy("key").agg(F.min("around").alias("a"), F.max("around").alias("b")).where("a < b").select("key")
     firsts = materialise(groups.join(several, "key", "left_semi").drop("last"), "anchor-firsts")
-    mixed = anchors.join(firsts, ["key", "around"]).where("doc = first").select("key", "doc", "start", "hashes")
+    mixed = join_hot(anchors, firsts, ["key", "around"], "rows", total).where("doc = first").select("key", "doc", "start", "hashes")
     mixed = materialise(mixed, "anchor-mixed")
     earliest = mixed.select("key", "doc", F.explode("hashes").alias("h")).groupBy("key", "h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
     earliest = materialise(earliest.where("lo < hi").drop("hi"), "windows")
@@ -268,15 +270,16 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, rounds: int = PAIR_R
     empty tables work; other columns pass through; n_chars, if present, follows the new text.
     """
     docs = docs.drop("n_words", "n_removed")
-    found = repeated_windows(docs, window, rounds, doc_id, text).withColumnsRenamed({"doc": "__doc", "windows": "__windows"})
-    joined = docs.join(found, F.col(doc_id).cast("long") == F.col("__doc"), "left").drop("__doc")
+    c_doc, c_windows = fresh(docs, "__doc", "__windows")
+    found = repeated_windows(docs, window, rounds, doc_id, text).withColumnsRenamed({"doc": c_doc, "windows": c_windows})
+    joined = docs.join(found, F.col(doc_id).cast("long") == F.col(c_doc), "left").drop(c_doc)
 
     def make():
         powers = Powers()
 
         def each(b: pa.RecordBatch, texts: list[bytes | None]) -> dict[str, pa.Array]:
             out, n_words, n_removed = [b""] * len(texts), [0] * len(texts), [0] * len(texts)
-            lists = b.column(b.schema.get_field_index("__windows"))
+            lists = b.column(b.schema.get_field_index(c_windows))
             for at, words in _slices(texts):
                 sizes = np.array([len(w) for w in words])
                 base = np.concatenate([[0], np.cumsum(sizes)])
@@ -301,7 +304,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, rounds: int = PAIR_R
         return each
 
     fields = [StructField("n_words", LongType()), StructField("n_removed", LongType())]
-    return n_chars_of(map_rows(joined, text, fields, make, drop=("__windows",)), text)
+    return n_chars_of(map_rows(joined, text, fields, make, drop=(c_windows,)), text)
 
 
 def _own_repeats(words: list[list[bytes]], sizes: np.ndarray, base: np.ndarray, powers: Powers, window: int) -> np.ndarray:
