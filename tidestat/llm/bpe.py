@@ -12,6 +12,7 @@ is still long merges all its pairs of least rank at once.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,7 +24,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField
 
 from tidestat.llm.common import fresh, map_rows, materialise, raw, release, stored, tidy
 
@@ -32,7 +33,7 @@ MAX_WORDS = 1_000_000
 #: Bytes from which a word is cut, and its equal pairs merge together.
 LONG = 48
 #: Words that a task holds while it counts, and while it encodes.
-_HELD = 150_000
+_HELD = 80_000
 #: Characters split into words at a time.
 _SLICE = 500_000
 _GAP = b"\xff\xff\xff\xff"
@@ -273,14 +274,19 @@ def word_table(docs: DataFrame, tokenizer: Tokenizer, text: str = "text", most:
     return table
 
 
-def encode(docs: DataFrame, tokenizer: Tokenizer, text: str = "text", most: int = MAX_WORDS, keep_text: bool = True) -> DataFrame:
+def encode(
+    docs: DataFrame, tokenizer: Tokenizer, text: str = "text", most: int = MAX_WORDS, keep_text: bool = True, digests: bool = False, keep_tokens: bool = True
+) -> DataFrame:
     """docs with tokens (array<int>): the ids of each whole text, without special tokens; null text has none. The text itself
-    goes if keep_text is false, and then is read once only.
+    goes if keep_text is false, and then is read once only; so do the tokens. With digests, the ids are decoded again, in the
+    same pass, and n_tokens, ids_sha256 (of the ids as little-endian 32-bit integers) and decoded_sha256 are added.
 
-    A text of only empty matches has no tokens; repeated rows, extra columns and an empty table pass through; a column
-    `tokens` is replaced. The pattern is applied by Unicode rules.
+    A text of only empty matches has no tokens; repeated rows, extra columns and an empty table pass through; columns of
+    the names that are added are replaced. The pattern is applied by Unicode rules.
     """
-    spark, docs = docs.sparkSession, docs.drop("tokens")
+    added = [StructField("tokens", ArrayType(IntegerType()))] if keep_tokens else []
+    added += [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())] if digests else []
+    spark, docs = docs.sparkSession, docs.drop(*[f.name for f in added])
     shared = spark.sparkContext.broadcast((word_table(docs, tokenizer, text, most), piece_array(tokenizer)))
     split = Splitter(tokenizer)
     c_ids, c_gaps, c_new = fresh(docs, "__ids", "__gaps", "__new")
@@ -331,13 +337,19 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text: str = "text", most: int
                 parts.append(a)
             offsets = np.concatenate([[0], np.cumsum([len(a) for a in parts])]).astype(np.int32)
             values = np.concatenate(parts).astype(np.int32) if parts else np.empty(0, np.int32)
-            return {"tokens": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))}
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+            if not digests:
+                return {"tokens": lists}
+            decoded = [hashlib.sha256(x).hexdigest() for x in decode_lists(lists, shared.value[1])]
+            coded = [hashlib.sha256(a.astype("<u4").tobytes()).hexdigest() for a in parts]
+            made = {"n_tokens": [len(a) for a in parts], "ids_sha256": coded, "decoded_sha256": decoded}
+            return {"tokens": lists} | {k: pa.array(v, pa.int64() if k == "n_tokens" else pa.string()) for k, v in made.items()}
 
         return each
 
     hidden = [StructField(c_ids, BinaryType()), StructField(c_gaps, ArrayType(IntegerType())), StructField(c_new, ArrayType(StringType()))]
     first = tokenizer.folded(map_rows(docs, text, hidden, known, drop=() if keep_text else (text,)), c_new, c_new)
-    return map_rows(first, None, [StructField("tokens", ArrayType(IntegerType()))], join, drop=(c_ids, c_gaps, c_new))
+    return map_rows(first, None, added, join, drop=(c_ids, c_gaps, c_new))
 
 
 def _cuts(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:

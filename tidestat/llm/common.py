@@ -35,8 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 8 MB: texts may be long, and two workers share an executor."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """Arrow batches of at most 2 MB: texts may be long, and several workers share an executor."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField
 
 from tidestat.llm import audio, bpe, chat, decontaminate, html_extract, jaccard_join, licenses, line_dedup, substring_dedup, toxicity
-from tidestat.llm.common import map_rows, materialise
+from tidestat.llm.common import materialise
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -37,22 +34,8 @@ def tokenizer() -> bpe.Tokenizer:
 
 
 def op3_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
-    tok = tokenizer()
-    coded = bpe.encode(_table(spark, d, "documents").select("doc_id", "text"), tok, keep_text=False)
-    shared = spark.sparkContext.broadcast(bpe.piece_array(tok))
-
-    def make():
-        def each(b: pa.RecordBatch, _: list) -> dict[str, pa.Array]:
-            lists = b.column(b.schema.get_field_index("tokens"))
-            raw_ids = [x.values.to_numpy().astype("<u4").tobytes() for x in lists]
-            text = [hashlib.sha256(x).hexdigest() for x in bpe.decode_lists(lists, shared.value)]
-            ids = [hashlib.sha256(x).hexdigest() for x in raw_ids]
-            return {"n_tokens": pa.array([len(x) // 4 for x in raw_ids], pa.int64()), "ids_sha256": pa.array(ids), "decoded_sha256": pa.array(text)}
-
-        return each
-
-    fields = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
-    return map_rows(coded, None, fields, make, drop=("tokens",))
+    docs = _table(spark, d, "documents").select("doc_id", "text")
+    return bpe.encode(docs, tokenizer(), keep_text=False, keep_tokens=False, digests=True)
 
 
 HELD_OUT = "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 3 = 1, false)"
