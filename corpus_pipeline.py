@@ -8,7 +8,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidestat.llm import bpe, decontaminate, jaccard_join, line_dedup, toxicity
 from tidestat.llm.common import materialise
@@ -46,11 +45,9 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of documents with tokens, the byte-level BPE ids of each text, and decoded_sha256, the digest of what the
-    ids decode to (that of the text). Columns of those two names are replaced."""
-    tok = tokenizer()
-    decoded = bpe.decode(bpe.encode(docs.drop("decoded_sha256"), tok), tok, out="__decoded")
-    return decoded.withColumn("decoded_sha256", F.sha2("__decoded", 256)).drop("__decoded")
+    """The columns of documents with tokens (the byte-level BPE ids of each text), n_tokens, ids_sha256, and decoded_sha256, the
+    digest of what the ids decode to (that of the text). Columns of those names are replaced."""
+    return bpe.encode(docs, tokenizer(), digests=True)
 
 
 STAGES = [
