@@ -495,10 +495,31 @@ def test_licenses(spark):
     rows = [(1, mit), (2, "Copyright (c) 2020 Somebody\n\n" + mit.upper().replace(",", " ;")), (3, mit + " extra"), (4, None), (5, ""), (6, "text\n  licensed under the MIT licence.\nLicensed under CC BY-NC 4.0.")]
     got = {r.doc_id: (r.license, list(r.notices)) for r in licenses.scan(frame(spark, rows)).collect()}
     assert got == {1: ("MIT", []), 2: ("MIT", []), 3: (None, []), 4: (None, []), 5: (None, []), 6: (None, ["CC-BY-NC-4.0", "MIT"])}
+    assert licenses.scan(frame(spark, [])).count() == 0
+    long = " ".join(f"w{i}" for i in range(300))  # a notice may be of any length
+    assert licenses.scan(frame(spark, [(1, f"a\n{long.upper()}!\nb")]), notices=(("own", long),)).first().notices == ["own"]
+    clash = frame(spark, rows).withColumn("__FORM", F.lit(1)).withColumn("Digest", F.lit(2))
+    assert licenses.scan(clash).columns == [*frame(spark, rows).columns, "__FORM", "digest", "license", "notices"]
     plan = licenses.scan(frame(spark, rows))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_whole_licences_by_digest(spark):
+    """Planted whole texts, spelt otherwise and with another holder."""
+    d = "/usr/share/common-licenses"
+    if not os.path.isdir(d):
+        pytest.skip("needs the licence texts")
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "Artistic": "Artistic-1.0-Perl"}
+    rows, want = [], {}
+    for i, (name, k) in enumerate(sorted(files.items())):
+        with open(f"{d}/{name}") as f:
+            t = f.read()
+        for j, x in enumerate((t, "Copyright 2024 A. Holder\n" + t.replace("license", "licence").replace(",", " , "), t.replace(" ", "  ").replace("THE", "the"), t + " more")):
+            rows.append((10 * i + j, x))
+            want[10 * i + j] = None if j == 3 else k
+    assert {r.doc_id: r.license for r in licenses.scan(frame(spark, rows)).collect()} == want
+
+
 # audio
 
 

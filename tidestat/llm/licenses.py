@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidestat.llm.common import fresh
+
 # Whole lines that name a holder rather than a term.
 COPYRIGHT_LINE = r"(?m)^[ \t>*#/;%-]*(?:[Cc]opyright|COPYRIGHT|\([Cc]\)|©|[Aa]ll [Rr]ights [Rr]eserved)[^\n]*$"
 # Spellings that licence texts use alike, with the canonical one.
@@ -102,48 +104,78 @@ NOTICES = (
     ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0"),
 )
 
+# SHA-256 of the canonical forms of whole licence texts too long to stand here, by identifier, from the texts that
+# Debian's base-files package installs in /usr/share/common-licenses.
+DIGESTS = (
+    ("Apache-2.0", "3f3112fe3656909b8bf79c7ec7988f83a43b47aeadf2b7d62205aaf449d9f1be"),
+    ("Artistic-1.0-Perl", "66e644aafc5ff1de25be918be7e71d1d851bab015f750bc67c5b245e5f33ff39"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "835e93c269f96ffb287b3c8c1c5d41482a48fe84971237b192ae3d0f85299142"),
+    ("GFDL-1.3", "2d23a1792689607291f114da9fdb3b413c6ef2346dfb9e4fafe0c5cf9b969da3"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-2.0", "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1"),
+    ("GPL-3.0", "f3ab5ee40da170411ea6671f9845ada2aaba303ee57ba6086b373d1e66c9dc3f"),
+    ("LGPL-2.0", "9b0b3105b96203f9d9e4b72d4b77951152156c88139302b5aedf6295e3ceaaa3"),
+    ("LGPL-2.1", "cb225061bb71741fe8b31a2092e22fe05b1130438158ae5d16c48fd50186e345"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "fbe9a0b96f52e03cb474f9a7083781399c011279e85b548118563ec96e659354"),
+    ("MPL-2.0", "8f0473f9c917c507827dca355168119bb065ca1a9dab0e366988bcdba5fa039b"),
+)
 
-def canonical(text: Column) -> Column:
-    """The canonical form of a text; null stays null."""
+
+def canonical_lines(text: Column) -> Column:
+    """The canonical form of a text line by line, blanks around lines included; null stays null."""
     out = F.translate(F.regexp_replace(text, COPYRIGHT_LINE, ""), _UPPER, _LOWER)
     for a, b in EQUIVALENT:
         out = F.replace(out, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(out, "[^a-z0-9]+", " "))
+    return F.regexp_replace(out, "[^a-z0-9\n]+", " ")
+
+
+def canonical(text: Column) -> Column:
+    """The canonical form of a text; null stays null."""
+    return _whole(canonical_lines(text))
+
+
+def _whole(lines: Column) -> Column:
+    return F.trim(F.regexp_replace(lines, "[ \n]+", " "))
 
 
-def registry(spark: SparkSession, known: tuple[tuple[str, str], ...]) -> DataFrame:
-    """license, digest: each digest once (the first identifier by name). A table of constants, a few KB."""
-    rows = F.inline(F.array(*[F.struct(F.lit(k).alias("license"), F.lit(v).alias("t")) for k, v in known]))
-    digest = F.sha2(canonical(F.col("t")).cast("binary"), 256)
-    return spark.range(1).select(rows).select("license", digest.alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
+def digest(form: Column) -> Column:
+    return F.sha2(form.cast("binary"), 256)
 
 
-def scan(docs: DataFrame, texts: tuple[tuple[str, str], ...] = TEXTS, notices: tuple[tuple[str, str], ...] = NOTICES, text: str = "text") -> DataFrame:
+def registry(spark: SparkSession, known: tuple[tuple[str, str], ...], digests: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """license, digest: each digest once (the first identifier by name), of texts or given. A table of constants, a few KB."""
+    rows = [F.struct(F.lit(k).alias("license"), digest(canonical(F.lit(v))).alias("digest")) for k, v in known]
+    rows += [F.struct(F.lit(k).alias("license"), F.lit(v).alias("digest")) for k, v in digests]
+    return spark.range(1).select(F.inline(F.array(*rows))).groupBy("digest").agg(F.min("license").alias("license"))
+
+
+def scan(
+    docs: DataFrame,
+    texts: tuple[tuple[str, str], ...] = TEXTS,
+    notices: tuple[tuple[str, str], ...] = NOTICES,
+    digests: tuple[tuple[str, str], ...] = DIGESTS,
+    text: str = "text",
+) -> DataFrame:
     """docs with digest, license (of the whole text, null if unknown) and notices (sorted distinct licences whose one-line
     notice is a line of the text); these replace columns of the same name.
 
     Cases: null text has null digest and license and no notices; an empty text, or one of punctuation alone, has the digest of nothing and
-    no license; repeated rows each get their row; extra columns pass through.
+    no license; an empty table gives an empty table; repeated rows each get their row; extra columns pass through.
     """
     spark = docs.sparkSession
     docs = docs.drop("digest", "license", "notices")
-    known = F.broadcast(registry(spark, texts))  # constants
-    whole = docs.withColumn("digest", F.sha2(canonical(F.col(text)).cast("binary"), 256)).join(known, "digest", "left")
-    # Notices are looked up in the row: a map literal of a few digests, on the lines that can be one.
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    form = fresh(docs, "__form")[0]
+    formed = docs.select(*names, canonical_lines(F.col(f"`{text}`")).alias(form))
+    known = F.broadcast(registry(spark, texts, digests))  # constants
+    # Lines are looked up by digest too, in the row: a map of a few constants.
     at = {}
-    for k, v in notices:
-        at.setdefault(_plain(v), k)
-    table = F.create_map(*[x for k, v in at.items() for x in (F.lit(k), F.lit(v))])
-    lines = F.filter(F.split(F.col(text), "\n"), lambda x: F.length(x).between(3, 200) & x.rlike("(?i)licen[sc]"))
-    found = F.transform(lines, lambda x: F.element_at(table, canonical(x)))
-    return whole.withColumn("notices", F.coalesce(F.array_sort(F.array_distinct(F.array_compact(found))), F.array().cast("array<string>"))).select(
-        *docs.columns, "digest", "license", "notices"
-    )
-
-
-def _plain(text: str) -> str:
-    """canonical() of a constant without copyright lines, on the driver."""
-    out = text.translate(str.maketrans(_UPPER, _LOWER))
-    for a, b in EQUIVALENT:
-        out = out.replace(a, b)
-    return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in out).split())
+    for k, v in sorted(notices):
+        at.setdefault(v, k)
+    table = F.map_from_entries(F.array_distinct(F.array(*[F.struct(digest(canonical(F.lit(v))), F.lit(k)) for v, k in at.items()])))
+    found = F.transform(F.split(form, "\n"), lambda x: F.element_at(table, digest(F.trim(x))))
+    kept = F.coalesce(F.array_sort(F.array_distinct(F.array_compact(found))), F.array().cast("array<string>"))
+    done = formed.select(*names, digest(_whole(F.col(form))).alias("digest"), kept.alias("notices"))
+    return done.join(known, "digest", "left").select(*names, "digest", "license", "notices")

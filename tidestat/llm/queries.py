@@ -172,10 +172,11 @@ ORACLE: dict[str, str] = {
       reach(a, b) AS (SELECT r, r FROM w UNION SELECT reach.a, two.b FROM reach JOIN two ON two.a = reach.b),
       c AS (SELECT reach.a AS r, min(w.doc_id) AS component_id FROM reach JOIN w ON w.r = reach.b GROUP BY 1)
       SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id FROM w LEFT JOIN n USING (r) JOIN c USING (r)""",
-    "op5_license_scan": f"""WITH known(license, digest) AS (SELECT min(k), sha256({_canonical_sql('t')}) FROM (VALUES {_values(licenses.TEXTS)}) v(k, t) GROUP BY 2),
-      notes(license, form) AS (SELECT min(k), {_canonical_sql('t')} FROM (VALUES {_values(licenses.NOTICES)}) v(k, t) GROUP BY 2),
+    "op5_license_scan": f"""WITH known(license, digest) AS (SELECT min(k), d FROM (SELECT k, sha256({_canonical_sql('t')}) AS d FROM (VALUES {_values(licenses.TEXTS)}) v(k, t)
+          UNION ALL SELECT * FROM (VALUES {_values(licenses.DIGESTS)}) w(k, d)) GROUP BY 2),
+      notes(license, digest) AS (SELECT min(k), sha256({_canonical_sql('t')}) FROM (VALUES {_values(licenses.NOTICES)}) v(k, t) GROUP BY 2),
       d AS (SELECT doc_id, row_number() OVER () AS r, text, sha256({_canonical_sql('text')}) AS digest FROM documents),
       l AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
-      n AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM (SELECT * FROM l WHERE length(line) BETWEEN 3 AND 200 AND regexp_matches(line, '(?i)licen[sc]')) x JOIN notes ON form = {_canonical_sql('line')} GROUP BY r)
+      n AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM l JOIN notes ON digest = sha256({_canonical_sql('line')}) GROUP BY r)
       SELECT d.doc_id, d.digest, known.license, coalesce(n.notices, '') AS notices FROM d LEFT JOIN known USING (digest) LEFT JOIN n USING (r)""",
 }
