@@ -1,7 +1,7 @@
 """Licence scans: canonical digests of whole texts, hash-joined with known licences. Native: built-in functions only.
 
-The canonical form drops copyright lines, lowers A-Z, replaces equivalent spellings, and turns everything but a-z and 0-9 into
-single blanks. Two texts are the same licence if their forms have one SHA-256.
+The canonical form drops copyright lines, lowers A-Z, turns everything but a-z and 0-9 into single blanks, and replaces
+equivalent spellings. Two texts are the same licence if their forms have one SHA-256.
 """
 
 from __future__ import annotations
@@ -13,14 +13,12 @@ from tidestat.llm.common import fresh
 
 # Whole lines that name a holder rather than a term.
 COPYRIGHT_LINE = r"(?m)^[ \t>*#/;%-]*(?:[Cc]opyright|COPYRIGHT|\([Cc]\)|©|[Aa]ll [Rr]ights [Rr]eserved)[^\n]*$"
-# Spellings that licence texts use alike, with the canonical one.
+# Spellings that licence texts use alike, with the canonical one, in lower case and with single blanks for punctuation.
 EQUIVALENT = (
-    ("http://", "https://"),
-    ("&", " and "),
+    ("http ", "https "),
     ("licence", "license"),
-    ("sub-license", "sublicense"),
     ("sub license", "sublicense"),
-    ("non-infringement", "noninfringement"),
+    ("non infringement", "noninfringement"),
     ("per cent", "percent"),
     ("whilst", "while"),
     ("organisation", "organization"),
@@ -109,7 +107,7 @@ NOTICES = (
 DIGESTS = (
     ("Apache-2.0", "3f3112fe3656909b8bf79c7ec7988f83a43b47aeadf2b7d62205aaf449d9f1be"),
     ("Artistic-1.0-Perl", "66e644aafc5ff1de25be918be7e71d1d851bab015f750bc67c5b245e5f33ff39"),
-    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("CC0-1.0", "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"),
     ("GFDL-1.2", "835e93c269f96ffb287b3c8c1c5d41482a48fe84971237b192ae3d0f85299142"),
     ("GFDL-1.3", "2d23a1792689607291f114da9fdb3b413c6ef2346dfb9e4fafe0c5cf9b969da3"),
     ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
@@ -123,21 +121,26 @@ DIGESTS = (
 )
 
 
-def canonical_lines(text: Column) -> Column:
-    """The canonical form of a text line by line, blanks around lines included; null stays null."""
+def plain_lines(text: Column) -> Column:
+    """A text line by line in lower case, without copyright lines, with single blanks for what is no letter or digit; null stays null."""
     out = F.translate(F.regexp_replace(text, COPYRIGHT_LINE, ""), _UPPER, _LOWER)
+    return F.regexp_replace(F.replace(out, F.lit("&"), F.lit(" and ")), "[^a-z0-9\n]+", " ")
+
+
+def _whole(lines: Column) -> Column:
+    """The canonical form of plain lines: joined, trimmed, spelt alike (also where a line break parted a spelling)."""
+    return _spelt(F.trim(F.regexp_replace(lines, "[ \n]+", " ")))
+
+
+def _spelt(form: Column) -> Column:
     for a, b in EQUIVALENT:
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return F.regexp_replace(out, "[^a-z0-9\n]+", " ")
+        form = F.replace(form, F.lit(a), F.lit(b))
+    return form
 
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text; null stays null."""
-    return _whole(canonical_lines(text))
-
-
-def _whole(lines: Column) -> Column:
-    return F.trim(F.regexp_replace(lines, "[ \n]+", " "))
+    return _whole(plain_lines(text))
 
 
 def digest(form: Column) -> Column:
@@ -168,14 +171,14 @@ def scan(
     docs = docs.drop("digest", "license", "notices")
     names = [F.col(f"`{c}`") for c in docs.columns]
     form = fresh(docs, "__form")[0]
-    formed = docs.select(*names, canonical_lines(F.col(f"`{text}`")).alias(form))
+    formed = docs.select(*names, plain_lines(F.col(f"`{text}`")).alias(form))
     known = F.broadcast(registry(spark, texts, digests))  # constants
     # Lines are looked up by digest too, in the row: a map of a few constants.
     at = {}
     for k, v in sorted(notices):
         at.setdefault(v, k)
     table = F.map_from_entries(F.array_distinct(F.array(*[F.struct(digest(canonical(F.lit(v))), F.lit(k)) for v, k in at.items()])))
-    found = F.transform(F.split(form, "\n"), lambda x: F.element_at(table, digest(F.trim(x))))
+    found = F.transform(F.split(form, "\n"), lambda x: F.element_at(table, digest(_spelt(F.trim(x)))))
     kept = F.coalesce(F.array_sort(F.array_distinct(F.array_compact(found))), F.array().cast("array<string>"))
     done = formed.select(*names, digest(_whole(F.col(form))).alias("digest"), kept.alias("notices"))
     return done.join(known, "digest", "left").select(*names, "digest", "license", "notices")

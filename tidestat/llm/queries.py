@@ -115,10 +115,11 @@ _SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
 def _canonical_sql(text: str) -> str:
-    out = f"translate(regexp_replace({text}, '{licenses.COPYRIGHT_LINE}', '', 'g'), {_LOWER})"
+    out = f"replace(translate(regexp_replace({text}, '{licenses.COPYRIGHT_LINE}', '', 'g'), {_LOWER}), '&', ' and ')"
+    out = f"trim(regexp_replace({out}, '[^a-z0-9]+', ' ', 'g'))"
     for a, b in licenses.EQUIVALENT:
         out = f"replace({out}, '{a}', '{b}')"
-    return f"trim(regexp_replace({out}, '[^a-z0-9]+', ' ', 'g'))"
+    return out
 
 
 def _values(known: tuple[tuple[str, str], ...]) -> str:
