@@ -75,3 +75,24 @@ def test_read(spark, tmp_path):
     rel = Relations(bam.read_bam(spark, str(tmp_path)), bam.bam_contigs(spark, str(tmp_path)))
     assert [(r.chrom, r["count"]) for r in reads.chrom_counts(rel.reads, rel.contigs).collect()] == [("chr2", 200), ("chrX", 201), ("*", 1)]
     assert modhist.mod_hist(rel.mod_calls).where("ml = 230").first()["mod_5mC"] == 1
+
+
+def test_run_of_a_bam_and_a_yaml(spark, tmp_path, caplog):
+    import tidestat
+
+    rng = random.Random(2)
+    body = header([("chr1", 10**6)])
+    for i in range(30):
+        body += record(f"r{i}", 0, 10 * i, "".join(rng.choice("ACGT") for _ in range(50 + i)), [(50 + i, "M")], mm="C+m,0;", ml=[240], nl=[20])
+    (tmp_path / "S1").mkdir()
+    (tmp_path / "S1/x.bam").write_bytes(pack(body))
+    (tmp_path / "r.csv").write_text("chrom,start,stop\nchr1,90,110\nchrZ,5,9\n")
+    (tmp_path / "c.yaml").write_text(f"stats: [ReadLengthCounter, ModHist, MetaPlot]\nconfigs: {{MetaPlot: [{{file: {tmp_path}/r.csv, label: L, width: 30}}]}}\n")
+    with caplog.at_level("INFO", "tidestat"):
+        saved = tidestat.run_bam(spark, str(tmp_path / "S1/x.bam"), str(tmp_path / "c.yaml"))
+    assert saved.path == str(tmp_path / "S1/stats") and saved.stats["ReadLengthCounter"].selectExpr("sum(count)").first()[0] == 30
+    assert saved.stats["MetaPlot"].selectExpr("sum(BG)").first()[0] > 0
+    assert "chrZ" in caplog.text and "the first" not in caplog.text and "output" in caplog.text
+    some = tidestat.run_bam(spark, str(tmp_path / "S1/x.bam"), str(tmp_path / "c.yaml"), str(tmp_path / "out"), nr=7)
+    assert some.stats["ReadLengthCounter"].selectExpr("sum(count)").first()[0] == 7
+    assert "<html" in open(tidestat.run_report(spark, str(tmp_path / "out"), str(tmp_path / "r.html"))).read().lower()

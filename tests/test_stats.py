@@ -124,6 +124,9 @@ def test_crosscor_against_a_loop(make):
     got = {(x.ModA, x.ModB, x.Lag): x.CrossCor for x in crosscor.mod_cross_cor(r.reads, r.mod_calls).collect()}
     want = brute_crosscor(table, crosscor.LAGS)
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    for dense in (True, False):  # in the row, on words and on sets
+        nested = {(x.ModA, x.ModB, x.Lag): x.CrossCor for x in crosscor.nested_cross_cor(r.reads, dense=dense).collect()}
+        assert nested.keys() == want.keys() and all(abs(nested[k] - want[k]) < 1e-9 for k in want)
 
 
 def test_crosscor_lags(make):
@@ -249,17 +252,48 @@ def test_run_and_report(make, tmp_path, spark):
 def test_streams_equal_batches(make, tmp_path, spark):
     from tidestat.streaming.stats import read_stream, start, streaming_stat
 
-    r = make(*[read(i, 100 + i % 3, mods=[(i + 1, MODS[i % 3], 255, None)], nuc=[1] * (i % 2)) for i in range(12)])
+    r = make(*[read(i, 1300 + i % 3, tid=0, mods=[(i + 1, MODS[i % 3], 255, 50 + i), (200 + i, MODS[0], 255, None), (210 + i, MODS[1], 255, None)], nuc=[1] * (i % 2)) for i in range(12)])
     r.reads.repartition(4).write.parquet(str(tmp_path / "reads"))
-    for name in ("ChromStat", "ReadLengthCounter", "ModHist", "ModRate", "NucMSPRate"):
-        q = start(streaming_stat(read_stream(spark, str(tmp_path / "reads"), 1), name), f"s_{name}", str(tmp_path / name))
+    regions = spark.createDataFrame([(0, 1, 200, True, 1, "R", 100)], "tid int, start long, stop long, strand boolean, group int, label string, dw int")
+    for name in ("ChromStat", "ReadLengthCounter", "ModHist", "ModMetaHist", "ModRate", "NucMSPRate", "NucMSPLenHist", "ModCrossCor", "MetaPlot"):
+        q = start(streaming_stat(read_stream(spark, str(tmp_path / "reads"), 1), name, regions), f"s_{name}", str(tmp_path / name))
         q.awaitTermination()
-        batch = streaming_stat(r.reads, name)
+        batch = streaming_stat(r.reads, name, regions)
+        assert batch.count() > 0
         assert sorted(map(tuple, spark.table(f"s_{name}").collect())) == sorted(map(tuple, batch.collect()))
     with pytest.raises(KeyError):
         streaming_stat(r.reads, "?")
 
 
+def test_bits_from_flags_and_set(spark):
+    rng = random.Random(9)
+    flags = [[rng.random() < 0.3 for _ in range(n)] for n in (0, 1, 64, 65, 200)]
+    df = spark.createDataFrame([(i, f) for i, f in enumerate(flags)], "k int, f array<boolean>").withColumn("w", bits.from_bits(F.col("f")))
+    unsigned = lambda ws: sum((w % 2**64) << (64 * i) for i, w in enumerate(ws))
+    for r in df.withColumn("on", bits.set_bit(F.col("w"), F.lit(63))).withColumn("off", bits.set_bit(F.col("w"), F.lit(64), False)).collect():
+        want = sum(1 << i for i, b in enumerate(r.f) if b)
+        assert unsigned(r.w) == want
+        assert unsigned(r.on) == (want | 1 << 63 if len(r.f) else 0) and unsigned(r.off) == want & ~(1 << 64)
+
+
+def test_region_files_of_any_delimiter(spark, tmp_path):
+    from tidestat.sources import regions
+
+    want = None
+    for i, sep in enumerate("\t,; "):
+        (tmp_path / f"{i}.txt").write_text(f"chrom{sep}start{sep}stop{sep}strand\nchr1{sep}10{sep}20{sep}-\n")
+        got = [tuple(r) for r in regions.load(spark, str(tmp_path / f"{i}.txt"), dw=5, label="x").collect()]
+        want = want or got
+        assert got == want and len(got) == 1
+
+
+def test_head_of_the_source(make):
+    r = make(read(3, 5), read(1, 9), read(2, 7))
+    assert r.head(2).reads.count() == 2 and r.head(None) is r
+    with pytest.raises(ValueError):
+        r.head(0)
+
+
 def test_bit_crosscor(spark):
     rng = random.Random(3)
     sets = [(k, rng.sample(range(1024), rng.randint(1, 200))) for k in range(6)]

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidestat.functions import bits
 from tidestat.plans import svg
 from tidestat.registry import Stat, register
 from tidestat.schema import CONFIDENT, MODS, mod_ordinal
@@ -34,8 +35,8 @@ def mod_cross_cor(
     reads. Lags are positive. duplicate_lags keeps repeated lags of the argument as repeated rows.
 
     The plan packs each read's distinct positions into one array per modification (one shuffle by read, with
-    a bounded window of positions) and counts lag matches in the row by set membership, so no pair of calls is ever
-    shuffled.
+    a bounded window of positions; none for nested calls, see nested_cross_cor) and counts lag matches in the row, so no
+    pair of calls is ever shuffled.
     """
     if any(x < 1 for x in lags):
         raise ValueError("lags are positive")
@@ -52,22 +53,54 @@ def mod_cross_cor(
     packed = calls.groupBy("read_id").agg(
         *[F.collect_set(F.when(F.col("o") == o, F.col("pos"))).alias(f"p{o}") for o in ords]
     )
+    return _finish(spark, lag_sums(packed, ords, lags), eligible, ords, lag_list)
+
+
+def nested_positions(
+    reads: DataFrame, mods: Sequence[str] = MODS, length: int = LENGTH, offset: int = OFFSET, thresh: float = CONFIDENT
+) -> DataFrame:
+    """p0, p1, ...: each eligible read's distinct confident positions in the window, by ordinal; in the row, without a shuffle."""
+    near = f"filter(mods, x -> x.prob > {float(thresh)!r}D and x.pos between {offset} and {offset + length - 1})"
+    kept = reads.where(F.col("qlen") >= length + offset).select(F.expr(near).alias("near"))
+    ords = [i for i, m in enumerate(MODS) if m in mods]
+    return kept.select(*[F.expr(f"array_distinct(transform(filter(near, x -> x.mod = '{MODS[o]}'), x -> x.pos))").alias(f"p{o}") for o in ords])
+
+
+def lag_sums(packed: DataFrame, ords: Sequence[int], lags: Sequence[int], dense: bool = False) -> DataFrame:
+    """a, b, lag, s: over rows of position sets p0, p1, ..., the sums of matches over norms; one keyed aggregation.
+
+    A lag's matches are the intersection of b with a moved by the lag. With `dense` the sets become 64-bit words instead and each
+    lag a shift of words: better from some hundreds of positions in a set.
+    """
     pairs = [(a, b) for a in ords for b in ords if a <= b]
     lag_array = f"array({', '.join(map(str, sorted(set(lags))))})"
-    # For each pair: the multiset of b - a that are lags, found by shifting a by the lag and intersecting with b.
+    sets = [f"p{o}" for o in ords]
+    sizes = [F.size(p).alias(f"n{p[1:]}") for p in sets]
+    if dense:
+        base = f"least({', '.join(f'array_min({p})' for p in sets)}, 2147483647)"
+        top = f"greatest({', '.join(f'array_max({p})' for p in sets)}, 0)"
+        packed = packed.select(*sets, F.expr(base).alias("base"), F.expr(top).alias("top")).where("top >= base")
+        sized = packed.select(*sizes, *[F.expr(bits.words_sql(p, "base", "top")).alias(p) for p in sets])
+        matches = lambda a, b: bits.lag_matches_sql(f"p{a}", f"p{b}", "g")
+    else:
+        sized = packed.select(*sizes, *sets)
+        matches = lambda a, b: f"size(array_intersect(transform(p{a}, x -> x + g), p{b}))"
     cells = [
-        f"struct({a} as a, {b} as b, sqrt(double(size(p{a})) * size(p{b})) as norm, "
-        f"transform({lag_array}, g -> struct(g as lag, "
-        f"size(array_intersect(transform(p{a}, x -> x + g), p{b})) as n)) as hits)"
+        f"struct({a} as a, {b} as b, sqrt(double(n{a}) * n{b}) as norm, "
+        f"if(n{a} = 0 or n{b} = 0, array(), transform({lag_array}, g -> struct(g as lag, {matches(a, b)} as n))) as hits)"
         for a, b in pairs
     ]
-    per_read = packed.select(F.expr(f"inline(array({', '.join(cells)}))")).where("norm > 0")
-    sums = (
+    per_read = sized.select(F.expr(f"inline(array({', '.join(cells)}))")).where("norm > 0")
+    return (
         per_read.select("a", "b", "norm", F.inline("hits"))
         .where("n > 0")
         .groupBy("a", "b", "lag")
         .agg(F.sum(F.col("n") / F.col("norm")).alias("s"))
     )
+
+
+def _finish(spark: SparkSession, sums: DataFrame, eligible: DataFrame, ords: Sequence[int], lag_list: Sequence[int]) -> DataFrame:
+    pairs = [(a, b) for a in ords for b in ords if a <= b]
     grid = spark.createDataFrame(
         [(a, b, MODS[a], MODS[b], g) for a, b in pairs for g in lag_list],
         "a int, b int, ModA string, ModB string, lag int",
@@ -88,13 +121,27 @@ def mod_cross_cor(
     )
 
 
+def nested_cross_cor(
+    reads: DataFrame, lags: Sequence[int] = LAGS, mods: Sequence[str] = MODS, length: int = LENGTH, offset: int = OFFSET,
+    thresh: float = CONFIDENT, duplicate_lags: bool = False, dense: bool = True,
+) -> DataFrame:
+    """mod_cross_cor of reads with nested calls: nothing shuffles but the sums."""
+    if any(x < 1 for x in lags):
+        raise ValueError("lags are positive")
+    ords = [i for i, m in enumerate(MODS) if m in mods]
+    eligible = reads.where(F.col("qlen") >= length + offset).agg(F.count("*").alias("t"))
+    sums = lag_sums(nested_positions(reads, mods, length, offset, thresh), ords, lags, dense)
+    return _finish(reads.sparkSession, sums, eligible, ords, list(lags) if duplicate_lags else sorted(set(lags)))
+
+
 @register
 class ModCrossCor(Stat):
     name, title, file, grain = "ModCrossCor", "Modification cross-correlation", "modcrosscor.tsv.gz", "per-read mod"
+    schema = "ModA string, ModB string, Lag int, CrossCor double"
 
     def compute(self, rel: Relations) -> DataFrame:
-        known = {k: v for k, v in self.options.items() if k in ("lags", "mods", "length", "offset", "thresh", "duplicate_lags")}
-        return mod_cross_cor(rel.reads, rel.mod_calls, **known)
+        known = {k: v for k, v in self.options.items() if k in ("lags", "mods", "length", "offset", "thresh", "duplicate_lags", "dense")}
+        return nested_cross_cor(rel.reads, **known)
 
     def plot(self, result: DataFrame) -> str:
         pair = F.concat_ws(" ", F.regexp_replace("ModA", "mod_", ""), F.regexp_replace("ModB", "mod_", ""))

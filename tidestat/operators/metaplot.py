@@ -32,7 +32,7 @@ def interval_join(points: DataFrame, regions: DataFrame, at: str = "gpos", key:
     binned = regions.withColumn(
         "_bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("stop") / width)))
     )
-    if regions.limit(BROADCAST_REGIONS + 1).count() <= BROADCAST_REGIONS:
+    if binned.limit(BROADCAST_REGIONS + 1).count() <= BROADCAST_REGIONS:
         binned = F.broadcast(binned)
     keyed = points.where(F.col(at).isNotNull()).withColumn("_bin", F.floor(F.col(at) / width))
     return keyed.join(binned, [key, "_bin"]).where(F.col(at).between(F.col("start"), F.col("stop"))).drop("_bin")
@@ -50,7 +50,7 @@ def interval_overlap(reads: DataFrame, regions: DataFrame, width: int = 1 << 14)
     b = regions.withColumn(
         "_bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("stop") / width)))
     )
-    if regions.limit(BROADCAST_REGIONS + 1).count() <= BROADCAST_REGIONS:
+    if b.limit(BROADCAST_REGIONS + 1).count() <= BROADCAST_REGIONS:
         b = F.broadcast(b)
     first = F.floor(F.greatest("lo", "start") / width)
     return (
@@ -60,13 +60,10 @@ def interval_overlap(reads: DataFrame, regions: DataFrame, width: int = 1 << 14)
     )
 
 
-def metaplot(mod_calls: DataFrame, regions: DataFrame, thresh: float = CONFIDENT) -> DataFrame:
-    """Region, Mod, xp (-dw..dw), FG (confident calls), BG (all calls): dense for each observed (Region, Mod).
-
-    A call inside several windows counts once for each; minus strands are mirrored.
-    """
+def profile_counts(mod_calls: DataFrame, regions: DataFrame, thresh: float = CONFIDENT) -> DataFrame:
+    """group, Region, dw, Mod, xp, FG, BG: the observed part of metaplot, one join and one aggregation."""
     xp = F.when(F.col("strand"), F.col("gpos") - F.col("start")).otherwise(F.col("stop") - F.col("gpos"))
-    counts = (
+    return (
         interval_join(mod_calls.select("tid", "gpos", "mod", "prob"), regions)
         .groupBy(
             F.col("group"),
@@ -77,6 +74,14 @@ def metaplot(mod_calls: DataFrame, regions: DataFrame, thresh: float = CONFIDENT
         )
         .agg(F.count_if(F.col("prob") > thresh).alias("FG"), F.count("*").alias("BG"))
     )
+
+
+def metaplot(mod_calls: DataFrame, regions: DataFrame, thresh: float = CONFIDENT) -> DataFrame:
+    """Region, Mod, xp (-dw..dw), FG (confident calls), BG (all calls): dense for each observed (Region, Mod).
+
+    A call inside several windows counts once for each; minus strands are mirrored.
+    """
+    counts = profile_counts(mod_calls, regions, thresh)
     dim = counts.select("group", "Region", "dw", "Mod").distinct()
     full = dim.withColumn("xp", F.explode(F.sequence(-F.col("dw"), F.col("dw"))))
     return (
@@ -119,6 +124,7 @@ def loess(profile: DataFrame, x: str = "xp", y: str = "R", by: tuple[str, ...] =
 @register
 class MetaPlot(Stat):
     name, title, file, grain = "MetaPlot", "Modifications around regions", "metaplot.tsv.gz", "mod"
+    schema = "Region string, Mod string, xp int, FG long, BG long"
 
     def compute(self, rel: Relations) -> DataFrame:
         files = self.options.get("config")

@@ -73,7 +73,8 @@ class ModHist(Stat):
 
     def compute(self, rel: Relations) -> DataFrame:
         hist = mod_hist(rel.mod_calls)
-        return hist.select("ml", "prob", *observed(hist))
+        rows = hist.sparkSession.createDataFrame(hist.collect(), hist.schema)  # 256 rows: the calls are read once
+        return rows.select("ml", "prob", *observed(rows))
 
     def plot(self, result: DataFrame) -> str:
         return svg.lines(mod_hist_long(result), "prob", "value", "variable")
@@ -82,6 +83,7 @@ class ModHist(Stat):
 @register
 class ModMetaHist(Stat):
     name, title, file, grain = "ModMetaHist", "Modifications along the read", "mod_meta_hist.tsv.gz", "mod"
+    schema = "mod string, bin double, count long"
 
     def compute(self, rel: Relations) -> DataFrame:
         return mod_meta_hist(

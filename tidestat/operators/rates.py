@@ -6,8 +6,9 @@ A read is one row, so its rates are computed in the row (no shuffle by read, no
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidestat.functions.weighted import box_summary
@@ -21,21 +22,31 @@ BINS = 150
 NO_CALLS = "cast(array() as array<struct<pos:int,mod:string,prob:int,gpos:bigint>>)"
 
 
+def confident_counts(reads: DataFrame, mods: Sequence[str] = MODS, thresh: float = CONFIDENT) -> DataFrame:
+    """qlen, counts: for every read its confident calls of each modification, in the order of mods.
+
+    The confident calls, few, are picked once in the row; only their names are looked at for each modification.
+    """
+    picked = f"transform(filter(coalesce(mods, {NO_CALLS}), x -> x.prob > {float(thresh)!r}D), x -> x.mod)"
+    sizes = ", ".join(f"size(filter(c, m -> m = '{m}'))" for m in mods)
+    return reads.select("qlen", F.expr(f"transform(array({picked}), c -> array({sizes}))[0]").alias("counts"))
+
+
+def rates_of_counts(counts: DataFrame, mods: Sequence[str] = MODS) -> DataFrame:
+    """mod, rate: a row for every read and modification of confident_counts; reads of length 0 are left out."""
+    names = F.array(*[F.lit(m) for m in mods])
+    each = counts.where("qlen > 0").select("qlen", F.posexplode("counts").alias("i", "n"))
+    return each.select(F.element_at(names, F.col("i") + 1).alias("mod"), (F.col("n") / F.col("qlen")).alias("rate"))
+
+
 def mod_rates(reads: DataFrame, mods: Sequence[str] = MODS, thresh: float = CONFIDENT) -> DataFrame:
     """mod, rate: a row for every read and modification, zero rates included; reads of length 0 are left out."""
-    # One pass over a read's calls adds up all modifications; nothing refers to the calls twice, so nothing decodes them twice.
-    start = F.array(*[F.lit(0)] * len(mods))
-    names = F.array(*[F.lit(m) for m in mods])
+    return rates_of_counts(confident_counts(reads, mods, thresh), mods)
 
-    def add(counts: Column, call: Column) -> Column:
-        at = F.array_position(names, call["mod"])
-        return F.when(
-            (call["prob"] > thresh) & (at > 0), F.transform(counts, lambda n, i: F.when(i + 1 == at, n + 1).otherwise(n))
-        ).otherwise(counts)
 
-    counts = F.aggregate(F.coalesce("mods", F.expr(NO_CALLS)), start, add)
-    each = reads.where("qlen > 0").select("qlen", F.posexplode(counts).alias("i", "n"))
-    return each.select(F.element_at(names, F.col("i") + 1).alias("mod"), (F.col("n") / F.col("qlen")).alias("rate"))
+def relation_rates(rel: Relations, mods: Sequence[str] = MODS, thresh: float = CONFIDENT) -> DataFrame:
+    """mod_rates of relations, which may count their calls in a way of their own."""
+    return rates_of_counts(getattr(rel, "confident_counts", partial(confident_counts, rel.reads))(mods, thresh), mods)
 
 
 def feature_rates(reads: DataFrame) -> DataFrame:
@@ -58,8 +69,8 @@ def exact_hist(rates: DataFrame, by: str, rate: str, count: str, digits: int | N
 def khist(rates: DataFrame, by: str, rate: str, count: str, bins: int = BINS) -> DataFrame:
     """by, bin centre, weight: an adaptive histogram of at most `bins` bins.
 
-    The rates are first aggregated exactly; centres that merging leaves twice are summed. With more distinct
-    rates than bins, centres depend on how rows were partitioned.
+    Centres that merging leaves twice are summed. Up to `bins` distinct rates the histogram is exact; with more, centres
+    depend on how rows were partitioned.
     """
     hist = rates.groupBy(by).agg(F.histogram_numeric(rate, F.lit(bins)).alias("h"))
     return (
@@ -78,10 +89,11 @@ def rate_boxplot(hist: DataFrame, by: str = "mod", rate: str = "rate", count: st
 @register
 class ModRate(Stat):
     name, title, file, grain = "ModRate", "Modification rate per read", "modrate.tsv.gz", "per-read mod"
+    schema = "mod string, rate double, count double"
 
     def compute(self, rel: Relations) -> DataFrame:
         mods = tuple(self.options.get("mods", MODS))
-        rates = mod_rates(rel.reads, mods, float(self.options.get("thresh", CONFIDENT)))
+        rates = relation_rates(rel, mods, float(self.options.get("thresh", CONFIDENT)))
         return khist(rates, "mod", "rate", "count", int(self.options.get("n", BINS)))
 
     def plot_data(self, result: DataFrame) -> DataFrame:
@@ -94,6 +106,7 @@ class ModRate(Stat):
 @register
 class NucMSPRate(Stat):
     name, title, file = "NucMSPRate", "Nucleosome and MSP rate per read", "nuc_msp_rate.tsv.gz"
+    schema = "Feature string, Rate double, Count double"
 
     def compute(self, rel: Relations) -> DataFrame:
         return khist(feature_rates(rel.reads), "Feature", "Rate", "Count", int(self.options.get("n", BINS)))

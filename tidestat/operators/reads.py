@@ -55,6 +55,7 @@ def feature_length_hist(rel: Relations, n: int = 1000) -> DataFrame:
 @register
 class ChromStat(Stat):
     name, title, file = "ChromStat", "Reads per contig", "chromstats.tsv"
+    schema = "chrom string, count long"
 
     def compute(self, rel: Relations) -> DataFrame:
         return chrom_counts(rel.reads, rel.contigs)
@@ -66,6 +67,7 @@ class ChromStat(Stat):
 @register
 class ReadLengthCounter(Stat):
     name, title, file = "ReadLengthCounter", "Read lengths", "readlengthcounts.tsv.gz"
+    schema = "readlength long, count long"
 
     def compute(self, rel: Relations) -> DataFrame:
         return read_length_hist(rel.reads)
@@ -80,6 +82,7 @@ class ReadLengthCounter(Stat):
 @register
 class NucMSPLenHist(Stat):
     name, title, file = "NucMSPLenHist", "Nucleosome and MSP lengths", "nuc_msp_length_hist.tsv.gz"
+    schema = "Feature string, Length int, Count long"
 
     def compute(self, rel: Relations) -> DataFrame:
         return feature_length_hist(rel, int(self.options.get("n", 1000)))

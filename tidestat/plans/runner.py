@@ -6,34 +6,77 @@ import logging
 import time
 from pathlib import Path
 
+from pyspark import StorageLevel
+from pyspark.sql import SparkSession
+
 from tidestat.plans.report import html_report, sample_name
 from tidestat.plans.sinks import SavedStats, read_stats, write_stats
 from tidestat.registry import stats
+from tidestat.sources import regions
 from tidestat.sources.config import StatConfig, load
 from tidestat.sources.relations import Relations
 
 log = logging.getLogger("tidestat")
 
 
+BANNER = "tidestat | statistics over long sequencing reads"
+
+
 def run_stats(rel: Relations, path: str, config: StatConfig | str | None = None, nr: int | None = None, report: str | None = None) -> SavedStats:
     """Compute the configured statistics over the first nr reads (None or -1: all), write them, read them back.
 
+    The reads are decoded once: they stay cached while the statistics are computed (a lost part is decoded again).
     ``report``: a local file for the HTML report.
     """
+    return _run(rel.limit(nr), path, config, report)
+
+
+def _run(rel: Relations, path: str, config: StatConfig | str | None, report: str | None) -> SavedStats:
     import tidestat.operators  # noqa: F401  registers the statistics
 
     began = time.monotonic()
     conf = config if isinstance(config, StatConfig) else load(config) if config else StatConfig()
     chosen = stats(conf.stats, conf.configs)
+    spark = rel.reads.sparkSession
+    if rel.regions is None and isinstance(conf.configs.get("MetaPlot"), list):
+        loaded = regions.load_many(spark, conf.configs["MetaPlot"])
+        for r in regions.missing_contigs(loaded, rel.contigs).collect():  # a row for each unknown contig
+            log.warning("%d regions are on %s, which the header lacks: left out", r["count"], r["chrom"])
+        rel = Relations(rel.reads, rel.contigs, regions.to_tid(loaded, rel.contigs))
+    log.info("output: %s", path)
     log.info("computing %s", ", ".join(s.name for s in chosen))
-    results = write_stats(chosen, rel.limit(nr), path)
-    saved = read_stats(rel.reads.sparkSession, path, schemas={k: v.schema for k, v in results.items()})
+    kept = Relations(rel.reads.persist(StorageLevel.MEMORY_AND_DISK), rel.contigs, rel.regions) if len(chosen) > 1 else rel
+    try:
+        results = write_stats(chosen, kept, path)
+        saved = read_stats(spark, path, schemas={k: v.schema for k, v in results.items()})  # also of a registry's own
+    finally:
+        if kept is not rel:
+            kept.reads.unpersist()
     if report:
         stat_report(saved, report)
+        log.info("report: %s", report)
     log.info("done in %.1f s", time.monotonic() - began)
     return saved
 
 
+def run_bam(spark: SparkSession, bam: str, config: StatConfig | str | None = None, path: str | None = None, nr: int | None = None, report: str | None = None) -> SavedStats:
+    """run_stats of a BAM file (or a folder of them) in the file's own order, which ends the reading after nr reads. Results go to
+    the folder `stats` beside the file unless path is given; regions come from the configuration's MetaPlot files."""
+    from tidestat.sources.bam import bam_contigs, read_bam
+
+    log.info(BANNER)
+    log.info("file: %s", bam)
+    log.info("configuration: %s", config if isinstance(config, str) else "given" if config else "the default")
+    log.info("reads: %s", "all" if nr in (None, -1) else f"the first {nr}")
+    where = path or f"{str(bam).rstrip('/').rpartition('/')[0] or '.'}/stats"
+    return _run(Relations(read_bam(spark, bam), bam_contigs(spark, bam)).head(nr), where, config, report)
+
+
+def run_report(spark: SparkSession, path: str, file: str) -> str:
+    """The HTML report of the statistics saved under path; its path."""
+    return stat_report(read_stats(spark, path), file)
+
+
 def stat_report(saved: SavedStats, file: str) -> str:
     """Write the HTML report of saved statistics; its path."""
     Path(file).write_text(html_report(sample_name(saved.path), saved.stats))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidestat.registry import Stat
+from tidestat.registry import REGISTRY, Stat
 from tidestat.schema import MANIFEST
 from tidestat.sources.relations import Relations
 
@@ -46,11 +46,11 @@ class SavedStats:
 
 
 def read_stats(spark: SparkSession, path: str, manifest: str = "meta.tsv", schemas: Mapping | None = None) -> SavedStats:
-    """The manifest and each table that it lists; types come from `schemas` or from the registry's plans."""
+    """The manifest and each table that it lists; types come from `schemas` or the registry, and are inferred where neither has them."""
     meta = spark.read.schema(MANIFEST).csv(f"{path}/{manifest}", sep="\t", header=True)
     out = {}
     for name, file in meta.collect():  # a row for each statistic
-        schema = (schemas or {}).get(name)
+        schema = (schemas or {}).get(name) or (REGISTRY[name].schema if name in REGISTRY else None)
         reader = spark.read.schema(schema) if schema is not None else spark.read.option("inferSchema", True)
         out[name] = reader.csv(f"{path}/{file}", sep="\t", header=True)
     return SavedStats(path, meta, out)

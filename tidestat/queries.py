@@ -68,11 +68,27 @@ def mod_meta_hist(spark, d):
 
 
 def mod_rate_exact(spark, d):
-    return rates.exact_hist(rates.mod_rates(_rel(spark, d).reads), "mod", "rate", "count", DIGITS)
+    return rates.exact_hist(rates.relation_rates(_rel(spark, d)), "mod", "rate", "count", DIGITS)
 
 
 def mod_rate_khist(spark, d):
-    return rates.khist(rates.mod_rates(_rel(spark, d).reads), "mod", "rate", "count")
+    return rates.khist(rates.relation_rates(_rel(spark, d)), "mod", "rate", "count")
+
+
+def mod_rate_khist_coarse(spark, d):
+    """The adaptive histogram where it is exact: rates of two digits are fewer than its bins."""
+    coarse = rates.relation_rates(_rel(spark, d)).withColumn("rate", F.round("rate", 2))
+    return rates.khist(coarse, "mod", "rate", "count")
+
+
+def nuc_msp_rate_khist_coarse(spark, d):
+    coarse = rates.feature_rates(_rel(spark, d).reads).withColumn("Rate", F.round("Rate", 2))
+    return rates.khist(coarse, "Feature", "Rate", "Count")
+
+
+def mod_cross_cor_nested(spark, d):
+    """The cross-correlation over nested calls, without a shuffle by read."""
+    return _round(crosscor.nested_cross_cor(_rel(spark, d).reads), "CrossCor")
 
 
 def nuc_msp_rate_exact(spark, d):
@@ -153,6 +169,9 @@ QUERIES: dict[str, Query] = {
     "mod_meta_hist": mod_meta_hist,
     "mod_rate_exact": mod_rate_exact,
     "mod_rate_khist": mod_rate_khist,
+    "mod_rate_khist_coarse": mod_rate_khist_coarse,
+    "nuc_msp_rate_khist_coarse": nuc_msp_rate_khist_coarse,
+    "mod_cross_cor_nested": mod_cross_cor_nested,
     "nuc_msp_rate_exact": nuc_msp_rate_exact,
     "nuc_msp_rate_khist": nuc_msp_rate_khist,
     "rate_boxplot": rate_boxplot,
@@ -253,6 +272,11 @@ ORACLE: dict[str, str] = {
     "packed_bits": _WITH + """, k AS (SELECT DISTINCT read_id, mod, pos FROM mod_calls WHERE prob > 229 AND pos BETWEEN 180 AND 1203)
       SELECT a.read_id, a.mod, CAST(count(*) AS INT) AS bits, CAST(count(b.pos) AS INT) AS lag10 FROM k a LEFT JOIN k b ON b.read_id = a.read_id AND b.mod = a.mod AND b.pos = a.pos + 10 GROUP BY 1, 2""",
     "stream_read_length_hist": f"{_WITH}, {_LENGTHS} SELECT readlength, count FROM lengths",
-    "stats_manifest": None,
+    "mod_rate_khist_coarse": f"""{_WITH}, {_RATES} SELECT m.mod, round(CAST(n AS DOUBLE) / qlen, 2) AS rate, CAST(count(*) AS DOUBLE) AS count FROM
+      (SELECT r.read_id, r.qlen, m.mod, count(c.pos) AS n FROM reads r CROSS JOIN mods m LEFT JOIN mod_calls c ON c.read_id = r.read_id AND c.mod = m.mod AND c.prob > 229
+       WHERE r.qlen > 0 GROUP BY ALL) m GROUP BY 1, 2""",
+    "nuc_msp_rate_khist_coarse": _WITH + """SELECT "Feature", round(CAST(n AS DOUBLE) / qlen, 2) AS "Rate", CAST(count(*) AS DOUBLE) AS "Count" FROM
+      (SELECT read_id, qlen, "Feature", count(*) AS n FROM features WHERE qlen > 0 GROUP BY ALL) GROUP BY 1, 2""",
+    "stats_manifest": f"SELECT * FROM (VALUES {', '.join(f"('{n}', '{c.file}', '{c.title}', '{c.grain}')" for n, c in sorted(REGISTRY.items()))}) v(\"Stat\", \"File\", \"Title\", \"Grain\")",
 }
-ORACLE = {k: v for k, v in ORACLE.items() if v}
+ORACLE["mod_cross_cor_nested"] = ORACLE["mod_cross_cor"]

@@ -17,7 +17,7 @@ REGISTRY: dict[str, type["Stat"]] = {}
 class Stat(ABC):
     """One statistic.
 
-    ``grain`` names the relation that it reads ("read", "mod" or "per-read mod"); ``file`` is its output
+    ``schema`` is the result's, for reading it back (None where columns vary: types are inferred then). ``grain`` names the relation that it reads ("read", "mod" or "per-read mod"); ``file`` is its output
     name (gzip iff it ends in .gz); ``title`` is the heading in the report.
     """
 
@@ -25,7 +25,7 @@ class Stat(ABC):
     title = ""
     file = ""
     grain = "read"
-    schema: StructType | None = None
+    schema: StructType | str | None = None
 
     def __init__(self, **options: Any):
         self.options = options

@@ -54,17 +54,11 @@ REGION_FILE = StructType(
 
 MANIFEST = StructType([StructField("Stat", StringType()), StructField("File", StringType())])
 
-HIST = {"count": LongType()}
-
-
 def mod_ordinal(column):
     """Ordinal of a modification name as a Column, null for names outside MODS."""
     from pyspark.sql import functions as F
 
-    out = F
-    for i, name in enumerate(MODS):
-        out = out.when(column == name, F.lit(i))
-    return out
+    return F.expr(f"map({', '.join(f"'{m}', {i}" for i, m in enumerate(MODS))})")[column]
 
 
 __all__ = ["CONFIDENT", "CONFIDENT_SHARE", "CONTIGS", "DoubleType", "MANIFEST", "MODS", "READS", "REGION_FILE", "mod_ordinal"]

@@ -6,6 +6,8 @@ modification calls, its words and lines are features. Values carry no biological
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,9 @@ from tidestat.sources.relations import Relations
 # Contig names by tid, chosen to exercise the contig order.
 CONTIG_NAMES = tuple([f"chr{i}" for i in range(1, 17)] + ["chrX", "chrY", "chr1_random", "chrUn_k1"])
 
+# The letter that stands for a call of each modification.
+LETTERS = {"mod_6mA": "a", "mod_5mC": "o", "mod_5hmC": "i"}
+
 
 def contigs(spark: SparkSession) -> DataFrame:
     """The tid -> contig name dimension."""
@@ -79,6 +84,14 @@ class DocumentRelations(Relations):
         object.__setattr__(self, "documents", documents)
         self.__dict__["mod_calls"] = mod_calls(documents)
 
+    def confident_counts(self, mods: Sequence[str], thresh: float) -> DataFrame:
+        """rates.confident_counts from the letters: one generator, added up by read (a row for each read shuffles)."""
+        rows = self.documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("n_chars").alias("qlen"), "text")
+        letters = rows.select("row", "doc_id", "qlen", F.expr("posexplode(split(text, ''))").alias("i", "c"))
+        prob = F.expr("cast((bigint(i + 1) * (i + 1) * 31 + bigint(i + 1) * 17 + doc_id * 11) % 256 as int)")
+        counts = [F.count_if((F.col("c") == LETTERS[m]) & (prob > thresh)) for m in mods]
+        return letters.groupBy("row", "qlen").agg(F.array(*counts).alias("counts")).select("qlen", "counts")
+
 
 def from_documents(spark: SparkSession, sf_dir: str, regions: DataFrame | None = None) -> Relations:
     """Relations over `documents` under sf_dir."""

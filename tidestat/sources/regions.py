@@ -33,9 +33,12 @@ def windows(rows: DataFrame, dw: int = DEFAULT_WIDTH, label: str | None = None)
 
 
 def load(
-    spark: SparkSession, file: str, group: int = 1, dw: int = DEFAULT_WIDTH, label: str | None = None, sep: str = "\t"
+    spark: SparkSession, file: str, group: int = 1, dw: int = DEFAULT_WIDTH, label: str | None = None, sep: str | None = None
 ) -> DataFrame:
     """One region file with a header of chrom, start, stop and optionally strand, in any column order."""
+    if sep is None:  # the one that the header has most of
+        head = (spark.read.text(file).first() or [""])[0]
+        sep = max("\t,; ", key=head.count)
     raw = spark.read.csv(file, sep=sep, header=True)  # strings; no inference
     named = {f.name: f.dataType for f in REGION_FILE}
     cols = [F.col(c).cast(t).alias(c) if c in raw.columns else F.lit("+").alias(c) for c, t in named.items()]
@@ -53,7 +56,7 @@ def load(
 def load_many(spark: SparkSession, config: Sequence[Mapping]) -> DataFrame:
     """The union of region files [{file, label, width}, ...]; the group is the file's 1-based place."""
     parts = [
-        load(spark, c["file"], i, int(c.get("width", DEFAULT_WIDTH)), c.get("label"), c.get("sep", "\t"))
+        load(spark, c["file"], i, int(c.get("width", DEFAULT_WIDTH)), c.get("label"), c.get("sep"))
         for i, c in enumerate(config, 1)
     ]
     return reduce(DataFrame.unionByName, parts)

@@ -44,6 +44,14 @@ class Relations:
             raise ValueError("a read limit is a positive number, or None / -1 for all reads")
         return Relations(self.reads.orderBy("read_id").limit(n), self.contigs, self.regions)
 
+    def head(self, n: int | None) -> "Relations":
+        """n reads in the order of the source, as limit() but without reading further than these; None or -1 keeps all."""
+        if n is None or n == -1:
+            return self
+        if n < 1:
+            raise ValueError("a read limit is a positive number, or None / -1 for all reads")
+        return Relations(self.reads.limit(n), self.contigs, self.regions)
+
 
 def relations_from_parquet(spark, path: str, contigs: str, regions: DataFrame | None = None) -> Relations:
     """Relations from parquet tables in the layout of schema.READS and schema.CONTIGS."""
