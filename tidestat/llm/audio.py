@@ -1,8 +1,9 @@
 """Media columns: chroma audio fingerprints.
 
 A recording becomes pitch-class frames; filters over the integral image of the frames, each coded in two bits, give a packed
-32-bit integer for every place. Recordings are aligned by a histogram of offsets of equal half-words, and compared by the bit
-errors at the best offsets.
+32-bit integer for every place. Recordings are aligned by a histogram of offsets of equal word parts, and compared by the bit
+errors at all offsets with two votes or more. How many bits may differ follows from the overlap: an alignment has to be
+far from chance.
 """
 
 from __future__ import annotations
@@ -23,8 +24,13 @@ RATE = 4000
 FRAME, HOP = 1024, 256
 LOW, HIGH = 110.0, 1760.0
 SPAN = 16
-#: Words of overlap that a match has at least, and the share of bits that may differ. Whole copies match at any length.
+#: Words of overlap that a match has at least, and the greatest share of bits that may differ. Whole copies match at any length.
 MIN_OVERLAP, MAX_ERROR = 16, 0.30
+#: Unrelated words differ in half of their bits, with a deviation SPREAD times that of independent bits (neighbouring words
+#: share most of their frames); a match differs in fewer by SIGMAS deviations.
+SIGMAS, SPREAD = 5, 4
+#: The parts of a word that vote: first bits, and bits each.
+PARTS, PART_BITS = (0, 11, 22), 10
 TOP = 10
 #: Words compared at once, and matches in an output batch at least.
 CELLS, ROWS = 1 << 20, 50_000
@@ -124,8 +130,18 @@ def fingerprints(media: DataFrame, column: str, samples: Callable[[object], np.n
     return map_rows(media, None, [StructField("fingerprint", ArrayType(IntegerType()))], make)
 
 
+def limit(overlap: np.ndarray) -> np.ndarray:
+    """The share of bits that may differ over so many words of overlap."""
+    return np.minimum(MAX_ERROR, 0.5 - SIGMAS * SPREAD * 0.5 / np.sqrt(32 * np.maximum(overlap, 1)))
+
+
+def _parts(words: np.ndarray) -> np.ndarray:
+    mask = np.uint32((1 << PART_BITS) - 1)
+    return np.concatenate([((words >> np.uint32(s)) & mask).astype(np.int64) + (k << PART_BITS) for k, s in enumerate(PARTS)])
+
+
 class Index:
-    """Half-words of some recordings -> where they stand."""
+    """Word parts of some recordings -> where they stand."""
 
     def __init__(self, ids: list[int], words: list[np.ndarray]):
         self.ids, self.size = np.array(ids, np.int64), np.array([len(w) for w in words], np.int64)
@@ -133,22 +149,21 @@ class Index:
         self.base = np.cumsum(self.size) - self.size
         codes, owner, place = [], [], []
         for i, w in enumerate(words):
-            for half, shift in ((0, 0), (1, 16)):
-                codes.append(((w >> np.uint32(shift)) & np.uint32(0xFFFF)).astype(np.int64) + (half << 16))
-                owner.append(np.full(len(w), i))
-                place.append(np.arange(len(w)))
+            codes.append(_parts(w))
+            owner.append(np.full(len(PARTS) * len(w), i))
+            place.append(np.tile(np.arange(len(w)), len(PARTS)))
         codes = np.concatenate(codes) if codes else np.empty(0, np.int64)
         order = np.argsort(codes, kind="stable")
         self.owner, self.place = (np.concatenate(x)[order] if x else np.empty(0, np.int64) for x in (owner, place))
-        self.start = np.searchsorted(codes[order], np.arange((1 << 17) + 1))
+        self.start = np.searchsorted(codes[order], np.arange((len(PARTS) << PART_BITS) + 1))
 
     def match(self, words: np.ndarray, but: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Recordings, offsets, bit errors and votes of all indexed recordings that align, each at its offset of least error among all
         with two votes or more; an offset is its place less that in `words`."""
         if not len(words) or not len(self.owner):
             return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
-        code = np.concatenate([(words & np.uint32(0xFFFF)).astype(np.int64), (words >> np.uint32(16)).astype(np.int64) + (1 << 16)])
-        where = np.tile(np.arange(len(words)), 2)
+        code = _parts(words)
+        where = np.tile(np.arange(len(words)), len(PARTS))
         lo, n = self.start[code], self.start[code + 1] - self.start[code]
         at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         who, shift = self.owner[at], self.place[at] - np.repeat(where, n)
@@ -162,7 +177,7 @@ class Index:
             keep &= self.ids[i] != but
         i, off, a, b, votes, long = (x[keep] for x in (i, off, a, b, votes, long))
         error = self._errors(words, i, off, a, b - a)
-        keep = error <= np.where(long, MAX_ERROR, 0)
+        keep = error <= np.where(long, limit(b - a), 0)
         i, off, votes, error = (x[keep] for x in (i, off, votes, error))
         order = np.lexsort((off, -votes, error, i))
         i, off, votes, error = (x[order] for x in (i, off, votes, error))
