@@ -569,7 +569,9 @@ def test_op8(spark):
             lo, hi = max(0, -off), min(n, n - off)
             error = np.bitwise_count(a[lo:hi] ^ table[:, lo + off : hi + off]).sum(1) / (32 * (hi - lo))
             want |= {(int(q), int(i)) for i in ids[error <= 0.5 - 10 / np.sqrt(32 * (hi - lo))] if i != q}
-    got = {(r.query_id, r.id) for r in queries.op8_media_fingerprints(spark, d).collect()}
+    rows = queries.op8_media_fingerprints(spark, d).collect()
+    assert len(rows) == len(words) and all(r.query_ids == [m.query_id for m in r.matches] for r in rows)
+    got = {(q, r.vec_id) for r in rows for q in r.query_ids}
     assert len(want) > 20 and got <= want and len(got) >= 0.9 * len(want)
 
 
@@ -581,7 +583,9 @@ def test_op8_finds_planted_copies(spark, tmp_path):
     rows += [(100, base[3].tolist()), (200, (base[4] + rng.normal(scale=0.02, size=64)).tolist()), (300, [*rng.normal(size=5).tolist(), *base[5][:59].tolist()])]
     rows += [(400, None), (500, [])]
     spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
-    got = {(r.query_id, r.id): r.offset for r in queries.op8_media_fingerprints(spark, str(tmp_path)).collect()}
+    rows = queries.op8_media_fingerprints(spark, str(tmp_path)).collect()
+    assert len(rows) == 35
+    got = {(m.query_id, r.vec_id): m.offset for r in rows for m in r.matches}
     assert got.keys() >= {(100, 3), (200, 4), (300, 5)} and got[100, 3] == 0 and got[300, 5] == 5
     assert all(i in (3, 4, 5, 100, 200, 300) for _, i in got)
 

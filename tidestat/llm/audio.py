@@ -198,56 +198,68 @@ class Index:
         return out
 
 
-def search(recordings: DataFrame, queries: DataFrame, id_column: str, block: int = BLOCK) -> DataFrame:
-    """query_id, id, offset, bit_error, votes: for each query all recordings that align, itself left out.
-    offset is the place of a common passage in the query less that in the recording.
+_MATCH = pa.struct([("query_id", pa.int64()), ("offset", pa.int32()), ("bit_error", pa.float64()), ("votes", pa.int32())])
+
+
+def align(recordings: DataFrame, queries: DataFrame, id_column: str, block: int = BLOCK) -> DataFrame:
+    """id, block, matches (query_id, offset, bit_error, votes; by query_id): for each recording all queries that it aligns with,
+    itself left out. offset is the place of a common passage in the query less that in the recording.
 
-    Both have id_column and fingerprint. Queries go in blocks, each an index that every task holds (bounded), and all
-    recordings stream past; matches leave as they are found, so no group of alike recordings meets in one place.
+    Both have id_column and fingerprint. Queries go in blocks, each an index that every task holds (bounded), and all recordings
+    stream past. A row's list is one block's, so that it is bounded too: every recording has a row for block 0, with an empty list
+    where nothing aligns, and one for each further block in which something does.
     Cases: no fingerprint matches nothing; rows without an id are left out; a row that repeats an id is a match of its own.
     """
     spark = recordings.sparkSession
     out, held = None, []
-    schema = "query_id long, id long, offset int, bit_error double, votes int"
+    schema = "id long, block int, matches array<struct<query_id:long,offset:int,bit_error:double,votes:int>>"
 
-    def one(rows: list[tuple[int, list[int]]]) -> DataFrame:
+    def one(rows: list[tuple[int, list[int]]], number: int) -> DataFrame:
         shared = spark.sparkContext.broadcast(([r[0] for r in rows], [np.array(r[1], np.int32).view(np.uint32) for r in rows]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index, found, n = Index(*shared.value), [], 0
-
-            def batch() -> pa.RecordBatch:
-                q, i, off, error, votes = (np.concatenate(c) for c in zip(*found, strict=True))
-                columns = [pa.array(q), pa.array(i), pa.array(off.astype(np.int32)), pa.array(error), pa.array(votes.astype(np.int32))]
-                return pa.RecordBatch.from_arrays(columns, names=["query_id", "id", "offset", "bit_error", "votes"])
-
+            index = Index(*shared.value)
             for b in batches:
+                ids, lists, n = [], [], 0
                 for i, words in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                     w = words.values.to_numpy().astype(np.int32).view(np.uint32) if words.is_valid else np.empty(0, np.uint32)
-                    q, off, error, votes = index.match(w, i)
-                    if len(q):
-                        found.append((q, np.full(len(q), i, np.int64), off, error, votes))
+                    q, off, error, votes = (x.tolist() for x in index.match(w, i))
+                    if q or not number:
+                        ids.append(i)
+                        lists.append(sorted(zip(q, off, error, votes, strict=True)))
                         n += len(q)
                     if n >= ROWS:
-                        yield batch()
-                        found, n = [], 0
-            if n:
-                yield batch()
+                        yield batch(ids, lists)
+                        ids, lists, n = [], [], 0
+                yield batch(ids, lists)
+
+        def batch(ids: list[int], lists: list[list[tuple]]) -> pa.RecordBatch:
+            flat = [dict(zip(("query_id", "offset", "bit_error", "votes"), m, strict=True)) for x in lists for m in x]
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32))
+            columns = [pa.array(ids, pa.int64()), pa.array([number] * len(ids), pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(flat, _MATCH))]
+            return pa.RecordBatch.from_arrays(columns, names=["id", "block", "matches"])
 
         rows_in = recordings.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long"), "fingerprint")
         return rows_in.mapInArrow(tidy(run), schema)
 
+    number = 0
     for r in queries.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long"), "fingerprint").toLocalIterator():
         held.append((r[0], r[1] or []))
         if len(held) == block:
-            found = materialise(one(held), "matches")
-            out, held = found if out is None else out.unionByName(found), []
+            found = materialise(one(held, number), "matches")
+            out, held, number = found if out is None else out.unionByName(found), [], number + 1
     if held or out is None:
-        found = one(held)
+        found = one(held, number)
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def search(recordings: DataFrame, queries: DataFrame, id_column: str, block: int = BLOCK) -> DataFrame:
+    """query_id, id, offset, bit_error, votes: align() as a row for each match."""
+    rows = align(recordings, queries, id_column, block).select("id", F.inline("matches"))
+    return rows.select("query_id", "id", "offset", "bit_error", "votes")
+
+
 def best(matches: DataFrame, top: int = TOP) -> DataFrame:
     """A report of matches: for each query the `top` of least bit error (ties by id), with their rank."""
     order = Window.partitionBy("query_id").orderBy("bit_error", "id", "offset")

@@ -55,10 +55,13 @@ def op5_license_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op8_media_fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    """Alignments of stand-in recordings, one for each vector of `embeddings`; queries are those with ids divisible by 100."""
+    """Alignments of stand-in recordings, one for each vector of `embeddings`; queries are those with ids divisible by 100.
+
+    A row for every recording (and block of queries) with the list of queries that it aligns with, empty where there is none."""
     media = _table(spark, d, "embeddings").select("vec_id", "embedding")
     found = materialise(audio.fingerprints(media, "embedding", audio.render).select("vec_id", "fingerprint"), "fingerprints")
-    return audio.search(found, found.where("vec_id % 100 = 0"), "vec_id")
+    out = audio.align(found, found.where("vec_id % 100 = 0"), "vec_id")
+    return out.select(F.col("id").alias("vec_id"), "block", F.col("matches.query_id").alias("query_ids"), "matches")
 
 
 def op6_line_dedup(spark: SparkSession, d: str) -> DataFrame:
