@@ -14,7 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -33,7 +33,7 @@ MAX_WORDS = 1_000_000
 #: Bytes from which a word is cut, and its equal pairs merge together.
 LONG = 48
 #: Words that a task holds while it counts, and while it encodes.
-_HELD = 80_000
+_HELD, _CACHED = 100_000, 200_000
 #: Characters split into words at a time.
 _SLICE = 500_000
 _GAP = b"\xff\xff\xff\xff"
@@ -172,17 +172,18 @@ class Tokenizer:
 
 
 class Splitter:
-    """The words of a text: matches of the pattern, the long ones cut where no token can cross."""
+    """The words of a text: matches of the pattern; long ones are then cut where no token can cross."""
 
     def __init__(self, tokenizer: Tokenizer):
-        self.find, self.inside = regex.compile(tokenizer.pattern).findall, tokenizer.inside
+        self.pattern, self.inside = tokenizer.pattern, tokenizer.inside
 
-    def __call__(self, text: bytes | None) -> list[str]:
-        words = self.find((text or b"").decode())
-        if words and max(map(len, words)) * 4 > LONG:
-            for i in [i for i, w in enumerate(words) if len(w) * 4 > LONG and len(w.encode()) > LONG][::-1]:
-                words[i : i + 1] = self.cut(words[i])
-        return words
+    def find(self) -> Callable[[bytes | None], list[str]]:
+        matches = regex.compile(self.pattern).findall
+        return lambda text: matches((text or b"").decode())
+
+    def long(self, words: Iterable[str]) -> dict[str, list[str]]:
+        """The long ones among words, with their pieces."""
+        return {w: self.cut(w) for w in words if len(w) * 4 > LONG and len(w.encode()) > LONG}
 
     def cut(self, word: str) -> list[str]:
         b = np.frombuffer(word.encode(), np.uint8)
@@ -197,7 +198,7 @@ def count_words(docs: DataFrame, tokenizer: Tokenizer, text: str = "text") -> Da
     split = Splitter(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, held = split, Counter()
+        find, held = split.find(), Counter()
         for b in batches:
             for t in raw(b.column(0)):
                 held.update(find(t))
@@ -207,6 +208,10 @@ def count_words(docs: DataFrame, tokenizer: Tokenizer, text: str = "text") -> Da
         yield rows(held)
 
     def rows(held: Counter) -> pa.RecordBatch:
+        for w, pieces in split.long(held).items():
+            c = held.pop(w)
+            for p in pieces:
+                held[p] += c
         return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
 
     return docs.select(text).mapInArrow(tidy(run), "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
@@ -293,15 +298,18 @@ def encode(
 
     def known():
         table, pieces = shared.value
-        find, cache = split, {}
+        find, cache = split.find(), {}
 
         def each(b: pa.RecordBatch, texts: list[bytes | None]) -> dict[str, pa.Array]:
             ids, gaps, new = [], [], []
             for lo, hi in _cuts(texts):
                 matched = [find(t) for t in texts[lo:hi]]
-                if len(cache) > _HELD:
+                if len(cache) > _CACHED:
                     cache.clear()
                 lack = [w for w in set().union(*matched) if w not in cache]
+                if long := split.long(lack):  # the cache never holds them whole
+                    matched = [m if long.keys().isdisjoint(m) else [p for w in m for p in long.get(w, (w,))] for m in matched]
+                    lack = [w for w in set().union(*matched) if w not in cache]
                 for w, found in zip(lack, table.find(lack, pieces), strict=True):
                     cache[w] = found
                 for m in matched:
