@@ -28,7 +28,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stri
 
 from tidestat.llm.common import fresh, map_rows, materialise, raw, release, stored, tidy
 
-#: Distinct words in the broadcast table (about 20 bytes each). Words of one place only gain nothing there.
+#: Distinct words in the broadcast table (about 20 bytes each). A word of one place costs less there than in its row.
 MAX_WORDS = 1_000_000
 #: Bytes from which a word is cut, and its equal pairs merge together.
 LONG = 48
@@ -245,12 +245,12 @@ class WordTable:
 
 
 def word_table(docs: DataFrame, tokenizer: Tokenizer, text: str = "text", most: int = MAX_WORDS) -> WordTable:
-    """The table of the most frequent words, `most` at most, of those found twice or more."""
+    """The table of the most frequent words, `most` at most."""
     spark = docs.sparkSession
     words = materialise(count_words(docs, tokenizer, text), "words")
     scale = F.floor(F.log2(F.col("c").cast("double"))).cast("int")
     have, least = 0, 63
-    for k, n in sorted(words.where("c > 1").groupBy(scale.alias("k")).agg(F.count("*").alias("n")).collect(), reverse=True):  # 63 rows at most
+    for k, n in sorted(words.groupBy(scale.alias("k")).agg(F.count("*").alias("n")).collect(), reverse=True):  # 63 rows at most
         if have + n > most:
             break
         have, least = have + n, k
@@ -292,12 +292,13 @@ def encode(
     added = [StructField("tokens", ArrayType(IntegerType()))] if keep_tokens else []
     added += [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())] if digests else []
     spark, docs = docs.sparkSession, docs.drop(*[f.name for f in added])
-    shared = spark.sparkContext.broadcast((word_table(docs, tokenizer, text, most), piece_array(tokenizer)))
+    shared = spark.sparkContext.broadcast(word_table(docs, tokenizer, text, most))
+    spelled = spark.sparkContext.broadcast(piece_array(tokenizer))
     split = Splitter(tokenizer)
     c_ids, c_gaps, c_new = fresh(docs, "__ids", "__gaps", "__new")
 
     def known():
-        table, pieces = shared.value
+        table, pieces = shared.value, spelled.value
         find, cache = split.find(), {}
 
         def each(b: pa.RecordBatch, texts: list[bytes | None]) -> dict[str, pa.Array]:
@@ -348,7 +349,7 @@ def encode(
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
             if not digests:
                 return {"tokens": lists}
-            decoded = [hashlib.sha256(x).hexdigest() for x in decode_lists(lists, shared.value[1])]
+            decoded = [hashlib.sha256(x).hexdigest() for x in decode_lists(lists, spelled.value)]
             coded = [hashlib.sha256(a.astype("<u4").tobytes()).hexdigest() for a in parts]
             made = {"n_tokens": [len(a) for a in parts], "ids_sha256": coded, "decoded_sha256": decoded}
             return {"tokens": lists} | {k: pa.array(v, pa.int64() if k == "n_tokens" else pa.string()) for k, v in made.items()}

@@ -35,7 +35,7 @@ def tokenizer() -> bpe.Tokenizer:
 
 def op3_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     docs = _table(spark, d, "documents").select("doc_id", "text")
-    return bpe.encode(docs, tokenizer(), keep_text=False, keep_tokens=False, digests=True)
+    return bpe.encode(docs, tokenizer(), most=4_000_000, keep_text=False, keep_tokens=False, digests=True)
 
 
 HELD_OUT = "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 3 = 1, false)"
