@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -326,6 +327,21 @@ def test_bpe_long_words(spark, tok, library, texts):
     assert {r.doc_id: list(r.tokens) for r in out.collect()} == {i: library.encode_ordinary(t) for i, t in enumerate(texts)}
 
 
+@given(st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \t\n\r'stremvld1²é\x1c\x85\xa0\u2003日")), max_size=60))
+@settings(max_examples=500, deadline=None)
+def test_bpe_pattern(tok, text):
+    assert bpe.Splitter(tok).find()(text.encode()) == regex.findall(tok.pattern, text)
+
+
+def test_bpe_pattern_classes(tok):
+    find, plain = bpe.Splitter(tok).find(), bpe.plain_pattern(tok.pattern)
+    for c in map(chr, range(bpe._PLAIN + 100)):
+        text = f"a{c}b {c}{c} 1{c} '{c}s \n{c}\n "
+        assert find(text.encode()) == regex.findall(tok.pattern, text)
+    assert plain is not None
+    assert all(bpe.plain_pattern(p) is None for p in (r"\p{Lu}+", r"(?i:'s)", r"\w", r"[a-z]", r"[^\S]"))
+
+
 def test_op3(spark, small, library):
     texts = dict(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect())
     for r in queries.op3_byte_bpe(spark, small).collect():

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
@@ -37,8 +38,12 @@ _HELD, _CACHED = 100_000, 200_000
 #: Characters split into words at a time.
 _SLICE = 500_000
 _GAP = b"\xff\xff\xff\xff"
-_NONE = 2_147_483_647
-_PLACES = 1 << 31
+#: Ids and ranks are below it; as a rank it means none.
+_IDS = 1 << 22
+#: Places in a word that is not long.
+_PLACES = 64
+#: Characters below it are matched by explicit classes.
+_PLAIN = 0x3000
 
 
 @lru_cache(maxsize=4)
@@ -94,16 +99,14 @@ class PairTable:
             free[at + c] = False
             self.base[a] = at
         size = int(np.flatnonzero(~free).max(initial=0)) + width + 1
-        self.owner, self.rank = [-1] * size, [0] * size
+        self.cell = [-1] * size  # owner and rank
         for (a, b), r in pairs.items():
-            slot = self.base[a] + self.column[b]
-            self.owner[slot], self.rank[slot] = a, r
+            self.cell[self.base[a] + self.column[b]] = a * _IDS + r
 
     @staticmethod
     def lookup(a: str, b: str) -> str:
-        """SQL: the rank of a pair of ids, or _NONE."""
-        slot = f"get(_t.base, {a}) + get(_t.column, {b})"
-        return f"if(coalesce(get(_t.owner, {slot}) = {a}, false), get(_t.rank, {slot}), {_NONE})"
+        """SQL: the rank of a pair of ids (bigint), or _IDS. Another's cell is, less its row, negative or large; none is null."""
+        return f"least((get(_t.cell, get(_t.base, {a}) + get(_t.column, {b})) - {a} * {_IDS}L) & {(1 << 63) - 1}L, {_IDS}L)"
 
 
 class Tokenizer:
@@ -113,6 +116,8 @@ class Tokenizer:
         self.path, self.pattern = path, pattern
         ranks = read_ranks(path)
         self.pieces = {r: t for t, r in ranks.items()}
+        if max(self.pieces) >= _IDS:
+            raise ValueError(f"ranks must be below {_IDS}")
         self.single = [ranks[bytes([i])] for i in range(256)]
         self.pairs = PairTable(pair_ranks(ranks))
         release()
@@ -126,34 +131,37 @@ class Tokenizer:
     def tables(self, spark: SparkSession) -> str:
         """SQL: the tables as one struct, a scalar subquery over the one row of a written file (about 2 MB)."""
         table = self.pairs
-        parts = {"base": table.base, "column": table.column, "owner": table.owner, "rank": table.rank, "single": self.single}
-        row = pa.table({k: pa.array([v], pa.list_(pa.int32())) for k, v in parts.items()})
+        parts = {"base": table.base, "column": table.column, "cell": table.cell, "single": self.single}
+        row = pa.table({k: pa.array([v], pa.list_(pa.int64() if k == "cell" else pa.int32())) for k, v in parts.items()})
         path = stored(spark.createDataFrame(row), "ranks")
         return f"(select struct({', '.join(parts)}) from parquet.`{path}`)"
 
     def fold_sql(self, word: str) -> str:
         """SQL: array<int> ids of a string.
 
-        The state is an array of (rank of the pair that starts here, id) as one number each; a step merges the leftmost pair of
-        least rank and looks up the two pairs that it makes.
+        The state is an array of (rank of the pair that starts here, place of its first byte, id) as one number each. Places stay as
+        they are, so the least number is the leftmost pair of least rank; a step merges it and looks up the two pairs that this makes.
         """
         look = self.pairs.lookup
         ids = f"transform(split(decode(encode({word}, 'UTF-8'), 'ISO-8859-1'), ''), _c -> get(_t.single, ascii(_c)))"
-        paired = lambda a: f"transform({a}, (_x, _k) -> bigint({look('_x', f'get({a}, _k + 1)')}) * {_PLACES}L + _x)"
+        ident = lambda x: f"int({x} & {_IDS - 1}L)"
+        placed = lambda r, e, i: f"({r} * {_PLACES * _IDS}L + ({e} & {(_PLACES - 1) * _IDS}L) + {i})"
+        first = f"transform(_i, (_x, _k) -> ({look('_x', 'get(_i, _k + 1)')} * {_PLACES} + _k) * {_IDS}L + _x)"
+        start = f"transform(array({ids}), _i -> {first})[0]"
+        before = placed(look(ident("_e"), "_m"), "_e", ident("_e"))
+        merged = placed(look("_m", ident("get(_a, _p + 1)")), "_v", "_m")
+        step = f"""concat(slice(_a, 1, greatest(_p - 2, 0)), transform(slice(_a, greatest(_p - 1, 1), if(_p > 1, 1, 0)), _e -> {before}),
+            array({merged}), slice(_a, _p + 2, size(_a)))"""
+        least = f"""transform(array(array_min(_a)), _v -> if(_v >= {_IDS * _PLACES * _IDS}L, _a,
+            transform(array(int(array_position(_a, _v))), _p -> transform(array(int(shiftright(_v, 28))), _m -> {step})[0])[0]))[0]"""
+        folded = f"aggregate(sequence(1, octet_length({word})), {start}, (_a, _n) -> {least}, _a -> transform(_a, _e -> {ident('_e')}))"
+        # A long word, without places: of a run of equal pairs every second one merges, from the left ('11' becomes '10'); the state ends with a flag.
+        rank = lambda x: f"shiftright({x}, 22)"
+        paired = lambda a: f"transform({a}, (_x, _k) -> {look('_x', f'get({a}, _k + 1)')} * {_IDS}L + _x)"
         start = f"transform(array({ids}), _i -> {paired('_i')})[0]"
-        rank = lambda x: f"shiftright({x}, 31)"
-        ident = lambda x: f"int({x} & {_PLACES - 1}L)"
-        step = f"""filter(transform(_a, (_e, _j) -> if(_j > _p + 1, _e, if(_j < _p - 1, _e, if(_j = _p + 1, -1L, if(_j = _p,
-            bigint({look('_m', ident('get(_a, _p + 2)'))}) * {_PLACES}L + _m,
-            bigint({look(ident('_e'), '_m')}) * {_PLACES}L + {ident('_e')}))))), _e -> _e >= 0L)"""
-        least = f"array_min(transform(_a, (_e, _j) -> (_e & {-_PLACES}L) + _j))"
-        merged = f"""transform(array({least}), _v -> if(_v >= {_NONE * _PLACES}L, _a,
-            transform(array(int({rank('_v')})), _m -> transform(array({ident('_v')}), _p -> {step})[0])[0]))[0]"""
-        folded = f"aggregate(sequence(1, octet_length({word})), {start}, (_a, _n) -> {merged}, _a -> transform(_a, _e -> {ident('_e')}))"
-        # A long word: of a run of equal pairs every second one merges, from the left ('11' becomes '10'); the state ends with a flag.
         flags = f"split(regexp_replace(array_join(transform(_s.a, _e -> if({rank('_e')} = _r, '1', '0')), ''), '11', '10'), '')"
         joined = f"""filter(transform(_s.a, (_e, _j) -> if(get(_f, _j) = '1', int(_r), if(_j > 0 and get(_f, _j - 1) = '1', -1, {ident('_e')}))), _x -> _x >= 0)"""
-        many = f"""if(_s.d, _s, transform(array({rank('array_min(_s.a)')}), _r -> if(_r >= {_NONE}, named_struct('a', _s.a, 'd', true),
+        many = f"""if(_s.d, _s, transform(array({rank('array_min(_s.a)')}), _r -> if(_r >= {_IDS}L, named_struct('a', _s.a, 'd', true),
             named_struct('a', transform(array({flags}), _f -> transform(array({joined}), _i -> {paired('_i')})[0])[0], 'd', false)))[0])"""
         long = f"""aggregate(sequence(1, octet_length({word})), named_struct('a', {start}, 'd', false), (_s, _n) -> {many},
             _s -> transform(_s.a, _e -> {ident('_e')}))"""
@@ -171,6 +179,31 @@ class Tokenizer:
         return df.withColumn(tables, F.expr(self.tables(df.sparkSession))).select(*kept, ids.alias(out))
 
 
+@lru_cache(maxsize=4)
+def plain_pattern(pattern: str) -> re.Pattern | None:
+    """The pattern for texts of characters below _PLAIN, with its classes written out, which the standard library matches in
+    about half the time. None if it has more than literals, groups, alternatives, look-ahead and the classes L, N and s."""
+    chars = [chr(i) for i in range(_PLAIN)]
+    runs = {}
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        of = np.array([bool(regex.match(name, c)) for c in chars] + [False]).astype(np.int8)
+        edges = np.diff(of, prepend=0)
+        ends = zip(np.flatnonzero(edges == 1).tolist(), (np.flatnonzero(edges == -1) - 1).tolist(), strict=True)
+        runs[name] = "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in ends)
+    out, within = [], False
+    for part in re.findall(r"\\p\{\w+\}|\\.|\(\?[:!]?|\[\^?|.", pattern, re.S):
+        if part in runs:
+            out.append(runs[part] if within else f"[{runs[part]}]")
+        elif part == r"\S" and not within:
+            out.append(f"[^{runs[chr(92) + 's']}]")
+        elif part[0] == "\\" and part[1:] not in ("r", "n") or part in ("(?", "^", "$", "&", "~") or within and part[0] in "[-|":
+            return None
+        else:
+            within = part[0] == "[" or within and part != "]"
+            out.append(part)
+    return re.compile("".join(out))
+
+
 class Splitter:
     """The words of a text: matches of the pattern; long ones are then cut where no token can cross."""
 
@@ -178,8 +211,14 @@ class Splitter:
         self.pattern, self.inside = tokenizer.pattern, tokenizer.inside
 
     def find(self) -> Callable[[bytes | None], list[str]]:
-        matches = regex.compile(self.pattern).findall
-        return lambda text: matches((text or b"").decode())
+        matches, plain = regex.compile(self.pattern).findall, plain_pattern(self.pattern)
+        beyond = re.compile(f"[^\\x00-{chr(_PLAIN - 1)}]").search
+
+        def find(text: bytes | None) -> list[str]:
+            t = (text or b"").decode()
+            return plain.findall(t) if plain and (t.isascii() or not beyond(t)) else matches(t)
+
+        return find
 
     def long(self, words: Iterable[str]) -> dict[str, list[str]]:
         """The long ones among words, with their pieces."""
@@ -307,7 +346,7 @@ def encode(
                 matched = [find(t) for t in texts[lo:hi]]
                 if len(cache) > _CACHED:
                     cache.clear()
-                lack = [w for w in set().union(*matched) if w not in cache]
+                lack = list(set().union(*matched).difference(cache))
                 if long := split.long(lack):  # the cache never holds them whole
                     matched = [m if long.keys().isdisjoint(m) else [p for w in m for p in long.get(w, (w,))] for m in matched]
                     lack = [w for w in set().union(*matched) if w not in cache]
@@ -317,11 +356,11 @@ def encode(
                     got = list(map(cache.__getitem__, m))
                     missing: dict[str, int] = {}
                     places: list[int] = []
-                    if None in got:
-                        for i, x in enumerate(got):
-                            if x is None:
-                                places.append(missing.setdefault(m[i], len(missing)))
-                                got[i] = _GAP
+                    i = -1
+                    for _ in range(got.count(None)):
+                        i = got.index(None, i + 1)
+                        places.append(missing.setdefault(m[i], len(missing)))
+                        got[i] = _GAP
                     ids.append(b"".join(got))
                     gaps.append(places)
                     new.append(list(missing))
@@ -332,25 +371,13 @@ def encode(
     def join():
         def each(b: pa.RecordBatch, _: list[bytes | None]) -> dict[str, pa.Array]:
             column = lambda n: b.column(b.schema.get_field_index(n))
-            parts = []
-            for ids, gaps, new in zip(column(c_ids).to_pylist(), column(c_gaps).to_pylist(), column(c_new), strict=True):
-                a = np.frombuffer(ids, "<u4")
-                if gaps:
-                    folded = [np.array(x, "<u4") for x in new.as_py()]
-                    cuts = np.flatnonzero(a == 0xFFFFFFFF)
-                    pieces = np.split(a, cuts)
-                    out = [pieces[0]]
-                    for g, piece in zip(gaps, pieces[1:], strict=True):
-                        out += [folded[g], piece[1:]]
-                    a = np.concatenate(out)
-                parts.append(a)
-            offsets = np.concatenate([[0], np.cumsum([len(a) for a in parts])]).astype(np.int32)
-            values = np.concatenate(parts).astype(np.int32) if parts else np.empty(0, np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+            lists = fill_gaps(column(c_ids), column(c_gaps), column(c_new))
             if not digests:
                 return {"tokens": lists}
+            flat, ends = lists.flatten().to_numpy().astype("<u4"), lists.offsets.to_numpy()
+            parts = [flat[x:y] for x, y in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
             decoded = [hashlib.sha256(x).hexdigest() for x in decode_lists(lists, spelled.value)]
-            coded = [hashlib.sha256(a.astype("<u4").tobytes()).hexdigest() for a in parts]
+            coded = [hashlib.sha256(a).hexdigest() for a in parts]
             made = {"n_tokens": [len(a) for a in parts], "ids_sha256": coded, "decoded_sha256": decoded}
             return {"tokens": lists} | {k: pa.array(v, pa.int64() if k == "n_tokens" else pa.string()) for k, v in made.items()}
 
@@ -372,6 +399,31 @@ def _cuts(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
+def fill_gaps(ids: pa.Array, gaps: pa.Array, new: pa.Array) -> pa.ListArray:
+    """The ids of each row, its gaps filled from its own new words: of the k-th gap, the ids of word gaps[k]. All rows at once."""
+    sizes = np.array([len(x) // 4 for x in ids.to_pylist()], np.int64)
+    given = np.frombuffer(b"".join(ids.to_pylist()), "<u4")
+    at = np.flatnonzero(given == 0xFFFFFFFF)
+    # A gap's word among all words of the batch, and where that word's ids lie.
+    base = np.repeat(new.offsets.to_numpy()[:-1], np.diff(gaps.offsets.to_numpy()))
+    word = gaps.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + base - new.offsets[0].as_py()
+    words = new.flatten()
+    start, source = words.offsets.to_numpy().astype(np.int64) - words.offsets[0].as_py(), words.flatten().to_numpy().astype(np.int32)
+    long = np.diff(start)[word]
+
+    widths = np.ones(len(given), np.int64)
+    widths[at] = long
+    ends = np.cumsum(widths)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
+    known = np.ones(len(given), bool)
+    known[at] = False
+    out[ends[known] - 1] = given[known].astype(np.int32)
+    step = np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long)
+    out[np.repeat(ends[at] - long, long) + step] = source[np.repeat(start[:-1][word], long) + step]
+    offsets = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(out))
+
+
 def piece_array(tokenizer: Tokenizer) -> pa.LargeBinaryArray:
     """The bytes of each id, by id."""
     return pa.array([tokenizer.pieces[i] for i in range(len(tokenizer.pieces))], pa.large_binary())
