@@ -648,6 +648,46 @@ def test_audio_all_links_and_offsets(spark):
     assert [x.tolist() for x in index.match(wrong, None)[:2]] == [[1], [0]]
 
 
+def plain_match(index_words, words):
+    """All offsets of all recordings: those of two votes or more, each recording at its least error, and the words of overlap."""
+    out, overlap = {}, 0
+    parts = lambda w: [(w >> np.uint32(s)) & np.uint32(1023) for s in audio.PARTS]
+    for i, w in enumerate(index_words):
+        for off in range(1 - len(words), len(w)):
+            lo, hi = max(0, -off), min(len(words), len(w) - off)
+            x, y = words[lo:hi], w[lo + off : hi + off]
+            votes = sum(int((p == q).sum()) for p, q in zip(parts(x), parts(y), strict=True))
+            whole = off == 0 and hi == len(words) == len(w)
+            if votes > 1 and (hi - lo >= audio.MIN_OVERLAP or whole):
+                overlap += hi - lo
+                error = int(np.bitwise_count(x ^ y).sum()) / (32 * (hi - lo))
+                if error <= (audio.limit(np.array(hi - lo)) if hi - lo >= audio.MIN_OVERLAP else 0):
+                    out[i] = min(out.get(i, (2.0,)), (error, -votes, off))
+    return [(i, off, error, -votes) for i, (error, votes, off) in sorted(out.items())], overlap
+
+
+@pytest.mark.parametrize("dense", [0, 8, 1 << 40])
+def test_audio_drops_chance_early(monkeypatch, dense):
+    """The same alignments as by whole overlaps, while unrelated recordings are compared over a part of theirs."""
+    monkeypatch.setattr(audio, "DENSE", dense, raising=False)
+    rng = np.random.default_rng(12)
+    word = lambda n: rng.integers(0, 1 << 32, n, dtype=np.uint32)
+    noise = lambda n: word(n) & word(n) & word(n)  # noqa: E731  an eighth of the bits
+    words = word(46)
+    known = [word(46) for _ in range(100)] + [words, words[:30], words[20:], word(5), word(0)]
+    known += [words ^ noise(46), np.concatenate([word(9), words[:37] ^ noise(37)]), np.concatenate([words[-40:] ^ noise(40), word(60)])]
+    compared, count = [], np.bitwise_count
+    index = audio.Index(list(range(len(known))), known)
+    for own in (words, known[3], known[-1], known[103], word(200)):
+        want, overlap = plain_match(known, own)
+        compared.clear()
+        with monkeypatch.context() as m:
+            m.setattr(np, "bitwise_count", lambda x: compared.append(x.nbytes // 4) or count(x))
+            got = list(zip(*(x.tolist() for x in index.match(own, None)), strict=True))
+        assert got == want
+        assert len(own) != 46 or sum(compared) < 0.9 * overlap
+
+
 def test_audio_reads_wav(tmp_path):
     import io
     import wave
