@@ -89,6 +89,21 @@ def test_line_dedup(spark, odd):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_holds_few_texts(spark, odd):
+    """Texts are read a few at a time and not sorted, whatever the session has."""
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(name)
+    try:
+        for given, want in (("4096", "256"), ("100", "100")):
+            spark.conf.set(name, given)
+            out = line_dedup.dedup_lines(frame(spark, odd))
+            assert spark.conf.get(name) == want
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan.split("ShuffledHashJoin")[0]
+    finally:
+        spark.conf.set(name, before)
+
+
 def full(*_):
     """A Bloom filter of far more hashes than bits: all pass."""
     return lambda h: np.ones(len(h), bool)

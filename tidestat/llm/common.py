@@ -39,6 +39,16 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
 
 
+#: Rows of a Parquet batch: their texts lie in one array on the heap, for each task.
+READ_ROWS = 256
+
+
+def short_reads(spark: SparkSession) -> None:
+    """Parquet batches of READ_ROWS at most (Spark's 4096 rows of 2 KB are arrays of 8 MB and more, far longer ones of longer texts)."""
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    spark.conf.set(name, str(min(READ_ROWS, int(spark.conf.get(name)))))
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read back: lineage ends there and lost executors lose nothing."""
     return df.sparkSession.read.schema(df.schema).parquet(stored(df, name))

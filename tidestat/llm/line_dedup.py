@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
 from tidestat.llm import bloom
-from tidestat.llm.common import LOWER, SPACE, code_points, fresh, join_hot, map_rows, materialise, n_chars_of, raw, strings, tidy
+from tidestat.llm.common import LOWER, SPACE, code_points, fresh, join_hot, map_rows, materialise, n_chars_of, raw, short_reads, strings, tidy
 
 MIN_LENGTH = 10
 
@@ -84,6 +84,7 @@ def dedup_lines(docs: DataFrame, min_length: int = MIN_LENGTH, doc_id: str = "do
     an empty table gives an empty table; other columns pass through; n_chars, if present, follows the new text.
     """
     docs = docs.drop("n_lines", "n_dropped")
+    short_reads(docs.sparkSession)
     newlines = F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1
     lines = docs.agg(F.sum(newlines)).first()[0] or 0
     suspects = materialise(_suspects(docs, lines, min_length, doc_id, text), "line-suspects")
@@ -96,7 +97,8 @@ def dedup_lines(docs: DataFrame, min_length: int = MIN_LENGTH, doc_id: str = "do
         .groupBy(F.col("doc").alias(c_doc))
         .agg(F.collect_list("h1").alias(c_drop))
     )
-    joined = docs.join(drops, F.col(doc_id).cast("long") == F.col(c_doc), "left").drop(c_doc)
+    # Drops are the smaller side in any partition (8 bytes a line dropped, of MIN_LENGTH or more): hashed, texts need no sort.
+    joined = docs.join(drops.hint("shuffle_hash"), F.col(doc_id).cast("long") == F.col(c_doc), "left").drop(c_doc)
 
     def make():
         def each(b: pa.RecordBatch, texts: list[bytes | None]) -> dict[str, pa.Array]:
