@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidestat.llm import audio, bpe, chat, decontaminate, html_extract, jaccard_join, licenses, line_dedup, substring_dedup, toxicity
+from tidestat.llm import audio, bpe, chat, decontaminate, html_extract, jaccard_join, licenses, line_dedup, secrets, substring_dedup, toxicity
 from tidestat.llm.common import materialise
 
 
@@ -93,6 +93,11 @@ def op10_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_secret_scan(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents").select("doc_id", "text")
+    return secrets.scan(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     import corpus_pipeline  # it imports this module
 
@@ -110,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media_fingerprints": op8_media_fingerprints,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_secret_scan": op11_secret_scan,
     "pipeline": pipeline,
 }
 
