@@ -50,7 +50,7 @@ class EntropyClass:
 
 
 #: Random hex digits have 3.4 bits a byte on average over 20, random base64 4.1, words of prose 3.5.
-CLASSES = (EntropyClass("entropy_hex", rb"0-9A-Fa-f", 20, 3.0), EntropyClass("entropy_base64", rb"A-Za-z0-9+/_=-", 20, 3.85))
+CLASSES = (EntropyClass("entropy_hex", rb"0-9A-Fa-f", 20, 3.0), EntropyClass("entropy_base64", rb"A-Za-z0-9+/_-", 20, 3.85))
 
 
 @dataclass(frozen=True)
