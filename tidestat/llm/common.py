@@ -62,6 +62,20 @@ def stored(df: DataFrame, name: str) -> str:
     return path
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that stored() wrote and that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def only(df: DataFrame, *names: str) -> DataFrame:
+    """df with these columns alone: by exact name, else in any case, whatever other columns are called."""
+    at = [next((i for i, c in enumerate(df.columns) if c == n), None) for n in names]
+    at = [next(i for i, c in enumerate(df.columns) if c.lower() == n.lower()) if i is None else i for i, n in zip(at, names, strict=True)]
+    placed = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    return placed.select(*[F.col(f"_{i}").alias(n) for i, n in zip(at, names, strict=True)])
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each made longer until no column of df has it in any case."""
     taken, out = {c.lower() for c in df.columns}, []

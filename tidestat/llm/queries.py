@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidestat.llm import audio, bpe, chat, decontaminate, html_extract, jaccard_join, licenses, line_dedup, secrets, substring_dedup, toxicity
+from tidestat.llm import audio, bpe, centroids, chat, decontaminate, html_extract, jaccard_join, licenses, line_dedup, prefix_trie, secrets, substring_dedup, toxicity
 from tidestat.llm.common import materialise
 
 
@@ -98,6 +98,21 @@ def op11_secret_scan(spark: SparkSession, d: str) -> DataFrame:
     return secrets.scan(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op12_conversation_trie(spark: SparkSession, d: str) -> DataFrame:
+    base = F.col("conv_id") - F.col("conv_id") % 5
+    kept = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    return prefix_trie.prefix_trie(_table(spark, d, "conversations"), base, kept)
+
+
+CENTROIDS, ROUNDS = 40, 5
+
+
+def op13_centroid_clustering(spark: SparkSession, d: str) -> DataFrame:
+    out = centroids.cluster(_table(spark, d, "embeddings"), k=CENTROIDS, rounds=ROUNDS)
+    digest = F.sha2(F.array_join(F.transform("centroid", lambda x: x.cast("string")), ",").cast("binary"), 256)
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     import corpus_pipeline  # it imports this module
 
@@ -116,6 +131,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_secret_scan": op11_secret_scan,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_centroid_clustering": op13_centroid_clustering,
     "pipeline": pipeline,
 }
 
@@ -136,7 +153,54 @@ def _values(known: tuple[tuple[str, str], ...]) -> str:
     return ", ".join(f"('{k}', '{quoted(v)}')" for k, v in known)
 
 
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII string; its table follows from the polynomial."""
+    table = list(range(256))
+    for _ in range(8):
+        table = [c >> 1 ^ (0xEDB88320 if c & 1 else 0) for c in table]
+    codes = f"list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda a, b: xor(CAST({table} AS BIGINT[])[(xor(a, b) & 255) + 1], a >> 8)), 4294967295)"
+
+
+_TRIE = f"""WITH rows AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+  t AS (SELECT c, sym, n, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, sym) AS p FROM
+    (SELECT c, turn, strlen(text) AS n, substr(sha256(strlen(role) || ':' || role || text), 1, 32) AS sym FROM rows)),
+  ids AS (SELECT c, c - c % 5 AS g, {_crc32_sql('CAST(c AS VARCHAR)')} % 9 AS h FROM (SELECT DISTINCT c FROM rows)),
+  head AS (SELECT i.c, t.p, t.sym, t.n FROM ids i JOIN t ON t.c = i.g AND t.p <= i.h),
+  own AS (SELECT i.c, 8 + t.p AS p, t.sym, t.n FROM ids i JOIN t ON t.c = i.c AND t.p > i.h),
+  full_ AS (SELECT ids.c, coalesce(s, []) AS s, coalesce(w, []) AS w FROM ids LEFT JOIN
+    (SELECT c, list(sym ORDER BY p) AS s, list(n ORDER BY p) AS w FROM (SELECT * FROM head UNION ALL SELECT * FROM own) GROUP BY c) r USING (c)),
+  each AS (SELECT c, s, w, unnest(range(0, len(s) + 1)) AS d FROM full_),
+  nodes AS (SELECT array_to_string(s[1:d], ' ') AS k, d, min(c) AS conv_id, count(*) AS n, any_value(s[1:d]) AS s, coalesce(any_value(CASE WHEN d > 0 THEN w[d] END), 0) AS bytes,
+    sha256(coalesce(string_agg(c, ',' ORDER BY c) FILTER (len(s) = d), '')) AS ends FROM each GROUP BY 1, 2),
+  kids AS (SELECT array_to_string(s[1:d - 1], ' ') AS k, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1, 2),
+  known AS (SELECT nodes.*, coalesce(kids.n, 0) AS kids FROM nodes LEFT JOIN kids USING (k, d)),
+  sums AS (SELECT array_to_string(s[1:e], ' ') AS k, e AS d, sum((n - 1) * bytes) AS saved, count(*) FILTER (kids = 0) AS leaves FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM known) GROUP BY 1, 2)"""
+
+
+def _clustering_sql() -> str:
+    """Lloyd's rounds written out, one after the other."""
+    square = "list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    parts = [
+        """x AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS v
+          FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64)""",
+        f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS k, v FROM
+          (SELECT sha256('2:' || CAST(vec_id AS VARCHAR)) AS h, v FROM x ORDER BY h NULLS LAST, v LIMIT {CENTROIDS}))""",
+    ]
+    for i in range(ROUNDS + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, any_value(x.v) AS v, CAST(min(CAST({square} AS HUGEINT) * {CENTROIDS} + c.k) AS HUGEINT) AS m FROM x CROSS JOIN c{i} c GROUP BY r)""")
+        if i < ROUNDS:
+            parts.append(f"""c{i + 1} AS MATERIALIZED (SELECT c.k, coalesce(n.v, c.v) AS v FROM c{i} c LEFT JOIN (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM
+              (SELECT k, i, sum(e) AS s, count(*) AS n FROM (SELECT m % {CENTROIDS} AS k, unnest(v) AS e, generate_subscripts(v, 1) AS i FROM a{i}) GROUP BY 1, 2) GROUP BY 1) n ON n.k = c.k)""")
+    return f"""WITH {", ".join(parts)} SELECT vec_id, CAST(c.k AS INT) AS cluster, CAST(a.m // {CENTROIDS} AS BIGINT) AS distance,
+      CAST(sum(a.m // {CENTROIDS}) OVER (PARTITION BY c.k) AS BIGINT) AS cluster_inertia, CAST(sum(a.m // {CENTROIDS}) OVER () AS BIGINT) AS inertia,
+      sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM a{ROUNDS} a JOIN c{ROUNDS} c ON c.k = a.m % {CENTROIDS}"""
+
+
 ORACLE: dict[str, str] = {
+    "op12_conversation_trie": _TRIE + """ SELECT x.conv_id, x.d AS depth, up.conv_id AS parent_conv_id, x.n AS n_convs, x.kids AS n_children, sums.leaves AS n_leaves,
+      CAST(sums.saved AS BIGINT) AS saved_tokens, x.ends AS ends_sha256 FROM known x JOIN sums USING (k, d) LEFT JOIN nodes up ON x.d > 0 AND up.d = x.d - 1 AND up.k = array_to_string(x.s[1:x.d - 1], ' ')""",
+    "op13_centroid_clustering": _clustering_sql(),
     "op2_chat_formatting": r"""WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
         UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
       f AS (SELECT *, CASE role WHEN 'system' THEN 10 WHEN 'user' THEN 8 WHEN 'assistant' THEN 13 WHEN 'tool' THEN 8 ELSE length(replace(replace(replace(replace(role, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'), ')', '\)')) + 10 END + 2
