@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidestat.functions.prefix import running
+
 
 def weighted_quantiles(df: DataFrame, by: Sequence[str], x: str, w: str, probs: Sequence[float]) -> DataFrame:
     """by..., p, q: quantiles under reliability weights, linear in the cumulative weight.
@@ -16,20 +18,8 @@ def weighted_quantiles(df: DataFrame, by: Sequence[str], x: str, w: str, probs:
     absent. ``df`` is a histogram (values are aggregated first), so a group is at most as large as its bins.
     """
     hist = df.where(F.col(w) > 0).groupBy(*by, F.col(x).alias("x")).agg(F.sum(w).cast("double").alias("w"))
-    part = Window.partitionBy(*by)
-    order = part.orderBy("x")
-    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    steps = hist.select(
-        *by,
-        "x",
-        "w",
-        F.sum("w").over(running).alias("s"),
-        F.sum("w").over(part).alias("total"),
-        F.first("w").over(running).alias("w1"),
-        F.lag("x").over(order).alias("px"),
-        F.max("x").over(part).alias("top"),
-    )
-    # the probabilities come after the windows, which would otherwise see each row several times
+    least = hist.groupBy(*by).agg(F.sum("w").alias("total"), F.min_by("w", "x").alias("w1"), F.max("x").alias("top"))
+    steps = running(hist, by, "x", {"s": "w"}, before="px").join(F.broadcast(least), list(by))  # a row for each group
     steps = steps.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
     steps = steps.withColumn("h", F.col("p") * (F.col("total") - F.col("w1")) + F.col("w1"))
     inside = F.coalesce(F.col("px"), F.col("x"))
@@ -66,13 +56,11 @@ def n50(hist: DataFrame, length: str = "readlength", count: str = "count") -> Da
     n50: the largest length at which the running sum of bases, from the longest down, passes half.
     n50_star: the next shorter length present, null where there is none.
     """
-    down = Window.orderBy(F.col(length).desc())
-    bases = F.col(length) * F.col(count)
-    steps = hist.select(
-        F.col(length).alias("l"),
-        F.sum(bases).over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("cum"),
-        F.sum(bases).over(Window.partitionBy()).alias("total"),
-        F.lead(length).over(down).alias("next"),
+    each = hist.groupBy(F.col(length).alias("l")).agg(F.sum(F.col(length) * F.col(count)).alias("bases"))
+    half = each.agg((F.sum("bases") * 0.5).alias("half"))
+    steps = running(each, [], "l", {"cum": "bases"}, descending=True).crossJoin(F.broadcast(half))  # one row
+    # shorter lengths than n50 are those whose sum has passed half before them
+    return steps.agg(
+        F.max(F.when(F.col("cum") > F.col("half"), F.col("l"))).alias("n50"),
+        F.max(F.when(F.col("cum") - F.col("bases") > F.col("half"), F.col("l"))).alias("n50_star"),
     )
-    hit = F.max(F.when(F.col("cum") > 0.5 * F.col("total"), F.struct("l", "next")))
-    return steps.agg(hit.alias("h")).select(F.col("h.l").alias("n50"), F.col("h.next").alias("n50_star"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidestat.functions import bits
 from tidestat.plans import svg
-from tidestat.registry import Stat, register
+from tidestat.registry import Stat, cell, register
 from tidestat.schema import CONFIDENT, MODS, mod_ordinal
 from tidestat.sources.relations import Relations
 
@@ -143,6 +143,47 @@ class ModCrossCor(Stat):
         known = {k: v for k, v in self.options.items() if k in ("lags", "mods", "length", "offset", "thresh", "duplicate_lags", "dense")}
         return nested_cross_cor(rel.reads, **known)
 
+    def _known(self) -> tuple[list[int], list[int], int, int, float, bool]:
+        o = self.options
+        lags = list(o.get("lags", LAGS))
+        if any(g < 1 for g in lags):
+            raise ValueError("lags are positive")
+        ords = [i for i, m in enumerate(MODS) if m in o.get("mods", MODS)]
+        return lags, ords, int(o.get("length", LENGTH)), int(o.get("offset", OFFSET)), float(o.get("thresh", CONFIDENT)), bool(o.get("dense", True))
+
+    def prepare(self) -> dict[str, str]:
+        _, ords, length, offset, thresh, dense = self._known()
+        near = f"filter(calls, k -> qlen >= {length + offset} and k.prob > {thresh!r}D and k.pos between {offset} and {offset + length - 1})"
+        sets = {f"p{o}": f"array_distinct(transform(filter({{near}}, k -> k.mod = '{MODS[o]}'), k -> k.pos))" for o in ords}
+        out = {"near": near, **sets}
+        if dense:
+            least = ", ".join(f"array_min({{{p}}})" for p in sets)
+            most = ", ".join(f"array_max({{{p}}})" for p in sets)
+            out |= {"low": f"least({least}, 2147483647)", "high": f"greatest({most}, 0)"}
+            out |= {f"w{o}": f"if({{high}} < {{low}}, cast(array() as array<bigint>), {bits.words_sql(f'{{p{o}}}', '{low}', 'greatest({high}, {low})')})" for o in ords}
+        return out
+
+    def cells(self) -> str:
+        lags, ords, length, offset, _, dense = self._known()
+        lag_array = f"array({', '.join(map(str, sorted(set(lags))))})"
+        out = [f"filter(array({cell(a='-1')}), z -> qlen >= {length + offset})"]
+        for a in ords:
+            for b in (b for b in ords if a <= b):
+                sizes = f"size({{p{a}}})", f"size({{p{b}}})"
+                some = f"filter({lag_array}, g -> {sizes[0]} > 0 and {sizes[1]} > 0)"
+                hits = bits.lag_matches_sql(f"{{w{a}}}", f"{{w{b}}}", "g") if dense else f"size(array_intersect(transform({{p{a}}}, v -> v + g), {{p{b}}}))"
+                found = f"filter(transform({some}, g -> struct(g as g, {hits} as n)), h -> h.n > 0)"
+                each = cell(a=str(a), b=str(b), c="h.g", x=f"h.n / sqrt(double({sizes[0]}) * {sizes[1]})")
+                out.append(f"transform({found}, h -> {each})")
+        return f"concat({', '.join(out)})"
+
+    def finish(self, cells: DataFrame, rel: Relations) -> DataFrame:
+        lags, ords, *_ = self._known()
+        sums = cells.where("a >= 0").select(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), F.col("c").cast("int").alias("lag"), F.col("x").alias("s"))
+        eligible = cells.where("a < 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t"))
+        lag_list = lags if self.options.get("duplicate_lags") else sorted(set(lags))
+        return _finish(cells.sparkSession, sums, eligible, ords, lag_list)
+
     def plot(self, result: DataFrame) -> str:
         pair = F.concat_ws(" ", F.regexp_replace("ModA", "mod_", ""), F.regexp_replace("ModB", "mod_", ""))
         return svg.lines(result.withColumn("pair", pair), "Lag", "CrossCor", "pair")

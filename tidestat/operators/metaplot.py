@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidestat.functions.dense import axis, densify
+from tidestat.operators.sweep import pile, sweep_join
 from tidestat.plans import svg
-from tidestat.registry import Stat, register
+from tidestat.registry import Stat, cell, register
 from tidestat.schema import CONFIDENT
 from tidestat.sources import regions as region_source
 from tidestat.sources.relations import Relations
@@ -16,10 +17,20 @@ from tidestat.sources.relations import Relations
 BROADCAST_REGIONS = 200_000
 
 
+#: Windows whose widths differ by more than this factor are joined by a sweep.
+MIXED = 16
+
+
 def bin_width(regions: DataFrame) -> int:
     """A power of two near the mean window width, from one small aggregate."""
-    mean = regions.agg(F.avg(F.col("stop") - F.col("start") + 1)).first()[0] or 1.0
-    return 1 << max(6, min(20, round(mean).bit_length()))
+    return _widths(regions)[0]
+
+
+def _widths(regions: DataFrame) -> tuple[int, bool]:
+    """The bin width, and whether the widths are too different for bins."""
+    size = F.col("stop") - F.col("start") + 1
+    mean, least, most = regions.agg(F.avg(size), F.min(size), F.max(size)).first()
+    return 1 << max(6, min(20, round(mean or 1.0).bit_length())), (most or 1) > MIXED * max(1, least or 1)
 
 
 def interval_join(points: DataFrame, regions: DataFrame, at: str = "gpos", key: str = "tid", width: int | None = None) -> DataFrame:
@@ -29,15 +40,19 @@ def interval_join(points: DataFrame, regions: DataFrame, at: str = "gpos", key:
     join is an equi-join on (contig, bin) with a short residual; a dense contig spreads over its bins.
     """
     width = width or bin_width(regions)
-    binned = regions.withColumn(
-        "_bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("stop") / width)))
-    )
-    if binned.limit(BROADCAST_REGIONS + 1).count() <= BROADCAST_REGIONS:
+    binned, small = _binned(regions, width)
+    if small:
         binned = F.broadcast(binned)
     keyed = points.where(F.col(at).isNotNull()).withColumn("_bin", F.floor(F.col(at) / width))
     return keyed.join(binned, [key, "_bin"]).where(F.col(at).between(F.col("start"), F.col("stop"))).drop("_bin")
 
 
+def _binned(regions: DataFrame, width: int) -> tuple[DataFrame, bool]:
+    """Windows under each bin that they touch, and whether these are few enough to broadcast."""
+    binned = regions.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("stop") / width))))
+    return binned, binned.limit(BROADCAST_REGIONS + 1).count() <= BROADCAST_REGIONS
+
+
 def interval_overlap(reads: DataFrame, regions: DataFrame, width: int = 1 << 14) -> DataFrame:
     """read_id, group, regionindex of reads whose span (left0 + 1 .. right1) overlaps a window, each pair once.
 
@@ -60,28 +75,42 @@ def interval_overlap(reads: DataFrame, regions: DataFrame, width: int = 1 << 14)
     )
 
 
-def profile_counts(mod_calls: DataFrame, regions: DataFrame, thresh: float = CONFIDENT) -> DataFrame:
-    """group, Region, dw, Mod, xp, FG, BG: the observed part of metaplot, one join and one aggregation."""
-    xp = F.when(F.col("strand"), F.col("gpos") - F.col("start")).otherwise(F.col("stop") - F.col("gpos"))
+def _xp():
+    """The place in a window, mirrored on minus strands."""
+    return (F.when(F.col("strand"), F.col("gpos") - F.col("start")).otherwise(F.col("stop") - F.col("gpos")) - F.col("dw")).cast("int")
+
+
+def profile_counts(mod_calls: DataFrame, regions: DataFrame, thresh: float = CONFIDENT, sweep: bool | None = None) -> DataFrame:
+    """group, Region, dw, Mod, xp, FG, BG: the observed part of metaplot, one join and one aggregation.
+
+    sweep: join by the sorted sweep, over calls added up by place; by default where window widths are very different.
+    """
+    if _widths(regions)[1] if sweep is None else sweep:
+        return piled_counts(pile(mod_calls, thresh), regions)
     return (
         interval_join(mod_calls.select("tid", "gpos", "mod", "prob"), regions)
-        .groupBy(
-            F.col("group"),
-            F.col("label").alias("Region"),
-            F.col("dw"),
-            F.col("mod").alias("Mod"),
-            (xp - F.col("dw")).cast("int").alias("xp"),
-        )
+        .groupBy("group", F.col("label").alias("Region"), "dw", F.col("mod").alias("Mod"), _xp().alias("xp"))
         .agg(F.count_if(F.col("prob") > thresh).alias("FG"), F.count("*").alias("BG"))
     )
 
 
-def metaplot(mod_calls: DataFrame, regions: DataFrame, thresh: float = CONFIDENT) -> DataFrame:
+def piled_counts(piled: DataFrame, regions: DataFrame) -> DataFrame:
+    """profile_counts of calls that are added up by place (sweep.pile)."""
+    met = sweep_join(piled.select("tid", "gpos", "mod", "FG", "BG"), regions)
+    by = met.groupBy("group", F.col("label").alias("Region"), "dw", F.col("mod").alias("Mod"), _xp().alias("xp"))
+    return by.agg(F.sum("FG").alias("FG"), F.sum("BG").alias("BG"))
+
+
+def metaplot(mod_calls: DataFrame, regions: DataFrame, thresh: float = CONFIDENT, sweep: bool | None = None) -> DataFrame:
     """Region, Mod, xp (-dw..dw), FG (confident calls), BG (all calls): dense for each observed (Region, Mod).
 
     A call inside several windows counts once for each; minus strands are mirrored.
     """
-    counts = profile_counts(mod_calls, regions, thresh)
+    return dense_profile(profile_counts(mod_calls, regions, thresh, sweep))
+
+
+def dense_profile(counts: DataFrame) -> DataFrame:
+    """metaplot from profile_counts."""
     dim = counts.select("group", "Region", "dw", "Mod").distinct()
     full = dim.withColumn("xp", F.explode(F.sequence(-F.col("dw"), F.col("dw"))))
     return (
@@ -127,13 +156,44 @@ class MetaPlot(Stat):
     schema = "Region string, Mod string, xp int, FG long, BG long"
 
     def compute(self, rel: Relations) -> DataFrame:
+        return metaplot(rel.mod_calls, self._regions(rel))
+
+    def call_cell(self) -> str:
+        return f"if(gpos is not null and tid is not null, {cell(s='mod', a='tid', b='gpos', m=f'int(prob > {CONFIDENT!r}D)')}, null)"
+
+    def place(self, cells: DataFrame, tag: int, rel: Relations) -> DataFrame:
+        """Calls (contig, place) become profile cells (group, place in the window) where the regions fit into a broadcast; else they stay,
+        are added up by place with all other cells, and are swept afterwards."""
+        regions = self._regions(rel)
+        width, mixed = _widths(regions)
+        binned, small = _binned(regions.select("tid", "start", "stop", "strand", "group", "dw"), width)
+        self.piled = mixed or not small
+        if self.piled:
+            return cells
+        mine = F.col("tag") == tag
+        keyed = cells.withColumns({"_tid": F.when(mine, F.col("a").cast("int")), "_at": F.when(mine, F.floor(F.col("b") / width))})
+        near = binned.select(F.col("tid").alias("_rtid"), F.col("_bin").alias("_rbin"), "start", "stop", "strand", "group", "dw")
+        met = keyed.join(F.broadcast(near), (F.col("_tid") == F.col("_rtid")) & (F.col("_at") == F.col("_rbin")), "left")
+        met = met.where(~mine | F.col("b").between(F.col("start"), F.col("stop"))).withColumn("gpos", F.col("b"))
+        a, b = F.when(mine, F.col("group").cast("long")).otherwise(F.col("a")), F.when(mine, _xp().cast("long")).otherwise(F.col("b"))
+        return met.select("tag", "s", a.alias("a"), b.alias("b"), "c", "n", "m", "x")
+
+    def finish(self, cells: DataFrame, rel: Relations) -> DataFrame:
+        regions = self._regions(rel)
+        if self.piled:
+            piled = cells.select(F.col("a").cast("int").alias("tid"), F.col("b").alias("gpos"), F.col("s").alias("mod"), F.col("m").alias("FG"), F.col("n").alias("BG"))
+            return dense_profile(piled_counts(piled, regions))
+        labels = regions.select("group", F.col("label").alias("Region"), "dw").distinct()
+        counts = cells.select(F.col("a").cast("int").alias("group"), F.col("s").alias("Mod"), F.col("b").cast("int").alias("xp"), F.col("m").alias("FG"), F.col("n").alias("BG"))
+        return dense_profile(counts.join(F.broadcast(labels), "group"))  # a row for each region file
+
+    def _regions(self, rel: Relations) -> DataFrame:
         files = self.options.get("config")
         spark = rel.reads.sparkSession
         raw = region_source.load_many(spark, files) if files else rel.regions
         if raw is None:
             raise ValueError("MetaPlot needs region files in its configuration, or regions in the relations")
-        regions = raw if "tid" in raw.columns else region_source.to_tid(raw, rel.contigs)
-        return metaplot(rel.mod_calls, regions)
+        return raw if "tid" in raw.columns else region_source.to_tid(raw, rel.contigs)
 
     def plot_data(self, result: DataFrame) -> DataFrame:
         return metaplot_zscore(result)

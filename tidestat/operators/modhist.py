@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidestat.functions.dense import axis, densify
 from tidestat.plans import svg
-from tidestat.registry import Stat, register
+from tidestat.registry import Stat, cell, register
 from tidestat.schema import CONFIDENT, CONFIDENT_SHARE, MODS
 from tidestat.sources.relations import Relations
 
@@ -17,11 +17,15 @@ def mod_hist(mod_calls: DataFrame, mods: tuple[str, ...] = MODS) -> DataFrame:
 
     One aggregation with a conditional count per modification: no distinct pass and no pivot shuffle.
     """
-    spark = mod_calls.sparkSession
     counts = mod_calls.groupBy(F.col("prob").alias("ml")).agg(
         *[F.count_if(F.col("mod") == m).alias(m) for m in mods]
     )
-    ml = spark.range(256, numPartitions=1).select(F.col("id").cast("int").alias("ml"))
+    return dense_hist(counts, mods)
+
+
+def dense_hist(counts: DataFrame, mods: tuple[str, ...] = MODS) -> DataFrame:
+    """mod_hist from ml and the observed counts."""
+    ml = counts.sparkSession.range(256, numPartitions=1).select(F.col("id").cast("int").alias("ml"))
     return (
         densify(counts, ml, ["ml"], mods)
         .select("ml", (F.col("ml") / 255.0).cast("double").alias("prob"), *mods)
@@ -59,6 +63,11 @@ def mod_meta_hist(mod_calls: DataFrame, n: int = 1000, thresh: float = CONFIDENT
         .groupBy("mod", at.alias("i"))
         .agg(F.count("*").alias("count"))
     )
+    return dense_bins(counts, n)
+
+
+def dense_bins(counts: DataFrame, n: int) -> DataFrame:
+    """mod_meta_hist from mod, i (1..n), count."""
     dim = counts.select("mod").distinct()
     return (
         densify(counts, axis(dim, 1, n, "i"), ["mod", "i"], ["count"])
@@ -72,7 +81,16 @@ class ModHist(Stat):
     name, title, file, grain = "ModHist", "Modification probabilities", "modhist.tsv.gz", "mod"
 
     def compute(self, rel: Relations) -> DataFrame:
-        hist = mod_hist(rel.mod_calls)
+        return self._observed(mod_hist(rel.mod_calls))
+
+    def call_cell(self) -> str:
+        return cell(s="mod", a="prob")
+
+    def finish(self, cells: DataFrame, rel: Relations) -> DataFrame:
+        each = [F.coalesce(F.sum(F.when(F.col("s") == m, F.col("n"))), F.lit(0)).alias(m) for m in MODS]
+        return self._observed(dense_hist(cells.groupBy(F.col("a").cast("int").alias("ml")).agg(*each)))
+
+    def _observed(self, hist: DataFrame) -> DataFrame:
         rows = hist.sparkSession.createDataFrame(hist.collect(), hist.schema)  # 256 rows: the calls are read once
         return rows.select("ml", "prob", *observed(rows))
 
@@ -90,5 +108,13 @@ class ModMetaHist(Stat):
             rel.mod_calls, int(self.options.get("n", 1000)), float(self.options.get("thresh", CONFIDENT))
         )
 
+    def call_cell(self) -> str:
+        n, thresh = int(self.options.get("n", 1000)), float(self.options.get("thresh", CONFIDENT))
+        return f"if(qlen > 0 and prob > {thresh!r}D, {cell(s='mod', a=f'greatest(floor({n} * pos / qlen), 1)')}, null)"
+
+    def finish(self, cells: DataFrame, rel: Relations) -> DataFrame:
+        counts = cells.select(F.col("s").alias("mod"), F.col("a").cast("int").alias("i"), F.col("n").alias("count"))
+        return dense_bins(counts, int(self.options.get("n", 1000)))
+
     def plot(self, result: DataFrame) -> str:
         return svg.lines(result, "bin", "count", "mod")

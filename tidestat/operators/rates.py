@@ -6,14 +6,14 @@ A read is one row, so its rates are computed in the row (no shuffle by read, no
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidestat.functions.khist import khist as adaptive
 from tidestat.functions.weighted import box_summary
 from tidestat.plans import svg
-from tidestat.registry import Stat, register
+from tidestat.registry import Stat, cell, register
 from tidestat.schema import CONFIDENT, MODS
 from tidestat.sources.relations import Relations
 
@@ -44,11 +44,6 @@ def mod_rates(reads: DataFrame, mods: Sequence[str] = MODS, thresh: float = CONF
     return rates_of_counts(confident_counts(reads, mods, thresh), mods)
 
 
-def relation_rates(rel: Relations, mods: Sequence[str] = MODS, thresh: float = CONFIDENT) -> DataFrame:
-    """mod_rates of relations, which may count their calls in a way of their own."""
-    return rates_of_counts(getattr(rel, "confident_counts", partial(confident_counts, rel.reads))(mods, thresh), mods)
-
-
 def feature_rates(reads: DataFrame) -> DataFrame:
     """Feature, Rate: nucleosomes and MSPs per base for every read, zeros included."""
     one = [
@@ -67,18 +62,12 @@ def exact_hist(rates: DataFrame, by: str, rate: str, count: str, digits: int | N
 
 
 def khist(rates: DataFrame, by: str, rate: str, count: str, bins: int = BINS) -> DataFrame:
-    """by, bin centre, weight: an adaptive histogram of at most `bins` bins.
+    """by, bin centre, weight: an adaptive histogram of at most `bins` bins, the same however rows are partitioned.
 
-    Centres that merging leaves twice are summed. Up to `bins` distinct rates the histogram is exact; with more, centres
-    depend on how rows were partitioned.
+    Exact up to `bins` distinct rates; with more, neighbours are merged in a canonical order (see functions.khist).
     """
-    hist = rates.groupBy(by).agg(F.histogram_numeric(rate, F.lit(bins)).alias("h"))
-    return (
-        hist.select(by, F.inline("h"))
-        .groupBy(by, F.round("x", 9).alias(rate))
-        .agg(F.sum("y").cast("double").alias(count))
-        .orderBy(by, rate)
-    )
+    exact = rates.groupBy(by, rate).agg(F.count("*").alias("_n"))
+    return adaptive(exact, by, rate, "_n", count, bins)
 
 
 def rate_boxplot(hist: DataFrame, by: str = "mod", rate: str = "rate", count: str = "count") -> DataFrame:
@@ -92,10 +81,23 @@ class ModRate(Stat):
     schema = "mod string, rate double, count double"
 
     def compute(self, rel: Relations) -> DataFrame:
-        mods = tuple(self.options.get("mods", MODS))
-        rates = relation_rates(rel, mods, float(self.options.get("thresh", CONFIDENT)))
+        rates = mod_rates(rel.reads, self._mods(), float(self.options.get("thresh", CONFIDENT)))
         return khist(rates, "mod", "rate", "count", int(self.options.get("n", BINS)))
 
+    def _mods(self) -> tuple[str, ...]:
+        return tuple(self.options.get("mods", MODS))
+
+    def prepare(self) -> dict[str, str]:
+        return {"confident": f"transform(filter(calls, k -> k.prob > {float(self.options.get('thresh', CONFIDENT))!r}D), k -> k.mod)"}
+
+    def cells(self) -> str:
+        each = [cell(s=f"'{m}'", a=f"size(filter({{confident}}, m -> m = '{m}'))", b="qlen") for m in self._mods()]
+        return f"filter(array({', '.join(each)}), z -> qlen > 0)"
+
+    def finish(self, cells: DataFrame, rel: Relations) -> DataFrame:
+        rates = cells.select(F.col("s").alias("mod"), (F.col("a") / F.col("b")).alias("rate"), "n")
+        return adaptive(rates, "mod", "rate", "n", "count", int(self.options.get("n", BINS)))
+
     def plot_data(self, result: DataFrame) -> DataFrame:
         return rate_boxplot(result)
 
@@ -111,6 +113,14 @@ class NucMSPRate(Stat):
     def compute(self, rel: Relations) -> DataFrame:
         return khist(feature_rates(rel.reads), "Feature", "Rate", "Count", int(self.options.get("n", BINS)))
 
+    def cells(self) -> str:
+        each = [cell(s=f"'{f}'", a=f"size(coalesce({f}_len, cast(array() as array<int>)))", b="qlen") for f in ("nuc", "msp")]
+        return f"filter(array({', '.join(each)}), z -> qlen > 0)"
+
+    def finish(self, cells: DataFrame, rel: Relations) -> DataFrame:
+        rates = cells.select(F.col("s").alias("Feature"), (F.col("a") / F.col("b")).alias("Rate"), "n")
+        return adaptive(rates, "Feature", "Rate", "n", "Count", int(self.options.get("n", BINS)))
+
     def plot_data(self, result: DataFrame) -> DataFrame:
         return rate_boxplot(result, "Feature", "Rate", "Count")
 

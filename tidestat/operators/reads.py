@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from tidestat.functions.contigs import contig_order
 from tidestat.functions.dense import axis, densify
 from tidestat.plans import svg
-from tidestat.registry import Stat, register
+from tidestat.registry import Stat, cell, register
 from tidestat.sources.relations import Relations
 
 
 def chrom_counts(reads: DataFrame, contigs: DataFrame) -> DataFrame:
     """chrom, count per observed contig in contig order; unmapped reads (tid -1) count as '*'."""
-    counts = reads.groupBy("tid").agg(F.count("*").alias("count"))
+    return named_counts(reads.groupBy("tid").agg(F.count("*").alias("count")), contigs)
+
+
+def named_counts(counts: DataFrame, contigs: DataFrame) -> DataFrame:
+    """chrom_counts from tid, count."""
     named = counts.join(F.broadcast(contigs), "tid", "left")
     return (
         named.where(F.col("chrom").isNotNull() | (F.col("tid") == -1))
@@ -40,13 +44,17 @@ def read_length_binned(hist: DataFrame, width: int = 500) -> DataFrame:
 
 def feature_length_hist(rel: Relations, n: int = 1000) -> DataFrame:
     """Feature, Length, Count: dense over 1..n for nuc and msp."""
-    spark = rel.reads.sparkSession
     counts = (
         rel.features.where(F.col("len").between(1, n))
         .groupBy(F.col("feature").alias("Feature"), F.col("len").alias("Length"))
         .agg(F.count("*").alias("Count"))
     )
-    dim = spark.createDataFrame([("nuc",), ("msp",)], "Feature string")
+    return dense_lengths(counts, n)
+
+
+def dense_lengths(counts: DataFrame, n: int) -> DataFrame:
+    """feature_length_hist from Feature, Length, Count."""
+    dim = counts.sparkSession.createDataFrame([("nuc",), ("msp",)], "Feature string")
     return densify(counts, axis(dim, 1, n, "Length"), ["Feature", "Length"], ["Count"]).orderBy(
         F.col("Feature").desc(), "Length"
     )
@@ -60,6 +68,12 @@ class ChromStat(Stat):
     def compute(self, rel: Relations) -> DataFrame:
         return chrom_counts(rel.reads, rel.contigs)
 
+    def cells(self) -> str:
+        return f"array({cell(a='tid')})"
+
+    def finish(self, cells: DataFrame, rel: Relations) -> DataFrame:
+        return named_counts(cells.select(F.col("a").cast("int").alias("tid"), F.col("n").alias("count")), rel.contigs)
+
     def plot(self, result: DataFrame) -> str:
         return svg.bars(result, "chrom", "count")
 
@@ -72,6 +86,12 @@ class ReadLengthCounter(Stat):
     def compute(self, rel: Relations) -> DataFrame:
         return read_length_hist(rel.reads)
 
+    def cells(self) -> str:
+        return f"array({cell(a='qlen')})"
+
+    def finish(self, cells: DataFrame, rel: Relations) -> DataFrame:
+        return cells.select(F.col("a").alias("readlength"), F.col("n").alias("count")).orderBy("readlength")
+
     def plot_data(self, result: DataFrame) -> DataFrame:
         return read_length_binned(result).orderBy("bins")
 
@@ -87,6 +107,15 @@ class NucMSPLenHist(Stat):
     def compute(self, rel: Relations) -> DataFrame:
         return feature_length_hist(rel, int(self.options.get("n", 1000)))
 
+    def cells(self) -> str:
+        n = int(self.options.get("n", 1000))
+        each = [f"transform(filter(coalesce({f}_len, cast(array() as array<int>)), v -> v between 1 and {n}), v -> {cell(s=f"'{f}'", a='v')})" for f in ("nuc", "msp")]
+        return f"concat({', '.join(each)})"
+
+    def finish(self, cells: DataFrame, rel: Relations) -> DataFrame:
+        counts = cells.select(F.col("s").alias("Feature"), F.col("a").cast("int").alias("Length"), F.col("n").alias("Count"))
+        return dense_lengths(counts, int(self.options.get("n", 1000)))
+
     def plot_data(self, result: DataFrame) -> DataFrame:
         return result.where("Length > 1")
 

@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark import StorageLevel
 from pyspark.sql import SparkSession
 
+from tidestat.plans.fused import fused, shares
 from tidestat.plans.report import html_report, sample_name
 from tidestat.plans.sinks import SavedStats, read_stats, write_stats
 from tidestat.registry import stats
@@ -25,7 +26,8 @@ BANNER = "tidestat | statistics over long sequencing reads"
 def run_stats(rel: Relations, path: str, config: StatConfig | str | None = None, nr: int | None = None, report: str | None = None) -> SavedStats:
     """Compute the configured statistics over the first nr reads (None or -1: all), write them, read them back.
 
-    The reads are decoded once: they stay cached while the statistics are computed (a lost part is decoded again).
+    Those that have cells (all nine) come from one pass over the reads, whose sums stay cached until they are written (a lost part is
+    computed again); any others read the reads, which stay cached as well then.
     ``report``: a local file for the HTML report.
     """
     return _run(rel.limit(nr), path, config, report)
@@ -45,13 +47,20 @@ def _run(rel: Relations, path: str, config: StatConfig | str | None, report: str
         rel = Relations(rel.reads, rel.contigs, regions.to_tid(loaded, rel.contigs))
     log.info("output: %s", path)
     log.info("computing %s", ", ".join(s.name for s in chosen))
-    kept = Relations(rel.reads.persist(StorageLevel.MEMORY_AND_DISK), rel.contigs, rel.regions) if len(chosen) > 1 else rel
+    together = [s for s in chosen if shares(s)]
+    kept = rel.reads.persist(StorageLevel.MEMORY_AND_DISK) if len(together) < len(chosen) > 1 else None  # more than one reads them
+    cells = None
     try:
-        results = write_stats(chosen, kept, path)
+        done = {}
+        if together:
+            done = fused(together, rel)
+            cells = done.cells
+        results = write_stats(chosen, rel, path, done=done)
         saved = read_stats(spark, path, schemas={k: v.schema for k, v in results.items()})  # also of a registry's own
     finally:
-        if kept is not rel:
-            kept.reads.unpersist()
+        for frame in (kept, cells):
+            if frame is not None:
+                frame.unpersist()
     if report:
         stat_report(saved, report)
         log.info("report: %s", report)

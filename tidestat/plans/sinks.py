@@ -25,12 +25,15 @@ def write_table(df: DataFrame, path: str) -> str:
     return path
 
 
-def write_stats(stats: Iterable[Stat], rel: Relations, path: str, manifest: str = "meta.tsv") -> dict[str, DataFrame]:
-    """Compute and write every statistic under path, with the manifest (Stat, File); the results by name."""
+def write_stats(
+    stats: Iterable[Stat], rel: Relations, path: str, manifest: str = "meta.tsv", done: Mapping[str, DataFrame] | None = None
+) -> dict[str, DataFrame]:
+    """Write every statistic under path, with the manifest (Stat, File): results by name, those in `done` as they are, others computed."""
     spark = rel.reads.sparkSession
     results, rows = {}, []
     for s in stats:
-        df = s.compute(rel)
+        df = (done or {}).get(s.name)
+        df = s.compute(rel) if df is None else df
         write_table(df, f"{path}/{s.file}")
         rows.append((s.name, s.file))
         results[s.name] = df

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 import tidestat.operators  # noqa: F401  registers the statistics
 from tidestat.functions import bits
+from tidestat.functions.khist import BITS
 from tidestat.operators import crosscor, metaplot, modhist, rates, reads, summary
-from tidestat.registry import REGISTRY
+from tidestat.plans import fused
+from tidestat.registry import REGISTRY, stats
 from tidestat.sources import adapter, regions
 from tidestat.streaming import stats as streaming
 
@@ -68,16 +70,16 @@ def mod_meta_hist(spark, d):
 
 
 def mod_rate_exact(spark, d):
-    return rates.exact_hist(rates.relation_rates(_rel(spark, d)), "mod", "rate", "count", DIGITS)
+    return rates.exact_hist(rates.mod_rates(_rel(spark, d).reads), "mod", "rate", "count", DIGITS)
 
 
 def mod_rate_khist(spark, d):
-    return rates.khist(rates.relation_rates(_rel(spark, d)), "mod", "rate", "count")
+    return rates.khist(rates.mod_rates(_rel(spark, d).reads), "mod", "rate", "count")
 
 
 def mod_rate_khist_coarse(spark, d):
     """The adaptive histogram where it is exact: rates of two digits are fewer than its bins."""
-    coarse = rates.relation_rates(_rel(spark, d)).withColumn("rate", F.round("rate", 2))
+    coarse = rates.mod_rates(_rel(spark, d).reads).withColumn("rate", F.round("rate", 2))
     return rates.khist(coarse, "mod", "rate", "count")
 
 
@@ -126,6 +128,53 @@ def metaplot_zscore(spark, d):
     return _round(out, "R", "z")
 
 
+def _mixed(spark: SparkSession) -> DataFrame:
+    """The windows of _regions and, for every twentieth of them, one some five hundred times as wide."""
+    narrow = _regions(spark)
+    wide = narrow.where("regionindex % 20 = 0").withColumns(
+        {"start": F.col("start") - 50_000, "stop": F.col("stop") + 50_000, "dw": F.col("dw") + 50_000, "group": F.col("group") + 10, "label": F.concat(F.lit("wide"), F.col("group"))}
+    )
+    return narrow.unionByName(wide)
+
+
+def metaplot_sweep(spark, d):
+    """Profiles over windows of 201 and of 100,201 places, by the sorted sweep: the observed cells."""
+    counts = metaplot.profile_counts(_rel(spark, d).mod_calls, _mixed(spark), sweep=True)
+    return counts.select("Region", "Mod", "xp", "FG", "BG")
+
+
+def fused_stats(spark, d):
+    """All nine statistics from one scan of the reads, in one long table: stat, k (what it is of), x (its place on the axis), value."""
+    rel = adapter.from_documents(spark, d, _regions(spark))
+    out = fused.fused(stats(FUSED), rel)
+    parts = []
+    for name, (k, x, values) in FUSED.items():
+        part = out[name]
+        if name == "ModHist":
+            part = part.unpivot(["ml"], [c for c in part.columns if c.startswith("mod_")], "mod", "n")
+        for v in values:
+            key = F.concat_ws("|", *[F.col(c) for c in k], *([F.lit(v)] if len(values) > 1 else []))
+            parts.append(part.select(F.lit(name).alias("stat"), key.alias("k"), F.round(F.col(x).cast("double"), DIGITS).alias("x"), F.round(F.col(v).cast("double"), DIGITS).alias("value")))
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole
+
+
+#: For each statistic of fused_stats: what names a row, its axis, and its values.
+FUSED = {
+    "ChromStat": (["chrom"], "count", ["count"]),
+    "ReadLengthCounter": ([], "readlength", ["count"]),
+    "ModHist": (["mod"], "ml", ["n"]),
+    "ModMetaHist": (["mod"], "bin", ["count"]),
+    "ModRate": (["mod"], "rate", ["count"]),
+    "NucMSPRate": (["Feature"], "Rate", ["Count"]),
+    "NucMSPLenHist": (["Feature"], "Length", ["Count"]),
+    "ModCrossCor": (["ModA", "ModB"], "Lag", ["CrossCor"]),
+    "MetaPlot": (["Region", "Mod"], "xp", ["FG", "BG"]),
+}
+
+
 def sample_summary(spark, d):
     return _round(summary.sample_summary(chrom_counts(spark, d), read_length_hist(spark, d)), "value")
 
@@ -180,6 +229,8 @@ QUERIES: dict[str, Query] = {
     "interval_overlap": interval_overlap,
     "metaplot": metaplot_profile,
     "metaplot_zscore": metaplot_zscore,
+    "metaplot_sweep": metaplot_sweep,
+    "fused_stats": fused_stats,
     "sample_summary": sample_summary,
     "mod_summary": mod_summary,
     "limit_reads": limit_reads,
@@ -280,3 +331,43 @@ ORACLE: dict[str, str] = {
     "stats_manifest": f"SELECT * FROM (VALUES {', '.join(f"('{n}', '{c.file}', '{c.title}', '{c.grain}')" for n, c in sorted(REGISTRY.items()))}) v(\"Stat\", \"File\", \"Title\", \"Grain\")",
 }
 ORACLE["mod_cross_cor_nested"] = ORACLE["mod_cross_cor"]
+
+
+def _khist_sql(source: str, by: str, rate: str, count: str) -> str:
+    """The adaptive histogram of `source` (k, rate, n): the nearest neighbours merged, one pair a step, until few enough are left."""
+    return f"""{_WITH.replace("WITH", "WITH RECURSIVE", 1)}, source AS ({source}),
+      exact AS (SELECT k, r, sum(n) AS n FROM (SELECT k, CAST(round(rate * {1 << BITS}) AS BIGINT) AS r, n FROM source) GROUP BY 1, 2),
+      steps(k, s, n) AS (SELECT k, list(CAST(r * n AS HUGEINT) ORDER BY r), list(CAST(n AS HUGEINT) ORDER BY r) FROM exact GROUP BY k
+        UNION ALL SELECT k, list_concat(s[1:j - 1], list_concat([s[j] + s[j + 1]], s[j + 2:])), list_concat(n[1:j - 1], list_concat([n[j] + n[j + 1]], n[j + 2:])) FROM
+          (SELECT k, s, n, list_position(g, list_min(g)) AS j FROM (SELECT *, list_transform(range(1, len(s)), lambda i: CAST(s[i + 1] AS DOUBLE) / CAST(n[i + 1] AS DOUBLE) - CAST(s[i] AS DOUBLE) / CAST(n[i] AS DOUBLE)) AS g
+            FROM steps WHERE len(s) > {rates.BINS}))),
+      bins AS (SELECT k, unnest(s) AS s, unnest(n) AS n FROM steps WHERE len(s) <= {rates.BINS})
+      SELECT k AS "{by}", round(CAST(s AS DOUBLE) / CAST(n AS DOUBLE) / {1 << BITS}, 9) AS "{rate}", CAST(sum(n) AS DOUBLE) AS "{count}" FROM bins GROUP BY 1, 2"""
+
+
+ORACLE["mod_rate_khist"] = _khist_sql(
+    """SELECT mod AS k, CAST(c AS DOUBLE) / qlen AS rate, 1 AS n FROM (SELECT r.read_id, r.qlen, m.mod, count(c.pos) AS c FROM reads r CROSS JOIN mods m
+      LEFT JOIN mod_calls c ON c.read_id = r.read_id AND c.mod = m.mod AND c.prob > 229 WHERE r.qlen > 0 GROUP BY ALL)""", "mod", "rate", "count")
+ORACLE["nuc_msp_rate_khist"] = _khist_sql(
+    """SELECT "Feature" AS k, CAST(c AS DOUBLE) / qlen AS rate, 1 AS n FROM (SELECT read_id, qlen, "Feature", count(*) AS c FROM features WHERE qlen > 0 GROUP BY ALL)""",
+    "Feature", "Rate", "Count")
+ORACLE["metaplot_sweep"] = f"""{_WITH}, mixed AS (SELECT tid, start, stop, strand, label, dw FROM regions UNION ALL
+    SELECT tid, start - 50000, stop + 50000, strand, 'wide' || grp, dw + 50000 FROM regions WHERE regionindex % 20 = 0)
+  SELECT label AS "Region", mod AS "Mod", CAST(CASE WHEN strand THEN gpos - start ELSE stop - gpos END - dw AS INT) AS xp, count(*) FILTER (prob > 229) AS "FG", count(*) AS "BG"
+  FROM mod_calls c JOIN mixed r ON r.tid = c.tid AND c.gpos BETWEEN r.start AND r.stop GROUP BY 1, 2, 3"""
+_LONG = {
+    "ChromStat": ("chrom_counts", "chrom", "count", {"": "count"}),
+    "ReadLengthCounter": ("read_length_hist", "''", "readlength", {"": "count"}),
+    "ModHist": ("mod_hist_unpivot", "variable", "ml", {"": "value"}),
+    "ModMetaHist": ("mod_meta_hist", "mod", "bin", {"": "count"}),
+    "ModRate": ("mod_rate_khist", "mod", "rate", {"": "count"}),
+    "NucMSPRate": ("nuc_msp_rate_khist", '"Feature"', '"Rate"', {"": '"Count"'}),
+    "NucMSPLenHist": ("nuc_msp_len_hist", '"Feature"', '"Length"', {"": '"Count"'}),
+    "ModCrossCor": ("mod_cross_cor", '"ModA" || \'|\' || "ModB"', '"Lag"', {"": '"CrossCor"'}),
+    "MetaPlot": ("metaplot", '"Region" || \'|\' || "Mod"', "xp", {"|FG": '"FG"', "|BG": '"BG"'}),
+}
+ORACLE["fused_stats"] = " UNION ALL ".join(
+    f"SELECT '{stat}' AS stat, {k} || '{end}' AS k, round(CAST({x} AS DOUBLE), {DIGITS}) AS x, round(CAST({v} AS DOUBLE), {DIGITS}) AS value FROM ({ORACLE[query]})"
+    for stat, (query, k, x, values) in _LONG.items()
+    for end, v in values.items()
+)

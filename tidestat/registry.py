@@ -14,6 +14,12 @@ from tidestat.sources.relations import Relations
 REGISTRY: dict[str, type["Stat"]] = {}
 
 
+def cell(s: str = "''", a: str = "0", b: str = "0", c: str = "0", n: str = "1", m: str = "0", x: str = "0") -> str:
+    """SQL of one cell of a shared pass: a key (the statistic's tag, s, a, b, c) and what is added up under it (n, m whole, x not)."""
+    whole = ", ".join(f"'{k}', bigint({v})" for k, v in (("a", a), ("b", b), ("c", c), ("n", n), ("m", m)))
+    return f"named_struct('tag', int({{tag}}), 's', string({s}), {whole}, 'x', double({x}))"
+
+
 class Stat(ABC):
     """One statistic.
 
@@ -34,6 +40,26 @@ class Stat(ABC):
     def compute(self, rel: Relations) -> DataFrame:
         """The statistic's result table, lazily."""
 
+    def prepare(self) -> dict[str, str]:
+        """Columns, as SQL over a read, that cells() and later ones of them name as {column}. `calls` are the read's calls."""
+        return {}
+
+    def cells(self) -> str | None:
+        """SQL of the array of cells that a read gives to the shared pass (see plans.fused), if any."""
+        return None
+
+    def call_cell(self) -> str | None:
+        """SQL of the cell (or null) that a call gives to the shared pass, if any: over pos, mod, prob, gpos and its read's tid and qlen."""
+        return None
+
+    def place(self, cells: DataFrame, tag: int, rel: Relations) -> DataFrame:
+        """All cells of the pass before they are added up; a statistic may turn those with its tag into others."""
+        return cells
+
+    def finish(self, cells: DataFrame, rel: Relations) -> DataFrame:
+        """The result of compute() from this statistic's added cells."""
+        raise NotImplementedError
+
     def plot_data(self, result: DataFrame) -> DataFrame:
         """What the report draws; by default the result itself."""
         return result

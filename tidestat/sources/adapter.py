@@ -6,18 +6,22 @@ modification calls, its words and lines are features. Values carry no biological
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
+from tidestat.schema import MOD_CALL, READS
 from tidestat.sources.relations import Relations
+from tidestat.sources.shared import stored
 
 # Contig names by tid, chosen to exercise the contig order.
 CONTIG_NAMES = tuple([f"chr{i}" for i in range(1, 17)] + ["chrX", "chrY", "chr1_random", "chrUn_k1"])
 
 # The letter that stands for a call of each modification.
 LETTERS = {"mod_6mA": "a", "mod_5mC": "o", "mod_5hmC": "i"}
+MOD_CALLS = ArrayType(MOD_CALL)
 
 
 def contigs(spark: SparkSession) -> DataFrame:
@@ -25,77 +29,56 @@ def contigs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(CONTIG_NAMES)), "tid int, chrom string")
 
 
+def _calls(text: pa.Array, read_id: pa.Array, left0: pa.Array) -> pa.Array:
+    """The calls of each text, a batch at a time: places and values of the letters in all texts at once."""
+    points = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in text.to_pylist()]  # a position is a code point
+    starts = np.cumsum([0, *map(len, points)])
+    every = np.concatenate([*points, np.zeros(0, np.uint32)])
+    letters = {ord(x): i for i, x in enumerate(LETTERS.values())}
+    at = np.flatnonzero(np.isin(every, list(letters)))
+    row = np.searchsorted(starts, at, side="right") - 1
+    pos = at - starts[row] + 1
+    prob = (pos * pos * 31 + pos * 17 + read_id.to_numpy(zero_copy_only=False)[row] * 11) % 256
+    gpos = pa.array(left0.to_numpy(zero_copy_only=False)[row] + pos, pa.int64(), mask=pos % 10 == 0)
+    kinds = np.select([every[at] == x for x in letters], list(letters.values())).astype(np.int32)
+    mod = pa.DictionaryArray.from_arrays(pa.array(kinds, pa.int32()), pa.array(list(LETTERS))).cast(pa.string())
+    calls = pa.StructArray.from_arrays([pa.array(pos, pa.int32()), mod, pa.array(prob, pa.int32()), gpos], names=["pos", "mod", "prob", "gpos"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(at, starts), pa.int32()), calls)
+
+
 def reads(documents: DataFrame) -> DataFrame:
-    """reads with nested calls and feature lengths, all computed in the row."""
+    """reads with nested calls and feature lengths: the decoder of this source, in Arrow batches."""
     base = documents.select(
         F.col("doc_id").alias("read_id"),
         F.expr("cast(substr(source, 4) as int)").alias("tid"),
         F.col("n_chars").alias("qlen"),
         ((F.col("doc_id") * 97) % 50000).alias("left0"),
-        "text",
+        F.coalesce("text", F.lit("")).alias("text"),
     )
-    call = """array_compact(transform(split(text, ''), (c, i) -> case when c in ('a', 'o', 'i') then struct(
-            i + 1 as pos,
-            case c when 'a' then 'mod_6mA' when 'o' then 'mod_5mC' else 'mod_5hmC' end as mod,
-            cast((bigint(i + 1) * (i + 1) * 31 + bigint(i + 1) * 17 + read_id * 11) % 256 as int) as prob,
-            case when (i + 1) % 10 != 0 then left0 + i + 1 end as gpos) end))"""
+    decode = F.arrow_udf(_calls, MOD_CALLS)
     return base.select(
         "read_id",
         "tid",
         "qlen",
         "left0",
         (F.col("left0") + F.col("qlen")).alias("right1"),
-        F.expr(call).alias("mods"),
+        decode("text", "read_id", "left0").alias("mods"),
         F.expr("transform(split(text, ' '), x -> length(x))").alias("nuc_len"),
         F.expr(r"transform(split(text, '\n'), x -> length(x))").alias("msp_len"),
     )
 
 
-def mod_calls(documents: DataFrame) -> DataFrame:
-    """The flat calls straight from the text: one generator and no nested structs, the fast path for call scans."""
-    return (
-        documents.select(
-            F.col("doc_id").alias("read_id"),
-            F.expr("cast(substr(source, 4) as int)").alias("tid"),
-            F.col("n_chars").alias("qlen"),
-            ((F.col("doc_id") * 97) % 50000).alias("left0"),
-            F.expr("posexplode(split(text, ''))").alias("i", "c"),
-        )
-        .where(F.col("c").isin("a", "o", "i"))
-        .select(
-            "read_id",
-            "tid",
-            "qlen",
-            (F.col("i") + 1).alias("pos"),
-            F.expr("case c when 'a' then 'mod_6mA' when 'o' then 'mod_5mC' else 'mod_5hmC' end").alias("mod"),
-            F.expr(
-                "cast((bigint(i + 1) * (i + 1) * 31 + bigint(i + 1) * 17 + read_id * 11) % 256 as int)"
-            ).alias("prob"),
-            F.expr("case when (i + 1) % 10 != 0 then left0 + i + 1 end").alias("gpos"),
-        )
-    )
-
-
-class DocumentRelations(Relations):
-    """Relations over `documents`; the flat calls come from the text directly."""
-
-    def __init__(self, documents: DataFrame, contig_table: DataFrame, regions: DataFrame | None = None):
-        super().__init__(reads(documents), contig_table, regions)
-        object.__setattr__(self, "documents", documents)
-        self.__dict__["mod_calls"] = mod_calls(documents)
-
-    def confident_counts(self, mods: Sequence[str], thresh: float) -> DataFrame:
-        """rates.confident_counts from the letters: one generator, added up by read (a row for each read shuffles)."""
-        rows = self.documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("n_chars").alias("qlen"), "text")
-        letters = rows.select("row", "doc_id", "qlen", F.expr("posexplode(split(text, ''))").alias("i", "c"))
-        prob = F.expr("cast((bigint(i + 1) * (i + 1) * 31 + bigint(i + 1) * 17 + doc_id * 11) % 256 as int)")
-        counts = [F.count_if((F.col("c") == LETTERS[m]) & (prob > thresh)) for m in mods]
-        return letters.groupBy("row", "qlen").agg(F.array(*counts).alias("counts")).select("qlen", "counts")
+#: Where the reads of an application and a folder have been decoded to.
+_DECODED: dict[tuple[str, str], str] = {}
 
 
 def from_documents(spark: SparkSession, sf_dir: str, regions: DataFrame | None = None) -> Relations:
-    """Relations over `documents` under sf_dir."""
-    return DocumentRelations(spark.read.parquet(f"{sf_dir}/documents.parquet"), contigs(spark), regions)
+    """Relations over `documents` under sf_dir. Reads are decoded once an application, to a Parquet table in the shared folder: statistics
+    read the columns and fields of it that they need."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _DECODED:
+        _DECODED[key] = stored(reads(spark.read.parquet(f"{sf_dir}/documents.parquet")), "reads")
+    return Relations(spark.read.schema(READS).parquet(_DECODED[key]), contigs(spark), regions)
 
 
 def synthetic_region_rows(spark: SparkSession, n: int = 2000) -> DataFrame:

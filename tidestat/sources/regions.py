@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidestat.functions.prefix import numbered
 from tidestat.schema import REGION_FILE
 
 # Fixed value: the default half-width.
@@ -44,10 +45,11 @@ def load(
     cols = [F.col(c).cast(t).alias(c) if c in raw.columns else F.lit("+").alias(c) for c, t in named.items()]
     if missing := [c for c in ("chrom", "start", "stop") if c not in raw.columns]:
         raise ValueError(f"{file} lacks columns {missing}")
-    typed = raw.select(*cols, F.monotonically_increasing_id().alias("at"))
-    order = Window.orderBy("at")  # a region file is a small dimension
+    # rows of a split are in order, splits are told apart by where they begin in the file
+    typed = raw.select(*cols, F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    rows = numbered(typed, "_block", "_at", "regionindex").drop("_block", "_at")
     return windows(
-        typed.withColumns({"regionindex": F.row_number().over(order).cast("long"), "group": F.lit(group)}),
+        rows.withColumns({"regionindex": F.col("regionindex").cast("long"), "group": F.lit(group)}),
         dw,
         label if label is not None else f"group{group}",
     )
