@@ -137,6 +137,7 @@ def nested_cross_cor(
 @register
 class ModCrossCor(Stat):
     name, title, file, grain = "ModCrossCor", "Modification cross-correlation", "modcrosscor.tsv.gz", "per-read mod"
+    columns = ("qlen", "mods")
     schema = "ModA string, ModB string, Lag int, CrossCor double"
 
     def compute(self, rel: Relations) -> DataFrame:

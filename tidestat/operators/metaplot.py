@@ -153,6 +153,7 @@ def loess(profile: DataFrame, x: str = "xp", y: str = "R", by: tuple[str, ...] =
 @register
 class MetaPlot(Stat):
     name, title, file, grain = "MetaPlot", "Modifications around regions", "metaplot.tsv.gz", "mod"
+    columns = ("tid", "mods")
     schema = "Region string, Mod string, xp int, FG long, BG long"
 
     def compute(self, rel: Relations) -> DataFrame:

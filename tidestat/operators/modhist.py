@@ -79,6 +79,7 @@ def dense_bins(counts: DataFrame, n: int) -> DataFrame:
 @register
 class ModHist(Stat):
     name, title, file, grain = "ModHist", "Modification probabilities", "modhist.tsv.gz", "mod"
+    columns = ("mods",)
 
     def compute(self, rel: Relations) -> DataFrame:
         return self._observed(mod_hist(rel.mod_calls))
@@ -101,6 +102,7 @@ class ModHist(Stat):
 @register
 class ModMetaHist(Stat):
     name, title, file, grain = "ModMetaHist", "Modifications along the read", "mod_meta_hist.tsv.gz", "mod"
+    columns = ("qlen", "mods")
     schema = "mod string, bin double, count long"
 
     def compute(self, rel: Relations) -> DataFrame:

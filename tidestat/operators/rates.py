@@ -78,6 +78,7 @@ def rate_boxplot(hist: DataFrame, by: str = "mod", rate: str = "rate", count: st
 @register
 class ModRate(Stat):
     name, title, file, grain = "ModRate", "Modification rate per read", "modrate.tsv.gz", "per-read mod"
+    columns = ("qlen", "mods")
     schema = "mod string, rate double, count double"
 
     def compute(self, rel: Relations) -> DataFrame:
@@ -108,6 +109,7 @@ class ModRate(Stat):
 @register
 class NucMSPRate(Stat):
     name, title, file = "NucMSPRate", "Nucleosome and MSP rate per read", "nuc_msp_rate.tsv.gz"
+    columns = ("qlen", "nuc_len", "msp_len")
     schema = "Feature string, Rate double, Count double"
 
     def compute(self, rel: Relations) -> DataFrame:

@@ -63,6 +63,7 @@ def dense_lengths(counts: DataFrame, n: int) -> DataFrame:
 @register
 class ChromStat(Stat):
     name, title, file = "ChromStat", "Reads per contig", "chromstats.tsv"
+    columns = ("tid",)
     schema = "chrom string, count long"
 
     def compute(self, rel: Relations) -> DataFrame:
@@ -81,6 +82,7 @@ class ChromStat(Stat):
 @register
 class ReadLengthCounter(Stat):
     name, title, file = "ReadLengthCounter", "Read lengths", "readlengthcounts.tsv.gz"
+    columns = ("qlen",)
     schema = "readlength long, count long"
 
     def compute(self, rel: Relations) -> DataFrame:
@@ -102,6 +104,7 @@ class ReadLengthCounter(Stat):
 @register
 class NucMSPLenHist(Stat):
     name, title, file = "NucMSPLenHist", "Nucleosome and MSP lengths", "nuc_msp_length_hist.tsv.gz"
+    columns = ("nuc_len", "msp_len")
     schema = "Feature string, Length int, Count long"
 
     def compute(self, rel: Relations) -> DataFrame:

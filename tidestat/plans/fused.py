@@ -31,7 +31,9 @@ def emitted(stats: Sequence[Stat], rel: Relations) -> DataFrame:
     A read becomes two rows, one with the cells of its own and one with its calls; then a row for each call. So no call carries the
     arrays of its read, and cells of calls are made in generated code.
     """
-    reads = rel.reads.withColumn("calls", F.expr(f"coalesce(mods, {NO_CALLS})"))
+    reads = rel.reads
+    if "mods" in reads.columns:  # a source may leave out what no statistic reads
+        reads = reads.withColumn("calls", F.expr(f"coalesce(mods, {NO_CALLS})"))
     own, of_calls = [], []
     for tag, s in enumerate(stats):
         made = {k: f"_{tag}_{k}" for k in s.prepare()}

@@ -13,6 +13,7 @@ from tidestat.plans.fused import fused, shares
 from tidestat.plans.report import html_report, sample_name
 from tidestat.plans.sinks import SavedStats, read_stats, write_stats
 from tidestat.registry import stats
+from tidestat.schema import READS
 from tidestat.sources import regions
 from tidestat.sources.config import StatConfig, load
 from tidestat.sources.relations import Relations
@@ -37,7 +38,7 @@ def _run(rel: Relations, path: str, config: StatConfig | str | None, report: str
     import tidestat.operators  # noqa: F401  registers the statistics
 
     began = time.monotonic()
-    conf = config if isinstance(config, StatConfig) else load(config) if config else StatConfig()
+    conf = _config(config)
     chosen = stats(conf.stats, conf.configs)
     spark = rel.reads.sparkSession
     if rel.regions is None and isinstance(conf.configs.get("MetaPlot"), list):
@@ -68,17 +69,30 @@ def _run(rel: Relations, path: str, config: StatConfig | str | None, report: str
     return saved
 
 
+def _config(config: StatConfig | str | None) -> StatConfig:
+    return config if isinstance(config, StatConfig) else load(config) if config else StatConfig()
+
+
 def run_bam(spark: SparkSession, bam: str, config: StatConfig | str | None = None, path: str | None = None, nr: int | None = None, report: str | None = None) -> SavedStats:
     """run_stats of a BAM file (or a folder of them) in the file's own order, which ends the reading after nr reads. Results go to
-    the folder `stats` beside the file unless path is given; regions come from the configuration's MetaPlot files."""
-    from tidestat.sources.bam import bam_contigs, read_bam
+    the folder `stats` beside the file unless path is given; regions come from the configuration's MetaPlot files. Only what the statistics
+    need of a read is decoded; a run of MetaPlot alone reads the blocks that its regions touch, if the file has an index."""
+    import tidestat.operators  # noqa: F401  registers the statistics
+    from tidestat.sources import bam as source
 
     log.info(BANNER)
     log.info("file: %s", bam)
     log.info("configuration: %s", config if isinstance(config, str) else "given" if config else "the default")
     log.info("reads: %s", "all" if nr in (None, -1) else f"the first {nr}")
     where = path or f"{str(bam).rstrip('/').rpartition('/')[0] or '.'}/stats"
-    return _run(Relations(read_bam(spark, bam), bam_contigs(spark, bam)).head(nr), where, config, report)
+    conf = _config(config)
+    contigs = source.bam_contigs(spark, bam)
+    needed = {"read_id", "tid", "qlen"}.union(*[s.columns for s in stats(conf.stats, conf.configs)])
+    near = None
+    if conf.stats == ("MetaPlot",) and nr in (None, -1) and isinstance(conf.configs.get("MetaPlot"), list):
+        near = source.region_intervals(regions.to_tid(regions.load_many(spark, conf.configs["MetaPlot"]), contigs))
+    reads = source.read_bam(spark, bam, columns=[c for c in READS.names if c in needed], intervals=near)
+    return _run(Relations(reads, contigs).head(nr), where, conf, report)
 
 
 def run_report(spark: SparkSession, path: str, file: str) -> str:

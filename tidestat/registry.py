@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
+from tidestat.schema import READS
 from tidestat.sources.relations import Relations
 
 REGISTRY: dict[str, type["Stat"]] = {}
@@ -31,6 +32,8 @@ class Stat(ABC):
     title = ""
     file = ""
     grain = "read"
+    #: What it reads of a read, in schema.READS; sources that can leave out the rest.
+    columns: tuple[str, ...] = tuple(READS.names)
     schema: StructType | str | None = None
 
     def __init__(self, **options: Any):

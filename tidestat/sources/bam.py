@@ -1,33 +1,47 @@
 """Reads from BAM files: a Python data source after the public SAM/BAM specification.
 
 A file is cut in byte ranges; each task finds the first block and record of its range by itself, so that one large file is
-read by many tasks. Base modifications come from the MM and ML tags, feature lengths from nl and al (nucleosomes and
+read by many tasks. With an index and intervals, or filters on contig and place, only the blocks that these touch are opened. Records are
+decoded in batches (see bam_batch). Base modifications come from the MM and ML tags, feature lengths from nl and al (nucleosomes and
 accessible patches), and genome positions from the CIGAR. Needs no library beyond pyarrow's file systems.
 """
 
 from __future__ import annotations
 
-import re
+import json
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    LessThan,
+    LessThanOrEqual,
+)
+from pyspark.sql.types import StructType
 
 from tidestat.schema import CONTIGS, READS
+from tidestat.sources.bam_batch import decode
+from tidestat.sources.bam_index import WINDOW, Index, Interval, merged
 
-# Fixed values of the format: bases by 4-bit code, complements, tag value types, modification codes.
-BASES = "=ACMGRSVTWYHKDBN"
-COMPLEMENT = str.maketrans("ACGT", "TGCA")
-SCALARS = {"A": "c", "c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
-CODES = {"m": "mod_5mC", "h": "mod_5hmC", "a": "mod_6mA"}
 _MAGIC = b"\x1f\x8b\x08\x04"
 #: Bytes of a range; records that a guessed start must chain through.
 RANGE_BYTES = 32 << 20
 CHAIN = 4
-_FIXED = struct.Struct("<iiBBHHHiiii")
+#: What is decoded at once, at most (one record more).
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
 
 
 def _open(path: str):
@@ -100,13 +114,18 @@ class _Blocks:
     def block_of(self, place: int) -> int:
         return next(b for at, b in reversed(self.marks) if at <= place)
 
+    def virtual(self, place: int) -> int:
+        """The virtual offset of a place."""
+        at, block = next(m for m in reversed(self.marks) if m[0] <= place)
+        return block << 16 | place - at
+
     def drop(self, place: int) -> int:
         """Forget what lies before a place; the place's new value."""
         if place < 1 << 20:
             return place
         keep = [m for m in self.marks if m[0] <= place][-1:] + [m for m in self.marks if m[0] > place]
         del self.data[:place]
-        self.marks = [(max(0, at - place), b) for at, b in keep]
+        self.marks = [(at - place, b) for at, b in keep]  # of the first block, what it held before is below 0
         return 0
 
 
@@ -156,123 +175,147 @@ def _first_record(blocks: _Blocks, contigs: list[tuple[str, int]]) -> int | None
     return None
 
 
-def _tags(data: memoryview) -> dict[str, object]:
-    out, at = {}, 0
-    while at + 3 <= len(data):
-        name, kind = bytes(data[at : at + 2]).decode(), chr(data[at + 2])
-        at += 3
-        if kind in SCALARS:
-            out[name] = struct.unpack_from("<" + SCALARS[kind], data, at)[0]
-            at += struct.calcsize(SCALARS[kind])
-        elif kind in "ZH":
-            end = at
-            while data[end]:
-                end += 1
-            out[name] = bytes(data[at:end]).decode()
-            at = end + 1
-        elif kind == "B":
-            sub, n = chr(data[at]), struct.unpack_from("<I", data, at + 1)[0]
-            out[name] = list(struct.unpack_from(f"<{n}{SCALARS[sub]}", data, at + 5))
-            at += 5 + n * struct.calcsize(SCALARS[sub])
-        else:
-            raise ValueError(f"unknown tag type {kind!r}")
-    return out
-
-
-def modifications(bases: str, reverse: bool, mm: str, ml: list[int]) -> list[tuple[int, str, int]]:
-    """(position, modification, probability 0..255) of the calls in the MM and ML tags.
-
-    Positions count from 1 along the stored bases; calls of codes outside CODES are left out. Several codes of one group (as
-    in C+mh) share positions and take their probabilities in turn.
-    """
-    original = bases[::-1].translate(COMPLEMENT) if reverse else bases
-    out, k, n = [], 0, len(bases)
-    for group in mm.split(";"):
-        head, *skips = group.split(",")
-        m = re.fullmatch(r"([ACGTUN])([+-])([a-z]+|\d+)[.?]?", head)
-        if not m:
-            continue
-        base = m[1].replace("U", "T")
-        codes = [m[3]] if m[3].isdigit() else list(m[3])
-        strand = original if m[2] == "+" else original.translate(COMPLEMENT)
-        at = -1
-        for skip in map(int, skips):
-            for _ in range(skip + 1):
-                at = at + 1 if base == "N" else strand.find(base, at + 1)
-                if at < 0 or at >= n:
-                    raise ValueError("an MM tag points beyond the read")
-            for code in codes:
-                if code in CODES:
-                    out.append((n - at if reverse else at + 1, CODES[code], ml[k] if k < len(ml) else 255))
-                k += 1
-    return sorted(out)
-
-
-def alignment(cigar: list[int], left0: int) -> tuple[list[tuple[int, int, int]], int]:
-    """Aligned runs as (first base from 1, first genome position from 1, length), and the bases of genome spanned."""
-    out, read, genome = [], 1, left0 + 1
-    for c in cigar:
-        n, op = c >> 4, "MIDNSHP=X"[c & 15]
-        if op in "M=X":
-            out.append((read, genome, n))
-        read += n * (op in "MIS=X")
-        genome += n * (op in "MDN=X")
-    return out, genome - left0 - 1
-
-
-def _record(data: memoryview, read_id: int) -> tuple:
-    tid, left, name, _, _, cigars, flag, n, _, _, _ = _FIXED.unpack_from(data, 0)
-    at = 32 + name
-    cigar = list(struct.unpack_from(f"<{cigars}I", data, at))
-    at += 4 * cigars
-    packed = data[at : at + (n + 1) // 2]
-    bases = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:n]
-    tags = _tags(data[at + (n + 1) // 2 + n :])
-    runs, span = alignment(cigar, left)
-    calls, i = [], 0
-    mm, ml = tags.get("MM", tags.get("Mm", "")), tags.get("ML", tags.get("Ml", []))
-    for pos, mod, prob in modifications(bases, bool(flag & 16), mm, ml) if mm else []:
-        while i < len(runs) and runs[i][0] + runs[i][2] <= pos:
-            i += 1
-        gpos = runs[i][1] + pos - runs[i][0] if tid >= 0 and i < len(runs) and runs[i][0] <= pos else None
-        calls.append((pos, mod, prob, gpos))
-    return read_id, tid, n, left, left + span, calls, tags.get("nl", []), tags.get("al", [])
-
-
 @dataclass
 class _Range(InputPartition):
+    """Records of the blocks that begin at bytes start to stop."""
+
     path: str
     start: int
     stop: int
     number: int
 
 
+@dataclass
+class _Chunks(InputPartition):
+    """Records that begin in ranges of virtual offsets."""
+
+    path: str
+    chunks: list[tuple[int, int]]
+    number: int
+
+
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, width: int):
-        self.path, self.width = path, width
+    """Records as Arrow batches of the asked columns.
 
-    def partitions(self) -> list[_Range]:
-        cuts = [(p, lo, min(size, lo + self.width)) for p, size in _files(self.path) for lo in range(0, max(1, size), self.width)]
-        return [_Range(p, lo, hi, i) for i, (p, lo, hi) in enumerate(cuts)]
+    Given intervals, or filters that amount to some, only what an index names is read where a file has one; records beside the intervals
+    are left out (of filters, Spark does that).
+    """
 
-    def read(self, part: _Range) -> Iterator[tuple]:
+    def __init__(self, path: str, width: int, columns: list[str], intervals: list[Interval] | None):
+        self.path, self.width, self.columns = path, width, columns
+        self.intervals = merged(intervals) if intervals is not None else None
+        self.pushed: list[Interval] | None = None
+
+    def partitions(self) -> list[InputPartition]:
+        out: list[InputPartition] = []
+        wanted = self.pushed if self.intervals is None else self.intervals
+        for path, size in _files(self.path):
+            index = _index(path) if wanted is not None else None
+            if index is None:
+                out += [_Range(path, lo, min(size, lo + self.width), 0) for lo in range(0, max(1, size), self.width)]
+                continue
+            some: list[tuple[int, int]] = []
+            for a, b in index.chunks(wanted):
+                some.append((a, b))
+                if sum((y >> 16) - (x >> 16) + 1 for x, y in some) >= self.width:
+                    out.append(_Chunks(path, some, 0))
+                    some = []
+            if some:
+                out.append(_Chunks(path, some, 0))
+        for i, p in enumerate(out):
+            p.number = i
+        return out or [_Chunks("", [], 0)]
+
+    def read(self, part: InputPartition) -> Iterator[pa.RecordBatch]:
+        if isinstance(part, _Chunks) and not part.chunks:
+            return
+        keys = keep = None
+        if self.intervals is not None:
+            keys = np.array([t << 32 | lo for t, lo, _ in self.intervals], np.int64)
+            keep = np.array([hi for _, _, hi in self.intervals], np.int64)
+        columns = list(dict.fromkeys([*self.columns, *(("tid", "left0", "right1") if keys is not None else ())]))
         with _open(part.path) as file:
-            head = _Blocks(file, 0)
-            contigs, first = _header(head)
-            blocks, at = (head, first) if part.start == 0 else (_Blocks(file, part.start), None)
-            if at is None:
-                at = _first_record(blocks, contigs)
-            k = 0
-            while at is not None and blocks.need(at + 4) and blocks.block_of(at) < part.stop:
-                size = struct.unpack_from("<i", blocks.data, at)[0]
-                if not blocks.need(at + 4 + size):
-                    raise ValueError("the file ends inside a record")
-                yield _record(memoryview(bytes(blocks.data[at + 4 : at + 4 + size])), (part.number << 33) + k)
-                at, k = blocks.drop(at + 4 + size), k + 1
+            done = part.number << 33
+            for data, starts in self._records(file, part):
+                batch = decode(data, starts, done, columns)
+                done += len(starts)
+                if keys is not None:
+                    tid, left, right = (batch[c].to_numpy().astype(np.int64) for c in ("tid", "left0", "right1"))
+                    i = np.searchsorted(keys, tid << 32 | np.maximum(right, left + 1), "left") - 1  # the last interval that begins before the read ends
+                    j = np.maximum(i, 0)
+                    on = (i >= 0) & (tid >= 0) & (keys[j] >> 32 == tid) & (keep[j] > left) if len(keys) else np.zeros(len(tid), bool)
+                    batch = batch.filter(pa.array(on))
+                yield batch.select(self.columns)
+
+    def _records(self, file, part: InputPartition) -> Iterator[tuple[bytes, np.ndarray]]:
+        """Bytes of whole records, and where in them each begins (after its size)."""
+        if isinstance(part, _Chunks):
+            for first, last in part.chunks:
+                blocks = _Blocks(file, first >> 16)
+                yield from _gathered(blocks, first & 0xFFFF, lambda at, b=blocks, end=last: b.virtual(at) < end)
+            return
+        head = _Blocks(file, 0)
+        contigs, first = _header(head)
+        blocks, at = (head, first) if part.start == 0 else (_Blocks(file, part.start), None)
+        if at is None:
+            at = _first_record(blocks, contigs)
+        if at is not None:
+            yield from _gathered(blocks, at, lambda at: blocks.block_of(at) < part.stop)
+
+
+class _FilteredReader(_Reader):
+    """A reader that is told the filters; Spark takes one only where it pushes filters."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Contigs and places narrow down what is read; every filter stays for Spark to apply."""
+        tids, lo, hi = None, 0, 1 << 29
+        for f in filters:
+            column, value = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else None, getattr(f, "value", None)
+            if column == "tid" and isinstance(f, (EqualTo, In)):
+                some = {value} if isinstance(f, EqualTo) else set(value)
+                tids = some if tids is None else tids & some
+            elif column in ("left0", "right1") and isinstance(value, int):
+                first = 0 if column == "left0" else 1  # the last base of a read is at right1 - 1 from 0
+                if isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                    lo = max(lo, value - first)
+                elif isinstance(f, (LessThan, LessThanOrEqual)):
+                    hi = min(hi, value + 1)
+            yield f
+        if tids is not None and all(isinstance(t, int) and t >= 0 for t in tids):
+            self.pushed = [(t, lo, hi) for t in sorted(tids)]
+
+
+def _gathered(blocks: _Blocks, at: int, more: Callable[[int], bool]) -> Iterator[tuple[bytes, np.ndarray]]:
+    lo, starts = at, []
+    while blocks.need(at + 4) and more(at):
+        size = struct.unpack_from("<i", blocks.data, at)[0]
+        if not blocks.need(at + 4 + size):
+            raise ValueError("the file ends inside a record")
+        starts.append(at + 4 - lo)
+        at += 4 + size
+        if at - lo >= BATCH_BYTES or len(starts) >= BATCH_ROWS:
+            yield bytes(blocks.data[lo:at]), np.array(starts)
+            at = lo = blocks.drop(at)
+            starts = []
+    if starts:
+        yield bytes(blocks.data[lo:at]), np.array(starts)
+
+
+def _index(path: str) -> Index | None:
+    """The index beside a file, if there is one."""
+    for name in (path + ".bai", path.removesuffix(".bam") + ".bai"):
+        try:
+            with _open(name) as file:
+                return Index.parse(file.read())
+        except FileNotFoundError:
+            continue
+    return None
 
 
 class BamSource(DataSource):
-    """spark.read.format("bam").load(path): schema.READS; read_id numbers a range's records within the range's own span of ids."""
+    """spark.read.format("bam").load(path): schema.READS, or columns of it given as a schema; read_id numbers a range's records within the
+    range's own span of ids. With the option pushFilters, for sessions with spark.sql.python.filterPushdown.enabled, filters on tid, left0 and
+    right1 narrow down what an index says to read; read_bam sets it."""
 
     @classmethod
     def name(cls) -> str:
@@ -282,13 +325,31 @@ class BamSource(DataSource):
         return READS
 
     def reader(self, schema) -> _Reader:
-        return _Reader(self.options["path"], int(self.options.get("rangeBytes", RANGE_BYTES)))
+        given = self.options.get("intervals")
+        kind = _FilteredReader if self.options.get("pushFilters") == "true" else _Reader
+        return kind(self.options["path"], int(self.options.get("rangeBytes", RANGE_BYTES)), schema.names, [tuple(x) for x in json.loads(given)] if given else None)
 
 
-def read_bam(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """The records of a BAM file, or of the .bam files of a folder, as schema.READS."""
+def read_bam(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, columns: Sequence[str] | None = None, intervals: Sequence[Interval] | None = None) -> DataFrame:
+    """The records of a BAM file, or of the .bam files of a folder, as schema.READS or these columns of it; with intervals (tid, first place
+    from 0, place after the last) those that overlap one, by the file's index where it has one."""
     spark.dataSource.register(BamSource)
-    return spark.read.format("bam").option("rangeBytes", range_bytes).load(path)
+    reader = spark.read.format("bam").option("rangeBytes", range_bytes)
+    if spark.conf.get("spark.sql.python.filterPushdown.enabled") == "true":
+        reader = reader.option("pushFilters", "true")
+    if intervals is not None:
+        reader = reader.option("intervals", json.dumps(merged(intervals)))
+    if columns is not None:
+        reader = reader.schema(StructType([READS[c] for c in columns]))
+    return reader.load(path)
+
+
+def region_intervals(regions: DataFrame) -> list[Interval]:
+    """Intervals that cover windows (tid, start, stop), to places of the index's linear windows: at most one for each of those."""
+    size = 1 << WINDOW
+    first, last = F.floor((F.greatest("start", F.lit(1)) - 1) / size), F.floor((F.greatest("stop", F.lit(1)) - 1) / size)
+    rows = regions.where("stop >= 1").select("tid", first.alias("a"), last.alias("b")).distinct().collect()
+    return merged((r.tid, r.a * size, (r.b + 1) * size) for r in rows)
 
 
 def bam_contigs(spark: SparkSession, path: str) -> DataFrame:
