@@ -165,12 +165,10 @@ class MetaPlot(Stat):
     def place(self, cells: DataFrame, tag: int, rel: Relations) -> DataFrame:
         """Calls (contig, place) become profile cells (group, place in the window) where the regions fit into a broadcast; else they stay,
         are added up by place with all other cells, and are swept afterwards."""
-        regions = self._regions(rel)
-        width, mixed = _widths(regions)
-        binned, small = _binned(regions.select("tid", "start", "stop", "strand", "group", "dw"), width)
-        self.piled = mixed or not small
-        if self.piled:
+        if self._swept(rel):
             return cells
+        regions = self._regions(rel)
+        binned, _ = _binned(regions.select("tid", "start", "stop", "strand", "group", "dw"), width := bin_width(regions))
         mine = F.col("tag") == tag
         keyed = cells.withColumns({"_tid": F.when(mine, F.col("a").cast("int")), "_at": F.when(mine, F.floor(F.col("b") / width))})
         near = binned.select(F.col("tid").alias("_rtid"), F.col("_bin").alias("_rbin"), "start", "stop", "strand", "group", "dw")
@@ -181,13 +179,20 @@ class MetaPlot(Stat):
 
     def finish(self, cells: DataFrame, rel: Relations) -> DataFrame:
         regions = self._regions(rel)
-        if self.piled:
+        if self._swept(rel):
             piled = cells.select(F.col("a").cast("int").alias("tid"), F.col("b").alias("gpos"), F.col("s").alias("mod"), F.col("m").alias("FG"), F.col("n").alias("BG"))
             return dense_profile(piled_counts(piled, regions))
         labels = regions.select("group", F.col("label").alias("Region"), "dw").distinct()
         counts = cells.select(F.col("a").cast("int").alias("group"), F.col("s").alias("Mod"), F.col("b").cast("int").alias("xp"), F.col("m").alias("FG"), F.col("n").alias("BG"))
         return dense_profile(counts.join(F.broadcast(labels), "group"))  # a row for each region file
 
+    def _swept(self, rel: Relations) -> bool:
+        """Whether calls are added up by place and swept, rather than placed in windows as they come; found once."""
+        if not hasattr(self, "_piled"):
+            width, mixed = _widths(regions := self._regions(rel))
+            self._piled = mixed or not _binned(regions, width)[1]
+        return self._piled
+
     def _regions(self, rel: Relations) -> DataFrame:
         files = self.options.get("config")
         spark = rel.reads.sparkSession

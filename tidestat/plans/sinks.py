@@ -7,22 +7,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidestat.plans.tsv import write_tsv
 from tidestat.registry import REGISTRY, Stat
 from tidestat.schema import MANIFEST
 from tidestat.sources.relations import Relations
 
 
 def write_table(df: DataFrame, path: str) -> str:
-    """One TSV with a header, gzipped iff the path ends in .gz (a Spark output folder of that name)."""
-    (
-        df.coalesce(1)  # a result table is a histogram
-        .write.mode("overwrite")
-        .option("sep", "\t")
-        .option("header", True)
-        .option("compression", "gzip" if path.endswith(".gz") else "none")
-        .csv(path)
-    )
-    return path
+    """One TSV file with a header, gzipped iff the path ends in .gz."""
+    return write_tsv(df, path)
 
 
 def write_stats(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +15,8 @@ from tidestat.operators import crosscor, metaplot, modhist, rates, reads, summar
 from tidestat.plans import fused
 from tidestat.registry import REGISTRY, stats
 from tidestat.sources import adapter, regions
+from tidestat.sources.shared import shared_dir
+from tidestat.streaming import durable
 from tidestat.streaming import stats as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,8 +25,8 @@ DIGITS = 6
 DW = 100
 
 
-def _regions(spark: SparkSession) -> DataFrame:
-    rows = adapter.synthetic_region_rows(spark)
+def _regions(spark: SparkSession, d: str) -> DataFrame:
+    rows = adapter.region_rows(spark, d)
     return regions.to_tid(regions.windows(rows, DW), adapter.contigs(spark))
 
 
@@ -112,15 +114,15 @@ def mod_cross_cor(spark, d):
 
 
 def regions_load(spark, d):
-    return _regions(spark)
+    return _regions(spark, d)
 
 
 def interval_overlap(spark, d):
-    return metaplot.interval_overlap(_rel(spark, d).reads, _regions(spark))
+    return metaplot.interval_overlap(_rel(spark, d).reads, _regions(spark, d))
 
 
 def metaplot_profile(spark, d):
-    return metaplot.metaplot(_rel(spark, d).mod_calls, _regions(spark))
+    return metaplot.metaplot(_rel(spark, d).mod_calls, _regions(spark, d))
 
 
 def metaplot_zscore(spark, d):
@@ -128,9 +130,9 @@ def metaplot_zscore(spark, d):
     return _round(out, "R", "z")
 
 
-def _mixed(spark: SparkSession) -> DataFrame:
+def _mixed(spark: SparkSession, d: str) -> DataFrame:
     """The windows of _regions and, for every twentieth of them, one some five hundred times as wide."""
-    narrow = _regions(spark)
+    narrow = _regions(spark, d)
     wide = narrow.where("regionindex % 20 = 0").withColumns(
         {"start": F.col("start") - 50_000, "stop": F.col("stop") + 50_000, "dw": F.col("dw") + 50_000, "group": F.col("group") + 10, "label": F.concat(F.lit("wide"), F.col("group"))}
     )
@@ -139,14 +141,25 @@ def _mixed(spark: SparkSession) -> DataFrame:
 
 def metaplot_sweep(spark, d):
     """Profiles over windows of 201 and of 100,201 places, by the sorted sweep: the observed cells."""
-    counts = metaplot.profile_counts(_rel(spark, d).mod_calls, _mixed(spark), sweep=True)
+    counts = metaplot.profile_counts(_rel(spark, d).mod_calls, _mixed(spark, d), sweep=True)
     return counts.select("Region", "Mod", "xp", "FG", "BG")
 
 
 def fused_stats(spark, d):
     """All nine statistics from one scan of the reads, in one long table: stat, k (what it is of), x (its place on the axis), value."""
-    rel = adapter.from_documents(spark, d, _regions(spark))
-    out = fused.fused(stats(FUSED), rel)
+    return _long(fused.fused(stats(FUSED), adapter.from_documents(spark, d, _regions(spark, d))))
+
+
+def stream_fused_stats(spark, d):
+    """fused_stats of the reads as a stream: its batches' sums, each in a folder of its own, added up."""
+    static, chosen = adapter.from_documents(spark, d, _regions(spark, d)), stats(FUSED)
+    where = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    durable.start(streaming.read_stream(spark, adapter.decoded(spark, d), 2), chosen, static, f"{where}/sums", f"{where}/checkpoint").awaitTermination()
+    return _long(durable.totals(spark, chosen, static, f"{where}/sums"))
+
+
+def _long(out: Mapping[str, DataFrame]) -> DataFrame:
+    """All results of FUSED in one table: stat, k, x, value."""
     parts = []
     for name, (k, x, values) in FUSED.items():
         part = out[name]
@@ -188,8 +201,10 @@ def limit_reads(spark, d):
 
 
 def stats_manifest(spark, d):
-    rows = [(n, c.file, c.title, c.grain) for n, c in sorted(REGISTRY.items())]
-    return spark.createDataFrame(rows, "Stat string, File string, Title string, Grain string")
+    """The registered statistics with the rows that each has in fused_stats."""
+    rows = [(n, REGISTRY[n].file, REGISTRY[n].title, REGISTRY[n].grain) for n in sorted(FUSED)]
+    counts = fused_stats(spark, d).groupBy(F.col("stat").alias("Stat")).agg(F.count("*").alias("Rows"))
+    return spark.createDataFrame(rows, "Stat string, File string, Title string, Grain string").join(counts, "Stat")
 
 
 def packed_bits(spark, d):
@@ -203,7 +218,7 @@ def stream_read_length_hist(spark, d):
     documents = spark.readStream.schema("doc_id long, text string, lang string, source string, n_chars long").parquet(f"{d}/documents.parque[t]")  # a pattern may name a file
     name = f"stream_{uuid.uuid4().hex}"
     result = streaming.streaming_stat(adapter.reads(documents), "ReadLengthCounter")
-    result.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    streaming.start(result, name, f"{shared_dir(spark)}/{name}").awaitTermination()
     return spark.table(name)
 
 
@@ -231,6 +246,7 @@ QUERIES: dict[str, Query] = {
     "metaplot_zscore": metaplot_zscore,
     "metaplot_sweep": metaplot_sweep,
     "fused_stats": fused_stats,
+    "stream_fused_stats": stream_fused_stats,
     "sample_summary": sample_summary,
     "mod_summary": mod_summary,
     "limit_reads": limit_reads,
@@ -254,7 +270,7 @@ features AS (SELECT read_id, qlen, 'nuc' AS "Feature", unnest(list_transform(str
   UNION ALL SELECT read_id, qlen, 'msp', unnest(list_transform(string_split(text, chr(10)), lambda x: length(x))) FROM reads),
 regions AS (SELECT id % 20 AS tid, (id * 997) % 80000 - {DW} AS start, (id * 997) % 80000 + {DW} AS stop,
   id % 2 = 0 AS strand, CAST(id // 3 + 1 AS BIGINT) AS regionindex, CAST(id % 3 + 1 AS INT) AS grp, 'group' || (id % 3 + 1) AS label,
-  {DW} AS dw FROM range(2000) t(id)),
+  {DW} AS dw FROM (SELECT CAST(s_suppkey AS BIGINT) AS id FROM supplier)),
 mods(mod, o) AS (VALUES ('mod_5mC', 0), ('mod_5hmC', 1), ('mod_6mA', 2))
 """
 _LENGTHS = "lengths AS (SELECT qlen AS readlength, count(*) AS count FROM reads GROUP BY 1)"
@@ -328,7 +344,6 @@ ORACLE: dict[str, str] = {
        WHERE r.qlen > 0 GROUP BY ALL) m GROUP BY 1, 2""",
     "nuc_msp_rate_khist_coarse": _WITH + """SELECT "Feature", round(CAST(n AS DOUBLE) / qlen, 2) AS "Rate", CAST(count(*) AS DOUBLE) AS "Count" FROM
       (SELECT read_id, qlen, "Feature", count(*) AS n FROM features WHERE qlen > 0 GROUP BY ALL) GROUP BY 1, 2""",
-    "stats_manifest": f"SELECT * FROM (VALUES {', '.join(f"('{n}', '{c.file}', '{c.title}', '{c.grain}')" for n, c in sorted(REGISTRY.items()))}) v(\"Stat\", \"File\", \"Title\", \"Grain\")",
 }
 ORACLE["mod_cross_cor_nested"] = ORACLE["mod_cross_cor"]
 
@@ -366,8 +381,11 @@ _LONG = {
     "ModCrossCor": ("mod_cross_cor", '"ModA" || \'|\' || "ModB"', '"Lag"', {"": '"CrossCor"'}),
     "MetaPlot": ("metaplot", '"Region" || \'|\' || "Mod"', "xp", {"|FG": '"FG"', "|BG": '"BG"'}),
 }
+_ROWS = ", ".join(f"('{n}', '{REGISTRY[n].file}', '{REGISTRY[n].title}', '{REGISTRY[n].grain}')" for n in sorted(FUSED))
 ORACLE["fused_stats"] = " UNION ALL ".join(
     f"SELECT '{stat}' AS stat, {k} || '{end}' AS k, round(CAST({x} AS DOUBLE), {DIGITS}) AS x, round(CAST({v} AS DOUBLE), {DIGITS}) AS value FROM ({ORACLE[query]})"
     for stat, (query, k, x, values) in _LONG.items()
     for end, v in values.items()
 )
+ORACLE["stream_fused_stats"] = ORACLE["fused_stats"]
+ORACLE["stats_manifest"] = f"""SELECT v.*, n AS "Rows" FROM (VALUES {_ROWS}) v("Stat", "File", "Title", "Grain") JOIN (SELECT stat, count(*) AS n FROM ({ORACLE["fused_stats"]}) GROUP BY 1) c ON c.stat = v."Stat\""""

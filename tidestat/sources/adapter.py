@@ -75,16 +75,22 @@ _DECODED: dict[tuple[str, str], str] = {}
 def from_documents(spark: SparkSession, sf_dir: str, regions: DataFrame | None = None) -> Relations:
     """Relations over `documents` under sf_dir. Reads are decoded once an application, to a Parquet table in the shared folder: statistics
     read the columns and fields of it that they need."""
+    return Relations(spark.read.schema(READS).parquet(decoded(spark, sf_dir)), contigs(spark), regions)
+
+
+def decoded(spark: SparkSession, sf_dir: str) -> str:
+    """Where the decoded reads lie."""
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _DECODED:
         _DECODED[key] = stored(reads(spark.read.parquet(f"{sf_dir}/documents.parquet")), "reads")
-    return Relations(spark.read.schema(READS).parquet(_DECODED[key]), contigs(spark), regions)
+    return _DECODED[key]
 
 
-def synthetic_region_rows(spark: SparkSession, n: int = 2000) -> DataFrame:
-    """Raw region rows (chrom, start, stop, strand, group, row) in the layout of a region file."""
+def region_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw region rows (chrom, start, stop, strand, group, regionindex), one for each row of `supplier`, whose key gives all of them."""
+    ids = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("id"))
     mid = (F.col("id") * 997) % 80000
-    row = spark.range(n, numPartitions=1).withColumn("tid", (F.col("id") % len(CONTIG_NAMES)).cast("int"))
+    row = ids.withColumn("tid", (F.col("id") % len(CONTIG_NAMES)).cast("int"))
     return row.join(F.broadcast(contigs(spark)), "tid").select(
         "chrom",
         (mid - 51).alias("start"),
