@@ -308,3 +308,63 @@ def test_bit_crosscor(spark):
             assert v == pytest.approx(sum(p + g in at[b] for p in at[a]) / math.sqrt(len(at[a]) * len(at[b])))
     with pytest.raises(ValueError):
         bits.lag_matches(F.col("x"), F.col("y"), -1)
+
+
+def test_loess_against_direct_fits():
+    import numpy as np
+
+    from tidestat.functions.loess import curve, local_fit, vertices
+
+    rng = np.random.default_rng(1)
+    x = np.sort(rng.choice(np.arange(-1500, 1501), 2000, replace=False)).astype(float)
+    for k in range(5):  # polynomials up to the degree come back, between the vertices to a cubic's error
+        y = (x / 1500) ** k
+        grid, smooth = curve(x, y, 0.05, 4, 3000)
+        assert len(grid) == 3000 and grid[0] == x[0] and grid[-1] == x[-1]
+        assert np.abs(smooth - (grid / 1500) ** k).max() < 1e-6
+    y = np.sin(x / 200) + rng.normal(0, 0.2, len(x))
+    near = int(0.05 * len(x))
+    at = x[vertices(len(x), near // 5)]
+    grid, smooth = curve(x, y, 0.05, 4, 3000)
+    direct = np.array([local_fit(x, y, g, near, 4)[0] for g in grid[::50]])
+    assert np.abs(smooth[::50] - direct).max() < 0.05  # blended
+    exact = np.interp(at, grid, smooth)
+    assert np.abs(exact - [local_fit(x, y, v, near, 4)[0] for v in at]).max() < 0.01
+    lo = near // 2
+    d = x[1000 - near : 1000 + near] - x[1000]
+    order = np.argsort(np.abs(d), kind="stable")[:near]
+    u = d[order] / np.abs(d[order]).max()
+    w = np.sqrt(np.clip(1 - (np.abs(u) / 1.001) ** 3, 0, None) ** 3)
+    want = np.linalg.lstsq(np.vander(u, 5, increasing=True) * w[:, None], y[1000 - near : 1000 + near][order] * w, rcond=None)[0][0]
+    assert local_fit(x, y, x[1000], near, 4)[0] == pytest.approx(want, abs=1e-3) and lo
+    assert curve(x[:1], y[:1], 0.05, 4, 3000)[1].tolist() == y[:1].tolist() and len(curve(x[:2], y[:2], 0.05, 4, 30)[0]) == 30
+
+
+def test_drawings_of_many_rows(spark, monkeypatch):
+    from tidestat.plans import report, svg
+
+    monkeypatch.setattr(svg, "MOST", 100)
+    monkeypatch.setattr(svg, "BINS", 10)
+    df = spark.range(1000).selectExpr("id as x", "id * 2.0D as y", "concat('s', id % 12) as k")
+    few = svg.thinned(df, "x", "y", "k")
+    assert few.count() == 120 and few.select("k").distinct().count() == 12 and few.where("abs(y - 2 * x) > 1e-6").count() == 0
+    assert svg.lines(df, "x", "y", "k").count("<polyline") == 12  # no line is lost
+    with pytest.raises(ValueError):
+        svg.bars(df, "k", "y")
+    assert "990 more rows" in report.html_table(df, 10) and "more rows" not in report.html_table(df.limit(10), 10)
+
+
+def test_saved_types(make, tmp_path, spark):
+    from tidestat.plans.sinks import read_stats
+
+    r = make(read(1, 2000, mods=[(1, A, 255, None)]))
+    tidestat.run_stats(r, str(tmp_path / "s"), config.StatConfig(("ModHist", "ReadLengthCounter"), {}))
+    saved = read_stats(spark, str(tmp_path / "s"))
+    assert saved.stats["ModHist"].dtypes == [("ml", "int"), ("prob", "double"), (A, "bigint")]
+    assert saved.stats["ReadLengthCounter"].dtypes == [("readlength", "bigint"), ("count", "bigint")]
+    assert (tmp_path / "s/modhist.tsv.gz").is_file()
+
+
+def test_rate_shares(spark):
+    h = spark.createDataFrame([("a", 0.1, 3), ("a", 0.2, 1), ("b", 0.5, 7)], "mod string, rate double, count long")
+    assert sorted(rows(rates.rate_share(h))) == [("a", 0.1, 0.75), ("a", 0.2, 0.25), ("b", 0.5, 1.0)]

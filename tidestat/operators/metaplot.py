@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidestat.functions.dense import axis, densify
+from tidestat.functions.dense import densify
+from tidestat.functions.loess import curve
 from tidestat.operators.sweep import pile, sweep_join
 from tidestat.plans import svg
 from tidestat.registry import Stat, cell, register
@@ -17,6 +20,8 @@ from tidestat.sources.relations import Relations
 BROADCAST_REGIONS = 200_000
 
 
+# The smooth layer's share of points in a fit, degree and number of points.
+SPAN, DEGREE, POINTS = 0.05, 4, 3000
 #: Windows whose widths differ by more than this factor are joined by a sweep.
 MIXED = 16
 
@@ -127,27 +132,23 @@ def metaplot_zscore(profile: DataFrame) -> DataFrame:
     return r.withColumn("z", F.try_divide(F.col("R") - F.avg("R").over(part), F.stddev_samp("R").over(part)))
 
 
-def loess(profile: DataFrame, x: str = "xp", y: str = "R", by: tuple[str, ...] = ("Region", "Mod"), span: float = 0.05, degree: int = 2) -> DataFrame:
-    """by..., x, smooth: a local tricube-weighted polynomial fit of each profile (2 * dw + 1 points at most a group)."""
-    import numpy as np
-    import pandas as pd
+def loess(
+    profile: DataFrame, x: str = "xp", y: str = "R", by: tuple[str, ...] = ("Region", "Mod"), span: float = SPAN, degree: int = DEGREE, points: int = POINTS
+) -> DataFrame:
+    """by..., x (double), smooth: a local polynomial regression of each profile, at `points` places of its axis.
 
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.dropna(subset=[y]).sort_values(x)
-        xs, ys = g[x].to_numpy(float), g[y].to_numpy(float)
-        k = max(degree + 2, int(span * len(xs)))
-        out = np.empty(len(xs))
-        for i, at in enumerate(xs):
-            lo = int(np.clip(i - k // 2, 0, max(0, len(xs) - k)))
-            sx, sy = xs[lo : lo + k] - at, ys[lo : lo + k]
-            far = np.abs(sx).max() or 1.0
-            w = np.sqrt(np.clip(1 - (np.abs(sx) / (far * 1.001)) ** 3, 0, None) ** 3)
-            basis = np.vander(sx, min(degree, len(sx) - 1) + 1)
-            out[i] = np.linalg.lstsq(basis * w[:, None], sy * w, rcond=None)[0][-1]
-        return pd.DataFrame({**{c: g[c] for c in by}, x: g[x], "smooth": out})
+    A profile is one group: 2 * dw + 1 points at most, whatever the calls. Places without a value (null, NaN) are left out.
+    """
+
+    def fit(group: pa.Table) -> pa.Table:
+        xs, ys = (np.array([np.nan if v is None else v for v in group[c].to_pylist()], float) for c in (x, y))
+        some = np.flatnonzero(~np.isnan(xs) & ~np.isnan(ys))
+        some = some[np.argsort(xs[some], kind="stable")]
+        grid, smooth = curve(xs[some], ys[some], span, degree, points)
+        return pa.table({**{c: pa.array([group[c][0].as_py()] * len(grid), group.schema.field(c).type) for c in by}, x: grid, "smooth": smooth})
 
-    fields = ", ".join(f"`{c}` {profile.schema[c].dataType.simpleString()}" for c in (*by, x))
-    return profile.groupBy(*by).applyInPandas(fit, f"{fields}, smooth double")
+    fields = ", ".join(f"`{c}` {profile.schema[c].dataType.simpleString()}" for c in by)
+    return profile.select(*by, x, y).groupBy(*by).applyInArrow(fit, f"{fields}, `{x}` double, smooth double")
 
 
 @register
@@ -205,5 +206,5 @@ class MetaPlot(Stat):
         return metaplot_zscore(result)
 
     def plot(self, result: DataFrame) -> str:
-        each = self.plot_data(result).where("z is not null")
-        return svg.lines(each.withColumn("line", F.concat_ws(" ", "Region", "Mod")), "xp", "z", "line")
+        smooth = loess(self.plot_data(result), y="z")
+        return svg.lines(smooth.select("xp", F.col("smooth").alias("z"), F.concat_ws(" ", "Region", "Mod").alias("line")), "xp", "z", "line")

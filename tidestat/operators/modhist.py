@@ -81,6 +81,11 @@ class ModHist(Stat):
     name, title, file, grain = "ModHist", "Modification probabilities", "modhist.tsv.gz", "mod"
     columns = ("mods",)
 
+    @classmethod
+    def schema_of(cls, header: list[str]) -> str:
+        """A count for each observed modification, whatever its name."""
+        return ", ".join(f"`{c}` {({'ml': 'int', 'prob': 'double'}).get(c, 'long')}" for c in header)
+
     def compute(self, rel: Relations) -> DataFrame:
         return self._observed(mod_hist(rel.mod_calls))
 

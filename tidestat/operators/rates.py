@@ -70,8 +70,14 @@ def khist(rates: DataFrame, by: str, rate: str, count: str, bins: int = BINS) ->
     return adaptive(exact, by, rate, "_n", count, bins)
 
 
+def rate_share(hist: DataFrame, by: str = "mod", rate: str = "rate", count: str = "count") -> DataFrame:
+    """by, rate, share: each bin's part of its group."""
+    total = hist.groupBy(by).agg(F.sum(count).alias("_total"))  # a row for each group
+    return hist.join(F.broadcast(total), by).select(by, rate, (F.col(count) / F.col("_total")).alias("share"))
+
+
 def rate_boxplot(hist: DataFrame, by: str = "mod", rate: str = "rate", count: str = "count") -> DataFrame:
-    """by, q25, median, q75, lower, upper of a rate histogram; the weights are shares of the group."""
+    """by, q25, median, q75, lower, upper of a rate histogram. Weights are counts: shares of the group give the same quantiles."""
     return box_summary(hist, [by], rate, count)
 
 

@@ -15,12 +15,14 @@ NOTE = "N50* is the next shorter read length than N50."
 
 
 def html_table(df: DataFrame, most: int = 10_000) -> str:
-    """An HTML table; doubles with two digits (half to even)."""
+    """An HTML table; doubles with two digits (half to even). What is beyond `most` rows is counted in a last line."""
     show = lambda v: f"{round(v, 2)}" if isinstance(v, float) else str(v)
     head = "".join(f"<th>{escape(c)}</th>" for c in df.columns)
     body = "".join(
         "<tr>" + "".join(f"<td>{escape(show(v))}</td>" for v in r) + "</tr>" for r in df.limit(most).collect()
     )
+    if (rows := df.count()) > most:
+        body += f'<tr><td colspan="{len(df.columns)}">{rows - most} more rows are in the file</td></tr>'
     return f"<table><tr>{head}</tr>{body}</table>"
 
 

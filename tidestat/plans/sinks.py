@@ -46,7 +46,10 @@ def read_stats(spark: SparkSession, path: str, manifest: str = "meta.tsv", schem
     meta = spark.read.schema(MANIFEST).csv(f"{path}/{manifest}", sep="\t", header=True)
     out = {}
     for name, file in meta.collect():  # a row for each statistic
-        schema = (schemas or {}).get(name) or (REGISTRY[name].schema if name in REGISTRY else None)
+        schema = (schemas or {}).get(name)
+        if schema is None and name in REGISTRY:
+            header = (spark.read.text(f"{path}/{file}").first() or [""])[0].split("\t")
+            schema = REGISTRY[name].schema_of(header)
         reader = spark.read.schema(schema) if schema is not None else spark.read.option("inferSchema", True)
         out[name] = reader.csv(f"{path}/{file}", sep="\t", header=True)
     return SavedStats(path, meta, out)

@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import tidestat.operators  # noqa: F401  registers the statistics
+from tidestat.accumulator import Accumulator
 from tidestat.functions import bits
 from tidestat.functions.khist import BITS
 from tidestat.operators import crosscor, metaplot, modhist, rates, reads, summary
-from tidestat.plans import fused
+from tidestat.plans import fused, runner
+from tidestat.plans.tsv import write_tsv
 from tidestat.registry import REGISTRY, stats
-from tidestat.sources import adapter, regions
+from tidestat.sources import adapter, config, regions
 from tidestat.sources.shared import shared_dir
 from tidestat.streaming import durable
 from tidestat.streaming import stats as streaming
@@ -103,6 +105,61 @@ def nuc_msp_rate_khist(spark, d):
     return rates.khist(rates.feature_rates(_rel(spark, d).reads), "Feature", "Rate", "Count")
 
 
+def mod_rate_share(spark, d):
+    return _round(rates.rate_share(mod_rate_exact(spark, d)), "share")
+
+
+def nuc_msp_len_plot(spark, d):
+    """What the report draws of the feature lengths."""
+    return stats(["NucMSPLenHist"])[0].plot_data(nuc_msp_len_hist(spark, d))
+
+
+def regions_files(spark, d):
+    """Windows of two region files, of different order of columns, width and label; the files are written from `supplier` first."""
+    rows, where = adapter.region_rows(spark, d), f"{shared_dir(spark)}/regions-{uuid.uuid4().hex}"
+    even = rows.where("strand = '+'").orderBy("regionindex", "group").select("chrom", "start", "stop")  # without a strand
+    odd = rows.where("strand = '-'").orderBy("regionindex", "group").select("strand", "stop", "chrom", "start")
+    files = [write_tsv(t, f"{where}/{n}.tsv") for t, n in ((even, "even"), (odd, "odd"))]
+    config = [{"file": files[0], "label": "plus", "width": 50}, {"file": files[1]}]
+    return regions.to_tid(regions.load_many(spark, config), adapter.contigs(spark))
+
+
+class LongestReads(Accumulator):
+    """The reads of each contig, and the two longest lengths of them."""
+
+    name, title, file, columns = "LongestReads", "Longest reads", "longest.tsv", ("tid", "qlen")
+    schema = "tid int, n long, first long, second long"
+
+    def init(self):
+        return {}
+
+    def update(self, state, batch):
+        for tid, qlen in zip(batch["tid"].to_pylist(), batch["qlen"].to_pylist(), strict=True):
+            n, top = state.get(tid, (0, []))
+            state[tid] = n + 1, sorted([*top, qlen], reverse=True)[:2]
+        return state
+
+    def merge(self, first, second):
+        for tid, (n, top) in second.items():
+            m, other = first.get(tid, (0, []))
+            first[tid] = n + m, sorted(top + other, reverse=True)[:2]
+        return first
+
+    def rows(self, state):
+        return [(tid, n, *(top + [None])[:2]) for tid, (n, top) in state.items()]
+
+
+def longest_reads(spark, d):
+    """A statistic without SQL, as an accumulator."""
+    return LongestReads().compute(_rel(spark, d))
+
+
+def saved_stats(spark, d):
+    """A whole run: all nine statistics computed, written as files with a manifest, and read back, in the form of fused_stats."""
+    rel = adapter.from_documents(spark, d, _regions(spark, d))
+    return _long(runner.run_stats(rel, f"{shared_dir(spark)}/run-{uuid.uuid4().hex}/stats", config.parse({"stats": list(FUSED), "configs": {}})).stats)
+
+
 def rate_boxplot(spark, d):
     out = rates.rate_boxplot(mod_rate_exact(spark, d))
     return _round(out, "q25", "median", "q75", "lower", "upper")
@@ -239,6 +296,11 @@ QUERIES: dict[str, Query] = {
     "nuc_msp_rate_exact": nuc_msp_rate_exact,
     "nuc_msp_rate_khist": nuc_msp_rate_khist,
     "rate_boxplot": rate_boxplot,
+    "mod_rate_share": mod_rate_share,
+    "nuc_msp_len_plot": nuc_msp_len_plot,
+    "regions_files": regions_files,
+    "longest_reads": longest_reads,
+    "saved_stats": saved_stats,
     "mod_cross_cor": mod_cross_cor,
     "regions_load": regions_load,
     "interval_overlap": interval_overlap,
@@ -387,5 +449,13 @@ ORACLE["fused_stats"] = " UNION ALL ".join(
     for stat, (query, k, x, values) in _LONG.items()
     for end, v in values.items()
 )
+ORACLE["mod_rate_share"] = f"{_WITH}, {_RATES} SELECT mod, rate, round(count / sum(count) OVER (PARTITION BY mod), {DIGITS}) AS share FROM ratehist"
+ORACLE["nuc_msp_len_plot"] = f'SELECT * FROM ({ORACLE["nuc_msp_len_hist"]}) WHERE "Length" > 1'
+ORACLE["longest_reads"] = f"{_WITH} SELECT tid, count(*) AS n, max(qlen) AS first, (list(qlen ORDER BY qlen DESC))[2] AS second FROM reads GROUP BY tid"
+ORACLE["regions_files"] = f"""{_WITH}, rows AS (SELECT id % 20 AS tid, (id * 997) % 80000 - 51 AS lo, (id * 997) % 80000 + 50 AS hi, id % 2 = 0 AS plus,
+    row_number() OVER (PARTITION BY id % 2 ORDER BY id // 3 + 1, id % 3 + 1) AS i FROM (SELECT CAST(s_suppkey AS BIGINT) AS id FROM supplier))
+  SELECT CAST(tid AS INT) AS tid, chrom, (lo + 1 + hi) // 2 - dw AS start, (lo + 1 + hi) // 2 + dw AS stop, plus AS strand, i AS regionindex, CAST(CASE WHEN plus THEN 1 ELSE 2 END AS INT) AS "group",
+    CASE WHEN plus THEN 'plus' ELSE 'group2' END AS label, dw FROM (SELECT *, CAST(CASE WHEN plus THEN 50 ELSE {regions.DEFAULT_WIDTH} END AS INT) AS dw FROM rows) JOIN contigs USING (tid)"""
+ORACLE["saved_stats"] = ORACLE["fused_stats"]
 ORACLE["stream_fused_stats"] = ORACLE["fused_stats"]
 ORACLE["stats_manifest"] = f"""SELECT v.*, n AS "Rows" FROM (VALUES {_ROWS}) v("Stat", "File", "Title", "Grain") JOIN (SELECT stat, count(*) AS n FROM ({ORACLE["fused_stats"]}) GROUP BY 1) c ON c.stat = v."Stat\""""

@@ -24,7 +24,7 @@ def cell(s: str = "''", a: str = "0", b: str = "0", c: str = "0", n: str = "1",
 class Stat(ABC):
     """One statistic.
 
-    ``schema`` is the result's, for reading it back (None where columns vary: types are inferred then). ``grain`` names the relation that it reads ("read", "mod" or "per-read mod"); ``file`` is its output
+    ``schema`` is the result's, for reading it back (where columns vary, see schema_of). ``grain`` names the relation that it reads ("read", "mod" or "per-read mod"); ``file`` is its output
     name (gzip iff it ends in .gz); ``title`` is the heading in the report.
     """
 
@@ -39,6 +39,11 @@ class Stat(ABC):
     def __init__(self, **options: Any):
         self.options = options
 
+    @classmethod
+    def schema_of(cls, header: list[str]) -> StructType | str | None:
+        """The schema of a saved table with these columns; None: types are inferred."""
+        return cls.schema
+
     @abstractmethod
     def compute(self, rel: Relations) -> DataFrame:
         """The statistic's result table, lazily."""
