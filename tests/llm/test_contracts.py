@@ -586,12 +586,8 @@ def test_audio_limit_grows_with_the_overlap():
     assert np.round(audio.limit(np.array([16, 32, 46, 78, 256])), 3).tolist() == [0.058, 0.188, 0.239, 0.3, 0.3]
 
 
-def test_op8(spark):
-    """The query over its whole table against all offsets of all pairs, at the query's own limit."""
-    d = "/root/testdata/check_s"
-    if not os.path.isdir(d):
-        pytest.skip("needs the test tables")
-    words = {r.vec_id: audio.fingerprint(audio.render(r.embedding)) for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()}
+def brute_alignments(words):
+    """(query, recording) of all that align at the operator's limit, over all offsets of all pairs."""
     ids, table = np.array(list(words)), np.array(list(words.values()))  # all of one length
     n, want = table.shape[1], set()
     for q in ids[ids % 100 == 0]:
@@ -600,10 +596,64 @@ def test_op8(spark):
             lo, hi = max(0, -off), min(n, n - off)
             error = np.bitwise_count(a[lo:hi] ^ table[:, lo + off : hi + off]).sum(1) / (32 * (hi - lo))
             want |= {(int(q), int(i)) for i in ids[error <= 0.5 - 10 / np.sqrt(32 * (hi - lo))] if i != q}
+    return want
+
+
+def recall(spark, d):
+    words = {r.vec_id: audio.fingerprint(audio.render(r.embedding)) for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()}
+    want = brute_alignments(words)
     rows = queries.op8_media_fingerprints(spark, d).collect()
     assert len(rows) == len(words) and all(r.query_ids == [m.query_id for m in r.matches] for r in rows)
     got = {(q, r.vec_id) for r in rows for q in r.query_ids}
     assert len(want) > 20 and got <= want and len(got) >= 0.9 * len(want)
+    return want
+
+
+def test_op8(spark):
+    """The query over a whole table that holds copies, at the query's own limit."""
+    d = "/root/testdata/check_s"
+    if not os.path.isdir(d):
+        pytest.skip("needs the test tables")
+    recall(spark, d)
+
+
+def test_op8_recall_over_planted_copies(spark, small, tmp_path):
+    """The given vectors and copies of them: noisy ones, and ones that begin later; every copy is a query."""
+    rng = np.random.default_rng(21)
+    base = [(r.vec_id, np.array(r.embedding)) for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()]
+    rows = [(i, v.tolist()) for i, v in base]
+    for j, (i, v) in enumerate(base[1:80]):
+        cut = int(rng.integers(0, 20)) if j % 2 else 0
+        noise = rng.normal(scale=v.std() * (0.02, 0.1, 0.2)[j % 3], size=64)
+        rows.append((100_000 + 100 * j, [*rng.choice(v, cut).tolist(), *(v + noise)[: 64 - cut].tolist()]))
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    want = recall(spark, str(tmp_path))
+    assert len({q for q, _ in want if q >= 100_000}) > 50
+
+
+@pytest.mark.parametrize("dense", [0, 8, 10**9])
+def test_audio_slices_change_nothing(monkeypatch, dense):
+    rng = np.random.default_rng(5)
+    queries_ = [rng.integers(0, 1 << 32, n, dtype=np.uint32) for n in (30, 80, 500)]
+    long = np.concatenate([rng.integers(0, 1 << 32, 700, dtype=np.uint32), queries_[1], rng.integers(0, 1 << 32, 300, dtype=np.uint32), queries_[2][100:400]])
+    monkeypatch.setattr(audio, "DENSE", dense)
+    want = [x.tolist() for x in audio.Index([1, 2, 3], queries_).match(long, None)]
+    assert want[0] == [2, 3]
+    for most in (1, 7, 100):
+        monkeypatch.setattr(audio, "POSTINGS", most)
+        assert [x.tolist() for x in audio.Index([1, 2, 3], queries_).match(long, None)] == want
+
+
+def test_audio_blocks_of_words(spark):
+    """Long queries make more blocks, with the same matches."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.integers(0, 1 << 31, 200).tolist()) for i in range(12)] + [(100, None)]
+    rows += [(20 + i, rows[i][1][50:]) for i in range(12)]
+    found = spark.createDataFrame(rows, "vec_id long, fingerprint array<int>")
+    want = sorted(map(tuple, audio.search(found, found, "vec_id").collect()))
+    out = audio.align(found, found, "vec_id", words=500)
+    assert out.agg(F.max("block")).first()[0] >= 5
+    assert sorted((m.query_id, r.id, m.offset, m.bit_error, m.votes) for r in out.collect() for m in r.matches) == want and len(want) >= 24
 
 
 def test_op8_finds_planted_copies(spark, tmp_path):
@@ -734,6 +784,15 @@ def test_against_sql(spark, small, name):
     assert order(df.collect(), df.columns) == order(want.fetchall(), columns)
 
 
+def test_decontaminate_names_in_any_case(spark, odd):
+    docs = spark.createDataFrame([(i, t, 1, "s", 2) for i, t in odd], DOC + ", N_words int, Spans string, ITEMS int")
+    bench = spark.createDataFrame([(1, odd[20][1].split("\n")[0])], "item_id long, text string")
+    out = decontaminate.decontaminate(docs, bench)
+    assert out.columns == docs.columns and out.where("N_words = 1 and Spans = 's' and ITEMS = 2").count() == out.count() > 0
+    assert decontaminate.find_hits(docs, bench).agg(F.sum("n_hit")).first()[0] > 0
+    assert decontaminate.find_hits(docs.where("false"), bench).count() == 0
+
+
 def test_pipeline(spark, small, library):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "n-gram Jaccard join", "benchmark decontamination", "byte-level BPE"]
@@ -753,5 +812,10 @@ def test_pipeline(spark, small, library):
             hit = {i for i, _, n, _ in brute_hits(list(a.items()), items) if n}
             assert all(b[i] == a[i] for i in a if i not in hit)
     tokens = corpus_pipeline.STAGES[-1][1](spark, docs, small)
-    for r in tokens.collect():
+    last = tokens.collect()
+    for r in last:
         assert list(r.tokens) == library.encode_ordinary(r.text or "")
+    whole = corpus_pipeline.run(spark, small)
+    assert whole.columns == tokens.columns
+    key = lambda r: (r.doc_id, r.text, r.n_tokens, r.ids_sha256)
+    assert sorted(map(key, whole.collect())) == sorted(map(key, last))

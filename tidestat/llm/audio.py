@@ -38,8 +38,10 @@ CELLS, ROWS = 1 << 20, 50_000
 STEP, MAX_STEP = 16, 1 << 12
 #: Votes are counted in a table of all offsets of up to so many times as many cells, or sorted.
 DENSE = 8
-#: Query recordings in a block (about 50 KB of fingerprints for 64 frames each).
-BLOCK = 2048
+#: Query recordings in a block, and their words (one recording more): an index takes about 30 bytes a word.
+BLOCK, BLOCK_WORDS = 2048, 1 << 17
+#: Postings that a recording meets at once; a long one meets them a slice at a time.
+POSTINGS = 1 << 22
 
 
 def _filters() -> list[tuple[int, int, int, int]]:
@@ -191,15 +193,24 @@ class Index:
             self.cells = i * self.stride + place
         code = _parts(words)
         lo, hi = self.start[code], self.start[code + 1]
-        shift = np.repeat(np.tile(last - np.arange(len(words)), len(PARTS)), hi - lo)
-        key = np.concatenate([self.cells[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]) + shift
-        if len(self.ids) * self.stride <= DENSE * len(key):  # counting takes less than sorting
-            votes = np.bincount(key)
-            key = np.flatnonzero(votes > 1)
-            votes = votes[key]
-        else:
-            key, votes = np.unique(key, return_counts=True)
-            key, votes = key[votes > 1], votes[votes > 1]
+        shift = np.tile(last - np.arange(len(words)), len(PARTS))
+        met = np.cumsum(hi - lo)
+        dense = len(self.ids) * self.stride <= DENSE * int(met[-1])  # counting takes less than sorting
+        key, votes = np.empty(0, np.int64), np.zeros(len(self.ids) * self.stride if dense else 0, np.int32)
+        at = 0
+        while at < len(code):
+            to = max(at + 1, int(np.searchsorted(met, (met[at - 1] if at else 0) + POSTINGS, "right")))
+            some = np.concatenate([self.cells[x:y] for x, y in zip(lo[at:to].tolist(), hi[at:to].tolist(), strict=True)])
+            some = some + np.repeat(shift[at:to], hi[at:to] - lo[at:to])
+            if dense:
+                count = np.bincount(some)
+                votes[: len(count)] += count.astype(np.int32)
+            else:
+                key, place = np.unique(np.concatenate([key, some]), return_inverse=True)
+                votes = np.bincount(place, np.concatenate([votes, np.ones(len(some), np.int32)]), len(key)).astype(np.int32)
+            at = to
+        several = np.flatnonzero(votes > 1)
+        key, votes = several if dense else key[several], votes[several].astype(np.int64)
         i, place = np.divmod(key, self.stride)
         return i, place - last, votes
 
@@ -235,12 +246,12 @@ def _windows(words: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
 _MATCH = pa.struct([("query_id", pa.int64()), ("offset", pa.int32()), ("bit_error", pa.float64()), ("votes", pa.int32())])
 
 
-def align(recordings: DataFrame, queries: DataFrame, id_column: str, block: int = BLOCK) -> DataFrame:
+def align(recordings: DataFrame, queries: DataFrame, id_column: str, block: int = BLOCK, words: int = BLOCK_WORDS) -> DataFrame:
     """id, block, matches (query_id, offset, bit_error, votes; by query_id): for each recording all queries that it aligns with,
     itself left out. offset is the place of a common passage in the query less that in the recording.
 
-    Both have id_column and fingerprint. Queries go in blocks, each an index that every task holds (bounded), and all recordings
-    stream past. A row's list is one block's, so that it is bounded too: every recording has a row for block 0, with an empty list
+    Both have id_column and fingerprint. Queries go in blocks of `block` recordings or `words` words, each an index that every task holds,
+    and all recordings stream past; a long one is held against the index a slice at a time. A row's list is one block's, so that it is bounded too: every recording has a row for block 0, with an empty list
     where nothing aligns, and one for each further block in which something does.
     Cases: no fingerprint matches nothing; rows without an id are left out; a row that repeats an id is a match of its own.
     """
@@ -276,12 +287,13 @@ def align(recordings: DataFrame, queries: DataFrame, id_column: str, block: int
         rows_in = recordings.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long"), "fingerprint")
         return rows_in.mapInArrow(tidy(run), schema)
 
-    number = 0
+    number = size = 0
     for r in queries.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long"), "fingerprint").toLocalIterator():
         held.append((r[0], r[1] or []))
-        if len(held) == block:
+        size += len(r[1] or [])
+        if len(held) == block or size >= words:
             found = materialise(one(held, number), "matches")
-            out, held, number = found if out is None else out.unionByName(found), [], number + 1
+            out, held, number, size = found if out is None else out.unionByName(found), [], number + 1, 0
     if held or out is None:
         found = one(held, number)
         out = found if out is None else out.unionByName(found)

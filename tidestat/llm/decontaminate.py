@@ -214,7 +214,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     """docs without benchmark passages: hit spans go from the text (one blank stays in their place), documents whose share of
     hit words is max_coverage or more go as a whole. Documents without a hit stay as they are (null text included)."""
     own = {f.name for f in HIT_FIELDS}
-    clash = {c: f"__kept_{c}" for c in docs.columns if c in own}
+    clash = {c: f"__kept_{c}" for c in docs.columns if c.lower() in own}
     hits = find_hits(docs.withColumnsRenamed(clash), benchmark, window, text)
     kept = hits.where((F.col("n_hit") == 0) | (F.col("n_hit") < F.lit(max_coverage) * F.col("n_words")))
 
