@@ -16,6 +16,8 @@ from tidestat.sources.relations import Relations
 # Lags 1..10 and 10..280 in tens, the window length and its first position.
 LAGS = tuple(sorted({*range(1, 11), *range(10, 281, 10)}))
 LENGTH, OFFSET = 1024, 180
+#: Positions of a read, of all modifications, up to which lags are matched on sets of them rather than on words of bits.
+FEW = 96
 
 
 def mod_cross_cor(
@@ -144,24 +146,25 @@ class ModCrossCor(Stat):
         known = {k: v for k, v in self.options.items() if k in ("lags", "mods", "length", "offset", "thresh", "duplicate_lags", "dense")}
         return nested_cross_cor(rel.reads, **known)
 
-    def _known(self) -> tuple[list[int], list[int], int, int, float, bool]:
+    def _known(self) -> tuple[list[int], list[int], int, int, float, bool | None]:
         o = self.options
         lags = list(o.get("lags", LAGS))
         if any(g < 1 for g in lags):
             raise ValueError("lags are positive")
         ords = [i for i, m in enumerate(MODS) if m in o.get("mods", MODS)]
-        return lags, ords, int(o.get("length", LENGTH)), int(o.get("offset", OFFSET)), float(o.get("thresh", CONFIDENT)), bool(o.get("dense", True))
+        return lags, ords, int(o.get("length", LENGTH)), int(o.get("offset", OFFSET)), float(o.get("thresh", CONFIDENT)), o.get("dense")
 
     def prepare(self) -> dict[str, str]:
         _, ords, length, offset, thresh, dense = self._known()
         near = f"filter(calls, k -> qlen >= {length + offset} and k.prob > {thresh!r}D and k.pos between {offset} and {offset + length - 1})"
         sets = {f"p{o}": f"array_distinct(transform(filter({{near}}, k -> k.mod = '{MODS[o]}'), k -> k.pos))" for o in ords}
         out = {"near": near, **sets}
-        if dense:
+        if dense is None or dense:
+            most_few = "false" if dense else f"{' + '.join(f'size({{{p}}})' for p in sets)} <= {FEW}"
             least = ", ".join(f"array_min({{{p}}})" for p in sets)
             most = ", ".join(f"array_max({{{p}}})" for p in sets)
-            out |= {"low": f"least({least}, 2147483647)", "high": f"greatest({most}, 0)"}
-            out |= {f"w{o}": f"if({{high}} < {{low}}, cast(array() as array<bigint>), {bits.words_sql(f'{{p{o}}}', '{low}', 'greatest({high}, {low})')})" for o in ords}
+            out |= {"few": most_few, "low": f"least({least}, 2147483647)", "high": f"greatest({most}, 0)"}
+            out |= {f"w{o}": f"if({{few}} or {{high}} < {{low}}, cast(array() as array<bigint>), {bits.words_sql(f'{{p{o}}}', '{low}', 'greatest({high}, {low})')})" for o in ords}
         return out
 
     def cells(self) -> str:
@@ -172,7 +175,9 @@ class ModCrossCor(Stat):
             for b in (b for b in ords if a <= b):
                 sizes = f"size({{p{a}}})", f"size({{p{b}}})"
                 some = f"filter({lag_array}, g -> {sizes[0]} > 0 and {sizes[1]} > 0)"
-                hits = bits.lag_matches_sql(f"{{w{a}}}", f"{{w{b}}}", "g") if dense else f"size(array_intersect(transform({{p{a}}}, v -> v + g), {{p{b}}}))"
+                hits = f"size(array_intersect(transform({{p{a}}}, v -> v + g), {{p{b}}}))"
+                if dense is None or dense:
+                    hits = f"if({{few}}, {hits}, {bits.lag_matches_sql(f'{{w{a}}}', f'{{w{b}}}', 'g')})"
                 found = f"filter(transform({some}, g -> struct(g as g, {hits} as n)), h -> h.n > 0)"
                 each = cell(a=str(a), b=str(b), c="h.g", x=f"h.n / sqrt(double({sizes[0]}) * {sizes[1]})")
                 out.append(f"transform({found}, h -> {each})")
