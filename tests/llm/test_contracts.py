@@ -414,6 +414,34 @@ def test_html_surge_and_dive_inside_an_article():
     assert html_extract.main_text(page) == "\n".join([long.strip(), "Short but inside.", "Small article."])
 
 
+def _unmarked() -> str:
+    """A page without a telling name: a list of links, an article, more links, a line of text after them."""
+    long = "This sentence is long enough to reach the threshold of a window of lines, with many words of text. " * 2
+    links = "<div><ul>" + "".join(f"<li><a href=/{i}>Other page {i}</a></li>" for i in range(5)) + "</ul></div>"
+    return f"<body>{links}<div><h2>A heading</h2><p>{long}</p><p>Short.</p><p>{long}</p><p>The end.</p></div>{links}<div>Some rights reserved</div></body>"
+
+
+def test_html_windows_cut_pages_without_names():
+    long = ("This sentence is long enough to reach the threshold of a window of lines, with many words of text. " * 2).strip()
+    assert html_extract.main_text(_unmarked()) == "\n".join(["A heading", long, "Short.", long, "The end."])
+    links = "<ul>" + "".join(f"<li><a href=/{i}>Page {i}</a></li>" for i in range(4)) + "</ul>"
+    page = f"<article><h1>Title</h1><p>{long}</p><p>End.</p>{links}<p>Share this page with friends</p></article>"
+    assert html_extract.main_text(page) == f"Title\n{long}\nEnd."
+    assert html_extract.main_text(f"<article><p>{long}</p><aside>{'<p>Aside.</p>' * 6}</aside><p>On.</p><p>{long}</p></article>") == f"{long}\nOn.\n{long}"
+
+
+def test_html_window_sums_decide(small, monkeypatch):
+    """With one sum for all windows nothing surges or dives, and results are others, on pages with telling names and without."""
+    import duckdb
+
+    pages = [r[0] for r in duckdb.sql(f"SELECT html FROM '{small}/pages.parquet' WHERE html IS NOT NULL").fetchall()]
+    want = [html_extract.main_text(p) for p in pages]
+    unmarked = html_extract.main_text(_unmarked())
+    monkeypatch.setattr(html_extract, "window_sums", lambda weights, window=3: [100.0] * len(weights))
+    assert html_extract.main_text(_unmarked()) != unmarked
+    assert sum(html_extract.main_text(p) != w for p, w in zip(pages, want, strict=True)) > len(pages) / 2
+
+
 def test_op1_extracts_the_articles(spark, small):
     import html
 

@@ -1,9 +1,11 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one for each block of text; blocks of boilerplate elements become empty lines. The
-text lengths (without link texts) are summed over sliding windows of lines. A surge is where a window reaches
-the threshold after empty lines, a dive where windows fall to nothing; the text between them is kept. Inside a page's
-article (or main) element the lines between its first surge and its last dive belong together.
+Markup is stripped to lines, one for each block of text; what a page does not show (scripts, styles, hidden elements) goes
+with it. A line weighs as many characters as it has outside links, times what the names around it say: names of boilerplate weigh
+it down, an article (or main) element weighs down what is beside it. Weights are summed over sliding windows of lines. A surge
+is where a window reaches the threshold, a dive where windows fall to nothing; the text between a surge and its dive is
+kept, and in an article all from its first surge to its last dive, but for lines that are dips (far lighter for their length than
+the windows of the surge). Borders of containers are empty lines, so that no window counts the lines of two.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import html
 import re
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,6 +23,13 @@ from tidestat.llm.common import map_rows
 
 WINDOW = 3
 THRESHOLD = 86
+#: A stretch goes on while its windows have more than this share of the threshold.
+DIVE = 0.01
+#: What a character weighs among names of boilerplate, and beside the article of a page that has one; elsewhere it is 1.
+BOILERPLATE_WEIGHT = 0.001
+BESIDE_WEIGHT = 0.1
+#: A line is a dip if its characters weigh less than this share of those in the windows of the surge.
+DIP = 0.5
 
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -37,11 +47,8 @@ BLOCKS = frozenset(
 )
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BOILERPLATE = frozenset(
-    "head script style noscript template nav header footer aside form button select textarea input datalist label iframe svg canvas "
-    "object applet audio video menu dialog search title noframes noembed map".split()
-)
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+NOT_SHOWN = frozenset("head script style noscript template datalist iframe svg canvas object applet audio video title noframes noembed map".split())
+BOILERPLATE = frozenset("nav header footer aside form button select textarea input label menu dialog search".split())
 MAIN = frozenset(("article", "main"))
 HOLDERS = frozenset("article body div main section td".split())
 # Roles and class or id names of what is not the article.
@@ -51,58 +58,76 @@ _NOT_TEXT = (
     r"consent|gdpr|notice\w*|popup|modal|overlay|newsletter|subscribe\w*|signup|login|share|sharing|social\w*|related\w*|recommend\w*|"
     r"comments?|commentlist|disqus\w*|repl(?:y|ies)|respond|footer\w*|masthead|toolbar|pagination|pager|widget\w*|hidden|skip-link|tags"
 )
+_COMMENTS = re.compile(r"comments?|comment[-_]\S*|\S+[-_]comments?", re.I)
 _CLASS = re.compile(rf"(?:{_NOT_TEXT})(?:[-_]\S*)?|(?:site|page|top|global)[-_]?header|header|\S+[-_](?:{_NOT_TEXT})", re.I)
 
 
 @dataclass
 class _Open:
     name: str
-    hidden: bool
+    shown: bool
+    names: bool
     region: int
     holder: int
 
 
-def _is_hidden(name: str, attrs: str, inside_main: bool) -> bool:
-    if name in BOILERPLATE and not (name == "header" and inside_main):
-        return True
-    if not attrs or name in ("html", "body"):
+@dataclass
+class Line:
+    """A block's text (empty at borders), its characters outside links, whether names of boilerplate surround it, and the number of the
+    article or main element that holds it (0 outside)."""
+
+    text: str
+    plain: int = 0
+    names: bool = False
+    region: int = 0
+
+
+def _shown(name: str, attrs: dict[str, str]) -> bool:
+    if name in NOT_SHOWN or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
+        return name in ("html", "body")
+    return not re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I) or name in ("html", "body")
+
+
+def _boilerplate(name: str, attrs: dict[str, str], inside_main: bool) -> bool:
+    if name in BOILERPLATE:
+        return not (name == "header" and inside_main) or attrs.get("role", "").lower() in ROLES
+    if name in ("html", "body"):
         return False
-    for key, *values in _ATTR.findall(attrs):
-        value, key = "".join(values), key.lower()
-        if key in ("class", "id") and name not in MAIN and any(_CLASS.fullmatch(c) for c in value.split()):
-            return True
-        if key in ("class", "id") and name in MAIN and any(re.fullmatch(r"comments?|comment[-_]\S*|\S+[-_]comments?", c, re.I) for c in value.split()):
-            return True
-        if key == "role" and value.lower() in ROLES or key == "aria-hidden" and value.lower() == "true":
-            return True
-        if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|$|/)", re.sub(_ATTR, " ", attrs)))
+    known = _COMMENTS if name in MAIN else _CLASS
+    return attrs.get("role", "").lower() in ROLES or any(known.fullmatch(c) for k in ("class", "id") for c in attrs.get(k, "").split())
 
 
-Line = tuple[str, int, int, int]
+def _attributes(attrs: str) -> dict[str, str]:
+    if not attrs or attrs.isspace():
+        return {}
+    found = {k.lower(): "".join(v) for k, *v in reversed(_ATTR.findall(attrs))}
+    return found | ({"hidden": ""} if re.search(r"(?:^|\s)hidden(?:\s|$|/)", re.sub(_ATTR, " ", attrs)) else {})
 
 
-def lines_of(page: str) -> list[Line]:
-    """(text, weight, region, holder) of each line: weight is the text's length without links (0 in an empty line), region
-    counts the article or main elements that hold it (0 outside), holder the containers (0 outside all)."""
+def lines_of(page: str, window: int = WINDOW) -> list[Line]:
+    """The lines of a page. `window` empty ones stand at the borders of articles and of boilerplate outside them, one fewer where
+    the text outside articles goes on in another container (a window then still reaches from one to the other, and none
+    from the one before)."""
     out: list[Line] = []
-    stack: list[_Open] = []
+    stack: list[_Open] = [_Open("", True, False, 0, 0)]
     parts: list[str] = []
-    linked = links = regions = holders = 0
+    linked = links = regions = holders = was_in = 0
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, was_in
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            top = stack[-1] if stack else None
-            out.append((text, max(0, len(text) - linked), top.region if top else 0, top.holder if top else 0))
+            top = stack[-1]
+            if not top.region and top.holder != was_in and out and out[-1].text:
+                out.extend([Line("")] * (window - 1))
+            was_in = top.holder
+            out.append(Line(text, max(0, len(text) - linked), top.names, top.region))
         parts.clear()
         linked = 0
 
-    def gap() -> None:
-        if out and out[-1][0]:
-            out.extend([("", 0, stack[-1].region if stack else 0, 0)] * WINDOW)
+    def border() -> None:
+        if out and out[-1].text:
+            out.extend([Line("", region=out[-1].region)] * window)
 
     def close(depth: int) -> None:
         nonlocal links
@@ -111,12 +136,12 @@ def lines_of(page: str) -> list[Line]:
                 flush()
             was = stack.pop()
             links -= was.name == "a"
-            if was.hidden and not (stack and stack[-1].hidden) or was.name in MAIN:
-                gap()
+            if was.name in MAIN or was.names and not stack[-1].names and not was.region:
+                border()
 
     def text(piece: str) -> None:
         nonlocal linked
-        if piece and not (stack and stack[-1].hidden):
+        if piece and stack[-1].shown:
             parts.append(piece)
             if links:
                 linked += len(" ".join(html.unescape(piece).split()))
@@ -135,90 +160,115 @@ def lines_of(page: str) -> list[Line]:
         if not name:
             continue
         if m["end"] or m["end2"]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name), None)
+            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), None)
             if depth is not None:
                 close(depth)
             elif name in BLOCKS:
                 flush()
             continue
-        attrs = m["attrs"] if m["name"] else m["attrs2"]
+        raw = m["attrs"] if m["name"] else m["attrs2"]
         if name in BLOCKS:
             # A block ends an open paragraph; an item ends an open item of its list.
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name == "p" or stack[i].name == name and name in ("li", "dt", "dd", "option", "tr", "td", "th"):
                     close(i)
                     break
                 if stack[i].name in ("ul", "ol", "dl", "table", "div", "article", "section", "main", "select", "nav", "body", "blockquote"):
                     break
             flush()
-        hidden = bool(stack and stack[-1].hidden)
-        region = stack[-1].region if stack else 0
-        if not hidden and _is_hidden(name, attrs, region > 0):
-            hidden = name not in VOID
-            flush() if name in BLOCKS or name in RAW else None
-            if hidden:
-                gap()
-        if name == "br" and not hidden:
+        top, attrs = stack[-1], _attributes(raw)
+        shown = top.shown and _shown(name, attrs)
+        names = top.names or shown and _boilerplate(name, attrs, top.region > 0)
+        if names and not top.names and name not in VOID or name in RAW:
+            flush()
+        if name == "br" and shown:
             parts.append(" ")
-        if name in VOID or attrs.endswith("/") and name not in BLOCKS | RAW | {"a", "b", "i", "span"}:
+        if name in VOID or raw.endswith("/") and name not in BLOCKS | RAW | {"a", "b", "i", "span"}:
             continue
-        if name in MAIN and not hidden:
+        region = top.region
+        if name in MAIN and shown:
             regions += 1
             region = region or regions
-            gap()
+            border()
+        elif names and not top.names and not region:
+            border()
         if name in RAW:
             e = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = e.end() if e else n
             continue
-        if name in HOLDERS:
-            holders += 1
-        stack.append(_Open(name, hidden, region, holders if name in HOLDERS else stack[-1].holder if stack else 0))
+        holders += name in HOLDERS
+        stack.append(_Open(name, shown, names, region, holders if name in HOLDERS else top.holder))
         links += name == "a"
-    close(0)
+    close(1)
     flush()
     return out
 
 
-def segments(lines: list[Line], window: int = WINDOW, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
-    """[surge, dive) of the stretches of lines to keep: those that reach the threshold, and those of a container that has one (an
-    advert between paragraphs parts no article); where none reaches it, the one of most text."""
-    weights = [x[1] for x in lines]
-    sums = [sum(weights[i : i + window]) for i in range(len(weights))]
-    runs, start = [], None
-    for i, t in enumerate([*(x[0] for x in lines), *[""] * window]):
-        if t and start is None:
-            start = i
-        if not t and start is not None:
-            runs.append((start, i))
-            start = None
-    strong = {r for r in runs if max(sums[r[0] : r[1]], default=0) >= threshold}
-    if strong:
-        holders = {lines[i][3] for r in strong for i in range(*r) if weights[i]}
-        return [r for r in runs if r in strong or any(lines[i][3] in holders for i in range(*r))]
-    if not runs:
+def line_weights(lines: list[Line]) -> list[float]:
+    """What a character of each line weighs, by the names around it."""
+    article = any(x.region and not x.names and x.text for x in lines)
+    return [BOILERPLATE_WEIGHT if x.names else BESIDE_WEIGHT if article and not x.region else 1.0 for x in lines]
+
+
+def window_sums(weights: list[float], window: int = WINDOW) -> list[float]:
+    """The sum of each window of lines, by its first line."""
+    return [sum(weights[i : i + window]) for i in range(len(weights))]
+
+
+def stretches(sums: list[float], n: int, surge: float, dive: float, window: int = WINDOW) -> list[tuple[int, int]]:
+    """[first, end) of the lines that lie in a chain of windows over `dive` of which one at least reaches `surge`."""
+    out, start, strong = [], None, False
+    for i, s in enumerate([*sums, -1.0]):
+        if s > dive:
+            start = i if start is None else start
+            strong = strong or s >= surge
+        elif start is not None:
+            if strong:
+                out.append((start, min(n, i - 1 + window)))
+            start, strong = None, False
+    return out
+
+
+def _kept(lines: list[Line], per_char: list[float], threshold: float, least: float, window: int, whole: bool) -> list[str]:
+    """The text between surges and dives of a region's lines; if `whole`, from its first surge to its last dive. Nothing of a region
+    whose windows have no more than `least`."""
+    weights = [x.plain * c for x, c in zip(lines, per_char, strict=True)]
+    sums = window_sums(weights, window)
+    top = max(range(len(sums)), key=sums.__getitem__)
+    if sums[top] <= least:
         return []
-    best = max(runs, key=lambda r: (sum(weights[r[0] : r[1]]), -r[0]))
-    return [best] if sum(weights[best[0] : best[1]]) else []
+    surge = min(threshold, sums[top]) if whole else threshold
+    found = stretches(sums, len(lines), surge, surge * DIVE, window)
+    at = slice(top, top + window)
+    level = DIP * sum(weights[at]) / max(1, sum(x.plain for x in lines[at]))
+    out: list[tuple[int, int]] = []
+    for a, b in found:
+        # Windows reach over the ends: a stretch begins and ends with text, neither links nor dips.
+        while a < b and not (lines[a].text and per_char[a] >= level and 2 * lines[a].plain >= len(lines[a].text)):
+            a += 1
+        while a < b and not (lines[b - 1].text and per_char[b - 1] >= level and 2 * lines[b - 1].plain >= len(lines[b - 1].text)):
+            b -= 1
+        if a < b:
+            out.append((a, b))
+    if whole and out:
+        out = [(out[0][0], out[-1][1])]
+    return [x.text for a, b in out for x, c in zip(lines[a:b], per_char[a:b], strict=True) if x.text and c >= level]
 
 
 def main_text(page: str | None, window: int = WINDOW, threshold: int = THRESHOLD) -> str:
-    """The main text of a page: blocks joined by a line feed; empty for null, empty or text-free pages."""
-    lines = lines_of(page or "")
+    """The main text of a page: blocks joined by a line feed; empty for null, empty or text-free pages. Where no window of the page
+    (of an article: of its own) reaches the threshold, the greatest is the surge; an article of links alone is kept whole."""
+    lines = lines_of(page or "", window)
+    per_char = line_weights(lines)
+    sums = window_sums([x.plain * c for x, c in zip(lines, per_char, strict=True)], window)
+    most = max(sums, default=0.0)
+    if most <= 0:
+        return "\n".join(x.text for x in lines if x.region and not x.names and x.text)
+    surge = min(threshold, most)
     kept: list[str] = []
-    inside = sorted({x[2] for x in lines if x[2]})
-    for region in inside:
-        own = [x for x in lines if x[2] == region]
-        found = segments(own, window, threshold)
-        if found:
-            # Without a surge nothing parts the region, and its text is kept whole.
-            surge = any(sum(x[1] for x in own[i : i + window]) >= threshold for i in range(*found[0]))
-            kept += [x[0] for x in (own[found[0][0] : found[-1][1]] if surge or len(found) > 1 else own) if x[0]]
-    if not kept and inside:
-        own = max(([x for x in lines if x[2] == r] for r in inside), key=lambda own: sum(x[1] for x in own))
-        kept = [x[0] for x in own if x[0]]
-    if not kept:
-        for a, b in segments(lines, window, threshold):
-            kept += [x[0] for x in lines[a:b]]
+    for region, part in groupby(zip(lines, per_char, strict=True), key=lambda x: x[0].region):
+        own, weighs = map(list, zip(*part, strict=True))
+        kept += _kept(own, weighs, threshold if region else surge, surge * DIVE, window, region > 0)
     return "\n".join(kept)
 
 
