@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidestat.llm import audio, bloom, bpe, chat, components, decontaminate, html_extract, jaccard_join, licenses, line_dedup, queries, substring_dedup, toxicity
+from tidestat.llm import audio, bloom, bpe, chat, components, decontaminate, html_extract, jaccard_join, licenses, line_dedup, placed, queries, substring_dedup, toxicity
 from tidestat.llm.common import join_hot
 
 DOC = "doc_id long, text string"
@@ -89,6 +89,41 @@ def test_line_dedup(spark, odd):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def _stored(spark, rows, path, files=3):
+    """The rows in a Parquet table of some files and small row groups."""
+    frame(spark, rows).repartition(files).write.option("parquet.block.size", 1 << 16).parquet(str(path))
+    return spark.read.parquet(str(path))
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 1 << 16])
+def test_line_dedup_brings_drops_to_stored_texts(spark, odd, tmp_path, monkeypatch, chunk):
+    """No exchange of texts where rows have places; the same rows out, columns of the same names and no others."""
+    monkeypatch.setattr(placed, "CHUNK", chunk)
+    rows = odd + [(100 + i, f"a line that repeats\nits own line {i}\nA line that repeats ") for i in range(40)]
+    docs = _stored(spark, rows, tmp_path / "docs")
+    for given in (docs, docs.where("doc_id is null or doc_id <> 105").withColumnRenamed("items", "__ROW")):
+        out = line_dedup.dedup_lines(given)
+        want = brute_lines([(i, t) for i, t in rows if given is docs or i != 105])
+        assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in out.collect()), key=str) == want
+        assert set(out.columns) == {*given.columns, "n_lines", "n_dropped"}
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_line_dedup_joins_where_the_folder_is_not_seen(spark, odd, tmp_path, monkeypatch):
+    monkeypatch.setattr(placed, "write", lambda facts, name: None)
+    out = line_dedup.dedup_lines(_stored(spark, odd, tmp_path / "docs"))
+    assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in out.collect()), key=str) == brute_lines(odd)
+
+
+def test_rows_that_share_a_place(spark, tmp_path):
+    """Rows made of one row of a table have its place; facts are told apart by document."""
+    spark.createDataFrame([(i,) for i in range(6)], "k long").write.parquet(str(tmp_path / "k"))
+    many = spark.read.parquet(str(tmp_path / "k")).selectExpr("explode(array(k, k + 10)) as doc_id", "k").selectExpr("doc_id", "concat('some shared line\nown line no ', doc_id) as text")
+    got = sorted((r.doc_id, r.text) for r in line_dedup.dedup_lines(many).collect())
+    ids = sorted([*range(6), *range(10, 16)])
+    assert got == [(i, ("some shared line\n" if i == 0 else "") + f"own line no {i}") for i in ids]
+
+
 def test_line_dedup_holds_few_texts(spark, odd):
     """Texts are read a few at a time and not sorted, whatever the session has."""
     name = "spark.sql.parquet.columnarReaderBatchSize"
