@@ -9,7 +9,6 @@ Tables that have no places (not read from Parquet), or a shared folder that Pyth
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -23,7 +22,6 @@ from tidestat.llm.common import fresh, shared_dir, small_batches
 
 #: Rows of a file whose facts lie together: some 130 MB of texts of 2 KB.
 CHUNK = 1 << 16
-_NONE = np.empty(0, np.int64)
 
 
 def with_places(df: DataFrame) -> tuple[DataFrame, str, str] | None:
@@ -61,18 +59,14 @@ def write(facts: DataFrame, name: str) -> str | None:
     return uri if seen else None
 
 
-@dataclass(eq=False)
 class Reader:
     """Facts on an executor, a chunk at a time: `values(file, row, doc)` of rows that come in the order of their table."""
 
-    uri: str
-    chunk: int
-    at: filesystems.FileSystem | None = None
-    base: str = ""
-    held: tuple[int, int] | None = None
-    rows: np.ndarray = _NONE
-    docs: np.ndarray = _NONE
-    found: np.ndarray = _NONE
+    def __init__(self, uri: str, chunk: int):
+        self.uri, self.chunk = uri, chunk
+        self.at: filesystems.FileSystem | None = None
+        self.held: tuple[int, int] | None = None
+        self.rows = self.docs = self.found = np.empty(0, np.int64)
 
     def values(self, file: int, row: int, doc: int) -> np.ndarray:
         """The values of the facts about this row and this document; often none."""
