@@ -251,6 +251,19 @@ def test_substring_dedup(spark, odd, monkeypatch, filtered):
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.text) for r in out.collect()), key=str) == brute_windows(odd)
 
 
+def test_substring_dedup_brings_runs_to_stored_texts(spark, odd, tmp_path, monkeypatch):
+    """No exchange of texts where rows have places, and the same rows out."""
+    monkeypatch.setattr(placed, "CHUNK", 3)
+    rng = random.Random(8)
+    shared = [" ".join(f"s{i}w{j}" for j in range(30)) for i in range(5)]
+    rows = odd + [(200 + i, f"own {i} " + " ".join(rng.sample(shared, 3)) + f" end {i}") for i in range(30)]
+    docs = _stored(spark, rows, tmp_path / "docs")
+    out = substring_dedup.dedup_substrings(docs)
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.text) for r in out.collect()), key=str) == brute_windows(rows)
+    assert set(out.columns) == {*docs.columns, "n_words", "n_removed"}
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_substring_dedup_of_few_words(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choice("ab") for _ in range(rng.randint(0, 80)))) for i in range(60)]

@@ -14,7 +14,8 @@ windows mostly pick the same, so an anchor row stands for several windows.
 2. Suspected anchors carry the hashes of their windows. Grouped by (key, all their windows), every document but the
    smallest is repeated as a whole there; hot groups combine before the shuffle.
 3. Where one key has different surroundings, one row for each of them goes to the level of windows.
-4. Each document gets its repeated windows from earlier documents, and finds repeats inside itself.
+4. Runs of repeated windows go to where texts are read (module placed; documents without places are joined with them), and each
+   document finds repeats inside itself.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
-from tidestat.llm import bloom
+from tidestat.llm import bloom, placed
 from tidestat.llm.common import BLANK, fresh, join_hot, map_rows, materialise, n_chars_of, raw, spread, strings, tidy
 
 WINDOW = 20
@@ -225,7 +226,7 @@ def _distinct(owner: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, rounds: int = PAIR_ROUNDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, windows (array of (start, n)): runs of windows that also occur in a document of a smaller id."""
+    """doc, start, n: runs of windows that also occur in a document of a smaller id."""
     estimate = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     anchors = anchor_rows(docs, estimate // 30 + 1, window, rounds, doc_id, text)
     anchors = materialise(anchors.withColumn("around", F.xxhash64("hashes")), "anchors")
@@ -252,11 +253,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, rounds: int = PAIR_R
         .where("doc > lo")
         .select("doc", (F.col("start") + F.col("i")).alias("start"), F.lit(1).alias("n"))
     )
-    return (
-        whole.unionByName(part)
-        .groupBy("doc")
-        .agg(F.collect_list(F.struct("start", "n")).alias("windows"))
-    )
+    return whole.unionByName(part)
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, rounds: int = PAIR_ROUNDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -270,16 +267,37 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, rounds: int = PAIR_R
     empty tables work; other columns pass through; n_chars, if present, follows the new text.
     """
     docs = docs.drop("n_words", "n_removed")
-    c_doc, c_windows = fresh(docs, "__doc", "__windows")
-    found = repeated_windows(docs, window, rounds, doc_id, text).withColumnsRenamed({"doc": c_doc, "windows": c_windows})
-    joined = docs.join(found, F.col(doc_id).cast("long") == F.col(c_doc), "left").drop(c_doc)
+    runs = repeated_windows(docs, window, rounds, doc_id, text).select("doc", F.expr("shiftleft(cast(start as bigint), 32) + n").alias("run"))
+    found, facts = placed.with_places(docs), None
+    if found:
+        # Ids and places (24 bytes a row) meet the runs, and these go to where texts are read: texts stay.
+        located, c_file, c_row = found
+        ids = located.select(F.col(doc_id).cast("long").alias("doc"), F.col(c_file).alias("file"), F.col(c_row).alias("row"))
+        facts = placed.write(runs.join(ids, "doc").select("file", "row", "doc", F.col("run").alias("value")), "window-runs")
+    if facts:
+        c_doc = fresh(located, "__doc")[0]
+        given = [c_file, c_row, c_doc]
+        joined = located.withColumn(c_doc, F.col(doc_id).cast("long"))
+    else:
+        c_doc, c_runs = fresh(docs, "__doc", "__runs")
+        lists = runs.groupBy(F.col("doc").alias(c_doc)).agg(F.collect_list("run").alias(c_runs))
+        joined = docs.join(lists, F.col(doc_id).cast("long") == F.col(c_doc), "left").drop(c_doc)
+        given = [c_runs]
+    chunk = placed.CHUNK
 
     def make():
         powers = Powers()
+        reader = placed.Reader(facts, chunk) if facts else None
+
+        def runs_of(columns: list[pa.Array], i: int) -> np.ndarray:
+            if reader is None:
+                return columns[0][i].values.to_numpy() if columns[0][i].is_valid else np.empty(0, np.int64)
+            file, row, doc = (c[i].as_py() for c in columns)
+            return np.empty(0, np.int64) if doc is None else reader.values(file, row, doc)
 
         def each(b: pa.RecordBatch, texts: list[bytes | None]) -> dict[str, pa.Array]:
             out, n_words, n_removed = [b""] * len(texts), [0] * len(texts), [0] * len(texts)
-            lists = b.column(b.schema.get_field_index(c_windows))
+            columns = [b.column(b.schema.get_field_index(c)) for c in given]
             for at, words in _slices(texts):
                 sizes = np.array([len(w) for w in words])
                 base = np.concatenate([[0], np.cumsum(sizes)])
@@ -288,12 +306,11 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, rounds: int = PAIR_R
                 np.add.at(flagged, inside, 1)
                 np.add.at(flagged, inside + window, -1)
                 for k, i in enumerate(at):
-                    mine = lists[i]
-                    if mine.is_valid:
-                        s = mine.values.field(0).to_numpy() + base[k]
-                        n = mine.values.field(1).to_numpy()
+                    mine = runs_of(columns, i)
+                    if len(mine):
+                        s = (mine >> 32) + base[k]
                         np.add.at(flagged, s, 1)
-                        np.add.at(flagged, s + n - 1 + window, -1)
+                        np.add.at(flagged, s + (mine & 0xFFFFFFFF) - 1 + window, -1)
                 gone = np.cumsum(flagged)[:-1] > 0
                 for k, i in enumerate(at):
                     g = gone[base[k] : base[k + 1]]
@@ -304,7 +321,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, rounds: int = PAIR_R
         return each
 
     fields = [StructField("n_words", LongType()), StructField("n_removed", LongType())]
-    return n_chars_of(map_rows(joined, text, fields, make, drop=(c_windows,)), text)
+    return n_chars_of(map_rows(joined, text, fields, make, drop=tuple(given)), text)
 
 
 def _own_repeats(words: list[list[bytes]], sizes: np.ndarray, base: np.ndarray, powers: Powers, window: int) -> np.ndarray:
