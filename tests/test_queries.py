@@ -42,3 +42,16 @@ def test_entry(spark):
 
     assert set(queries.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["nuc_msp_rate_khist_coarse", "nuc_msp_rate_exact"])
+def test_rates_round_as_their_sql(spark, tmp_path, name):
+    texts = [("x " * 28).ljust(200, "y"), ("x " * 28).ljust(28 * 2 + 1, "y"), "a" * 128, "ab " * 60]  # 29 words on 200 letters: 0.145 is below the tie
+    rows = [(i, t, "en", f"src{i}", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(queries.ORACLE[name])
+    columns = [c[0] for c in want.description]
+    df = queries.QUERIES[name](spark, str(tmp_path))
+    assert plain(df.collect(), df.columns) == plain(want.fetchall(), columns)
