@@ -11,7 +11,7 @@ import tidestat.operators  # noqa: F401
 from tidestat.functions import khist
 from tidestat.functions.prefix import numbered, running
 from tidestat.operators import crosscor, metaplot, rates
-from tidestat.operators.sweep import pile, sweep_join
+from tidestat.operators.sweep import pile, sweep_join, sweep_sums
 from tidestat.plans.fused import added, emitted, fused, results
 from tidestat.registry import Stat, stats
 from tidestat.schema import CONTIGS, MODS, READS
@@ -249,6 +249,19 @@ def test_sweep_lists_a_window_once_a_tile(spark):
     assert "sequence" in events and math.ceil(1_000_001 / (1 << 20)) == 1
 
 
+def test_no_pair_leaves_the_sweep(spark):
+    """900,000 pairs of calls and windows leave their tasks as the places of a window, whatever the number of windows."""
+    points = pile(spark.range(3000).selectExpr("0 as tid", "id + 1 as gpos", "if(id % 3 = 0, 'm', null) as mod", "int(id % 256) as prob"), 229.5)
+    regs = spark.range(300).selectExpr("0 as tid", "id - 2000L as start", "id + 4000L as stop", "id % 2 = 0 as strand", "id as regionindex", "1 as `group`", "'w' as label", "3000L as dw").repartition(2)
+    by = points.join(regs, "tid").where("gpos between start and stop").selectExpr("mod", "if(strand, gpos - start, stop - gpos) as i", "FG", "BG")
+    want = by.groupBy("mod", "i").agg(F.sum("FG"), F.sum("BG"))
+    for tile, block, blocks, most in ((1 << 20, 4096, 1024, 2 * 6001), (1000, 64, 1024, 8 * 6001), (1 << 20, 700, 5, 900_000)):
+        got = sweep_sums(points, regs, tile=tile, block=block, blocks=blocks).persist()
+        assert got.count() <= most and got.where("i < 0 or i > 6000 or label <> 'w' or dw <> 3000").count() == 0
+        assert plain(got.groupBy("mod", "i").agg(F.sum("FG"), F.sum("BG"))) == plain(want)
+        got.unpersist()
+
+
 def test_rates_in_the_row_equal_the_calls(rel):
     """Per-read rates of nested calls against calls counted by read."""
     mods = {m: i for i, m in enumerate(MODS)}

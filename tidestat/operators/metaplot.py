@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidestat.functions.dense import densify
 from tidestat.functions.loess import curve
-from tidestat.operators.sweep import pile, sweep_join
+from tidestat.operators.sweep import pile, sweep_sums
 from tidestat.plans import svg
 from tidestat.registry import Stat, cell, register
 from tidestat.schema import CONFIDENT
@@ -101,8 +101,8 @@ def profile_counts(mod_calls: DataFrame, regions: DataFrame, thresh: float = CON
 
 def piled_counts(piled: DataFrame, regions: DataFrame) -> DataFrame:
     """profile_counts of calls that are added up by place (sweep.pile)."""
-    met = sweep_join(piled.select("tid", "gpos", "mod", "FG", "BG"), regions)
-    by = met.groupBy("group", F.col("label").alias("Region"), "dw", F.col("mod").alias("Mod"), _xp().alias("xp"))
+    met = sweep_sums(piled, regions)
+    by = met.groupBy("group", F.col("label").alias("Region"), "dw", F.col("mod").alias("Mod"), (F.col("i") - F.col("dw")).cast("int").alias("xp"))
     return by.agg(F.sum("FG").alias("FG"), F.sum("BG").alias("BG"))
 
 
