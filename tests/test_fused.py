@@ -81,6 +81,19 @@ def test_one_scan(rel):
     assert plan.count("FileScan parquet") == 1
 
 
+def test_crowded_windows_do_not_multiply_calls(rel, spark):
+    """Thirty windows over each other: a call stays one cell of the shared pass, and the profile is that of all pairs."""
+    rows = [(t, 900 + i - 500, 900 + i + 500, i % 2 == 0, i, 1, "w", 500) for t in (0, 1) for i in range(30)]
+    crowded = Relations(rel.reads, rel.contigs, spark.createDataFrame(rows, REGION))
+    chosen = stats(["MetaPlot"])
+    calls = crowded.mod_calls.where("gpos is not null and tid is not null").count()
+    assert emitted(chosen, crowded).count() == calls
+    out = fused(chosen, crowded)
+    want = chosen[0].compute(crowded)
+    assert plain(out["MetaPlot"]) == plain(want) and want.agg(F.sum("BG")).first()[0] > 3 * calls
+    out.cells.unpersist()
+
+
 def test_some_statistics_and_parts_added_up(rel):
     chosen = stats(["ReadLengthCounter", "NucMSPLenHist"])  # no calls
     assert plain(results(chosen, added(emitted(chosen, rel)), rel)["ReadLengthCounter"]) == plain(chosen[0].compute(rel))

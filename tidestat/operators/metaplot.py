@@ -15,6 +15,7 @@ from tidestat.registry import Stat, cell, register
 from tidestat.schema import CONFIDENT
 from tidestat.sources import regions as region_source
 from tidestat.sources.relations import Relations
+from tidestat.sources.shared import stored
 
 #: Regions up to this many rows go to every executor; beyond it the binned join shuffles both sides.
 BROADCAST_REGIONS = 200_000
@@ -24,6 +25,8 @@ BROADCAST_REGIONS = 200_000
 SPAN, DEGREE, POINTS = 0.05, 4, 3000
 #: Windows whose widths differ by more than this factor are joined by a sweep.
 MIXED = 16
+#: Where a bin with windows has more than so many of them, the shared pass adds calls up by place before they meet windows.
+CROWDED = 2
 
 
 def bin_width(regions: DataFrame) -> int:
@@ -58,6 +61,12 @@ def _binned(regions: DataFrame, width: int) -> tuple[DataFrame, bool]:
     return binned, binned.limit(BROADCAST_REGIONS + 1).count() <= BROADCAST_REGIONS
 
 
+def _crowded(binned: DataFrame) -> bool:
+    """Whether a bin with windows has more than CROWDED of them on average."""
+    mean = binned.groupBy("tid", "_bin").count().agg(F.avg("count")).first()[0]
+    return (mean or 0) > CROWDED
+
+
 def interval_overlap(reads: DataFrame, regions: DataFrame, width: int = 1 << 14) -> DataFrame:
     """read_id, group, regionindex of reads whose span (left0 + 1 .. right1) overlaps a window, each pair once.
 
@@ -164,8 +173,8 @@ class MetaPlot(Stat):
         return f"if(gpos is not null and tid is not null, {cell(s='mod', a='tid', b='gpos', m=f'int(prob > {CONFIDENT!r}D)')}, null)"
 
     def place(self, cells: DataFrame, tag: int, rel: Relations) -> DataFrame:
-        """Calls (contig, place) become profile cells (group, place in the window) where the regions fit into a broadcast; else they stay,
-        are added up by place with all other cells, and are swept afterwards."""
+        """Calls (contig, place) become profile cells (group, place in the window) where the regions fit into a broadcast and lie side by side;
+        else they stay, are added up by place with all other cells, and are swept afterwards: calls times windows over each other would be made."""
         if self._swept(rel):
             return cells
         regions = self._regions(rel)
@@ -182,7 +191,8 @@ class MetaPlot(Stat):
         regions = self._regions(rel)
         if self._swept(rel):
             piled = cells.select(F.col("a").cast("int").alias("tid"), F.col("b").alias("gpos"), F.col("s").alias("mod"), F.col("m").alias("FG"), F.col("n").alias("BG"))
-            return dense_profile(piled_counts(piled, regions))
+            counts = piled_counts(piled, regions)  # the results read them more than once: swept once, to a table
+            return dense_profile(counts.sparkSession.read.schema(counts.schema).parquet(stored(counts, "profiles")))
         labels = regions.select("group", F.col("label").alias("Region"), "dw").distinct()
         counts = cells.select(F.col("a").cast("int").alias("group"), F.col("s").alias("Mod"), F.col("b").cast("int").alias("xp"), F.col("m").alias("FG"), F.col("n").alias("BG"))
         return dense_profile(counts.join(F.broadcast(labels), "group"))  # a row for each region file
@@ -191,7 +201,8 @@ class MetaPlot(Stat):
         """Whether calls are added up by place and swept, rather than placed in windows as they come; found once."""
         if not hasattr(self, "_piled"):
             width, mixed = _widths(regions := self._regions(rel))
-            self._piled = mixed or not _binned(regions, width)[1]
+            binned, small = _binned(regions, width)
+            self._piled = mixed or not small or _crowded(binned)
         return self._piled
 
     def _regions(self, rel: Relations) -> DataFrame:
