@@ -94,6 +94,20 @@ def test_crowded_windows_do_not_multiply_calls(rel, spark):
     out.cells.unpersist()
 
 
+def test_crowded_profile_makes_no_pairs(rel, spark, monkeypatch):
+    """Two hundred windows over each other: the profile alone adds calls up by place, and joins none of them with windows."""
+    rows = [(t, 900 + i - 50, 900 + i + 50, i % 2 == 0, i, 1, "w", 50) for t in (0, 1) for i in range(200)]
+    regs = spark.createDataFrame(rows, REGION)
+    want = metaplot.metaplot_zscore(metaplot.metaplot(rel.mod_calls, regs, sweep=False))
+
+    def forbidden(*_, **__):
+        raise AssertionError("each call met each window over it")
+
+    monkeypatch.setattr(metaplot, "interval_join", forbidden)
+    got = metaplot.metaplot_zscore(metaplot.metaplot(rel.mod_calls, regs))
+    assert got.columns == want.columns and plain(got) == plain(want) and len(plain(want)) > 101
+
+
 def test_some_statistics_and_parts_added_up(rel):
     chosen = stats(["ReadLengthCounter", "NucMSPLenHist"])  # no calls
     assert plain(results(chosen, added(emitted(chosen, rel)), rel)["ReadLengthCounter"]) == plain(chosen[0].compute(rel))

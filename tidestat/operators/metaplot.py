@@ -25,7 +25,7 @@ BROADCAST_REGIONS = 200_000
 SPAN, DEGREE, POINTS = 0.05, 4, 3000
 #: Windows whose widths differ by more than this factor are joined by a sweep.
 MIXED = 16
-#: Where a bin with windows has more than so many of them, the shared pass adds calls up by place before they meet windows.
+#: Where a bin with windows has more than so many of them, calls are added up by place before they meet windows.
 CROWDED = 2
 
 
@@ -67,6 +67,16 @@ def _crowded(binned: DataFrame) -> bool:
     return (mean or 0) > CROWDED
 
 
+def swept(regions: DataFrame, few: bool = False) -> bool:
+    """Whether calls are added up by place and swept rather than joined by bins: windows of very different widths, or over each other
+    (each call would meet all of them). few: also where windows are too many for a broadcast."""
+    width, mixed = _widths(regions)
+    if mixed:
+        return True
+    binned, small = _binned(regions, width)
+    return (few and not small) or _crowded(binned)
+
+
 def interval_overlap(reads: DataFrame, regions: DataFrame, width: int = 1 << 14) -> DataFrame:
     """read_id, group, regionindex of reads whose span (left0 + 1 .. right1) overlaps a window, each pair once.
 
@@ -97,9 +107,9 @@ def _xp():
 def profile_counts(mod_calls: DataFrame, regions: DataFrame, thresh: float = CONFIDENT, sweep: bool | None = None) -> DataFrame:
     """group, Region, dw, Mod, xp, FG, BG: the observed part of metaplot, one join and one aggregation.
 
-    sweep: join by the sorted sweep, over calls added up by place; by default where window widths are very different.
+    sweep: join by the sorted sweep, over calls added up by place; by default where window widths are very different or windows lie over each other.
     """
-    if _widths(regions)[1] if sweep is None else sweep:
+    if swept(regions) if sweep is None else sweep:
         return piled_counts(pile(mod_calls, thresh), regions)
     return (
         interval_join(mod_calls.select("tid", "gpos", "mod", "prob"), regions)
@@ -120,7 +130,14 @@ def metaplot(mod_calls: DataFrame, regions: DataFrame, thresh: float = CONFIDENT
 
     A call inside several windows counts once for each; minus strands are mirrored.
     """
-    return dense_profile(profile_counts(mod_calls, regions, thresh, sweep))
+    sweep = swept(regions) if sweep is None else sweep
+    counts = profile_counts(mod_calls, regions, thresh, sweep)
+    return dense_profile(_kept(counts) if sweep else counts)
+
+
+def _kept(counts: DataFrame) -> DataFrame:
+    """profile_counts as a table: results read them more than once, and are swept once."""
+    return counts.sparkSession.read.schema(counts.schema).parquet(stored(counts, "profiles"))
 
 
 def dense_profile(counts: DataFrame) -> DataFrame:
@@ -191,8 +208,7 @@ class MetaPlot(Stat):
         regions = self._regions(rel)
         if self._swept(rel):
             piled = cells.select(F.col("a").cast("int").alias("tid"), F.col("b").alias("gpos"), F.col("s").alias("mod"), F.col("m").alias("FG"), F.col("n").alias("BG"))
-            counts = piled_counts(piled, regions)  # the results read them more than once: swept once, to a table
-            return dense_profile(counts.sparkSession.read.schema(counts.schema).parquet(stored(counts, "profiles")))
+            return dense_profile(_kept(piled_counts(piled, regions)))
         labels = regions.select("group", F.col("label").alias("Region"), "dw").distinct()
         counts = cells.select(F.col("a").cast("int").alias("group"), F.col("s").alias("Mod"), F.col("b").cast("int").alias("xp"), F.col("m").alias("FG"), F.col("n").alias("BG"))
         return dense_profile(counts.join(F.broadcast(labels), "group"))  # a row for each region file
@@ -200,9 +216,7 @@ class MetaPlot(Stat):
     def _swept(self, rel: Relations) -> bool:
         """Whether calls are added up by place and swept, rather than placed in windows as they come; found once."""
         if not hasattr(self, "_piled"):
-            width, mixed = _widths(regions := self._regions(rel))
-            binned, small = _binned(regions, width)
-            self._piled = mixed or not small or _crowded(binned)
+            self._piled = swept(self._regions(rel), few=True)
         return self._piled
 
     def _regions(self, rel: Relations) -> DataFrame:
