@@ -52,3 +52,14 @@ def test_batches_are_bounded_while_decoding_only(spark, small):
         adapter.stored = kept
         adapter._DECODED.pop((spark.sparkContext.applicationId, f"{small}/."), None)
     assert seen == [str(adapter.BATCH)] and spark.conf.get(batch) == before
+
+
+def test_a_file_of_reads_has_many_row_groups(spark, tmp_path):
+    """A stream takes two files a batch: their row groups are what its tasks share."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    rows = spark.range(12_000).selectExpr("id", "transform(sequence(1, 200), i -> xxhash64(id, i)) v").coalesce(1)
+    found = glob.glob(adapter.stored(rows, "groups").replace("file://", "") + "/*.parquet")
+    assert len(found) == 1 and pq.ParquetFile(found[0]).num_row_groups > 1

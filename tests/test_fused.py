@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from tidestat.functions import khist
 from tidestat.functions.prefix import numbered, running
 from tidestat.operators import crosscor, metaplot, rates
 from tidestat.operators.sweep import pile, sweep_join, sweep_sums
-from tidestat.plans.fused import added, emitted, fused, results
+from tidestat.plans.fused import CELLS, added, emitted, fused, results, sums
 from tidestat.registry import Stat, stats
 from tidestat.schema import CONTIGS, MODS, READS
 from tidestat.sources import regions
@@ -108,6 +109,42 @@ def test_crowded_profile_makes_no_pairs(rel, spark, monkeypatch):
     assert got.columns == want.columns and plain(got) == plain(want) and len(plain(want)) > 101
 
 
+def test_batches_count_what_cells_say(rel, spark):
+    """The shared pass counts a batch of reads at once: the same cells as by SQL, for odd reads and options too, and no cell for each call."""
+    odd = [
+        (900, None, None, 5, 5, [dict(pos=None, mod="mod_6mA", prob=255, gpos=7)], None, [None, 3]),
+        (901, 1, 2500, 5, 5, [dict(pos=200, mod=None, prob=None, gpos=8), dict(pos=200, mod="mod_5mC", prob=240, gpos=1 << 61), None], [], None),
+        (902, None, 1300, 5, 5, [dict(pos=p, mod=m, prob=250, gpos=None) for p in (180, 180, 190, 460, 1203, 1204) for m in MODS], [0, 1000, 1001], [1]),
+    ]
+    whole = Relations(rel.reads.unionByName(spark.createDataFrame(odd, READS)), rel.contigs, rel.regions)
+    config = {"ModCrossCor": {"lags": [1, 3, 270, 10, 10], "mods": ["mod_6mA", "mod_5mC"], "length": 1100, "offset": 100}, "ModMetaHist": {"n": 7, "thresh": 100}, "ModRate": {"mods": ["mod_other", "mod_6mA", "none"]}}
+    for chosen in (stats(NINE), stats(NINE, config)):
+        by_sql, by_batch = (results(chosen, cells(chosen, whole).persist(), whole) for cells in (lambda s, r: added(emitted(s, r)), sums))
+        for s in chosen:
+            assert plain(by_batch[s.name]) == plain(by_sql[s.name]), s.name
+    plan = sums(chosen, whole)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "inline" not in plan
+    spark.catalog.clearCache()
+    assert sums(chosen, Relations(whole.reads.where("false"), rel.contigs, rel.regions)).schema.names == [c.split()[0] for c in CELLS.split(", ")]
+
+
+def test_lag_hits_of_crowded_reads():
+    rng = random.Random(6)
+    reads = [{(rng.randint(1, 60), rng.randint(0, 2)) for _ in range(rng.choice([0, 1, 90]))} for _ in range(12)]
+    rows = sorted((r, p, o) for r, some in enumerate(reads) for p, o in some)
+    want = {}
+    for some in reads:
+        size = [sum(o == k for _, o in some) for k in range(3)]
+        for p, a in some:
+            for q, b in some:
+                if a <= b and q - p in (1, 4, 20):
+                    n, x = want.get((a, b, q - p), (0, 0.0))
+                    want[a, b, q - p] = n + 1, x + 1 / math.sqrt(size[a] * size[b])
+    keys, n, (x,) = crosscor._lag_hits(*np.array(rows).T, [1, 4, 20], len(reads))
+    got = {tuple(map(int, k)): (int(m), v) for *k, m, v in zip(*keys, n, x, strict=True)}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+
+
 def test_some_statistics_and_parts_added_up(rel):
     chosen = stats(["ReadLengthCounter", "NucMSPLenHist"])  # no calls
     assert plain(results(chosen, added(emitted(chosen, rel)), rel)["ReadLengthCounter"]) == plain(chosen[0].compute(rel))

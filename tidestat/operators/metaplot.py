@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidestat.functions.dense import densify
 from tidestat.functions.loess import curve
+from tidestat.functions.tally import Reads, tally, whole
+from tidestat.functions.tally import cells as tallied
 from tidestat.operators.sweep import pile, sweep_sums
 from tidestat.plans import svg
 from tidestat.registry import Stat, cell, register
@@ -189,6 +194,16 @@ class MetaPlot(Stat):
     def call_cell(self) -> str:
         return f"if(gpos is not null and tid is not null, {cell(s='mod', a='tid', b='gpos', m=f'int(prob > {CONFIDENT!r}D)')}, null)"
 
+    def counter(self):
+        def count(reads: Reads) -> Iterator[dict]:
+            tid, gpos = reads.batch["tid"], reads.calls["gpos"]
+            some = pc.is_valid(gpos).to_numpy(zero_copy_only=False) & pc.is_valid(tid).to_numpy(zero_copy_only=False)[reads.row]
+            columns = [whole(tid, 0)[reads.row[some]], whole(gpos, 0)[some], reads.mod[some]]
+            (a, b, mod), n, (m,) = tally(columns, reads.prob[some] > CONFIDENT)
+            yield from tallied(n, s=pa.array(reads.mods, pa.string()).take(pa.array(mod)), a=a, b=b, m=m)
+
+        return count
+
     def place(self, cells: DataFrame, tag: int, rel: Relations) -> DataFrame:
         """Calls (contig, place) become profile cells (group, place in the window) where the regions fit into a broadcast and lie side by side;
         else they stay, are added up by place with all other cells, and are swept afterwards: calls times windows over each other would be made."""

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidestat.functions.dense import axis, densify
+from tidestat.functions.tally import Reads, tally
+from tidestat.functions.tally import cells as tallied
 from tidestat.plans import svg
 from tidestat.registry import Stat, cell, register
 from tidestat.schema import CONFIDENT, CONFIDENT_SHARE, MODS
@@ -92,6 +97,14 @@ class ModHist(Stat):
     def call_cell(self) -> str:
         return cell(s="mod", a="prob")
 
+    def counter(self):
+        def count(reads: Reads) -> Iterator[dict]:
+            some = reads.prob >= 0
+            (mod, prob), n, _ = tally([reads.mod[some], reads.prob[some]])
+            yield from tallied(n, s=[reads.mods[i] for i in mod], a=prob)
+
+        return count
+
     def finish(self, cells: DataFrame, rel: Relations) -> DataFrame:
         each = [F.coalesce(F.sum(F.when(F.col("s") == m, F.col("n"))), F.lit(0)).alias(m) for m in MODS]
         return self._observed(dense_hist(cells.groupBy(F.col("a").cast("int").alias("ml")).agg(*each)))
@@ -119,6 +132,17 @@ class ModMetaHist(Stat):
         n, thresh = int(self.options.get("n", 1000)), float(self.options.get("thresh", CONFIDENT))
         return f"if(qlen > 0 and prob > {thresh!r}D, {cell(s='mod', a=f'greatest(floor({n} * pos / qlen), 1)')}, null)"
 
+    def counter(self):
+        bins, thresh = int(self.options.get("n", 1000)), float(self.options.get("thresh", CONFIDENT))
+
+        def count(reads: Reads) -> Iterator[dict]:
+            some = (reads.prob > thresh) & (reads.qlen > 0)[reads.row]
+            at = np.maximum(np.floor(bins * reads.pos[some] / reads.qlen[reads.row[some]]), 1).astype(np.int64)
+            (mod, i), n, _ = tally([reads.mod[some], at])
+            yield from tallied(n, s=[reads.mods[m] for m in mod], a=i)
+
+        return count
+
     def finish(self, cells: DataFrame, rel: Relations) -> DataFrame:
         counts = cells.select(F.col("s").alias("mod"), F.col("a").cast("int").alias("i"), F.col("n").alias("count"))
         return dense_bins(counts, int(self.options.get("n", 1000)))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidestat.functions.contigs import contig_order
 from tidestat.functions.dense import axis, densify
+from tidestat.functions.tally import Reads, cells, flat, tally, whole
 from tidestat.plans import svg
 from tidestat.registry import Stat, cell, register
 from tidestat.sources.relations import Relations
@@ -60,6 +64,12 @@ def dense_lengths(counts: DataFrame, n: int) -> DataFrame:
     )
 
 
+def _counts(values: pa.Array) -> Iterator[dict]:
+    """A cell for each value, null too."""
+    found = values.value_counts()
+    return cells(found.field("counts").to_numpy(), a=found.field("values"))
+
+
 @register
 class ChromStat(Stat):
     name, title, file = "ChromStat", "Reads per contig", "chromstats.tsv"
@@ -72,6 +82,9 @@ class ChromStat(Stat):
     def cells(self) -> str:
         return f"array({cell(a='tid')})"
 
+    def counter(self):
+        return lambda reads: _counts(reads.batch["tid"])
+
     def finish(self, cells: DataFrame, rel: Relations) -> DataFrame:
         return named_counts(cells.select(F.col("a").cast("int").alias("tid"), F.col("n").alias("count")), rel.contigs)
 
@@ -91,6 +104,9 @@ class ReadLengthCounter(Stat):
     def cells(self) -> str:
         return f"array({cell(a='qlen')})"
 
+    def counter(self):
+        return lambda reads: _counts(reads.batch["qlen"])
+
     def finish(self, cells: DataFrame, rel: Relations) -> DataFrame:
         return cells.select(F.col("a").alias("readlength"), F.col("n").alias("count")).orderBy("readlength")
 
@@ -115,6 +131,17 @@ class NucMSPLenHist(Stat):
         each = [f"transform(filter(coalesce({f}_len, cast(array() as array<int>)), v -> v between 1 and {n}), v -> {cell(s=f"'{f}'", a='v')})" for f in ("nuc", "msp")]
         return f"concat({', '.join(each)})"
 
+    def counter(self):
+        most = int(self.options.get("n", 1000))
+
+        def count(reads: Reads) -> Iterator[dict]:
+            for f in ("nuc", "msp"):
+                lens = whole(flat(reads.batch[f"{f}_len"])[1], 0)
+                (lens,), n, _ = tally([lens[(lens >= 1) & (lens <= most)]])
+                yield from cells(n, s=f, a=lens)
+
+        return count
+
     def finish(self, cells: DataFrame, rel: Relations) -> DataFrame:
         counts = cells.select(F.col("s").alias("Feature"), F.col("a").cast("int").alias("Length"), F.col("n").alias("Count"))
         return dense_lengths(counts, int(self.options.get("n", 1000)))

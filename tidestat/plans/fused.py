@@ -7,17 +7,20 @@ for instance, can be added up later.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidestat.functions.tally import Reads, table
 from tidestat.operators.rates import NO_CALLS
 from tidestat.registry import Stat
 from tidestat.sources.relations import Relations
 
 KEYS = ("tag", "s", "a", "b", "c")
 CELLS = "tag int, s string, a long, b long, c long, n long, m long, x double"
+SCHEMA = pa.schema([("tag", pa.int32()), ("s", pa.string()), *[(c, pa.int64()) for c in "abcnm"], ("x", pa.float64())])
 
 
 def shares(stat: Stat) -> bool:
@@ -64,6 +67,26 @@ def added(cells: DataFrame) -> DataFrame:
     return cells.groupBy(*KEYS).agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum("x").alias("x"))
 
 
+def sums(stats: Sequence[Stat], rel: Relations) -> DataFrame:
+    """The added cells of these reads: counted a batch of reads at a time where all of the statistics can (Stat.counter), else from emitted cells."""
+    counters = [s.counter() for s in stats]
+    if any(c is None for c in counters):
+        return added(emitted(stats, rel))
+    needed = {c for s in stats for c in s.columns}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            reads = Reads(b)
+            for tag, counter in enumerate(counters):
+                for found in counter(reads):
+                    yield table(tag, found, SCHEMA)
+
+    cells = rel.reads.select(*[c for c in rel.reads.columns if c in needed]).mapInArrow(count, CELLS)
+    for tag, s in enumerate(stats):
+        cells = s.place(cells, tag, rel)
+    return added(cells)
+
+
 def results(stats: Sequence[Stat], cells: DataFrame, rel: Relations) -> dict[str, DataFrame]:
     """Each statistic's result by name, from the added cells of these statistics (kept by the caller: each result reads them)."""
     return {s.name: s.finish(cells.where(F.col("tag") == tag).drop("tag"), rel) for tag, s in enumerate(stats)}
@@ -71,7 +94,7 @@ def results(stats: Sequence[Stat], cells: DataFrame, rel: Relations) -> dict[str
 
 def fused(stats: Sequence[Stat], rel: Relations) -> dict[str, DataFrame]:
     """Results by name from one scan of the reads. Read them while `fused.cells` of the returned mapping is kept, and unpersist it then."""
-    out = Fused(results(stats, cells := added(emitted(stats, rel)).persist(), rel))
+    out = Fused(results(stats, cells := sums(stats, rel).persist(), rel))
     out.cells = cells
     return out
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
+from tidestat.functions.tally import Reads
 from tidestat.schema import READS
 from tidestat.sources.relations import Relations
 
@@ -60,6 +61,10 @@ class Stat(ABC):
         """SQL of the cell (or null) that a call gives to the shared pass, if any: over pos, mod, prob, gpos and its read's tid and qlen."""
         return None
 
+    def counter(self) -> Callable[[Reads], Iterator[dict]] | None:
+        """Where it is given, the same cells from a batch of reads at once, equal ones added up (see functions.tally); runs in tasks."""
+        return None
+
     def place(self, cells: DataFrame, tag: int, rel: Relations) -> DataFrame:
         """All cells of the pass before they are added up; a statistic may turn those with its tag into others."""
         return cells

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidestat.accumulator import STATES, Accumulator
-from tidestat.plans.fused import CELLS, added, emitted, results, shares
+from tidestat.plans.fused import CELLS, added, results, shares, sums
 from tidestat.registry import Stat
 from tidestat.sources.relations import Relations
+from tidestat.sources.shared import stored
 
 MARK = "_whole"
 
@@ -64,7 +65,7 @@ class Ledger:
 def _tables(stats: Sequence[Stat], rel: Relations) -> dict[str, DataFrame]:
     """What a set of reads leaves: the added cells of those that share a pass, and states by name."""
     together, alone = _split(stats)
-    out = {"cells": added(emitted(together, rel))} if together else {}
+    out = {"cells": sums(together, rel)} if together else {}
     if alone:
         out["states"] = reduce(DataFrame.unionByName, [s.merged(s.states(rel.reads)).select(F.lit(s.name).alias("name"), "part", "state") for s in alone])
     return out
@@ -98,12 +99,17 @@ def totals(spark: SparkSession, stats: Sequence[Stat], static: Relations, path:
     """Each statistic's result by name over all batches so far. The statistics are those of start(), in its order."""
     ledger, (together, alone) = Ledger(spark, path), _split(stats)
     names = ledger.folders()
-    out = results(together, added(ledger.read("cells", CELLS, names)), static) if together else {}
+    out = results(together, _once(added(ledger.read("cells", CELLS, names))), static) if together else {}
     for s in alone:
         out[s.name] = s.result(_numbered(ledger, names).where(F.col("name") == s.name))
     return {s.name: out[s.name] for s in stats}
 
 
+def _once(cells: DataFrame) -> DataFrame:
+    """Added cells as a table: each result reads those with its tag."""
+    return cells.sparkSession.read.schema(CELLS).parquet(stored(cells.sortWithinPartitions("tag"), "totals"))
+
+
 def compact(spark: SparkSession, stats: Sequence[Stat], path: str) -> None:
     """Add up all marked folders into one and delete them. Run it while no query writes; if it dies, the totals stay what they were."""
     ledger, (together, alone) = Ledger(spark, path), _split(stats)
